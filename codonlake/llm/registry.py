@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codonlake.llm import queries_basic
+from codonlake.llm import queries_basic, queries_text
 
-MODULES = [queries_basic]
+MODULES = [queries_basic, queries_text]
 
 
 def queries() -> dict:
