@@ -243,12 +243,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = base.filter("n > 0")
     posted = some.select("node", F.explode("sigs").alias("sig"))
     shares = posted.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last").select("sig", "centre")
-    pairs = shared.cut(posted.join(shares, "sig").filter("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared")))
+    pairs = shared.cut(shared.sieve(posted, shares, "sig").join(shares, "sig").filter("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared")))
 
     nodes = pairs.select("node").union(pairs.select("centre")).distinct()
     chosen = some.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n")).join(nodes, "node", "left_semi")
     chosen = shared.cut(chosen)
-    texts = rows.filter(F.col("text").isNotNull()).join(chosen.select("id", "node"), "id")
+    texts = shared.sieve(rows.filter("text is not null and id is not null"), chosen, "id").join(chosen.select("id", "node"), "id")
     sets = shared.cut(texts.select("node", "text").mapInPandas(_sets(k), "node long, shingles binary"))
     sizes = chosen.select("node", "n")
 

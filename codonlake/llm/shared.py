@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -27,3 +28,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a sieve; its broadcast table has at most a 64th as many rows.
+SIEVE_BITS = 1 << 24
+
+
+def sieve(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be among the keys, before a join that shuffles: all that are, and few others.
+
+    Keys set bits of one bitmap of fixed size, kept as words of 64 bits and broadcast, so the broadcast is
+    bounded whatever the number of keys; a full bitmap lets more rows pass, and the join decides."""
+    slot = f"pmod(xxhash64(`{key}`), {SIEVE_BITS}L)"
+    words = keys.select(F.expr(slot).alias("_slot")).groupBy(F.expr("_slot div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_slot % 64 as int)))").alias("_mask"))
+    placed = rows.withColumn("_slot", F.expr(slot)).withColumn("_word", F.expr("_slot div 64"))
+    passed = placed.join(F.broadcast(words), "_word").filter("shiftright(_mask, cast(_slot % 64 as int)) & 1 = 1")
+    return passed.select(*rows.columns)
