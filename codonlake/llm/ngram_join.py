@@ -243,6 +243,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = base.filter("n > 0")
     posted = some.select("node", F.explode("sigs").alias("sig"))
     shares = posted.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last").select("sig", "centre")
+    shares = shared.cut(shares)
     pairs = shared.cut(shared.sieve(posted, shares, "sig").join(shares, "sig").filter("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared")))
 
     nodes = pairs.select("node").union(pairs.select("centre")).distinct()
