@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codonlake.llm import ngram_join
+from codonlake.llm import line_dedup, ngram_join
 from codonlake.llm.shared import table
 
 
@@ -14,5 +14,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
-QUERIES = {"op3_ngram_join": op3_ngram_join}
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.with_deletions(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_deleted"), "text")
+
+
+QUERIES = {"op3_ngram_join": op3_ngram_join, "op6_line_dedup": op6_line_dedup}
 ORACLES: dict[str, str] = {}
