@@ -4,20 +4,22 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, kept in the shared checkpoint folder, so that lost executors cost no recomputation.
+def _folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; where that is unset (tests on one machine), one of this machine."""
+    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'codonlake-checkpoints')}"
+
 
-    The folder is the one the session names in spark.checkpoint.dir; where that is unset (tests on one
-    machine), a folder of this machine is set once."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, kept in the shared checkpoint folder, so that lost executors cost no recomputation."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'codonlake-checkpoints')}")
+        sc.setCheckpointDir(_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -44,3 +46,11 @@ def sieve(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     placed = rows.withColumn("_slot", F.expr(slot)).withColumn("_word", F.expr("_slot div 64"))
     passed = placed.join(F.broadcast(words), "_word").filter("shiftright(_mask, cast(_slot % 64 as int)) & 1 = 1")
     return passed.select(*rows.columns)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written as Parquet to the shared checkpoint folder and read again."""
+    sc = df.sparkSession.sparkContext
+    path = f"{_folder(df.sparkSession)}/stage-{sc.applicationId}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

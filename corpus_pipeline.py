@@ -1,16 +1,61 @@
-"""The corpus pipeline: stages over `documents`, each written and read again as the next one's input."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again as the next one's input.
+
+Toxic documents go, lines that an earlier document has are deleted, one document of each near-duplicate
+group stays (five-word shingles, Jaccard similarity of 0.8 or more), the rest is put in the order of a mix
+of sources, and texts are encoded to pieces. SQL can't express the stages; tests hold them against
+brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codonlake.llm import line_dedup, mixing, ngram_join, pieces, shared, toxicity
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents scored under 0.5."""
+    return toxicity.keep_clean(docs, shared.table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the blocks of lines that an earlier one has; n_chars follows the text."""
+    out = line_dedup.deduped(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group."""
+    return ngram_join.keep_first(docs, k=5, percent=80)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the order of the mix."""
+    return mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens, token_ids, round_trip."""
+    return pieces.tokenised(docs).select("doc_id", "source", "n_tokens", "token_ids", "round_trip")
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
+#: Trained and iterative stages can't be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn on the documents of the folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages in turn on the documents of the folder; between stages the rows are kept as Parquet in the shared folder."""
+    docs = shared.table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = shared.written(docs)
     return docs
