@@ -23,27 +23,41 @@ from codonlake.llm.textarrays import Hasher, Words, chunks, mix
 
 #: Documents that the classifier is fitted on, at most: toxic ones and others.
 FIT_TOXIC, FIT_OTHER = 1500, 3000
-LENGTH = 16
+#: Runs of words that the field is trained on, at most: around toxic words and at random; words of a run.
+FIT_RUNS, LENGTH = (6000, 9000), 16
 #: Beginnings of words that can be evidence; documents and ratio of rates that they need.
 STEMS, LEAST_DOCS, LEAST_RATIO = (4, 5, 6, 7, 8), 12, 12.0
 
 
-def token_labels(words: Words, toxic: np.ndarray) -> np.ndarray:
+def _parts(texts: list[str]) -> list[Words]:
+    """The words of some texts, a bounded number of characters at a time; `doc` counts from the first text."""
+    out = []
+    for a, b in chunks(texts):
+        w = Words(texts[a:b])
+        w.doc = w.doc + a
+        out.append(w)
+    return out
+
+
+def token_labels(parts: list[Words], toxic: np.ndarray) -> list[np.ndarray]:
     """For each word, whether it counts as toxic; toxic: the documents' labels."""
-    h, size = Hasher(words.low), words.end - words.start
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    out = np.zeros(len(words), bool)
+    n_docs, n1, n0 = len(toxic), max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    out = [np.zeros(len(w), bool) for w in parts]
     for k in (*STEMS, None):
-        unit = h.of(words.start, words.end if k is None else np.minimum(words.start + k, words.end))
-        usable = np.ones(len(words), bool) if k is None else size >= k
-        units, code = np.unique(unit[usable], return_inverse=True)
-        docs = words.doc[usable]
-        pairs = np.unique(code.astype(np.int64) * words.n_docs + docs)
-        c, d = pairs // words.n_docs, pairs % words.n_docs
+        usable = [np.flatnonzero(w.end - w.start >= (k or 1)) for w in parts]
+        unit = [Hasher(w.low).of(w.start[u], w.end[u] if k is None else w.start[u] + k) for w, u in zip(parts, usable, strict=True)]
+        units, code = np.unique(np.concatenate(unit), return_inverse=True)
+        del unit
+        docs = np.concatenate([w.doc[u] for w, u in zip(parts, usable, strict=True)])
+        pairs = np.unique(code.astype(np.int64) * n_docs + docs)
+        c, d = pairs // n_docs, pairs % n_docs
         ones, zeros = np.bincount(c, toxic[d], len(units)), np.bincount(c, ~toxic[d], len(units))
         marked = (ones >= min(LEAST_DOCS, max(4, n1 // 10))) & (ones / n1 >= LEAST_RATIO * (zeros + 0.5) / n0)
-        out[np.flatnonzero(usable)[marked[code]]] = True
-    return out & toxic[words.doc]
+        at = 0
+        for x, u in zip(out, usable, strict=True):
+            x[u[marked[code[at : at + len(u)]]]] = True
+            at += len(u)
+    return [x & toxic[w.doc] for x, w in zip(out, parts, strict=True)]
 
 
 def _summary(words: Words, post: np.ndarray, n_docs: int) -> np.ndarray:
@@ -67,14 +81,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 30, ridge: float = 1.0)
 
 def _apart(sample: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """The sample without most copies and near copies: one document for each least hash of three words in a row."""
-    words = Words([t for _, t in sample])
-    h = Hasher(words.low).of(words.start, words.end)
     least: dict[int, int] = {}
-    for i in range(len(sample)):
-        own = h[slice(*np.searchsorted(words.doc, [i, i + 1]))]
-        with np.errstate(over="ignore"):
-            runs = mix(own[:-2] + mix(own[1:-1] + mix(own[2:]))) if len(own) > 2 else own
-        least.setdefault(int(runs.min()) if len(runs) else 0, i)
+    for w in _parts([t for _, t in sample]):
+        h = Hasher(w.low).of(w.start, w.end)
+        for i in np.unique(w.doc).tolist():
+            own = h[slice(*np.searchsorted(w.doc, [i, i + 1]))]
+            with np.errstate(over="ignore"):
+                runs = mix(own[:-2] + mix(own[1:-1] + mix(own[2:]))) if len(own) > 2 else own
+            least.setdefault(int(runs.min()), i)
     return [sample[i] for i in sorted(least.values())]
 
 
@@ -86,23 +100,25 @@ def fit(sample: list[tuple[int, str]], odds: float | None = None, seed: int = 5)
     toxic = np.array([bool(x) for x, _ in sample])
     if not len(sample) or toxic.all() or not toxic.any():
         return None
-    words = Words([t for _, t in sample])
-    gold = token_labels(words, toxic)
+    parts = _parts([t for _, t in sample])
+    gold = token_labels(parts, toxic)
     rng = np.random.default_rng(seed)
-    n = len(words)
-    if n < LENGTH:
-        return None
-    # runs of words around each toxic one, and as many others again and some more, inside one document
-    hot = np.maximum(np.flatnonzero(gold) - rng.integers(0, LENGTH, int(gold.sum())), 0)
-    starts = np.concatenate([rng.permutation(hot)[:6000], rng.integers(0, max(1, n - LENGTH), 9000)])
-    starts = np.unique(starts[starts + LENGTH <= n])
-    starts = starts[words.doc[starts] == words.doc[starts + LENGTH - 1]]
-    if not len(starts):
+    texts, labels = [], []
+    total, n_hot = sum(map(len, parts)), sum(int(g.sum()) for g in gold)
+    for w, g in zip(parts, gold, strict=True):
+        # runs of words around toxic ones, and others, inside one document; parts give in proportion to their words
+        n = len(w)
+        hot = rng.permutation(np.maximum(np.flatnonzero(g) - rng.integers(0, LENGTH, int(g.sum())), 0))
+        starts = np.concatenate([hot[: -(-FIT_RUNS[0] * len(hot) // max(1, n_hot))], rng.integers(0, max(1, n - LENGTH), FIT_RUNS[1] * n // max(1, total) + 1)])
+        starts = np.unique(starts[starts + LENGTH <= n])
+        for i in rng.permutation(starts[w.doc[starts] == w.doc[starts + LENGTH - 1]]).tolist():
+            texts.append(" ".join(w.text(j) for j in range(i, i + LENGTH)))
+            labels.append(g[i : i + LENGTH])
+    del parts, gold
+    if not texts:
         return None
-    rows = (rng.permutation(starts)[:, None] + np.arange(LENGTH)).ravel()
-    texts = [" ".join(words.text(i) for i in rows[k : k + LENGTH]) for k in range(0, len(rows), LENGTH)]
-    model = crf.train(Words(texts), gold[rows].astype(np.int64), LENGTH, 2, prefixes=(3, 4, 5, 6), suffixes=(3, 4), trigrams=True, epochs=2)
-    x = np.concatenate([_summary(w := Words([t for _, t in sample[a:b]]), model.marginals(w), b - a) for a, b in chunks([t for _, t in sample])])
+    model = crf.train(Words(texts), np.concatenate(labels).astype(np.int64), LENGTH, 2, prefixes=(3, 4, 5, 6), suffixes=(3, 4), trigrams=True, epochs=2)
+    x = np.concatenate([_summary(w := Words([t for _, t in sample[a:b]]), model.marginals(w), b - a) for a, b in chunks([t for _, t in sample], 300_000)])
     weights = _logistic(x, toxic.astype(float))
     weights[0] += np.log((odds or toxic.sum() / (~toxic).sum()) * (~toxic).sum() / toxic.sum())
     return model, weights
