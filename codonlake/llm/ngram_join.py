@@ -3,13 +3,13 @@
 A document is the set of its distinct word shingles. Two documents link when their sets' Jaccard similarity
 is at least a threshold, and groups are connected by links.
 
-Texts with equal sets are one class. Classes that can link must meet in a task: with sizes of at most U,
-linked sets differ in at most D = 2U(100-t)/(100+t) shingles, so if the space of hashes is cut in D + 3
-segments, linked sets are equal in three segments at least. Each class therefore emits a hash of its
-shingles in each segment (for its own band of sizes and the next, U growing by 100/t), and classes that share
-such a hash are put together with the least class that has it, their centre. Segments without shingles say
-nothing and are left out, unless a class has three of them or more: then it emits one mark for those. This is
-exact for any data, and a passage, line or word that many documents share doesn't bring them together.
+Texts with equal sets are one class. Classes that can link must meet in a task: with shingles in the order of
+their hashes, a linked pair has its R least common shingles among the first n - ceil(t n) + R shingles of
+each set of n. So each class posts that many of its shingles; a class with fewer posted shingles in common
+with other classes than R has no links at all, and the others that share a posted shingle are put together
+with the least class that has it, their centre. Frequent shingles (of passages that many documents share)
+would bring unlike documents together: a class that has fewer of them than R leaves them out, since it shares
+others with whatever it links to, and a class that has R or more keeps them. That is exact for any data.
 
 In a task, the sets are inverted, and T-occurrence searches by DivideSkip find the links: a query's shingles
 are lists; the shorter ones are merged and counted, which leaves candidates short of the needed overlap by at
@@ -34,8 +34,9 @@ from codonlake.llm import shared
 from codonlake.llm.components import components
 from codonlake.llm.textarrays import Hasher, chunks, mix
 
-#: Shingles of a task, about; agreeing segments that linked sets have at least.
-TASK_SHINGLES, AGREE = 1_500_000, 3
+#: Shingles of a task, about; posted shingles from the percentage of a set's size, beyond what a link may lack;
+#: documents with a posted shingle from which on it counts as frequent.
+TASK_SHINGLES, EXTRA, FREQUENT = 1_500_000, 5, 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -76,36 +77,14 @@ def set_class(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-class Bands:
-    """Bands of sizes for a threshold in percent."""
+def posted_count(n: int, percent: int) -> int:
+    """Shingles that a set of n posts."""
+    return min(n, n - -(-percent * n // 100) + 1 + EXTRA * n // 100)
 
-    def __init__(self, percent: int) -> None:
-        self.percent, self.upper = percent, [1]
 
-    def band(self, n: int) -> int:
-        while self.upper[-1] < n:
-            u = self.upper[-1]
-            self.upper.append(max(u + 1, u * 100 // self.percent))
-        return int(np.searchsorted(self.upper, n))
-
-    def segments(self, band: int) -> int:
-        while len(self.upper) <= band:
-            self.band(self.upper[-1] + 1)
-        d = 2 * self.upper[band] * (100 - self.percent) // (100 + self.percent)
-        return d + AGREE if d else 1
-
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        own, out = self.band(len(s)), []
-        h, high = mix(s ^ np.uint64(0x5BF03635)), s >> np.uint64(32)
-        for band in (own, own + 1):
-            k = self.segments(band)
-            seg = (high * np.uint64(k)) >> np.uint64(32)
-            first = np.concatenate([[0], np.flatnonzero(seg[1:] != seg[:-1]) + 1])
-            with np.errstate(over="ignore"):
-                out.append(mix(np.add.reduceat(h, first) + (seg[first] + np.uint64(1)) * _M + np.uint64(band)))
-            if k > 1 and k - len(first) >= AGREE:
-                out.append(mix(np.array([band], np.uint64) + np.uint64(1 << 40)))
-        return np.concatenate(out).view(np.int64)
+def common_posted(n: int, percent: int) -> int:
+    """Posted shingles that a set of n shares at least with any set it links to, which has ceil(t n) shingles or more."""
+    return 1 + EXTRA * -(-percent * n // 100) // 100
 
 
 def needed(a, b, percent: int):
@@ -179,16 +158,15 @@ def groups(sets: list[np.ndarray], percent: int, known: np.ndarray | None = None
             root[np.isin(root, met)] = met[0]
 
 
-def _profile(id_type: str, k: int, percent: int):
+def _profile(k: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bands = Bands(percent)
         for batch in batches:
             texts = ["" if t is None else t for t in batch.text]
             for a, b in chunks(texts):
                 sets = shingle_sets(texts[a:b], k)
                 yield pd.DataFrame({
                     "id": batch.id.iloc[a:b].to_numpy(), "n": [len(s) for s in sets], "node": [set_class(s) for s in sets],
-                    "sigs": [bands.signatures(s) if len(s) else np.zeros(0, np.int64) for s in sets],
+                    "posted": [s[: posted_count(len(s), percent)].view(np.int64) for s in sets],
                 })
 
     return run
@@ -239,16 +217,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text and are returned each; a null id is no candidate for a component_id, and a group of null ids has a
     null one. component_rows is the number of rows of the group. An empty table gives no rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = shared.cut(rows.mapInPandas(_profile("long", k, percent), "id long, n long, node long, sigs array<long>"))
+    base = shared.cut(rows.mapInPandas(_profile(k, percent), "id long, n long, node long, posted array<long>"))
     some = base.filter("n > 0")
-    posted = some.select("node", F.explode("sigs").alias("sig"))
-    shares = posted.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre <> last").select("sig", "centre")
-    shares = shared.cut(shares)
-    pairs = shared.cut(shared.sieve(posted, shares, "sig").join(shares, "sig").filter("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared")))
-
-    nodes = pairs.select("node").union(pairs.select("centre")).distinct()
-    chosen = some.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n")).join(nodes, "node", "left_semi")
-    chosen = shared.cut(chosen)
+    postings = some.select("node", F.explode("posted").alias("sig"))
+    shares = postings.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("rows"))
+    shares = shared.cut(shares.filter("centre <> last").select("sig", "centre", F.when(F.col("rows") > FREQUENT, 1).otherwise(0).alias("frequent")))
+    # a class of several rows counts once for each: counts are at least the true ones, so nothing is lost
+    met = shared.sieve(postings, shares, "sig").join(shares, "sig")
+    met = shared.cut(met.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared"), F.sum("frequent").alias("frequent")))
+    sized = some.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"))
+    least = f"1 + {EXTRA} * (({percent} * n + 99) div 100) div 100"
+    totals = met.groupBy("node").agg(F.sum("shared").alias("all_shared"), F.sum("frequent").alias("all_frequent"))
+    totals = sized.join(totals, "node").withColumn("least", F.expr(least)).filter("all_shared >= least")
+    chosen = shared.cut(totals.select("node", "id", "n", (F.col("all_frequent") >= F.col("least")).alias("keeps")))
+    pairs = met.filter("node <> centre").join(chosen.select("node", "keeps"), "node").filter("shared > frequent OR keeps").select("node", "centre", "shared")
+    pairs = shared.cut(pairs)
+
     texts = shared.sieve(rows.filter("text is not null and id is not null"), chosen, "id").join(chosen.select("id", "node"), "id")
     sets = shared.cut(texts.select("node", "text").mapInPandas(_sets(k), "node long, shingles binary"))
     sizes = chosen.select("node", "n")
@@ -259,6 +243,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         parts = sized.groupBy("centre").agg((F.floor(F.sum("n") / task_shingles) + 1).alias("parts"))
         own = sized.join(parts, "centre").select("centre", "parts", F.pmod(F.xxhash64("node", F.lit(3)), "parts").alias("part"), "node")
         heads = parts.select("centre", "parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("centre").alias("node"))
+        # a centre that has no links itself only brings the others together
+        heads = heads.join(sizes.select("node"), "node", "left_semi").select("centre", "parts", "part", "node")
         return labelled(own.union(heads), labels)
 
     def labelled(m: DataFrame, labels: DataFrame | None) -> DataFrame:
