@@ -220,19 +220,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = shared.cut(rows.mapInPandas(_profile(k, percent), "id long, n long, node long, posted array<long>"))
     some = base.filter("n > 0")
     postings = some.select("node", F.explode("posted").alias("sig"))
-    shares = postings.groupBy("sig").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count(F.lit(1)).alias("rows"))
-    shares = shared.cut(shares.filter("centre <> last").select("sig", "centre", F.when(F.col("rows") > FREQUENT, 1).otherwise(0).alias("frequent")))
-    # a class of several rows counts once for each: counts are at least the true ones, so nothing is lost
-    met = shared.sieve(postings, shares, "sig").join(shares, "sig")
-    met = shared.cut(met.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared"), F.sum("frequent").alias("frequent")))
     sized = some.groupBy("node").agg(F.min("id").alias("id"), F.min("n").alias("n"))
     least = f"1 + {EXTRA} * (({percent} * n + 99) div 100) div 100"
-    totals = met.groupBy("node").agg(F.sum("shared").alias("all_shared"), F.sum("frequent").alias("all_frequent"))
-    totals = sized.join(totals, "node").withColumn("least", F.expr(least)).filter("all_shared >= least")
-    chosen = shared.cut(totals.select("node", "id", "n", (F.col("all_frequent") >= F.col("least")).alias("keeps")))
-    pairs = met.filter("node <> centre").join(chosen.select("node", "keeps"), "node").filter("shared > frequent OR keeps").select("node", "centre", "shared")
-    pairs = shared.cut(pairs)
 
+    def meet(posts: DataFrame, label: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Shared shingles, the classes that may link to one of another label, and pairs (node, centre, shared) of them.
+
+        A link between two labels shares only shingles that both labels post, so only those count. Repeats of a
+        posting count again: counts are at least the true ones, so nothing is lost."""
+        shares = posts.groupBy("sig").agg(F.min("node").alias("centre"), F.min(label).alias("lo"), F.max(label).alias("hi"), F.count(F.lit(1)).alias("rows"))
+        shares = shared.cut(shares.filter("lo <> hi").select("sig", "centre", F.when(F.col("rows") > FREQUENT, 1).otherwise(0).alias("frequent")))
+        met = shared.sieve(posts.select("node", "sig"), shares, "sig").join(shares, "sig")
+        met = shared.cut(met.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared"), F.sum("frequent").alias("frequent")))
+        totals = met.groupBy("node").agg(F.sum("shared").alias("all_shared"), F.sum("frequent").alias("all_frequent"))
+        totals = sized.join(totals, "node").withColumn("least", F.expr(least)).filter("all_shared >= least")
+        able = shared.cut(totals.select("node", "id", "n", (F.col("all_frequent") >= F.col("least")).alias("keeps")))
+        pairs = met.filter("node <> centre").join(able.select("node", "keeps"), "node").filter("shared > frequent OR keeps")
+        return shares, able, shared.cut(pairs.select("node", "centre", "shared"))
+
+    shares, chosen, pairs = meet(postings, "node")
     texts = shared.sieve(rows.filter("text is not null and id is not null"), chosen, "id").join(chosen.select("id", "node"), "id")
     sets = shared.cut(texts.select("node", "text").mapInPandas(_sets(k), "node long, shingles binary"))
     sizes = chosen.select("node", "n")
@@ -262,7 +268,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         mixed = m.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("centre")
         return m.join(mixed, "centre", "left_semi")
 
-    # every centre whose nodes aren't yet one group, with all its nodes
+    # what may still link across those groups, with all centres that it needs
+    posts = shared.sieve(postings, shares, "sig").join(chosen.select("node"), "node", "left_semi")
+    _, _, pairs = meet(labelled(posts, labels), "label")
     rest = shared.cut(unlike(members(pairs.select("node", "centre"), labels)))
     if not rest.isEmpty():
         edges = shared.cut(edges.union(_search(rest.select("centre", "part", "node", "label"), sets, percent)))
