@@ -7,9 +7,10 @@ Texts with equal sets are one class. Classes that can link must meet in a task:
 their hashes, a linked pair has its R least common shingles among the first n - ceil(t n) + R shingles of
 each set of n. So each class posts that many of its shingles; a class with fewer posted shingles in common
 with other classes than R has no links at all, and the others that share a posted shingle are put together
-with the least class that has it, their centre. Frequent shingles (of passages that many documents share)
-would bring unlike documents together: a class that has fewer of them than R leaves them out, since it shares
-others with whatever it links to, and a class that has R or more keeps them. That is exact for any data.
+with the least class that has it, their centre. A class needs not go wherever one of its shingles leads: if
+both classes of a pair leave out fewer than half of R of theirs, one that both keep remains. So each leaves
+out frequent shingles (of passages that many documents share) and then the centres that it shares least
+with, as far as that allowance goes. That is exact for any data.
 
 In a task, the sets are inverted, and T-occurrence searches by DivideSkip find the links: a query's shingles
 are lists; the shorter ones are merged and counted, which leaves candidates short of the needed overlap by at
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codonlake.llm import shared
@@ -36,7 +38,7 @@ from codonlake.llm.textarrays import Hasher, chunks, mix
 
 #: Shingles of a task, about; posted shingles from the percentage of a set's size, beyond what a link may lack;
 #: documents with a posted shingle from which on it counts as frequent.
-TASK_SHINGLES, EXTRA, FREQUENT = 1_500_000, 5, 64
+TASK_SHINGLES, EXTRA, FREQUENT = 1_500_000, 10, 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _M = np.uint64(0xD6E8FEB86659FD93)
@@ -231,12 +233,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         shares = posts.groupBy("sig").agg(F.min("node").alias("centre"), F.min(label).alias("lo"), F.max(label).alias("hi"), F.count(F.lit(1)).alias("rows"))
         shares = shared.cut(shares.filter("lo <> hi").select("sig", "centre", F.when(F.col("rows") > FREQUENT, 1).otherwise(0).alias("frequent")))
         met = shared.sieve(posts.select("node", "sig"), shares, "sig").join(shares, "sig")
-        met = shared.cut(met.groupBy("node", "centre").agg(F.count(F.lit(1)).alias("shared"), F.sum("frequent").alias("frequent")))
-        totals = met.groupBy("node").agg(F.sum("shared").alias("all_shared"), F.sum("frequent").alias("all_frequent"))
-        totals = sized.join(totals, "node").withColumn("least", F.expr(least)).filter("all_shared >= least")
-        able = shared.cut(totals.select("node", "id", "n", (F.col("all_frequent") >= F.col("least")).alias("keeps")))
-        pairs = met.filter("node <> centre").join(able.select("node", "keeps"), "node").filter("shared > frequent OR keeps")
-        return shares, able, shared.cut(pairs.select("node", "centre", "shared"))
+        met = shared.cut(met.groupBy("node", "centre", "frequent").agg(F.count(F.lit(1)).alias("shared")))
+        totals = sized.join(met.groupBy("node").agg(F.sum("shared").alias("all_shared")), "node").withColumn("least", F.expr(least))
+        able = shared.cut(totals.filter("all_shared >= least").select("node", "id", "n", "least"))
+        # a class has at most one row for each of its posted shingles
+        w = W.partitionBy("node").orderBy(F.desc("frequent"), "shared", "centre").rowsBetween(W.unboundedPreceding, 0)
+        pairs = met.filter("node <> centre").join(able.select("node", "least"), "node").withColumn("left_out", F.sum("shared").over(w))
+        pairs = pairs.filter("left_out > (least - 1) div 2").groupBy("node", "centre").agg(F.sum("shared").alias("shared"))
+        return shares, able, shared.cut(pairs)
 
     shares, chosen, pairs = meet(postings, "node")
     texts = shared.sieve(rows.filter("text is not null and id is not null"), chosen, "id").join(chosen.select("id", "node"), "id")
