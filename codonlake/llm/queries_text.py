@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonlake.llm import language, pieces, toxicity
+from codonlake.llm import html_text, language, pieces, toxicity
 from codonlake.llm.shared import table
 
 
@@ -16,9 +16,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op8_sentencepiece": op8_sentencepiece}
+QUERIES = {"op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op7_html_text": op7_html_text, "op8_sentencepiece": op8_sentencepiece}
 ORACLES: dict[str, str] = {}
