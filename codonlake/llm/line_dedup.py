@@ -123,15 +123,16 @@ def with_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     no earlier or later than each other. Lines equal but for white space at their ends are equal. An empty
     table gives no rows."""
     gone = shared.cut(deletions(docs, id_col, text_col))
-    lines = F.split(F.col(text_col), "\n")
-    ready = docs.withColumns({"_key": F.col(id_col).cast("long"), "_tag": F.xxhash64(F.col(text_col))})
-    out = ready.join(gone.select(F.col("key").alias("_key"), F.col("tag").alias("_tag"), "gone"), ["_key", "_tag"], "left")
-    out = out.withColumn("_lines", F.coalesce(F.size(lines), F.lit(0))).withColumn("_gone", F.coalesce(F.size("gone"), F.lit(0)))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # its names clash with nothing
+    ready = docs.select(whole, F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("key"), F.xxhash64(F.col(text_col)).alias("tag"))
+    out = ready.join(gone, ["key", "tag"], "left")
+    lines, lost = F.split("_text", "\n"), F.coalesce(F.size("gone"), F.lit(0))
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    text = F.when(F.col("_gone") > 0, rest).otherwise(F.col(text_col))
-    return out.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], F.when(F.col(text_col).isNull(), 0).otherwise(F.col("_lines")).alias("_lines"), "_gone")
+    text = F.when(lost > 0, rest).otherwise(F.col("_text"))
+    count = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns], count.alias("_lines"), lost.alias("_gone"))
 
 
 def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents' columns with the text that is left."""
-    return with_deletions(docs, id_col, text_col).select(*docs.columns)
+    return with_deletions(docs, id_col, text_col).select(*[F.col(f"`{c}`") for c in docs.columns])

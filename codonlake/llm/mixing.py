@@ -98,11 +98,12 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     table = spark.createDataFrame(rows, "_s string, lo long, hi long, share long, i long, start long, size long, slot long, release long, due long")
     buckets = spark.createDataFrame([(s, max(1, -(-n // BUCKET))) for s, n in counts.items()], "_s string, _nb long")
     # both tables have rows by source and slot of a period only, whatever the corpus's size
-    dealt = docs.withColumn("_s", name).withColumn("_h", mix).join(F.broadcast(buckets), "_s").withColumn("_b", F.pmod(F.col("_h"), F.col("_nb")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # its names clash with nothing
+    dealt = docs.select(whole, F.col(id_col).alias("_id"), name.alias("_s"), mix.alias("_h")).join(F.broadcast(buckets), "_s").withColumn("_b", F.pmod(F.col("_h"), F.col("_nb")))
     starts = dealt.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     starts = starts.select("_s", "_b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_from"))
-    inner = W.partitionBy("_s", "_b").orderBy("_h", F.col(id_col))
+    inner = W.partitionBy("_s", "_b").orderBy("_h", "_id")
     ids = dealt.withColumn("_rn", F.row_number().over(inner) - 1)
     numbered = ids.join(starts, ["_s", "_b"]).withColumn("_at", F.col("_from") + F.col("_rn"))
     numbered = numbered.withColumn("_block", F.expr(f"_at div {block_docs}"))
@@ -112,7 +113,7 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     cells = F.broadcast(table.select("_s", "start", F.col("i").alias("_i"), "slot", "release", "due"))
     out = placed.join(cells, ["_s", "start", "_i"])
     return out.select(
-        *docs.columns, "_block", (F.col("_base") + F.col("slot")).alias("_slot"), (F.col("_base") + F.col("release")).alias("_release"), (F.col("_base") + F.col("due")).alias("_deadline"),
+        "_row.*", "_block", (F.col("_base") + F.col("slot")).alias("_slot"), (F.col("_base") + F.col("release")).alias("_release"), (F.col("_base") + F.col("due")).alias("_deadline"),
         ((F.col("_base") + F.col("slot")) * block_docs + F.col("_at") % block_docs).alias("_position"),
     )
 
