@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codonlake.plans import counting
+from codonlake.plans import counting, inference
 
-MODULES = (counting,)
+MODULES = (counting, inference)
 
 
 def queries() -> dict:
