@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codonlake.plans import counting, inference
+from codonlake.plans import annotation, counting, inference
 
-MODULES = (counting, inference)
+MODULES = (annotation, counting, inference)
 
 
 def queries() -> dict:
