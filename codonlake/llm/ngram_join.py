@@ -38,7 +38,7 @@ from codonlake.llm.textarrays import Hasher, chunks, mix
 
 #: Shingles of a task, about; posted shingles from the percentage of a set's size, beyond what a link may lack;
 #: documents with a posted shingle from which on it counts as frequent.
-TASK_SHINGLES, EXTRA, FREQUENT = 1_500_000, 10, 64
+TASK_SHINGLES, EXTRA, FREQUENT = 1_000_000, 10, 64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _M = np.uint64(0xD6E8FEB86659FD93)

@@ -29,7 +29,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 #: Words above this length are merged one by one with a heap; distinct words that a worker remembers.
-LONG, REMEMBER = 200, 300_000
+LONG, REMEMBER = 200, 120_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -220,7 +220,7 @@ class Model:
             if size > LONG and self.type == BPE:
                 self.known.update((w, self._one(w)) for w in group)
                 continue
-            room = max(1, 2_000_000 // (size * min(size, self.longest)))
+            room = max(1, 1_000_000 // (size * min(size, self.longest)))
             for at in range(0, len(group), room):
                 some = group[at : at + room]
                 codes = np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(some), size)

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Characters that are worked on at once, unless one text alone has more.
-CHUNK_CHARS = 1_000_000
+CHUNK_CHARS = 400_000
 _ODD = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
 
