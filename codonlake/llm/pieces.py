@@ -29,7 +29,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 #: Words above this length are merged one by one with a heap; distinct words that a worker remembers.
-LONG, REMEMBER = 200, 120_000
+LONG, REMEMBER = 200, 300_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -109,7 +109,7 @@ class Model:
         self.words = re.compile(f"{SPACE}*(?:(?!{SPACE})(?!{alone}).)+|{SPACE}+|(?s:.)")
         # what each id stands for, as bytes
         self.out = [b"" if kinds[i] in (CONTROL,) else bytes([int(p[3:5], 16)]) if kinds[i] == BYTE else " ⁇ ".encode() if kinds[i] == UNKNOWN else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}  # ids of words, 4 bytes each
 
     @staticmethod
     def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +218,7 @@ class Model:
             by_size.setdefault(len(w), []).append(w)
         for size, group in by_size.items():
             if size > LONG and self.type == BPE:
-                self.known.update((w, self._one(w)) for w in group)
+                self.known.update((w, self._one(w).tobytes()) for w in group)
                 continue
             room = max(1, 1_000_000 // (size * min(size, self.longest)))
             for at in range(0, len(group), room):
@@ -231,11 +231,12 @@ class Model:
                 cuts = np.concatenate([[0], np.cumsum(np.bincount(w, minlength=len(some)))])
                 plain = np.ones(len(some), bool)
                 plain[w[ids < 0]] = False
-                for k, word in enumerate(some):
-                    own = ids[cuts[k] : cuts[k + 1]]
-                    if not plain[k]:
-                        own = np.array([y for x, p in zip(own.tolist(), i[cuts[k] : cuts[k + 1]].tolist(), strict=True) for y in ([x] if x >= 0 else self._id(word[p]))], np.int32)
-                    self.known[word] = own
+                raw, at4 = ids.tobytes(), (4 * cuts).tolist()
+                self.known.update(zip(some, map(raw.__getitem__, map(slice, at4[:-1], at4[1:])), strict=True))
+                for k in np.flatnonzero(~plain).tolist():
+                    own = slice(cuts[k], cuts[k + 1])
+                    mended = [y for x, p in zip(ids[own].tolist(), i[own].tolist(), strict=True) for y in ([x] if x >= 0 else self._id(some[k][p]))]
+                    self.known[some[k]] = np.array(mended, np.int32).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; none for an empty one."""
@@ -246,8 +247,8 @@ class Model:
         codes, distinct = pd.factorize(np.array(flat, dtype=object)) if flat else (np.zeros(0, np.int64), [])
         self._learn([w for w in distinct if w not in self.known])
         found = [self.known[w] for w in distinct]
-        sizes = np.array([len(x) for x in found], np.int64)
-        store = np.concatenate(found) if found else np.zeros(0, np.int32)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        store = np.frombuffer(b"".join(found), np.int32)
         begin = np.cumsum(sizes) - sizes
         n = sizes[codes] if len(codes) else np.zeros(0, np.int64)
         upto = np.concatenate([[0], np.cumsum(n)])
