@@ -286,7 +286,7 @@ def tokenised(docs: DataFrame, text_col: str = "text", model_path: str | None =
         model = Model(held.value)
         for batch in batches:
             texts = ["" if t is None else t for t in batch[text_col]]
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, 1_000_000):
                 ids = model.encode(texts[a:b])
                 same = [model.decode(x) == t for x, t in zip(ids, texts[a:b], strict=True)]
                 yield batch.iloc[a:b][names].assign(token_ids=ids, n_tokens=[len(x) for x in ids], round_trip=same)
