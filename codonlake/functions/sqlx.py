@@ -19,3 +19,8 @@ def finite(x: Column) -> Column:
     """The value as double, or null where it is no finite number."""
     d = x.try_cast("double")
     return F.when(~F.isnan(d) & (F.abs(d) != float("inf")), d)
+
+
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation of two columns over a group; null where one of them doesn't vary."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))

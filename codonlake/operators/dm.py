@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from codonlake.functions.sqlx import pearson
+
 #: Half of the 95 % quantile of chi-square with one degree of freedom.
 CUTOFF = 3.841458820694124 / 2
 STEPS = 60
@@ -26,11 +28,13 @@ def rising(c: Column, a: Column | float) -> Column:
     return F.when(c > 0, F.aggregate(F.sequence(F.lit(0).cast("long"), c - 1), F.lit(0.0), lambda s, k: s + F.log(a + k))).otherwise(F.lit(0.0))
 
 
-def loglik(codons: DataFrame, pi: tuple[float, float, float], a0: float, key: str = "orf") -> DataFrame:
-    """key, loglik: the sum over codons (c0, c1, c2), without multinomial coefficients."""
+def loglik(codons: DataFrame, pi: tuple[float, float, float], a0: float, key: str = "orf", multinomial: bool = False) -> DataFrame:
+    """key, loglik: the sum over codons (c0, c1, c2), with multinomial coefficients on request."""
     total = sum(pi)
     c = [F.col(f"c{f}") for f in range(3)]
     term = sum((rising(c[f], a0 * max(pi[f], 1e-12) / total) for f in range(3)), F.lit(0.0)) - rising(c[0] + c[1] + c[2], a0)
+    if multinomial:
+        term = term + rising(c[0] + c[1] + c[2], 1.0) - rising(c[0], 1.0) - rising(c[1], 1.0) - rising(c[2], 1.0)
     return codons.groupBy(key).agg(F.sum(term).alias("loglik"))
 
 
@@ -122,5 +126,5 @@ def lag1(values: DataFrame, key: str = "orf") -> DataFrame:
 
     w = Window.partitionBy(key).orderBy("codon")
     x = values.withColumn("next", F.when(F.lead("codon").over(w) == F.col("codon") + 1, F.lead("value").over(w))).filter("next is not null")
-    out = x.groupBy(key).agg(F.count(F.lit(1)).alias("n_pairs"), F.corr("value", "next").alias("r"), F.stddev_pop("value").alias("sa"), F.stddev_pop("next").alias("sb"))
+    out = x.groupBy(key).agg(F.count(F.lit(1)).alias("n_pairs"), pearson(F.col("value"), F.col("next")).alias("r"), F.stddev_pop("value").alias("sa"), F.stddev_pop("next").alias("sb"))
     return out.select(key, "n_pairs", F.when((F.col("n_pairs") >= 3) & (F.col("sa") > 1e-12) & (F.col("sb") > 1e-12), F.col("r")).alias("lag1"))

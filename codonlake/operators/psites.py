@@ -42,7 +42,7 @@ def cigar_ops(cigar: Column) -> Column:
 def five_prime_aligned(ops: Column, reverse: Column) -> Column:
     """Whether the first operation at the 5' end, apart from H, D and N, aligns a base."""
     seen = F.filter(ops, lambda o: ~o["op"].isin("H", "D", "N"))
-    return F.coalesce(F.when(reverse, F.element_at(seen, -1)).otherwise(F.element_at(seen, 1))["op"].isin("M", "=", "X"), F.lit(False))
+    return F.coalesce(F.when(reverse, F.try_element_at(seen, F.lit(-1))).otherwise(F.try_element_at(seen, F.lit(1)))["op"].isin("M", "=", "X"), F.lit(False))
 
 
 def five_prime_query(ops: Column, reverse: Column) -> Column:
@@ -50,14 +50,14 @@ def five_prime_query(ops: Column, reverse: Column) -> Column:
     clip = lambda o: F.when(o["op"] == "S", o["n"]).otherwise(0)
     inner = F.filter(ops, lambda o: o["op"] != "H")
     length = F.aggregate(ops, F.lit(0), lambda s, o: s + F.when(o["op"].isin("M", "I", "S", "=", "X"), o["n"]).otherwise(0))
-    return F.when(reverse, length - 1 - clip(F.element_at(inner, -1))).otherwise(clip(F.element_at(inner, 1)))
+    return F.when(reverse, length - 1 - clip(F.try_element_at(inner, F.lit(-1)))).otherwise(clip(F.try_element_at(inner, F.lit(1))))
 
 
 def five_prime_match(md: Column, reverse: Column) -> Column:
     """Whether the base at the 5' end matches, from the MD text: its first token from that end that isn't a deletion or 0."""
     tokens = F.regexp_extract_all(md, F.lit(r"([0-9]+|\^[A-Z]+|[A-Z])"), F.lit(1))
     seen = F.filter(tokens, lambda t: ~t.startswith("^") & (t != "0"))
-    return F.when(reverse, F.element_at(seen, -1)).otherwise(F.element_at(seen, 1)).rlike("^[0-9]")
+    return F.when(reverse, F.try_element_at(seen, F.lit(-1))).otherwise(F.try_element_at(seen, F.lit(1))).rlike("^[0-9]")
 
 
 def reference_position(ops: Column, pos0: Column, query: Column) -> Column:

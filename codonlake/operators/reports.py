@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codonlake.functions.sqlx import pearson
+
 
 def abundance(reads: Column, nt: Column, library: Column) -> Column:
     """Reads per kilobase and million."""
@@ -88,7 +90,7 @@ def pairwise(values: DataFrame) -> DataFrame:
     both = both.withColumn("ra", mean_rank("a")).withColumn("rb", mean_rank("b"))
     enough = F.count(F.lit(1)) >= 2
     return both.groupBy("rep_a", "rep_b").agg(
-        F.count(F.lit(1)).alias("n"), F.when(enough, F.corr("a", "b")).alias("pearson"), F.when(enough, F.corr("ra", "rb")).alias("spearman"), F.median(F.abs(F.col("a") - F.col("b"))).alias("median_diff")
+        F.count(F.lit(1)).alias("n"), F.when(enough, pearson(F.col("a"), F.col("b"))).alias("pearson"), F.when(enough, pearson(F.col("ra"), F.col("rb"))).alias("spearman"), F.median(F.abs(F.col("a") - F.col("b"))).alias("median_diff")
     )
 
 
