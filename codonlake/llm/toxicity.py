@@ -24,7 +24,7 @@ from codonlake.llm.textarrays import Hasher, Words, chunks, mix
 #: Documents that the classifier is fitted on, at most: toxic ones and others.
 FIT_TOXIC, FIT_OTHER = 1500, 3000
 #: Runs of words that the field is trained on, at most: around toxic words and at random; words of a run.
-FIT_RUNS, LENGTH = (6000, 9000), 16
+FIT_RUNS, LENGTH = (6000, 14000), 16
 #: Beginnings of words that can be evidence; documents and ratio of rates that they need.
 STEMS, LEAST_DOCS, LEAST_RATIO = (4, 5, 6, 7, 8), 12, 12.0
 
@@ -117,7 +117,7 @@ def fit(sample: list[tuple[int, str]], odds: float | None = None, seed: int = 5)
     del parts, gold
     if not texts:
         return None
-    model = crf.train(Words(texts), np.concatenate(labels).astype(np.int64), LENGTH, 2, prefixes=(3, 4, 5, 6), suffixes=(3, 4), trigrams=True, epochs=2)
+    model = crf.train(Words(texts), np.concatenate(labels).astype(np.int64), LENGTH, 2, prefixes=(3, 4, 5, 6), suffixes=(3, 4), trigrams=True, epochs=3)
     x = np.concatenate([_summary(w := Words([t for _, t in sample[a:b]]), model.marginals(w), b - a) for a, b in chunks([t for _, t in sample], 300_000)])
     weights = _logistic(x, toxic.astype(float))
     weights[0] += np.log((odds or toxic.sum() / (~toxic).sum()) * (~toxic).sum() / toxic.sum())
