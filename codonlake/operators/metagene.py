@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -51,3 +54,53 @@ def cds_metrics(codons: DataFrame) -> DataFrame:
     return codons.groupBy("orf", "n_codons").agg(
         F.sum(n).alias("reads"), (F.sum("c0") / F.sum(n)).alias("pif"), F.sum(F.when(F.col("c0") * 3 > n, 1).otherwise(0)).alias("periodic")
     ).select("orf", "reads", "pif", (F.col("periodic") / F.col("n_codons")).alias("uniformity"))
+
+
+def trimmed_template(codons: DataFrame, share: float, least_reads: int = 3) -> DataFrame:
+    """pi0, pi1, pi2: means of the codons' phase shares without floor(share * n) codons at each end, scaled to the sum 1.
+
+    Codons are counted by pattern first, so the window over a phase's values sees the distinct patterns only,
+    which the depth of codons bounds. Ties share no order, so the trimmed ranks need none."""
+    share = min(max(share, 0.0), 0.49)
+    n = F.col("c0") + F.col("c1") + F.col("c2")
+    seen = codons.filter(n >= least_reads).groupBy("c0", "c1", "c2").agg(F.count(F.lit(1)).alias("k"))
+    long = seen.select("k", F.inline(F.array(*[F.struct(F.lit(f).alias("f"), (F.col(f"c{f}") / n).alias("x")) for f in range(3)]))).groupBy("f", "x").agg(F.sum("k").alias("k"))
+    w = W.partitionBy("f")
+    upto, total = F.sum("k").over(w.orderBy("x")), F.sum("k").over(w)
+    long = long.select("f", "x", "k", upto.alias("upto"), total.alias("total")).withColumn("cut", F.floor(F.col("total") * F.lit(share)))
+    left = F.greatest(F.lit(0).cast("long"), F.least("upto", F.col("total") - F.col("cut")) - F.greatest(F.col("upto") - F.col("k"), F.col("cut")))
+    mean = long.groupBy("f").agg((F.sum(F.col("x") * left) / F.sum(left)).alias("m"))
+    one = mean.agg(*[F.max(F.when(F.col("f") == f, F.col("m"))).alias(f"m{f}") for f in range(3)])
+    return one.select(*[(F.col(f"m{f}") / (F.col("m0") + F.col("m1") + F.col("m2"))).alias(f"pi{f}") for f in range(3)])
+
+
+def fit_a0(codons: DataFrame, pi: tuple[float, float, float], least_reads: int = 3, low: float = 0.02, high: float = 1e5, points: int = 96) -> DataFrame:
+    """a0, at_edge, n_codons: the concentration of largest likelihood between low and high; 20 without codons.
+
+    The likelihood needs the numbers of codons with more than k reads, by phase and in all: as many as the
+    deepest codon's reads. A grid on the logarithm finds the hill, and the slope is bisected beside its top."""
+    pi = tuple(max(p, 1e-9) / sum(max(q, 1e-9) for q in pi) for p in pi)
+    n = F.col("c0") + F.col("c1") + F.col("c2")
+    x = codons.filter(n >= least_reads)
+    parts = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"c{f}").cast("long").alias("c")) for f in range(3)], F.struct(F.lit(3).alias("f"), n.cast("long").alias("c")))
+    long = x.select(F.inline(parts)).filter("c > 0").groupBy("f", "c").agg(F.count(F.lit(1)).alias("m"))
+    more = long.select("f", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("k")).groupBy("f", "k").agg(F.sum("m").alias("m"))
+    one = more.agg(F.sort_array(F.collect_list(F.struct("f", "k", "m"))).alias("terms"), F.coalesce(F.sum(F.when((F.col("f") == 3) & (F.col("k") == 0), F.col("m"))), F.lit(0).cast("long")).alias("n_codons"))
+    weight = lambda f: F.when(f == 0, pi[0]).when(f == 1, pi[1]).when(f == 2, pi[2]).otherwise(1.0)
+    sign = lambda f: F.when(f == 3, -1.0).otherwise(1.0)
+    value = lambda a: F.aggregate("terms", F.lit(0.0), lambda s, t: s + sign(t["f"]) * t["m"] * F.log(a * weight(t["f"]) + t["k"]))
+    slope = lambda a: F.aggregate("terms", F.lit(0.0), lambda s, t: s + sign(t["f"]) * t["m"] * weight(t["f"]) / (a * weight(t["f"]) + t["k"]))
+    start, step = math.log(low), (math.log(high) - math.log(low)) / points
+    tried = F.transform(F.sequence(F.lit(0), F.lit(points)), lambda i: F.struct(value(F.exp(F.lit(start) + F.lit(step) * i)).alias("v"), i.alias("i")))
+    one = one.withColumn("best", F.array_max(tried)["i"])
+    lo = F.lit(start) + F.lit(step) * F.greatest(F.lit(0), F.col("best") - 1)
+    hi = F.lit(start) + F.lit(step) * F.least(F.lit(points), F.col("best") + 1)
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["lo"] + s["hi"]) / 2
+        up = slope(F.exp(mid)) > 0
+        return F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
+
+    top = F.aggregate(F.sequence(F.lit(1), F.lit(50)), F.struct(lo.alias("lo"), hi.alias("hi")), halve, lambda s: F.exp((s["lo"] + s["hi"]) / 2))
+    some = F.col("n_codons") > 0
+    return one.select(F.when(some, top).otherwise(20.0).alias("a0"), (some & F.col("best").isin(0, points)).alias("at_edge"), "n_codons")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codonlake.functions.lineage import kept
 from codonlake.functions.sqlx import rounded
-from codonlake.operators import dm, fdr, metagene
+from codonlake.operators import dm, fdr, metagene, resample
 from codonlake.plans import counting
 from codonlake.sources.tables import table
 
@@ -121,6 +122,26 @@ def qc_cds_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("orf", F.col("reads").cast("long").alias("reads"), rounded(F.col("pif")).alias("pif"), rounded(F.col("uniformity")).alias("uniformity"))
 
 
+def qc_trimmed_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = metagene.trimmed_template(cand_codons(spark, sf_dir), 0.1)
+    return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
+
+
+def qc_a0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL twin: a maximum found by bisection; a test holds it against a fine grid."""
+    return metagene.fit_a0(cand_codons(spark, sf_dir), HOST)
+
+
+def dm_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final p of all candidates under the formal engine; drawn numbers have no SQL twin, a test holds them against a plain bootstrap."""
+    x = cand_codons(spark, sf_dir)
+    held = x.groupBy("orf").agg(F.sort_array(F.collect_list(F.struct("codon", "c0", "c1", "c2"))).alias("codons"))
+    fixed = lambda v: F.array(*[F.lit(p) for p in v])
+    fit = dm.fit_lambda(x, HOST, TRANS, A0).join(held, "orf")
+    rows = fit.select(F.col("orf").cast("string").alias("key"), "codons", fixed(HOST).alias("host"), fixed(TRANS).alias("trans"), F.lit(A0).alias("a0"), "lambda_hat", "lrt", "p_asym")
+    return resample.final_p(kept(rows), mode="fast")
+
+
 _SHARE_SQL = f"""WITH {CAND_SQL}, s AS (SELECT orf, CAST(sum(c0 + c1 + c2) AS DOUBLE) AS reads, sum(c0) / sum(c0 + c1 + c2) AS o0, sum(c1) / sum(c0 + c1 + c2) AS o1, sum(c2) / sum(c0 + c1 + c2) AS o2 FROM cand GROUP BY orf)"""
 _ADJUST_SQL = """ranked AS (
   SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS r, count(*) OVER (PARTITION BY family) AS m FROM tests),
@@ -129,7 +150,7 @@ low AS (
          sum(1.0 / r) OVER (PARTITION BY family) AS h FROM ranked)"""
 _TEST_SQL = "tests AS (SELECT o_orderkey AS id, o_orderpriority AS family, (o_orderkey * 7919 % 9973 + 1) / 9974.0 AS p FROM orders)"
 
-QUERIES = {f.__name__: f for f in (iv_core_summary, dm_loglik_host, dm_lambda_fit, dm_geometry, dm_expected_reads, dm_residual_breadth, dm_lag1, fdr_bh_by, fdr_classes, qc_template, qc_ternary, qc_start_histogram, qc_cds_metrics)}
+QUERIES = {f.__name__: f for f in (iv_core_summary, dm_loglik_host, dm_lambda_fit, dm_geometry, dm_expected_reads, dm_residual_breadth, dm_lag1, fdr_bh_by, fdr_classes, qc_template, qc_ternary, qc_start_histogram, qc_cds_metrics, qc_trimmed_template, qc_a0, dm_bootstrap)}
 ORACLES = {
     "iv_core_summary": f"""{counting.CODON_SQL},
 size AS (SELECT orf, max(len) // 3 AS n_codons FROM block GROUP BY orf),
@@ -171,4 +192,10 @@ SELECT rel_nt, CAST(coalesce(sum(n), 0) AS BIGINT) AS count FROM grid LEFT JOIN
     "qc_cds_metrics": f"""{counting.CODON_SQL}, size AS (SELECT orf, max(len) // 3 AS n_codons FROM block GROUP BY orf)
 SELECT orf, CAST(sum(c0 + c1 + c2) AS BIGINT) AS reads, round(sum(c0) / sum(c0 + c1 + c2), 6) AS pif, round(count(*) FILTER (c0 * 3 > c0 + c1 + c2) / any_value(n_codons), 6) AS uniformity
 FROM codon JOIN size USING (orf) GROUP BY orf""",
+    "qc_trimmed_template": f"""WITH {CAND_SQL}, v AS (
+  SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) AS r, count(*) OVER (PARTITION BY f) AS n FROM (
+    SELECT unnest([0, 1, 2]) AS f, unnest([c0 / (c0 + c1 + c2), c1 / (c0 + c1 + c2), c2 / (c0 + c1 + c2)]) AS x FROM cand WHERE c0 + c1 + c2 >= 3)),
+m AS (SELECT f, avg(x) AS m FROM v WHERE r > floor(n * 0.1::DOUBLE) AND r <= n - floor(n * 0.1::DOUBLE) GROUP BY f),
+p AS (SELECT f, m / sum(m) OVER () AS p FROM m)
+SELECT round(max(p) FILTER (f = 0), 6) AS pi0, round(max(p) FILTER (f = 1), 6) AS pi1, round(max(p) FILTER (f = 2), 6) AS pi2 FROM p""",
 }
