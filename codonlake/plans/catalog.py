@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codonlake.plans import annotation, counting, inference
+from codonlake.plans import annotation, counting, inference, models
 
-MODULES = (annotation, counting, inference)
+MODULES = (annotation, counting, inference, models)
 
 
 def queries() -> dict:
