@@ -6,6 +6,8 @@ a substring's sum times the inverse power of its start doesn't depend on where i
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,14 @@ def chunks(texts: list[str], limit: int = CHUNK_CHARS) -> Iterator[tuple[int, in
         yield at, len(texts)
 
 
+def release() -> None:
+    """Gives freed memory back to the system after large arrays, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("p", ())) < n:
         size = 1 << max(16, (n - 1).bit_length())

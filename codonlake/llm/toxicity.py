@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from codonlake.llm import crf
 from codonlake.llm.language import held_out
-from codonlake.llm.textarrays import Hasher, Words, chunks, mix
+from codonlake.llm.textarrays import Hasher, Words, chunks, mix, release
 
 #: Documents that the classifier is fitted on, at most: toxic ones and others.
 FIT_TOXIC, FIT_OTHER = 1500, 3000
@@ -115,6 +115,7 @@ def fit(sample: list[tuple[int, str]], odds: float | None = None, seed: int = 5)
             texts.append(" ".join(w.text(j) for j in range(i, i + LENGTH)))
             labels.append(g[i : i + LENGTH])
     del parts, gold
+    release()
     if not texts:
         return None
     model = crf.train(Words(texts), np.concatenate(labels).astype(np.int64), LENGTH, 2, prefixes=(3, 4, 5, 6), suffixes=(3, 4), trigrams=True, epochs=3)
@@ -175,6 +176,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     repeated; an empty table gives no rows."""
     spark = docs.sparkSession
     fitted = fit(*sample(docs.filter(~held_out(id_col, 5, 0)), labels.filter(~held_out(id_col, 5, 0)), id_col, text_col))
+    release()
     held = spark.sparkContext.broadcast(fitted)
     names = docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
