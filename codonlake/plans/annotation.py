@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codonlake.functions.sqlx import rounded
-from codonlake.operators import orfs, psites, reports
+from codonlake.operators import matrices, orfs, psites, reports
 from codonlake.plans import domain
 from codonlake.plans.counting import iv_site_index
 from codonlake.sources.tables import table
@@ -133,6 +133,38 @@ def vz_length_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.length_bins(x, "p_size", F.col("p_partkey") % 3 == 0)
 
 
+def _names(spark: SparkSession, sf_dir: str) -> list[str]:
+    return [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]  # a few replicates
+
+
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calls(spark, sf_dir).select("key", "replicate", F.col("lambda").alias("x"), "primary")
+
+
+def rp_lambda_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide values up to 0.9, with neutral column names."""
+    names = _names(spark, sf_dir)
+    out = matrices.wide(_values(spark, sf_dir), names, 0.0, 0.9)
+    return out.select("key", "support", rounded(F.col("middle")).alias("middle"), *[rounded(F.col(f"`{r}`")).alias(f"r{k}") for k, r in enumerate(names)])
+
+
+def rp_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = _names(spark, sf_dir)
+    out = matrices.states(_calls(spark, sf_dir), [*names, "absent"], names)
+    return out.select("key", *[F.col(f"`{r}`").alias(f"r{k}") for k, r in enumerate([*names, "absent"])])
+
+
+def rp_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = matrices.correlations(_values(spark, sf_dir), _names(spark, sf_dir))
+    return out.select("rep_a", "rep_b", "n", rounded(F.col("pearson")).alias("pearson"))
+
+
+def vz_gate_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    x = table(spark, sf_dir, "orders").select((k % 3 != 0).alias("direction"), (k % 7 != 0).alias("distance"), (k % 5 != 0).alias("breadth"))
+    return matrices.combinations(x, ["direction", "distance", "breadth"])
+
+
 SEQ_SQL = "seqs AS (SELECT doc_id AS tx, translate(regexp_replace(text, '[^ACGTacgt]', '', 'g'), 'acgt', 'ACGT') AS seq FROM documents)"
 SCAN_SQL = f"""WITH {SEQ_SQL},
 places AS (SELECT tx, seq, unnest(range(0, greatest(length(seq) - 2, 0))) AS pos FROM seqs),
@@ -144,7 +176,7 @@ found AS (SELECT tx, frame, t_start, t_end, (t_end - 3 - t_start) // 3 AS aa_len
 CALL_SQL = """calls AS (SELECT user_id AS key, event_type AS replicate, (min(event_id) % 97) / 97.0::DOUBLE AS q, (min(event_id) % 101) / 100.0::DOUBLE AS lam, CASE WHEN count(*) % 3 = 0 THEN 1 ELSE 0 END AS prim
   FROM events GROUP BY event_type, user_id)"""
 
-QUERIES = {f.__name__: f for f in (orf_scan, orf_peptides, gorf_collapse, ann_merged_blocks, ps_offsets, ps_calls, ps_bedgraph, ab_quantify, cx_context, ex_ternary_ratios, in_replicates, rp_pairwise, rp_support, vz_waterfall, vz_length_bins)}
+QUERIES = {f.__name__: f for f in (orf_scan, orf_peptides, gorf_collapse, ann_merged_blocks, ps_offsets, ps_calls, ps_bedgraph, ab_quantify, cx_context, ex_ternary_ratios, in_replicates, rp_pairwise, rp_support, vz_waterfall, vz_length_bins, rp_lambda_matrix, rp_states, rp_correlations, vz_gate_combinations)}
 ORACLES = {
     "orf_scan": f"{SCAN_SQL} SELECT tx, frame, t_start, t_end, aa_len FROM found",
     "orf_peptides": f"""{SCAN_SQL}, x AS (SELECT f.*, seq, substr('NNNNNN' || seq || 'NNNNNNNN', CAST(t_start AS INT) + 1, 14) AS kz FROM found f JOIN seqs USING (tx)),
@@ -208,4 +240,12 @@ m AS (SELECT st.id, st.cds, a.i, b.x IS NOT NULL AND a.x = b.x AS same FROM st J
 l AS (SELECT id, cds, coalesce(min(i) FILTER (NOT same), count(*)) AS nt FROM m GROUP BY id, cds),
 b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY nt DESC, cds) AS rn FROM l)
 SELECT c.id, cds, CAST(coalesce(nt, 0) AS BIGINT) AS nt, CAST(coalesce(nt, 0) // 3 AS BIGINT) AS codons, CASE WHEN cds IS NULL THEN 'none' WHEN nt // 3 < 5 THEN 'short' ELSE 'reuse' END AS class FROM c LEFT JOIN b ON c.id = b.id AND rn = 1""",
+    "rp_lambda_matrix": f"""WITH {CALL_SQL}, reps AS (SELECT replicate, row_number() OVER (ORDER BY replicate) - 1 AS k FROM (SELECT DISTINCT replicate FROM calls)),
+x AS (SELECT key, k, prim, CASE WHEN lam <= 0.9 THEN lam END AS v FROM calls JOIN reps USING (replicate))
+SELECT key, count(*) FILTER (prim = 1) AS support, round(median(v), 6) AS middle, max(v) FILTER (k = 0) AS r0, max(v) FILTER (k = 1) AS r1, max(v) FILTER (k = 2) AS r2, max(v) FILTER (k = 3) AS r3, max(v) FILTER (k = 4) AS r4 FROM x GROUP BY key HAVING count(*) FILTER (prim = 1) > 0 AND count(v) > 0""",
+    "rp_states": f"""WITH {CALL_SQL}, reps AS (SELECT replicate, row_number() OVER (ORDER BY replicate) - 1 AS k FROM (SELECT DISTINCT replicate FROM calls)) SELECT key, coalesce(max(1 + prim) FILTER (k = 0), 0) AS r0, coalesce(max(1 + prim) FILTER (k = 1), 0) AS r1, coalesce(max(1 + prim) FILTER (k = 2), 0) AS r2, coalesce(max(1 + prim) FILTER (k = 3), 0) AS r3, coalesce(max(1 + prim) FILTER (k = 4), 0) AS r4, -1 AS r5 FROM calls JOIN reps USING (replicate) GROUP BY key""",
+    "rp_correlations": f"""WITH {CALL_SQL} SELECT a.replicate AS rep_a, b.replicate AS rep_b, count(*) AS n, round(corr(log2(1 + a.lam), log2(1 + b.lam)), 6) AS pearson
+FROM calls a JOIN calls b ON a.key = b.key AND a.replicate < b.replicate GROUP BY ALL""",
+    "vz_gate_combinations": """WITH x AS (SELECT CAST(o_orderkey % 3 <> 0 AS INT) AS direction, CAST(o_orderkey % 7 <> 0 AS INT) AS distance, CAST(o_orderkey % 5 <> 0 AS INT) AS breadth, count(*) AS n FROM orders GROUP BY 1, 2, 3)
+SELECT *, row_number() OVER (ORDER BY n DESC, direction DESC, distance DESC, breadth DESC) AS rank FROM x""",
 }
