@@ -1,13 +1,18 @@
 """Line dedup by pairwise alignment.
 
-Documents overlap where they share line hashes; a line's first holder is the document with the least id that
-has it. Each document is aligned with the first holders of its shared lines, by patience diff over line
-hashes: lines that are unique in both documents are matched in the longest order-keeping way, and equal
-neighbours join them. Blocks of matched lines are deleted from the later document. A line is evidence for a
-pair if it has at least `EVIDENCE_WORDS` words, and a block is deleted if it has at least `BLOCK_WORDS`, so
-that short lines that documents share by chance lead to nothing and are not deleted alone.
-
-A document has at most as many partners as lines, since each line names one holder; groups of copies are
+Documents overlap where they share hashes of lines or of runs of lines; the first holder of either is the
+document with the least id that has it. Each document is aligned with the first holders of its shared lines
+and runs, by patience diff over line hashes: lines that are unique in both documents are matched in the
+longest order-keeping way, and equal neighbours join them. Blocks of matched lines are deleted from the later
+document. A line is evidence for a pair if it has at least `EVIDENCE_WORDS` words, and a block is deleted if
+it has at least `BLOCK_WORDS`, so that short lines that documents share by chance lead to nothing and are not
+deleted alone.
+
+Runs are the shortest ones of adjacent lines, blank ones left out, that reach `BLOCK_WORDS`: one from each
+line on, and one up to each line. Every line of a block that is long enough to be deleted is in such a run
+inside the block, so a partner holds it with that run, even where the block's lines each have another holder.
+
+A document has at most three partners a line, since each line and run names one holder; groups of copies are
 aligned with their first document only, so no pairs inside a group are made and no frequent line is left
 out. What is shuffled for finding and aligning pairs is hashes of lines; the pair table is joined with
 line hashes by id, and texts are read once more to be rebuilt.
@@ -25,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codonlake.llm import shared
+from codonlake.llm.textarrays import mix
 
 EVIDENCE_WORDS, BLOCK_WORDS = 5, 10
 
@@ -84,6 +90,37 @@ def common_lines(a: list[int], b: list[int], words: list[int], least: int = BLOC
     return out
 
 
+def evidence_keys(hashes: list[np.ndarray], words: list[np.ndarray], least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(document's number, key) of the lines and runs of lines that are evidence, each once a document."""
+    doc = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+    if not len(doc):
+        return doc, doc
+    h, w = np.concatenate(hashes).astype(np.uint64), np.concatenate(words).astype(np.int64)
+    h, w, doc = h[w > 0], w[w > 0], doc[w > 0]
+    at, total = np.arange(len(doc)), np.concatenate([[0], np.cumsum(w)])
+    end = np.searchsorted(total, total[:-1] + least)  # the run from each line on
+    on = end <= np.searchsorted(doc, doc, "right")
+    start = np.searchsorted(total, total[1:] - least, "right") - 1  # the run up to each line
+    upto = start >= np.searchsorted(doc, doc)
+    alone = w >= EVIDENCE_WORDS
+    first, n = np.concatenate([at[on], start[upto], at[alone]]), np.concatenate([(end - at)[on], (at + 1 - start)[upto], np.ones(alone.sum(), np.int64)])
+    code = np.unique(first * (least + 1) + n)
+    first, n = code // (least + 1), code % (least + 1)
+    key = h[first]
+    with np.errstate(over="ignore"):
+        for k in range(1, least):
+            more = n > k
+            key[more] = mix(key[more] + mix(h[first[more] + k]) + np.uint64(k))
+    found = pd.DataFrame({"doc": doc[first], "key": key.view(np.int64)}).drop_duplicates()
+    return found.doc.to_numpy(), found.key.to_numpy()
+
+
+def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        doc, h = evidence_keys(list(batch.hashes), list(batch.words))
+        yield pd.DataFrame({"key": batch.key.to_numpy()[doc], "h": h})
+
+
 def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         yield pd.DataFrame({
@@ -102,7 +139,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.col(id_col).cast("long").alias("key"), F.xxhash64(text).alias("tag"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(trimmed, count).alias("words")
     )
     lined = shared.cut(lined)
-    evidence = lined.select("key", F.explode(F.array_distinct(F.expr(f"filter(transform(hashes, (h, i) -> if(words[i] >= {EVIDENCE_WORDS}, h, null)), h -> h is not null)"))).alias("h"))
+    evidence = shared.cut(lined.select("key", "hashes", "words").mapInPandas(_evidence, "key long, h long"))
     holders = evidence.groupBy("h").agg(F.min("key").alias("holder"), F.max("key").alias("last")).filter("holder < last").select("h", "holder")
     holders = shared.cut(holders)
     pairs = shared.sieve(evidence, holders, "h").join(holders, "h").filter("key > holder").select("key", "holder").distinct()
@@ -111,7 +148,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     own = shared.sieve(lined, pairs, "key")
     both = pairs.join(held, "holder").join(own, "key").select("key", "tag", "hashes", "words", "held")
     found = both.mapInPandas(_align, "key long, tag long, gone array<int>").filter(F.size("gone") > 0)
-    # a document has one row for each of its partners, of which it has no more than lines
+    # a document has one row for each of its partners, of which it has at most three a line
     return found.groupBy("key", "tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 

@@ -88,3 +88,11 @@ def test_line_dedup(spark):
     want = [(1, rows[0][1], 1), (2, "other start\nmore", 1), (3, "", 1), (3, "", 1), (4, rows[3][1], 1), (5, "short line", 1), (6, None, 1), (7, "", 1), (None, p, 1)]
     assert got == sorted(want, key=str)
     assert line_dedup.deduped(df.limit(0)).count() == 0
+
+
+def test_line_dedup_finds_a_block_whose_lines_have_other_first_holders(spark):
+    a, b, c = "alpha beta gamma delta epsilon", "one two three four five six", "uno due tre"
+    texts = [f"{a}\nfirst own", f"{b}\nsecond own", f"start\n{a}\n{b}\n{c}\nend of third", f"other\n{a}\n{b}\nfourth", f"fifth\n{a}\n{b}\n{c}\nlast"]
+    df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.deduped(df).collect()}
+    assert got == {**dict(enumerate(texts, 1)), 4: "other\nfourth", 5: "fifth\nlast"}
