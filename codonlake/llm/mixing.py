@@ -5,27 +5,34 @@ a source of weight w is released at slot floor(i / w) and due at slot ceil((i +
 the released block with the earliest deadline. The weights sum to 1, so every block meets its deadline and
 each source is less than one block from its ideal share at every slot.
 
-Weights are rational with a common denominator `PERIOD`, so the schedule repeats after PERIOD slots. Only
-one period is worked out, on the driver, from the sources' weights; a block's slot follows from its number
-in closed form. When a source has no blocks left, a new phase begins in which the remaining sources share
-the slots in proportion to their weights. A source's documents are numbered without gathering them: they
-are dealt to buckets by hash, each of about `BUCKET` rows, buckets are counted, running totals of the counts
-give each bucket its start, and rows are numbered inside buckets. So a hot source has many buckets.
+Weights are taken exactly, as integers in proportion to them, so nothing is rounded however long the schedule
+is. A source of weight 0 waits until the others are done. When a source has no blocks left, a new phase
+begins in which the remaining sources share the slots in proportion to their weights. The driver runs through
+the slots once and keeps only the state (blocks done of each source) at the start of every `EPOCH` slots; from
+those the executors work out the slots again, each epoch by itself. A source's documents are numbered without
+gathering them: they are dealt to buckets by hash, each of about `BUCKET` rows, buckets are counted, running
+totals of the counts give each bucket its start, and rows are numbered inside buckets. So a hot source has
+many buckets. A bucket gets the slots of its blocks as one array, so documents are joined by bucket.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import deque
+from collections.abc import Iterator
 from fractions import Fraction
+from itertools import islice
+from math import lcm
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codonlake.llm import shared
 
-#: Slots of a period, documents of a block, rows of a bucket.
-PERIOD, BLOCK_DOCS, BUCKET = 2520, 16, 4000
+#: Slots of a period of whole quotas, documents of a block, rows of a bucket, slots of an epoch.
+PERIOD, BLOCK_DOCS, BUCKET, EPOCH = 2520, 16, 4000, 8192
 
 
 def quota(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -44,37 +51,65 @@ def quota(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def period_slots(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, index, slot, release, deadline) for the blocks of one period, by earliest deadline first."""
-    n = sum(share.values())
-    todo = sorted((i * n // a, -(-(i + 1) * n // a), s, i) for s, a in share.items() for i in range(a))
-    out, ready, at = [], [], 0
-    for slot in range(n):
-        while at < len(todo) and todo[at][0] <= slot:
-            release, due, s, i = todo[at]
-            # equal deadlines: the block whose exact deadline is earlier, then the name
-            heapq.heappush(ready, (due, Fraction((i + 1) * n, share[s]), s, i, release))
-            at += 1
-        due, _, s, i, release = heapq.heappop(ready)
-        out.append((s, i, slot, release, due))
-    return out
+def exact(weights: list[float]) -> list[int]:
+    """Integers in exactly the same proportion; weights under 0 count as 0."""
+    parts = [max(Fraction(w), Fraction(0)) for w in weights]
+    scale = lcm(*[x.denominator for x in parts])
+    return [int(x * scale) for x in parts]
+
+
+class Schedule:
+    """Iterates over (source's number, block, slot, release, deadline), from a state on."""
+
+    def __init__(self, blocks: list[int], weights: list[int], state: tuple | None = None):
+        none = [0] * len(blocks)
+        self.blocks, self.weights = blocks, weights
+        # next slot; first slot of the phase; blocks done before the phase, and in all
+        self.slot, self.start, first, done = state or (0, 0, none, none)
+        self.first, self.done = list(first), list(done)
+
+    def state(self) -> tuple[int, int, list[int], list[int]]:
+        return self.slot, self.start, list(self.first), list(self.done)
+
+    def __iter__(self) -> Iterator[tuple[int, int, int, int, int]]:
+        while left := [k for k, n in enumerate(self.blocks) if self.done[k] < n]:
+            weight = {k: self.weights[k] for k in left if self.weights[k]} or dict.fromkeys(left, 1)
+            total = sum(weight.values())
+            # each source's next block waits for its release or is ready, by deadline
+            waiting = [((self.done[k] - self.first[k]) * total // w, k) for k, w in weight.items()]
+            heapq.heapify(waiting)
+            ready: list[tuple[int, int, int]] = []
+            over = False
+            while not over:
+                while waiting and waiting[0][0] <= self.slot - self.start:
+                    release, k = heapq.heappop(waiting)
+                    heapq.heappush(ready, (-(-(self.done[k] - self.first[k] + 1) * total // weight[k]), k, release))
+                due, k, release = heapq.heappop(ready)
+                out = k, self.done[k], self.slot, self.start + release, self.start + due
+                self.done[k] += 1
+                self.slot += 1
+                if over := self.done[k] == self.blocks[k]:
+                    self.start, self.first = self.slot, list(self.done)
+                else:
+                    heapq.heappush(waiting, ((self.done[k] - self.first[k]) * total // weight[k], k))
+                yield out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """Phases of the schedule: start slot, periods, share and first block of each source.
-
-    In a phase whole periods are run while every source has blocks for one; the source that lacks them then
-    ends in a last period of its own, run with the others' shares, whose empty slots stay free."""
-    left, done, start, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
-    while left := {s: n for s, n in left.items() if n > 0}:
-        share = quota({s: weights[s] for s in left}, period)
-        n = max(1, min(-(-left[s] // a) for s, a in share.items()))
-        out.append({"start": start, "periods": n, "share": share, "first": {s: done[s] for s in share}})
-        start += n * sum(share.values())
-        for s, a in share.items():
-            took = min(left[s], n * a)
-            left[s] -= took
-            done[s] += took
+def period_slots(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """(source, index, slot, release, deadline) for the blocks of one period of whole quotas."""
+    names, n = sorted(share), sum(share.values())
+    return [(names[k], *x) for k, *x in islice(Schedule([n + 1] * len(names), [share[s] for s in names]), n)]
+
+
+def epochs(blocks: list[int], weights: list[int], slots: int) -> list[tuple]:
+    """The states at the start of every `slots` slots."""
+    at, out, n = Schedule(blocks, weights), [], sum(blocks)
+    steps = iter(at)
+    while at.slot < n:
+        out.append(at.state())
+        if at.slot + slots >= n:
+            break
+        deque(islice(steps, slots), maxlen=0)
     return out
 
 
@@ -89,32 +124,35 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
     mix = F.xxhash64(F.col(id_col).cast("string"), F.lit(11))
     counts = {r.s: r.n for r in docs.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
     target = {s: float((weights or {}).get(s[2:], n**alpha)) for s, n in counts.items()}
-    blocks = {s: -(-n // block_docs) for s, n in counts.items()}
-    rows = []
-    for p in phases(blocks, target) if counts else []:
-        size = sum(p["share"].values())
-        for s, i, slot, release, due in period_slots(p["share"]):
-            rows.append((s, p["first"][s], p["first"][s] + p["periods"] * p["share"][s], p["share"][s], i, p["start"], size, slot, release, due))
-    table = spark.createDataFrame(rows, "_s string, lo long, hi long, share long, i long, start long, size long, slot long, release long, due long")
+    names = sorted(counts)
+    every, held = EPOCH, spark.sparkContext.broadcast((names, [-(-counts[s] // block_docs) for s in names], exact([target[s] for s in names])))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, blocks, weights = held.value
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                out = pd.DataFrame(islice(Schedule(blocks, weights, (int(r.slot), int(r.start), r.first.tolist(), r.done.tolist())), every), columns=["s", "_block", "slot", "release", "due"])
+                yield out.assign(_s=[names[k] for k in out.s])[["_s", "_block", "slot", "release", "due"]]
+
+    states = spark.createDataFrame(epochs(*held.value[1:], every), "slot long, start long, first array<long>, done array<long>")
+    table = states.mapInPandas(run, "_s string, _block long, slot long, release long, due long")
     buckets = spark.createDataFrame([(s, max(1, -(-n // BUCKET))) for s, n in counts.items()], "_s string, _nb long")
-    # both tables have rows by source and slot of a period only, whatever the corpus's size
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # its names clash with nothing
     dealt = docs.select(whole, F.col(id_col).alias("_id"), name.alias("_s"), mix.alias("_h")).join(F.broadcast(buckets), "_s").withColumn("_b", F.pmod(F.col("_h"), F.col("_nb")))
     starts = dealt.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("n"))
     w = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    starts = starts.select("_s", "_b", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_from"))
+    starts = starts.select("_s", "_b", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_from"))
+    parts = starts.select("_s", "_b", "_from", F.explode(F.expr(f"sequence(_from div {block_docs}, (_from + n - 1) div {block_docs})")).alias("_block"))
+    cells = F.sort_array(F.collect_list(F.struct("_block", "slot", "release", "due"))).alias("_cells")
+    starts = parts.join(table, ["_s", "_block"]).groupBy("_s", "_b").agg(F.min("_from").alias("_from"), cells)
     inner = W.partitionBy("_s", "_b").orderBy("_h", "_id")
     ids = dealt.withColumn("_rn", F.row_number().over(inner) - 1)
     numbered = ids.join(starts, ["_s", "_b"]).withColumn("_at", F.col("_from") + F.col("_rn"))
     numbered = numbered.withColumn("_block", F.expr(f"_at div {block_docs}"))
-    spans = F.broadcast(spark.createDataFrame(sorted({(r[0], r[1], r[2], r[3], r[5], r[6]) for r in rows}), "_s string, lo long, hi long, share long, start long, size long"))
-    placed = numbered.join(spans, (numbered._s == spans._s) & (F.col("_block") >= F.col("lo")) & (F.col("_block") < F.col("hi")), "inner").drop(spans._s)
-    placed = placed.withColumn("_i", (F.col("_block") - F.col("lo")) % F.col("share")).withColumn("_base", F.col("start") + F.expr("(_block - lo) div share") * F.col("size"))
-    cells = F.broadcast(table.select("_s", "start", F.col("i").alias("_i"), "slot", "release", "due"))
-    out = placed.join(cells, ["_s", "start", "_i"])
+    out = numbered.withColumn("_cell", F.expr(f"_cells[cast(_block - _from div {block_docs} as int)]"))
     return out.select(
-        "_row.*", "_block", (F.col("_base") + F.col("slot")).alias("_slot"), (F.col("_base") + F.col("release")).alias("_release"), (F.col("_base") + F.col("due")).alias("_deadline"),
-        ((F.col("_base") + F.col("slot")) * block_docs + F.col("_at") % block_docs).alias("_position"),
+        "_row.*", "_block", F.col("_cell.slot").alias("_slot"), F.col("_cell.release").alias("_release"), F.col("_cell.due").alias("_deadline"),
+        (F.col("_cell.slot") * block_docs + F.col("_at") % block_docs).alias("_position"),
     )
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from itertools import islice
 
 import numpy as np
 from codonlake.llm import fingerprints, mixing, topk, url_filter
@@ -85,6 +86,28 @@ def test_mixing_keeps_all_rows_and_places(spark):
     assert mixing.schedule(df.limit(0)).count() == 0
 
 
+def test_mixing_takes_exact_weights(spark, monkeypatch):
+    for weights, slots in (([(k + 1) ** 0.5 for k in range(20)], 20000), ([0.0001, 0.9999], 30000), (list(range(1, 2601)), 4000)):
+        share, done, every = [w / sum(weights) for w in weights], [0] * len(weights), max(1, len(weights) // 50)
+        for k, i, slot, release, due in islice(mixing.Schedule([slots + 1] * len(weights), mixing.exact(weights)), slots):
+            assert release <= slot < due and i == done[k]
+            done[k] += 1
+            if slot % every == 0:
+                assert all(abs(n - (slot + 1) * x) < 1 + 1e-6 for n, x in zip(done, share, strict=True))
+    blocks, weights = [40, 7, 300, 5], mixing.exact([2.0, 1.0, 3.5, 0.0])
+    whole = list(mixing.Schedule(blocks, weights))
+    parts = [x for state in mixing.epochs(blocks, weights, 13) for x in islice(mixing.Schedule(blocks, weights, state), 13)]
+    assert parts == whole and len(whole) == 352 and [x[0] for x in whole[-5:]] == [3] * 5
+    monkeypatch.setattr(mixing, "EPOCH", 10)
+    monkeypatch.setattr(mixing, "BUCKET", 50)
+    df = spark.range(1000).select("id", F.when(F.col("id") < 900, "a").otherwise("b").alias("source"))
+    got = mixing.schedule(df, "id", weights={"a": 0.9, "b": 0.1}, block_docs=3).collect()
+    assert len(got) == len({r._position for r in got}) == 1000 and {r._slot for r in got} == set(range(334))
+    rare = spark.range(9000).select("id", F.when(F.col("id") < 8998, "a").otherwise("b").alias("source"))
+    got = mixing.schedule(rare, "id", weights={"a": 9998.0, "b": 2.0}, block_docs=1).filter("source = 'b'").collect()
+    assert min((r._release, r._deadline) for r in got) == (0, 5000)
+
+
 def test_fingerprint_report(spark):
     rng = random.Random(3)
     texts = [" ".join(str(rng.randrange(300)) for _ in range(n)) for n in (0, 1, 4, 9, 200, 400, 31)] + ["é" * 9, None]
