@@ -21,20 +21,19 @@ from codonlake.llm.textarrays import Words, chunks
 
 #: Documents of each language that the classifier is fitted on, at most, and words of a training run.
 FIT_DOCS, FIT_SEQUENCES, LENGTH = 300, 6000, 24
-#: Languages that the classifier knows, at most: the most frequent.
-LANGS = 64
+#: Training runs for each language, where there are so many languages that `FIT_SEQUENCES` give fewer.
+RUNS_EACH = 100
 
 
 def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int) -> list[tuple[str, str]]:
     """(lang, text) of at most `docs` documents of each language, by a hash of the id."""
     known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    langs = [r[0] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(LANGS).collect()]
     w = W.partitionBy("lang").orderBy("h", "id")
-    ids = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h")).filter(F.col("lang").isin(langs))
+    ids = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h"))
     ids = ids.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= docs).select(F.col("id").alias("_id"))
-    # at most LANGS * docs ids
+    # at most `docs` ids for each language
     rows = known.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("_id")).select(lang_col, text_col, "_id").collect()
-    rows = sorted((r[2], r[0], r[1]) for r in rows if r[0] in langs)
+    rows = sorted((r[2], r[0], r[1]) for r in rows if r[0] is not None)
     kept: dict[str, int] = {}
     out = []
     for _, lang, text in rows:  # repeated ids
@@ -54,7 +53,7 @@ def fit(sample: list[tuple[str, str]], sequences: int = FIT_SEQUENCES, length: i
     keep = [i for i, w in enumerate(words) if len(w)]
     langs, words = [langs[i] for i in keep], [words[i] for i in keep]
     texts, labels = [], []
-    for _ in range(sequences):
+    for _ in range(max(sequences, RUNS_EACH * len(langs))):
         seq: list[str] = []
         while len(seq) < length:
             k = int(rng.integers(len(langs)))

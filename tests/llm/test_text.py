@@ -52,6 +52,15 @@ def test_language(spark):
     assert language.report(df.limit(0)).count() == 0
 
 
+def test_language_learns_every_language(spark):
+    rng = random.Random(12)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(12)), lang) for i, lang in enumerate(sorted(words) * 4)]
+    got = language.predict(df := spark.createDataFrame(rows, "doc_id long, text string, lang string"), df).collect()
+    assert {r.lang_pred for r in got} == set(words)
+    assert sum(r.lang_pred == rows[r.id][2] for r in got) / len(rows) > 0.9
+
+
 def test_toxicity_catches_planted_words_and_keeps_clean_texts(spark):
     rng = random.Random(3)
     rows, labels = [], []
