@@ -2,7 +2,7 @@
 
 Toxic documents go, lines that an earlier document has are deleted, one document of each near-duplicate
 group stays (five-word shingles, Jaccard similarity of 0.8 or more), the rest is put in the order of a mix
-of sources, and texts are encoded to pieces. SQL can't express the stages; tests hold them against
+of sources, and texts are encoded to pieces, each with its place in the mix. SQL can't express the stages; tests hold them against
 brute-force versions.
 """
 
@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens, token_ids, round_trip."""
-    return pieces.tokenised(docs).select("doc_id", "source", "n_tokens", "token_ids", "round_trip")
+    """doc_id, source, n_tokens, token_ids, round_trip, and position: the row's place in the mix, which Parquet files don't keep."""
+    return pieces.tokenised(mixing.schedule(docs)).select("doc_id", "source", "n_tokens", "token_ids", "round_trip", F.col("_position").alias("position"))
 
 
 STAGES = [

@@ -4,7 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
-from codonlake.llm import registry
+from codonlake.llm import mixing, registry
 
 
 @pytest.fixture(scope="module")
@@ -48,6 +48,15 @@ def test_stages(spark, folder):
     assert corpus_pipeline.run(spark, folder).count() == len(ids["mixing"])
 
 
+def test_run_keeps_the_order_of_the_mix(spark, folder, tmp_path):
+    corpus_pipeline.run(spark, folder).write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len({r.position for r in rows}) == len(rows)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    mix = mixing.mixed(docs.filter(docs.doc_id.isin([r.doc_id for r in rows]))).collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == [r.doc_id for r in mix]
+
+
 def test_registry():
     names = registry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
