@@ -11,6 +11,7 @@ deleted alone.
 Runs are the shortest ones of adjacent lines, blank ones left out, that reach `BLOCK_WORDS`: one from each
 line on, and one up to each line. Every line of a block that is long enough to be deleted is in such a run
 inside the block, so a partner holds it with that run, even where the block's lines each have another holder.
+Text in scripts without spaces between words counts as a word for every two characters.
 
 A document has at most three partners a line, since each line and run names one holder; groups of copies are
 aligned with their first document only, so no pairs inside a group are made and no frequent line is left
@@ -33,6 +34,8 @@ from codonlake.llm import shared
 from codonlake.llm.textarrays import mix
 
 EVIDENCE_WORDS, BLOCK_WORDS = 5, 10
+#: A character of a script without spaces between words.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
 def _anchors(a: list[int], b: list[int], alo: int, ahi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
@@ -135,8 +138,9 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     some = docs.filter(F.col(id_col).isNotNull() & text.isNotNull())
     trimmed = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
     count = lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"\s+")))
+    wide = lambda x: count(F.trim(F.regexp_replace(x, UNSPACED, " "))) + F.ceil(F.regexp_count(x, F.lit(UNSPACED)) / 2).cast("int")
     lined = some.select(
-        F.col(id_col).cast("long").alias("key"), F.xxhash64(text).alias("tag"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(trimmed, count).alias("words")
+        F.col(id_col).cast("long").alias("key"), F.xxhash64(text).alias("tag"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("hashes"), F.when(text.rlike(UNSPACED), F.transform(trimmed, wide)).otherwise(F.transform(trimmed, count)).alias("words")
     )
     lined = shared.cut(lined)
     evidence = shared.cut(lined.select("key", "hashes", "words").mapInPandas(_evidence, "key long, h long"))

@@ -96,3 +96,12 @@ def test_line_dedup_finds_a_block_whose_lines_have_other_first_holders(spark):
     df = spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.deduped(df).collect()}
     assert got == {**dict(enumerate(texts, 1)), 4: "other\nfourth", 5: "fifth\nlast"}
+
+
+def test_line_dedup_of_short_lines_and_unspaced_text(spark):
+    verse = "\n".join(f"w{i} x{i} y{i} z{i}" for i in range(20))
+    han = "今天天气很好我们一起去\n公园里散步看花听鸟唱歌"
+    texts = [f"first\n{verse}", f"second\n{verse}", f"third\n{han}", f"fourth\n{han}", "fifth\n今天天气", "sixth\n今天天气"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in line_dedup.deduped(df).orderBy("doc_id").collect()]
+    assert got == [texts[0], "second", texts[2], "fourth", *texts[4:]]
