@@ -23,10 +23,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    out = mixing.schedule(docs)
-    names = {c: c[1:] for c in ("_block", "_slot", "_release", "_deadline", "_position")}
-    return out.select("doc_id", "source", *[F.col(c).alias(n) for c, n in names.items()])
+    return mixing.schedule(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
 QUERIES = {
@@ -53,7 +50,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 OP2_SQL = r"""
 WITH u AS (
-  SELECT page_id,
+  SELECT page_id, row_number() OVER () AS page_row,
          translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
   FROM pages),
@@ -61,7 +58,7 @@ rules(rule, verdict, rhost, rpath) AS (VALUES
   ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
   ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
 fits AS (
-  SELECT u.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(r.rule) DESC) AS k
+  SELECT u.*, r.rule, r.verdict, row_number() OVER (PARTITION BY page_row ORDER BY length(r.rule) DESC) AS k
   FROM u LEFT JOIN rules r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE k = 1"""
 

@@ -19,8 +19,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from codonlake.llm import shared
 
@@ -121,29 +123,32 @@ def cascades(keys: DataFrame, key_col: str, listed_col: str) -> DataFrame:
     return shared.cut(sharded.groupBy("shard").applyInPandas(_build_group, "shard int, blob binary, size long")).withColumn("n_shards", F.lit(n_shards))
 
 
-def _judge(held, n_shards: int, columns: list[str]):
+def _judge(held):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         blobs = held.value
         for batch in batches:
-            h1, h2 = batch._h1.to_numpy(np.int64).view(np.uint64), batch._h2.to_numpy(np.int64).view(np.uint64)
+            h1, h2 = batch.h1.to_numpy(np.int64).view(np.uint64), batch.h2.to_numpy(np.int64).view(np.uint64)
             out = np.zeros(len(batch), np.bool_)
-            shards = batch._shard.to_numpy()
+            shards = batch.shard.to_numpy()
             for s in np.unique(shards):
                 rows = np.flatnonzero(shards == s)
                 out[rows] = member(blobs[int(s)], h1[rows], h2[rows])
-            yield batch[columns].assign(listed=out)
+            yield out
 
     return run
 
 
-def with_membership(rows: DataFrame, key_col: str, filters: DataFrame) -> DataFrame:
-    """The rows with `listed`, from their shards' cascades; all keys must be of the universe."""
+def with_membership(rows: DataFrame, key_col: str, filters: DataFrame, listed_col: str = "listed") -> DataFrame:
+    """The rows with whether they are listed, from their shards' cascades; all keys must be of the universe.
+
+    A null key is one like others; repeated rows stay repeated; keys may be of any length. A result column whose
+    name the rows have gets an underscore more; other columns may have any names, types and nulls."""
+    listed_col = shared.free_names(rows, listed_col)[0]
     spark = rows.sparkSession
-    sizes = filters.select("shard", "size", "n_shards")
     # running totals deal the shards to passes of bounded bytes; there is one row for each SHARD_KEYS distinct keys
-    plan = sizes.collect()
+    plan = filters.select("shard", "size", "n_shards").collect()
     if not plan:
-        return rows.withColumn("listed", F.lit(False))
+        return rows.withColumn(listed_col, F.lit(False))
     n_shards, groups, room = plan[0].n_shards, [[]], PASS_BYTES
     for r in sorted(plan, key=lambda r: r.shard):
         if r["size"] > room and groups[-1]:
@@ -151,17 +156,27 @@ def with_membership(rows: DataFrame, key_col: str, filters: DataFrame) -> DataFr
             room = PASS_BYTES
         groups[-1].append(r.shard)
         room -= r["size"]
-    names = rows.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    ready = rows.withColumns({"_h1": F.xxhash64(F.col(key_col)), "_h2": F.xxhash64(F.lit(1), F.col(key_col))})
-    ready = ready.withColumn("_shard", F.pmod(F.xxhash64("_h1", F.lit(2)), F.lit(n_shards)).cast("int"))
+    h1 = F.xxhash64(F.col(f"`{key_col}`"))
+    ready = shared.packed(rows, h1=h1, h2=F.xxhash64(F.lit(1), F.col(f"`{key_col}`")), shard=F.pmod(F.xxhash64(h1, F.lit(2)), F.lit(n_shards)).cast("int"))
+    schema = StructType([*ready.schema.fields, StructField("listed", BooleanType())])
     out = None
     for g in groups:
         blobs = {r.shard: bytes(r.blob) for r in filters.filter(F.col("shard").between(g[0], g[-1])).select("shard", "blob").collect()}
-        part = ready if len(groups) == 1 else ready.filter(F.col("_shard").between(g[0], g[-1]))
-        judged = part.mapInPandas(_judge(spark.sparkContext.broadcast(blobs), n_shards, names), f"{kinds}, listed boolean")
+        part = ready if len(groups) == 1 else ready.filter(F.col("shard").between(g[0], g[-1]))
+        judged = part.mapInArrow(_beside(_judge(spark.sparkContext.broadcast(blobs))), schema)
         out = judged if out is None else out.unionByName(judged)
-    return out
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in rows.columns], F.col("listed").alias(listed_col))
+
+
+def _beside(judge):
+    """The batches with what the judge gives for their hashes; the rows themselves stay Arrow data."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = pa.RecordBatch.from_arrays(batch.columns[1:], names=batch.schema.names[1:]).to_pandas()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(next(judge(iter([hashes]))))], names=[*batch.schema.names, "listed"])
+
+    return run
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
