@@ -13,11 +13,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType
 
-from codonlake.llm import crf
+from codonlake.llm import crf, shared
 from codonlake.llm.language import held_out
 from codonlake.llm.textarrays import Hasher, Words, chunks, mix, release
 
@@ -92,10 +93,11 @@ def _apart(sample: list[tuple[int, str]]) -> list[tuple[int, str]]:
     return [sample[i] for i in sorted(least.values())]
 
 
-def fit(sample: list[tuple[int, str]], odds: float | None = None, seed: int = 5):
+def fit(sample: list[tuple[int, str]], odds: float | None = None, seed: int = 5, runs: tuple[int, int] = FIT_RUNS):
     """(field, document weights) from (label, text); None where the labels are all alike.
 
-    odds: of label 1 among all labelled documents, where the sample's differ."""
+    odds: of label 1 among all labelled documents, where the sample's differ. runs: of words that the field is
+    trained on, at most, around toxic words and at random. Documents shorter than a run are strung together."""
     sample = _apart(sample)
     toxic = np.array([bool(x) for x, _ in sample])
     if not len(sample) or toxic.all() or not toxic.any():
@@ -104,16 +106,20 @@ def fit(sample: list[tuple[int, str]], odds: float | None = None, seed: int = 5)
     gold = token_labels(parts, toxic)
     rng = np.random.default_rng(seed)
     texts, labels = [], []
-    total, n_hot = sum(map(len, parts)), sum(int(g.sum()) for g in gold)
+    total, n_hot, n_docs = sum(map(len, parts)), sum(int(g.sum()) for g in gold), len(sample)
     for w, g in zip(parts, gold, strict=True):
         # runs of words around toxic ones, and others, inside one document; parts give in proportion to their words
         n = len(w)
         hot = rng.permutation(np.maximum(np.flatnonzero(g) - rng.integers(0, LENGTH, int(g.sum())), 0))
-        starts = np.concatenate([hot[: -(-FIT_RUNS[0] * len(hot) // max(1, n_hot))], rng.integers(0, max(1, n - LENGTH), FIT_RUNS[1] * n // max(1, total) + 1)])
+        starts = np.concatenate([hot[: -(-runs[0] * len(hot) // max(1, n_hot))], rng.integers(0, max(1, n - LENGTH), runs[1] * n // max(1, total) + 1)])
         starts = np.unique(starts[starts + LENGTH <= n])
         for i in rng.permutation(starts[w.doc[starts] == w.doc[starts + LENGTH - 1]]).tolist():
             texts.append(" ".join(w.text(j) for j in range(i, i + LENGTH)))
             labels.append(g[i : i + LENGTH])
+    short = [(w.text(j), bool(g[j])) for w, g in zip(parts, gold, strict=True) for j in np.flatnonzero(np.bincount(w.doc, minlength=n_docs)[w.doc] < LENGTH).tolist()]
+    for i in range(0, min(len(short) - LENGTH, LENGTH * runs[0]) + 1, LENGTH):
+        texts.append(" ".join(x for x, _ in short[i : i + LENGTH]))
+        labels.append(np.array([x for _, x in short[i : i + LENGTH]]))
     del parts, gold
     release()
     if not texts:
@@ -168,37 +174,39 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return [(chosen[r._i], r._t) for r in sorted(found, key=lambda r: r._i)], n[0] / n[1] if n[0] and n[1] else None
 
 
-def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """All columns of docs with _score (0 to 1), and _spans (array of start and end) on request.
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", score_col: str = "toxicity", spans_col: str | None = None, runs: tuple[int, int] = FIT_RUNS) -> DataFrame:
+    """All columns of docs with a score (0 to 1), and on request the toxic spans (array of start and end).
 
-    Learned from labelled documents outside the held-out fifth of ids. A null text counts as empty and gets
-    the score of a text without words. Where nothing can be learned every score is 0. Repeated rows stay
-    repeated; an empty table gives no rows."""
+    Learned from labelled documents outside the held-out fifth of ids; runs bounds the runs of labelled words that
+    the field is trained on. A null text counts as empty and gets the score of a text without words; a text is
+    scored whole, however long. Where nothing can be learned every score is 0. Repeated rows stay repeated, ties
+    of score are left; an empty table gives no rows. A result column whose name docs has
+    gets an underscore more; other columns may have any names, types and nulls."""
+    score_col, *more = shared.free_names(docs, score_col, *([spans_col] if spans_col else []))
     spark = docs.sparkSession
-    fitted = fit(*sample(docs.filter(~held_out(id_col, 5, 0)), labels.filter(~held_out(id_col, 5, 0)), id_col, text_col))
+    fitted = fit(*sample(docs.filter(~held_out(id_col, 5, 0)), labels.filter(~held_out(id_col, 5, 0)), id_col, text_col), runs=runs)
     release()
     held = spark.sparkContext.broadcast(fitted)
-    names = docs.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch[text_col]]
-            out = batch[names].assign(_score=score(texts, held.value))
-            if with_spans:
-                out["_spans"] = [[[a, b] for a, b in spans(t, held.value)] for t in texts]
-            yield out
+    def work(texts: list) -> Iterator[tuple[int, list[pa.Array]]]:
+        for a, b in chunks(texts := ["" if t is None else t for t in texts]):
+            out = [pa.array(score(texts[a:b], held.value), pa.float64())]
+            if spans_col:
+                out.append(pa.array([[[x, y] for x, y in spans(t, held.value)] for t in texts[a:b]], pa.list_(pa.list_(pa.int32()))))
+            yield b - a, out
 
-    return docs.mapInPandas(run, f"{kinds}, _score double" + ", _spans array<array<int>>" * with_spans)
+    new = {score_col: DoubleType()} | {name: ArrayType(ArrayType(IntegerType())) for name in more}
+    return shared.with_texts(docs, text_col, new, lambda: work)
 
 
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     out = scored(docs.select(id_col, "text"), labels, id_col)
-    out = out.select(F.col(id_col).alias("doc_id"), held_out(id_col, 5, 0).alias("held_out"), F.col("_score").alias("score"))
+    out = out.select(F.col(id_col).alias("doc_id"), held_out(id_col, 5, 0).alias("held_out"), F.col("toxicity").alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.5) -> DataFrame:
-    """The documents scored under the limit, with their own columns."""
-    return scored(docs, labels, id_col, text_col).filter(F.col("_score") < limit).drop("_score")
+    """The documents scored under the limit, with their own columns, whatever their names. Nulls and empty tables as in `scored`."""
+    name = shared.free_names(docs, "toxicity")[0]
+    return scored(docs, labels, id_col, text_col, name).filter(F.col(name) < limit).drop(name)
