@@ -71,15 +71,19 @@ class Hasher:
             return mix((self.sums[ends] - self.sums[starts]) * self.q[starts] + (ends - starts).astype(np.uint64))
 
 
+#: No letter has a code point from here on.
+LETTERS_END = 0x34000
+
+
 def _table(f) -> np.ndarray:
-    return np.fromiter((f(chr(i)) for i in range(0x30000)), np.uint32, 0x30000)
+    return np.fromiter((f(chr(i)) for i in range(LETTERS_END)), np.uint32, LETTERS_END)
 
 
 _TABLES: dict[str, np.ndarray] = {}
 
 
 def letters() -> np.ndarray:
-    """For code points under 0x30000: the lower-case letter (of one code point), or 0 for other characters."""
+    """For code points under `LETTERS_END`: the lower-case letter (of one code point), or 0 for other characters."""
     if "low" not in _TABLES:
         _TABLES["low"] = _table(lambda c: ord(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else 0)
     return _TABLES["low"]
@@ -95,7 +99,7 @@ class Words:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.base = np.concatenate([[0], np.cumsum(sizes + 1)])[: len(texts)]
         codes = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        self.low = letters()[np.minimum(codes, 0x2FFFF)]
+        self.low = letters()[np.minimum(codes, LETTERS_END - 1)]
         self.base = self.base + 1
         inside = self.low > 0
         edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
