@@ -93,7 +93,7 @@ def common_lines(a: list[int], b: list[int], words: list[int], least: int = BLOC
     return out
 
 
-def evidence_keys(hashes: list[np.ndarray], words: list[np.ndarray], least: int = BLOCK_WORDS) -> tuple[np.ndarray, np.ndarray]:
+def evidence_keys(hashes: list[np.ndarray], words: list[np.ndarray], least: int = BLOCK_WORDS, line: int = EVIDENCE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """(document's number, key) of the lines and runs of lines that are evidence, each once a document."""
     doc = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
     if not len(doc):
@@ -105,7 +105,7 @@ def evidence_keys(hashes: list[np.ndarray], words: list[np.ndarray], least: int
     on = end <= np.searchsorted(doc, doc, "right")
     start = np.searchsorted(total, total[1:] - least, "right") - 1  # the run up to each line
     upto = start >= np.searchsorted(doc, doc)
-    alone = w >= EVIDENCE_WORDS
+    alone = w >= line
     first, n = np.concatenate([at[on], start[upto], at[alone]]), np.concatenate([(end - at)[on], (at + 1 - start)[upto], np.ones(alone.sum(), np.int64)])
     code = np.unique(first * (least + 1) + n)
     first, n = code // (least + 1), code % (least + 1)
@@ -118,22 +118,30 @@ def evidence_keys(hashes: list[np.ndarray], words: list[np.ndarray], least: int
     return found.doc.to_numpy(), found.key.to_numpy()
 
 
-def _evidence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        doc, h = evidence_keys(list(batch.hashes), list(batch.words))
-        yield pd.DataFrame({"key": batch.key.to_numpy()[doc], "h": h})
+def _evidence(least: int, line: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            doc, h = evidence_keys(list(batch.hashes), list(batch.words), least, line)
+            yield pd.DataFrame({"key": batch.key.to_numpy()[doc], "h": h})
 
+    return run
 
-def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield pd.DataFrame({
-            "key": batch.key, "tag": batch.tag,
-            "gone": [np.array(common_lines(a.tolist(), b.tolist(), w.tolist()), np.int32) for a, b, w in zip(batch.held, batch.hashes, batch.words, strict=True)],
-        })
 
+def _align(least: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({
+                "key": batch.key, "tag": batch.tag,
+                "gone": [np.array(common_lines(a.tolist(), b.tolist(), w.tolist(), least), np.int32) for a, b, w in zip(batch.held, batch.hashes, batch.words, strict=True)],
+            })
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """key (id), tag (hash of the text), gone (sorted array of line numbers from 0) for the documents that lose lines."""
+    return run
+
+
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, line_words: int = EVIDENCE_WORDS) -> DataFrame:
+    """key (id), tag (hash of the text), gone (sorted array of line numbers from 0) for the documents that lose lines.
+
+    block_words: words of the least block that is deleted; line_words: of the least line that is evidence alone."""
     text = F.col(text_col)
     some = docs.filter(F.col(id_col).isNotNull() & text.isNotNull())
     trimmed = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
@@ -143,7 +151,7 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         F.col(id_col).cast("long").alias("key"), F.xxhash64(text).alias("tag"), F.transform(trimmed, lambda x: F.xxhash64(x)).alias("hashes"), F.when(text.rlike(UNSPACED), F.transform(trimmed, wide)).otherwise(F.transform(trimmed, count)).alias("words")
     )
     lined = shared.cut(lined)
-    evidence = shared.cut(lined.select("key", "hashes", "words").mapInPandas(_evidence, "key long, h long"))
+    evidence = shared.cut(lined.select("key", "hashes", "words").mapInPandas(_evidence(block_words, line_words), "key long, h long"))
     holders = evidence.groupBy("h").agg(F.min("key").alias("holder"), F.max("key").alias("last")).filter("holder < last").select("h", "holder")
     holders = shared.cut(holders)
     pairs = shared.sieve(evidence, holders, "h").join(holders, "h").filter("key > holder").select("key", "holder").distinct()
@@ -151,29 +159,36 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     held = shared.sieve(lined, pairs.select(F.col("holder").alias("key")), "key").select(F.col("key").alias("holder"), F.col("hashes").alias("held"))
     own = shared.sieve(lined, pairs, "key")
     both = pairs.join(held, "holder").join(own, "key").select("key", "tag", "hashes", "words", "held")
-    found = both.mapInPandas(_align, "key long, tag long, gone array<int>").filter(F.size("gone") > 0)
+    found = both.mapInPandas(_align(block_words), "key long, tag long, gone array<int>").filter(F.size("gone") > 0)
     # a document has one row for each of its partners, of which it has at most three a line
     return found.groupBy("key", "tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def with_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, with the text's common blocks deleted, and _lines and _gone (numbers of lines before, and deleted).
-
-    Every row stays; a document whose every line is in an earlier one keeps an empty text. Null texts stay
-    null, with no lines. Rows without id lose nothing and make others lose nothing. Rows with equal ids are
-    no earlier or later than each other. Lines equal but for white space at their ends are equal. An empty
-    table gives no rows."""
-    gone = shared.cut(deletions(docs, id_col, text_col))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # its names clash with nothing
-    ready = docs.select(whole, F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("key"), F.xxhash64(F.col(text_col)).alias("tag"))
+def _rebuilt(docs: DataFrame, id_col: str, text_col: str, block_words: int, line_words: int) -> DataFrame:
+    """row (all columns, packed), text (what is left of it), lines and lost (numbers of lines before, and deleted)."""
+    gone = shared.cut(deletions(docs, id_col, text_col, block_words, line_words))
+    ready = shared.packed(docs, text=F.col(f"`{text_col}`"), key=F.col(f"`{id_col}`").cast("long"), tag=F.xxhash64(F.col(f"`{text_col}`")))
     out = ready.join(gone, ["key", "tag"], "left")
-    lines, lost = F.split("_text", "\n"), F.coalesce(F.size("gone"), F.lit(0))
+    lines, lost = F.split("text", "\n"), F.coalesce(F.size("gone"), F.lit(0))
     rest = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    text = F.when(lost > 0, rest).otherwise(F.col("_text"))
-    count = F.when(F.col("_text").isNull(), 0).otherwise(F.size(lines))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`") for c in docs.columns], count.alias("_lines"), lost.alias("_gone"))
+    count = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
+    return out.select("row", F.when(lost > 0, rest).otherwise(F.col("text")).alias("text"), count.alias("lines"), lost.alias("lost"))
+
 
+def with_deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_col: str = "n_lines", gone_col: str = "n_deleted", block_words: int = BLOCK_WORDS, line_words: int = EVIDENCE_WORDS) -> DataFrame:
+    """All columns of docs, with the text's common blocks deleted, and the numbers of its lines before, and deleted.
 
-def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents' columns with the text that is left."""
-    return with_deletions(docs, id_col, text_col).select(*[F.col(f"`{c}`") for c in docs.columns])
+    Every row stays; a document whose every line is in an earlier one keeps an empty text. Null texts stay
+    null, with no lines; empty texts have one empty line and lose nothing. Texts are worked on whole. Rows
+    without id lose nothing and make others lose nothing. Rows with equal ids are no earlier or later than each
+    other. Lines equal but for white space at their ends are equal. An empty table gives no rows. A result column
+    whose name docs has gets an underscore more; other columns may have any names."""
+    lines_col, gone_col = shared.free_names(docs, lines_col, gone_col)
+    out = _rebuilt(docs, id_col, text_col, block_words, line_words)
+    kept = [F.col("text" if c == text_col else f"row.`{c}`").alias(c) for c in docs.columns]
+    return out.select(*kept, F.col("lines").alias(lines_col), F.col("lost").alias(gone_col))
+
+
+def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, line_words: int = EVIDENCE_WORDS) -> DataFrame:
+    """The documents' columns, whatever their names, with the text that is left. Nulls, repeats and empty tables as in `with_deletions`."""
+    return shared.unpacked(_rebuilt(docs, id_col, text_col, block_words, line_words), docs.columns, **{text_col: F.col("text")})

@@ -16,7 +16,7 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.with_deletions(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_gone").alias("n_deleted"), "text")
+    return out.select("doc_id", "n_lines", "n_deleted", "text")
 
 
 QUERIES = {"op3_ngram_join": op3_ngram_join, "op6_line_dedup": op6_line_dedup}
