@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 
 from codonlake.llm.html_pages import Writer
 
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label mark math object q rp rt ruby s samp small span strike strong sub sup svg time tt u var video wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text.
-RAW = "script|style|noscript|template|textarea|title|svg|math|iframe|object|canvas"
+#: Elements whose content is never text of the page: code, the head's title, what forms hold, what other pages or no browser shows.
+RAW = frozenset("script style noscript template textarea title iframe".split())
 #: A start tag closes open elements of these kinds, up to an element of the last list.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -38,11 +38,55 @@ KINDS = {
     )) for t in tags.split()
 }
 N_KINDS, BUCKETS = 18, 64
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-z][^\s/>]*)([^>]*)>", re.S | re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile(r"[\"'>]")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 
+def tokens(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(start, end, name, whether it closes, attributes) of the markup in page order; comments and the like have no name.
+
+    An element of `RAW` is one token with its content. A tag ends at the first > outside quotes. Where no such >
+    follows, that tag and all after it end at the next >, and where none follows at all, the rest is text. So each
+    character is looked at a bounded number of times."""
+    at, quoted, lower = 0, True, None
+    while (i := source.find("<", at)) >= 0:
+        at = i + 1
+        if source.startswith("<!--", i):
+            j = source.find("-->", i + 4)
+            at = len(source) if j < 0 else j + 3
+            yield i, at, "", False, ""
+            continue
+        closing = source.startswith("/", at)
+        m = _NAME.match(source, at + closing)
+        if not m and not source.startswith(("!", "?"), at):
+            continue
+        first = source.find(">", at)
+        if first < 0:
+            return
+        end, k = first, m.end() if m else at
+        while m and quoted:
+            s = _STOP.search(source, k)
+            if s is None:
+                quoted = False
+            elif s[0] == ">":
+                end = s.start()
+                break
+            elif (k := source.find(s[0], s.end()) + 1) == 0:
+                quoted = False
+        at = end + 1
+        name, attrs = (m[0].lower(), source[m.end() : end]) if m else ("", "")
+        if name in RAW and not closing and not attrs.endswith("/"):
+            lower = source.lower() if lower is None or len(lower) != len(source) else lower
+            j = lower.find(f"</{name}", at) if len(lower) == len(source) else source.find(f"</{name}", at)
+            k = source.find(">", j) if j >= 0 else -1
+            at, name = len(source) if k < 0 else k + 1, ""
+        elif name in RAW:
+            name = ""
+        yield i, at, name, closing, attrs
+
+
 class Page:
     """Block elements in page order (parents first), and texts in page order with their element."""
 
@@ -50,7 +94,7 @@ class Page:
         self.tag, self.parent, self.attrs, self.marked = ["html"], [-1], [()], [False]
         self.texts: list[tuple[int, str]] = []
         self.links: list[int] = [0]
-        stack, at, buf, link, self.n_tags = [0], 0, [], 0, [0]
+        stack, at, buf, link, foreign, self.n_tags = [0], 0, [], 0, 0, [0]
 
         def flush() -> None:
             if buf:
@@ -59,15 +103,15 @@ class Page:
                     self.links[stack[-1]] += sum(len(x) for x, inside in buf if inside)
                 buf.clear()
 
-        for m in _TOKEN.finditer(source):
-            if m.start() > at:
-                buf.append((source[at : m.start()], link > 0))
-            at = m.end()
-            tag = (m[3] or m[6] or "").lower()
+        for begin, end, tag, closing, raw in tokens(source):
+            if begin > at:
+                buf.append((source[at:begin], link > 0))
+            at = end
             if not tag:
                 continue
-            closing = bool(m[2] or m[5])
-            if tag in INLINE or tag in VOID:
+            if tag in ("math", "svg") and not raw.endswith("/"):
+                foreign = max(0, foreign + (-1 if closing else 1))
+            if tag in INLINE or tag in VOID or foreign:  # what a formula or drawing holds is part of the line
                 if tag == "a":
                     link = 0 if closing else 1
                 elif tag in ("br", "hr", "wbr", "img", "input"):
@@ -92,7 +136,6 @@ class Page:
                     if self.tag[stack[i]] in ends:
                         del stack[i:]
                         break
-            raw = m[4] or m[7] or ""
             found = tuple(sorted({t for a in _ATTR.finditer(raw) for t in _PARTS.findall((a[2] or a[3] or a[4] or "").lower())}))
             self.tag.append(tag)
             self.parent.append(stack[-1])
