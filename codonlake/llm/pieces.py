@@ -20,9 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
+from codonlake.llm import shared
 from codonlake.llm.textarrays import _powers, chunks, mix
 
 UNIGRAM, BPE = 1, 2
@@ -65,7 +68,7 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
 class Model:
     """The pieces of a model file, and what encoding needs of them."""
 
-    def __init__(self, data: bytes) -> None:
+    def __init__(self, data: bytes, viterbi: bool = False) -> None:
         self.pieces: list[str] = []
         scores, kinds, self.type, self.dummy, squeeze = [], [], UNIGRAM, True, True
         for number, value in _fields(data):
@@ -81,6 +84,8 @@ class Model:
                 self.dummy, squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
                 if f.get(2):
                     raise ValueError("models that change characters before encoding are not supported")
+        if viterbi:
+            self.type = UNIGRAM
         if squeeze:
             raise ValueError("models that squeeze white space are not supported")
         self.score, self.kind = np.array(scores, np.float64), np.array(kinds)
@@ -269,45 +274,56 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def tokenised(docs: DataFrame, text_col: str = "text", model_path: str | None = None) -> DataFrame:
+def _held(docs: DataFrame, model_path: str | None):
+    """The model file, read on the driver and sent to the executors; it has a fixed size."""
+    with open(model_path or default_model(), "rb") as f:
+        return docs.sparkSession.sparkContext.broadcast(f.read())
+
+
+def tokenised(docs: DataFrame, text_col: str = "text", model_path: str | None = None, viterbi: bool = False, names: tuple[str, str, str] = ("token_ids", "n_tokens", "round_trip")) -> DataFrame:
     """All columns of docs with token_ids (array of int), n_tokens and round_trip (whether decoding gives the text back).
 
-    Null and empty texts have no tokens; their round trip is the empty text. The one character that decoding
-    can't give back is U+2581, which stands for white space in pieces. Names that docs already has are
-    replaced. The model file is read on the driver and sent to the executors; it has a fixed size."""
-    with open(model_path or default_model(), "rb") as f:
-        data = f.read()
-    held = docs.sparkSession.sparkContext.broadcast(data)
-    kept = docs.drop("token_ids", "n_tokens", "round_trip")
-    names = kept.columns
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
+    viterbi: take the path of the best sum of scores, for byte-pair models too, whose own ids come from merges.
+    Null and empty texts have no tokens; their round trip is the empty text. Texts are encoded whole, however
+    long. The one character that decoding can't give back is U+2581, which stands for white space in pieces.
+    Equal texts have equal ids; repeated rows stay repeated; an empty table gives no rows. A result column whose
+    name docs has gets an underscore more."""
+    names = shared.free_names(docs, *names)
+    held = _held(docs, model_path)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = Model(held.value)
-        for batch in batches:
-            texts = ["" if t is None else t for t in batch[text_col]]
-            for a, b in chunks(texts, 1_000_000):
+    def function():
+        model = Model(held.value, viterbi)
+
+        def work(texts: list) -> Iterator[tuple[int, list[pa.Array]]]:
+            for a, b in chunks(texts := ["" if t is None else t for t in texts], 1_000_000):
                 ids = model.encode(texts[a:b])
+                sizes = np.fromiter(map(len, ids), np.int32, len(ids))
                 same = [model.decode(x) == t for x, t in zip(ids, texts[a:b], strict=True)]
-                yield batch.iloc[a:b][names].assign(token_ids=ids, n_tokens=[len(x) for x in ids], round_trip=same)
+                at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
+                yield b - a, [pa.ListArray.from_arrays(pa.array(at), flat), pa.array(sizes), pa.array(same, pa.bool_())]
 
-    return kept.mapInPandas(run, f"{kinds}, token_ids array<int>, n_tokens int, round_trip boolean")
+        return work
 
+    return shared.with_texts(docs, text_col, dict(zip(names, (ArrayType(IntegerType()), IntegerType(), BooleanType()), strict=True)), function)
 
-def detokenised(rows: DataFrame, ids_col: str = "token_ids", model_path: str | None = None) -> DataFrame:
-    """The rows with decoded_text; null ids give the empty text."""
-    with open(model_path or default_model(), "rb") as f:
-        held = rows.sparkSession.sparkContext.broadcast(f.read())
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def detokenised(rows: DataFrame, ids_col: str = "token_ids", model_path: str | None = None, name: str = "decoded_text") -> DataFrame:
+    """The rows with the decoded text; null ids and ids that are all null give the empty text. Repeats and empty tables as in `tokenised`."""
+    name = shared.free_names(rows, name)[0]
+    held = _held(rows, model_path)
+
+    def function():
         model = Model(held.value)
-        for batch in batches:
-            yield batch.assign(decoded_text=[model.decode(np.asarray([] if x is None else x, np.int64)) for x in batch[ids_col]])
 
-    return rows.mapInPandas(run, f"{kinds}, decoded_text string")
+        def work(lists: list) -> Iterator[tuple[int, list[pa.Array]]]:
+            yield len(lists), [pa.array([model.decode(np.array([i for i in x or [] if i is not None], np.int64)) for x in lists], pa.string())]
+
+        return work
+
+    return shared.with_texts(rows, ids_col, {name: StringType()}, function)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", viterbi: bool = False) -> DataFrame:
     """doc_id, n_tokens, token_ids, round_trip for every row."""
-    return tokenised(docs.select(F.col(id_col).alias("doc_id"), "text")).select("doc_id", "n_tokens", "token_ids", "round_trip")
+    return tokenised(docs.select(F.col(id_col).alias("doc_id"), "text"), viterbi=viterbi).select("doc_id", "n_tokens", "token_ids", "round_trip")

@@ -24,5 +24,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op7_html_text": op7_html_text, "op8_sentencepiece": op8_sentencepiece}
+def sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts by the dealt method: the path of the best sum of the pieces' own scores."""
+    return pieces.report(table(spark, sf_dir, "documents"), viterbi=True)
+
+
+QUERIES = {"op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op7_html_text": op7_html_text, "op8_sentencepiece": op8_sentencepiece, "sentencepiece_viterbi": sentencepiece_viterbi}
 ORACLES: dict[str, str] = {}
