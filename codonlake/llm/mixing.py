@@ -31,24 +31,9 @@ from pyspark.sql import functions as F
 
 from codonlake.llm import shared
 
-#: Slots of a period of whole quotas, documents of a block, rows of a bucket, slots of an epoch.
-PERIOD, BLOCK_DOCS, BUCKET, EPOCH = 2520, 16, 4000, 8192
-
-
-def quota(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of each source in a period: at least 1, in all `period`, by largest remainders."""
-    if len(weights) > period:
-        period = len(weights)
-    total = sum(weights.values())
-    exact = {s: period * w / total for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (-(exact[s] - out[s]), s))
-    short = period - sum(out.values())
-    for s in by_rest[: max(0, short)]:
-        out[s] += 1
-    while sum(out.values()) > period:  # many tiny sources: taken from the largest
-        out[max(out, key=lambda s: (out[s], s))] -= 1
-    return out
+#: Documents of a block, rows of a bucket, slots of an epoch; the columns that a schedule adds.
+BLOCK_DOCS, BUCKET, EPOCH = 16, 4000, 8192
+COLUMNS = ("block", "slot", "release", "deadline", "position")
 
 
 def exact(weights: list[float]) -> list[int]:
@@ -95,12 +80,6 @@ class Schedule:
                 yield out
 
 
-def period_slots(share: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """(source, index, slot, release, deadline) for the blocks of one period of whole quotas."""
-    names, n = sorted(share), sum(share.values())
-    return [(names[k], *x) for k, *x in islice(Schedule([n + 1] * len(names), [share[s] for s in names]), n)]
-
-
 def epochs(blocks: list[int], weights: list[int], slots: int) -> list[tuple]:
     """The states at the start of every `slots` slots."""
     at, out, n = Schedule(blocks, weights), [], sum(blocks)
@@ -113,16 +92,16 @@ def epochs(blocks: list[int], weights: list[int], slots: int) -> list[tuple]:
     return out
 
 
-def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    """The rows with _block (number in the source), _slot, _release, _deadline (in slots) and _position (order of the mix).
-
-    weights: target share of each source, any positive scale; sources without one, and all where it is
-    None, get rows ** alpha. A null source is a source of its own. Every row stays, repeated rows included;
-    an empty table gives no rows. The sources' names and counts are the only thing the driver gathers."""
+def _placed(docs: DataFrame, id_col: str, source_col: str, weights: dict[str, float] | None, alpha: float, block_docs: int) -> DataFrame:
+    """row (all columns, packed) and the columns of the schedule."""
     spark = docs.sparkSession
-    name = F.coalesce(F.concat(F.lit("s:"), F.col(source_col).cast("string")), F.lit("null"))
-    mix = F.xxhash64(F.col(id_col).cast("string"), F.lit(11))
-    counts = {r.s: r.n for r in docs.groupBy(name.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    plain = [c for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()]
+    name = F.coalesce(F.concat(F.lit("s:"), F.col(f"`{source_col}`").cast("string")), F.lit("null"))
+    # rows without id are told apart by their other columns
+    other = F.xxhash64(*[F.col(f"`{c}`") for c in plain], F.lit(13))
+    tie = F.when(F.col(f"`{id_col}`").isNull(), other).otherwise(F.xxhash64(F.col(f"`{id_col}`").cast("string"), F.lit(11)))
+    rows = shared.packed(docs, id=F.col(f"`{id_col}`"), s=name, h=tie)
+    counts = {r.s: r.n for r in rows.groupBy("s").agg(F.count(F.lit(1)).alias("n")).collect()}
     target = {s: float((weights or {}).get(s[2:], n**alpha)) for s, n in counts.items()}
     names = sorted(counts)
     every, held = EPOCH, spark.sparkContext.broadcast((names, [-(-counts[s] // block_docs) for s in names], exact([target[s] for s in names])))
@@ -131,32 +110,43 @@ def schedule(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source"
         names, blocks, weights = held.value
         for batch in batches:
             for r in batch.itertuples(index=False):
-                out = pd.DataFrame(islice(Schedule(blocks, weights, (int(r.slot), int(r.start), r.first.tolist(), r.done.tolist())), every), columns=["s", "_block", "slot", "release", "due"])
-                yield out.assign(_s=[names[k] for k in out.s])[["_s", "_block", "slot", "release", "due"]]
+                out = pd.DataFrame(islice(Schedule(blocks, weights, (int(r.slot), int(r.start), r.first.tolist(), r.done.tolist())), every), columns=["k", "block", "slot", "release", "due"])
+                yield out.assign(s=[names[k] for k in out.k])[["s", "block", "slot", "release", "due"]]
 
     states = spark.createDataFrame(epochs(*held.value[1:], every), "slot long, start long, first array<long>, done array<long>")
-    table = states.mapInPandas(run, "_s string, _block long, slot long, release long, due long")
-    buckets = spark.createDataFrame([(s, max(1, -(-n // BUCKET))) for s, n in counts.items()], "_s string, _nb long")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # its names clash with nothing
-    dealt = docs.select(whole, F.col(id_col).alias("_id"), name.alias("_s"), mix.alias("_h")).join(F.broadcast(buckets), "_s").withColumn("_b", F.pmod(F.col("_h"), F.col("_nb")))
-    starts = dealt.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("n"))
-    w = W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    starts = starts.select("_s", "_b", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("_from"))
-    parts = starts.select("_s", "_b", "_from", F.explode(F.expr(f"sequence(_from div {block_docs}, (_from + n - 1) div {block_docs})")).alias("_block"))
-    cells = F.sort_array(F.collect_list(F.struct("_block", "slot", "release", "due"))).alias("_cells")
-    starts = parts.join(table, ["_s", "_block"]).groupBy("_s", "_b").agg(F.min("_from").alias("_from"), cells)
-    inner = W.partitionBy("_s", "_b").orderBy("_h", "_id")
-    ids = dealt.withColumn("_rn", F.row_number().over(inner) - 1)
-    numbered = ids.join(starts, ["_s", "_b"]).withColumn("_at", F.col("_from") + F.col("_rn"))
-    numbered = numbered.withColumn("_block", F.expr(f"_at div {block_docs}"))
-    out = numbered.withColumn("_cell", F.expr(f"_cells[cast(_block - _from div {block_docs} as int)]"))
-    return out.select(
-        "_row.*", "_block", F.col("_cell.slot").alias("_slot"), F.col("_cell.release").alias("_release"), F.col("_cell.due").alias("_deadline"),
-        (F.col("_cell.slot") * block_docs + F.col("_at") % block_docs).alias("_position"),
-    )
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents' columns, in the order of the mix, dealt to partitions by ranges of it."""
-    out = schedule(docs, **options)
-    return out.repartitionByRange(shared.partitions(docs.sparkSession), "_position").sortWithinPartitions("_position").select(*docs.columns)
+    table = states.mapInPandas(run, "s string, block long, slot long, release long, due long")
+    buckets = spark.createDataFrame([(s, max(1, -(-n // BUCKET))) for s, n in counts.items()], "s string, nb long")
+    dealt = rows.join(F.broadcast(buckets), "s").withColumn("b", F.pmod(F.col("h"), F.col("nb")))
+    starts = dealt.groupBy("s", "b").agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy("s").orderBy("b").rowsBetween(W.unboundedPreceding, -1)  # one row for each `BUCKET` rows
+    starts = starts.select("s", "b", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("from"))
+    parts = starts.select("s", "b", "from", F.explode(F.expr(f"sequence(`from` div {block_docs}, (`from` + n - 1) div {block_docs})")).alias("block"))
+    cells = F.sort_array(F.collect_list(F.struct("block", "slot", "release", "due"))).alias("cells")
+    starts = parts.join(table, ["s", "block"]).groupBy("s", "b").agg(F.min("from").alias("from"), cells)
+    inner = W.partitionBy("s", "b").orderBy("h", "id")
+    numbered = dealt.withColumn("rn", F.row_number().over(inner) - 1).join(starts, ["s", "b"]).withColumn("at", F.col("from") + F.col("rn"))
+    numbered = numbered.withColumn("block", F.expr(f"at div {block_docs}")).withColumn("cell", F.expr(f"cells[cast(block - `from` div {block_docs} as int)]"))
+    found = ["block", F.col("cell.slot").alias("slot"), F.col("cell.release").alias("release"), F.col("cell.due").alias("deadline"), (F.col("cell.slot") * block_docs + F.col("at") % block_docs).alias("position")]
+    return numbered.select("row", *found)
+
+
+def schedule(
+    docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, block_docs: int = BLOCK_DOCS, names: tuple[str, ...] = COLUMNS
+) -> DataFrame:
+    """The rows with block (number in the source), slot, release, deadline (in slots) and position (order of the mix), or other names for them.
+
+    weights: target share of each source, any positive scale; sources without one, and all where it is
+    None, get rows ** alpha. A null source is a source of its own. Every row stays, repeated rows and rows
+    without id included; ties inside a source are broken by a hash of the id (of the other columns where it is
+    null). Texts are only carried. An empty table gives no rows. A result column whose name docs has gets an
+    underscore more; other columns may have any names. The sources' names and counts are the only thing the driver gathers."""
+    names = shared.free_names(docs, *names)
+    out = _placed(docs, id_col, source_col, weights, alpha, block_docs)
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *[F.col(c).alias(n) for c, n in zip(COLUMNS, names, strict=True)])
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """The documents' columns, whatever their names, in the order of the mix, dealt to partitions by ranges of it. Otherwise as `schedule`."""
+    out = _placed(docs, id_col, source_col, weights, alpha, block_docs).select("row", "position")
+    ordered = out.repartitionByRange(shared.partitions(docs.sparkSession), "position").sortWithinPartitions("position")
+    return shared.unpacked(ordered, docs.columns)
