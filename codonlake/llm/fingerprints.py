@@ -25,6 +25,10 @@ from codonlake.llm import shared
 
 WORDS = 5
 LANES = 32
+#: Differing bits, of 128, of what the report counts as near: texts of a similarity of about 0.95.
+RADIUS = 8
+#: Stands for a null id, before all others.
+NO_ID = -(1 << 63)
 #: The second 64 bits hash the first ones again, with this seed.
 SEED = 7919
 
@@ -111,7 +115,7 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text is empty. Null ids come before all others and share one place. Of several texts with one id,
     each is a row, and the one with the least 64-bit hash stands for the id as next document; repeats of id
     and text are one row. With one id only, a document is its own next one."""
-    lowest = F.lit(-(1 << 63)).cast("long")
+    lowest = F.lit(NO_ID).cast("long")
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), lowest).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     need = base.groupBy("key").agg(F.max(F.expr("length(text) div 4")).alias("k"))
     links = successors(base, "key").join(need, "key")
@@ -129,10 +133,13 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
+def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, every: int = 100, radius: int = RADIUS) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, near_fingerprints, near_doc for every row.
 
-    One row for each distinct (id, text); see `edited_pairs` for nulls, repeats and single documents."""
+    The last two are for rows whose id `every` divides, and null for others: how many other fingerprints lie within
+    the radius, and the least other id with one of those or with the same one. See `edited_pairs` for nulls,
+    repeats and single documents; rows equal in id and text have equal results, and each is returned. Other
+    columns are not read."""
     rows = edited_pairs(docs, id_col, text_col).withColumn("sha", F.sha2(F.col("edited"), 256))
     keys = ["key", "next_key", "tag", "n_chars", "sha"]
     both = rows.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("x")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("x")))).alias("s"))
@@ -141,42 +148,73 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wide = fps.groupBy(*keys).agg(pick(0, "fp0").alias("a0"), pick(0, "fp1").alias("a1"), pick(1, "fp0").alias("e0"), pick(1, "fp1").alias("e1"))
     wide = shared.cut(wide)
     heads = wide.groupBy(F.col("key").alias("next_key")).agg(F.min_by(F.struct("a0", "a1"), F.col("tag")).alias("b"))
-    out = wide.join(heads, "next_key")
+    again = repeats(docs, id_col, text_col)
+    near = neighbours(wide.filter(F.col("key") != NO_ID).select(F.col("key").alias("id"), F.col("a0").alias("fp0"), F.col("a1").alias("fp1"), "tag"), every, radius)
+    out = wide.join(heads, "next_key").join(near.withColumnRenamed("id", "key"), ["key", "tag"], "left").join(again, ["key", "tag"], "left")
     a, e = (F.col("a0"), F.col("a1")), (F.col("e0"), F.col("e1"))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("copies", F.lit(1).cast("long")))))
     return out.select(
-        F.when(F.col("key") != -(1 << 63), F.col("key")).alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"),
+        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), "n_chars", F.col("sha").alias("edited_sha256"),
         as_hex(*a).alias("fingerprint"), as_hex(*e).alias("edited_fingerprint"),
-        likeness(*a, *e).alias("near_edited"), likeness(*a, F.col("b.a0"), F.col("b.a1")).alias("near_next"),
+        likeness(*a, *e).alias("near_edited"), likeness(*a, F.col("b.a0"), F.col("b.a1")).alias("near_next"), "near_fingerprints", "near_doc",
     )
 
 
+def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """key, tag, copies for what is on several rows."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID).cast("long")).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"))
+    return rows.groupBy("key", "tag").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+
+
+def neighbours(fps: DataFrame, every: int, radius: int) -> DataFrame:
+    """id, tag, near_fingerprints, near_doc for the rows of fps (id, tag, fp0, fp1) whose id `every` divides."""
+    one = fps.groupBy("fp0", "fp1").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    asked = fps.filter(F.col("id") % every == 0)
+    pairs = fingerprint_pairs(one, asked.select("fp0", "fp1").distinct(), radius).filter("distance > 0")
+    low = one.select(F.col("fp0").alias("g0"), F.col("fp1").alias("g1"), "low")
+    found = shared.sieve(low, pairs, "g0").join(pairs, ["g0", "g1"]).groupBy("fp0", "fp1").agg(F.count(F.lit(1)).alias("near_fingerprints"), F.min("low").alias("low_near"))
+    same = shared.sieve(one, asked, "fp0").select("fp0", "fp1", "low", "high")
+    out = asked.join(same, ["fp0", "fp1"], "left").join(found, ["fp0", "fp1"], "left")
+    own = F.when(F.col("low") != F.col("id"), F.col("low")).when(F.col("high") != F.col("id"), F.col("high"))
+    return out.select("id", "tag", F.coalesce("near_fingerprints", F.lit(0).cast("long")).alias("near_fingerprints"), F.least(own, F.col("low_near")).alias("near_doc"))
+
+
 def _blocks(n: int) -> list[tuple[int, int]]:
     """n near-equal bit ranges of 128 bits."""
     at = [128 * i // n for i in range(n + 1)]
     return list(zip(at[:-1], at[1:], strict=True))
 
 
-def within_radius(fps: DataFrame, queries: DataFrame, radius: int = 3, extra: int = 3) -> DataFrame:
-    """fps and queries (id, fp0, fp1): query_id, id, distance for all pairs of at most `radius` differing bits.
+def fingerprint_pairs(fps: DataFrame, queries: DataFrame, radius: int = 3, extra: int = 2) -> DataFrame:
+    """(fp0, fp1, g0, g1, distance) for all distinct fingerprints of the queries and those of fps that differ in at most `radius` bits.
 
-    Pairs of a row with its own id are left out. Empty tables give no rows. Exact: every table is searched."""
+    Exact: every permuted table is searched. Keys that no query has are sieved out before the tables move."""
     blocks = _blocks(radius + extra)
 
     def bits(lo: int, hi: int) -> Column:
         get = lambda c, a, b: F.shiftrightunsigned(F.col(c), a).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1))
         if hi <= 64 or lo >= 64:
             return get("fp0" if hi <= 64 else "fp1", lo % 64, hi - 64 * (lo >= 64))
-        return F.concat_ws("-", get("fp0", lo, 64), get("fp1", 0, hi - 64))
+        return get("fp0", lo, 64).bitwiseXOR(F.shiftleft(get("fp1", 0, hi - 64), 64 - lo))
 
     def keyed(df: DataFrame) -> DataFrame:
         choices = combinations(range(len(blocks)), extra)
-        keys = F.array(*[F.xxhash64(F.lit(i), *[bits(*blocks[b]).cast("string") for b in chosen]) for i, chosen in enumerate(choices)])
+        keys = F.array(*[F.xxhash64(F.lit(i), *[bits(*blocks[b]) for b in chosen]) for i, chosen in enumerate(choices)])
         return df.select("fp0", "fp1", F.explode(keys).alias("k"))
 
-    sides = [x.select("fp0", "fp1").distinct() for x in (queries, fps)]
-    q, f = keyed(sides[0]), keyed(sides[1]).select(F.col("fp0").alias("g0"), F.col("fp1").alias("g1"), "k")
+    q, f = keyed(queries.select("fp0", "fp1").distinct()), keyed(fps.select("fp0", "fp1").distinct())
+    f = shared.sieve(f, q, "k").select(F.col("fp0").alias("g0"), F.col("fp1").alias("g1"), "k")
     far = F.bit_count(F.col("fp0").bitwiseXOR(F.col("g0"))) + F.bit_count(F.col("fp1").bitwiseXOR(F.col("g1")))
-    near = q.join(f, "k").withColumn("distance", far).filter(F.col("distance") <= radius).select("fp0", "fp1", "g0", "g1", "distance").distinct()
+    return q.join(f, "k").withColumn("distance", far).filter(F.col("distance") <= radius).select("fp0", "fp1", "g0", "g1", "distance").distinct()
+
+
+def within_radius(fps: DataFrame, queries: DataFrame, radius: int = 3, extra: int = 2) -> DataFrame:
+    """fps and queries (id, fp0, fp1): query_id, id, distance for all pairs of at most `radius` differing bits.
+
+    Pairs of a row with its own id are left out. A query is paired with every member of a near fingerprint's group,
+    so take a stated set of queries, or `neighbours`, which names one. Repeated rows give repeated pairs; rows with
+    a null fingerprint have no pairs. Empty tables give no rows. Exact: every table is searched."""
+    near = fingerprint_pairs(fps, queries, radius, extra)
     members = fps.select("id", F.col("fp0").alias("g0"), F.col("fp1").alias("g1"))
     out = queries.select(F.col("id").alias("query_id"), "fp0", "fp1").join(near, ["fp0", "fp1"]).join(members, ["g0", "g1"])
     return out.filter(F.col("query_id") != F.col("id")).select("query_id", "id", "distance")
