@@ -1,4 +1,4 @@
-"""Queries and DuckDB SQL of this subpackage."""
+"""Queries and DuckDB SQL of this subpackage's operators. The pipeline over them is registered by the entry module."""
 
 from __future__ import annotations
 
@@ -8,14 +8,8 @@ MODULES = [queries_basic, queries_pairs, queries_text]
 
 
 def queries() -> dict:
-    found = {name: query for m in MODULES for name, query in m.QUERIES.items()}
-    import corpus_pipeline
-
-    return found | {"pipeline": corpus_pipeline.run}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    found = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
-    import corpus_pipeline
-
-    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
