@@ -2,9 +2,13 @@
 
 import hashlib
 import random
+import struct
+from fractions import Fraction
 from itertools import islice
+from math import ceil, floor
 
 import numpy as np
+import xxhash
 from codonlake.llm import fingerprints, mixing, topk, url_filter
 from pyspark.sql import functions as F
 
@@ -59,28 +63,50 @@ def test_filters_in_several_shards_and_passes(spark, monkeypatch):
     assert out.count() == 600 and out.filter("listed <> want").count() == 0
 
 
-def test_pfair_deviation_under_one_block():
-    for weights in ({"a": 1, "b": 2, "c": 5}, {"a": 1, "b": 1}, {x: k + 1 for k, x in enumerate("abcdefg")}):
-        share = mixing.quota(weights, 360)
-        assert sum(share.values()) == 360
-        done = dict.fromkeys(share, 0)
-        for s, i, slot, release, due in mixing.period_slots(share):
-            assert release <= slot < due and i == done[s]
-            done[s] += 1
-            assert all(abs(done[x] - (slot + 1) * share[x] / 360) < 1 for x in share)
+def brute_schedule(blocks, weights):
+    """Each slot by looking at all sources: of those whose next block is released, the one due first."""
+    done, start, first, slot, out = [0] * len(blocks), 0, [0] * len(blocks), 0, []
+    while any(d < b for d, b in zip(done, blocks)):
+        left = [k for k in range(len(blocks)) if done[k] < blocks[k]]
+        w = {k: Fraction(weights[k]) for k in left if weights[k]} or {k: Fraction(1) for k in left}
+        total, phase_over = sum(w.values()), False
+        while not phase_over:
+            ready = []
+            for k, x in w.items():
+                i = done[k] - first[k]
+                if floor(i * total / x) <= slot - start:
+                    ready.append((ceil((i + 1) * total / x), k))
+            due, k = min(ready)
+            i = done[k] - first[k]
+            out.append((k, done[k], slot, start + floor(i * total / w[k]), start + due))
+            done[k] += 1
+            slot += 1
+            for s, x in w.items():  # less than one block off, all through the phase
+                assert abs(done[s] - first[s] - (slot - start) * x / total) < 1
+            if phase_over := done[k] == blocks[k]:
+                start, first = slot, list(done)
+    return out
+
+
+def test_whole_schedules_match_brute_force():
+    rng = random.Random(11)
+    for _ in range(12):
+        n = rng.randint(1, 6)
+        blocks, weights = [rng.randint(1, 60) for _ in range(n)], [rng.choice([0.0, 0.1, 0.5, 1.0, 3.7, rng.random()]) for _ in range(n)]
+        assert list(mixing.Schedule(blocks, mixing.exact(weights))) == brute_schedule(blocks, weights)
 
 
 def test_mixing_keeps_all_rows_and_places(spark):
     rows = [(i, "big" if i % 3 else f"s{i % 5}", 7) for i in range(3000)] + [(5000, None, 1), (5000, None, 1)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, slot int")
+    df = spark.createDataFrame(rows, "doc_id long, source string, _slot int")
     out = mixing.schedule(df, weights={"big": 2.0, "s0": 1.0}, block_docs=4)
     got = out.collect()
     assert sorted(r.doc_id for r in got) == sorted(r[0] for r in rows)
-    assert len({r._position for r in got}) == len(rows)
-    assert all(r._release <= r._slot < r._deadline for r in got)
+    assert len({r.position for r in got}) == len(rows)
+    assert all(r.release <= r.slot < r.deadline for r in got)
     per = {}
     for r in got:
-        per.setdefault((r.source, r._block), set()).add(r._slot)
+        per.setdefault((r.source, r.block), set()).add(r.slot)
     assert all(len(x) == 1 for x in per.values())
     assert mixing.mixed(df).columns == df.columns and mixing.mixed(df).count() == len(rows)
     assert mixing.schedule(df.limit(0)).count() == 0
@@ -102,10 +128,10 @@ def test_mixing_takes_exact_weights(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET", 50)
     df = spark.range(1000).select("id", F.when(F.col("id") < 900, "a").otherwise("b").alias("source"))
     got = mixing.schedule(df, "id", weights={"a": 0.9, "b": 0.1}, block_docs=3).collect()
-    assert len(got) == len({r._position for r in got}) == 1000 and {r._slot for r in got} == set(range(334))
+    assert len(got) == len({r.position for r in got}) == 1000 and {r.slot for r in got} == set(range(334))
     rare = spark.range(9000).select("id", F.when(F.col("id") < 8998, "a").otherwise("b").alias("source"))
     got = mixing.schedule(rare, "id", weights={"a": 9998.0, "b": 2.0}, block_docs=1).filter("source = 'b'").collect()
-    assert min((r._release, r._deadline) for r in got) == (0, 5000)
+    assert min((r.release, r.deadline) for r in got) == (0, 5000)
 
 
 def test_fingerprint_report(spark):
@@ -128,6 +154,40 @@ def test_fingerprint_report(spark):
     assert fingerprints.fingerprint_report(df.limit(1)).count() == 1
 
 
+def brute_bits(text):
+    """All 128 bits from the hashes of the terms, by the reference implementation of the hash."""
+    long = lambda x, seed: xxhash.xxh64_intdigest(struct.pack("<Q", x), seed)
+    words = [xxhash.xxh64_intdigest(w.encode(), 42) for w in (text or "").lower().split()]
+    terms = [words] if len(words) <= 5 else [words[i : i + 5] for i in range(len(words) - 4)]
+    first = []
+    for term in terms:
+        h = 42
+        for w in term:
+            h = long(w, h)
+        first.append(h)
+    second = [xxhash.xxh64_intdigest(struct.pack("<I", 7919), long(h, 42)) for h in first]
+    side = lambda hs: sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) >= len(hs))
+    return side(first), side(second)
+
+
+def test_fingerprints_match_brute_force_in_every_bit(spark):
+    rng = random.Random(13)
+    texts = [" ".join(str(rng.randrange(90)) for _ in range(n)) for n in (0, 1, 3, 5, 6, 7, 30, 120, 121)] + [None, "A b\tc D e F g H a b c d e f"]
+    texts += [" ".join([*texts[7].split()[:-1], "changed"]), texts[7]]
+    rows = [(100 * i, t, 1) for i, t in enumerate(texts)] + [(500, texts[5], 2), (None, "no id", 3), (None, "no id", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, copies int")
+    out = fingerprints.fingerprint_report(df).collect()
+    assert len(out) == len(rows) and [r.doc_id for r in out].count(500) == 2 and [r.doc_id for r in out].count(None) == 2
+    got = {r.doc_id: r for r in out}
+    bits = {i: brute_bits(t) for i, t, _ in rows[: len(texts)]}
+    assert all(got[i].fingerprint == f"{a:016x}{b:016x}" for i, (a, b) in bits.items())
+    far = lambda x, y: (x[0] ^ y[0]).bit_count() + (x[1] ^ y[1]).bit_count()
+    for i, x in bits.items():
+        near = {y for y in bits.values() if 0 < far(x, y) <= fingerprints.RADIUS}
+        same = [j for j, y in bits.items() if j != i and (y in near or y == x)]
+        assert (got[i].near_fingerprints, got[i].near_doc) == (len(near), min(same, default=None))
+
+
 def test_within_radius_matches_brute_force(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(128) for _ in range(20)]

@@ -105,3 +105,40 @@ def test_line_dedup_of_short_lines_and_unspaced_text(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = [r.text for r in line_dedup.deduped(df).orderBy("doc_id").collect()]
     assert got == [texts[0], "second", texts[2], "fourth", *texts[4:]]
+
+
+def test_line_dedup_matches_alignment_with_all_earlier_documents(spark):
+    rng = random.Random(21)
+    for round_ in range(3):
+        # lines of a fixed order, so that common lines never cross
+        lines = [" ".join(f"{round_}w{i}x{j}" for j in range(rng.randint(1, 9))) for i in range(40)]
+        docs = []
+        for d in range(25):
+            at = sorted(rng.sample(range(40), 3))
+            chosen = [lines[i] for i in range(40) if at[0] <= i < at[1] or rng.random() < 0.25 or i == at[2]]
+            docs.append("\n".join(x for line in chosen for x in ([line, f"own {d} line"] if rng.random() < 0.05 else [line])))
+        hashes, want = [[hash(x) for x in t.split("\n")] for t in docs], []
+        for d, t in enumerate(docs):
+            words = [len(x.split()) for x in t.split("\n")]
+            gone = {i for e in range(d) for i in line_dedup.common_lines(hashes[e], hashes[d], words)}
+            want.append("\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone))
+        df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+        assert [r.text for r in line_dedup.deduped(df).orderBy("doc_id").collect()] == want
+        assert want != docs
+
+
+def test_line_dedup_of_copies_whose_lines_have_other_holders(spark):
+    a, b = "one two three four five six", "uno due tre quattro cinque sei"
+    df = spark.createDataFrame([(1, a), (4, b), *[(i, f"{a}\n{b}") for i in (5, 6, 7)]], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.deduped(df).collect()} == {1: a, 4: b, 5: f"{a}\n{b}", 6: "", 7: ""}
+    assert {r.doc_id: r.text for r in line_dedup.deduped(df, block_words=6).collect()}[5] == ""
+
+
+def test_groups_of_rows_without_ids_link_others(spark):
+    base = [str(i) for i in range(60)]
+    change = lambda *at: " ".join("x" + w if i in at else w for i, w in enumerate(base))
+    # 1 and 2 are too far apart, and only the text without id links them
+    df = spark.createDataFrame([(1, change(10, 20)), (None, change(10)), (2, change(10, 30))], "doc_id long, text string")
+    ids = {r.component_id for r in ngram_join.near_groups(df, k=3, percent=90).collect()}
+    want, _ = brute_groups([change(10, 20), change(10), change(10, 30)], 3, 90)
+    assert len(set(want)) == 1 and ids == {1}

@@ -2,6 +2,7 @@
 
 import random
 
+import __spark_entry__
 import corpus_pipeline
 import pytest
 from codonlake.llm import mixing, registry
@@ -59,4 +60,4 @@ def test_run_keeps_the_order_of_the_mix(spark, folder, tmp_path):
 
 def test_registry():
     names = registry.queries()
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in __spark_entry__.queries() and set(names) < set(__spark_entry__.queries()) and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))

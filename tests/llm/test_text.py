@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -162,5 +164,150 @@ def test_token_frame(spark):
     df = spark.createDataFrame([(1, None, 3), (2, "", 3), (3, "a b", 3), (3, "a b", 3)], "doc_id long, text string, n_tokens int")
     out = pieces.tokenised(df).orderBy("doc_id")
     got = out.collect()
-    assert [(r.n_tokens > 0, r.round_trip) for r in got] == [(False, True), (False, True), (True, True), (True, True)]
+    assert out.columns == [*df.columns, "token_ids", "n_tokens_", "round_trip"]
+    assert [(r.n_tokens_ > 0, r.round_trip) for r in got] == [(False, True), (False, True), (True, True), (True, True)]
     assert [r.decoded_text for r in pieces.detokenised(out).orderBy("doc_id").collect()] == ["", "", "a b", "a b"]
+
+
+def plain_marginals(emit, trans, start):
+    """One text's posterior, word by word."""
+    n, s = emit.shape
+    e, t, b = np.exp(emit), np.exp(trans), np.exp(start)
+    ahead, after = [b * e[0]], [np.ones(s)]
+    for i in range(1, n):
+        ahead.append(np.array([sum(ahead[-1][p] * t[p, q] for p in range(s)) * e[i, q] for q in range(s)]))
+    for i in range(n - 1, 0, -1):
+        after.append(np.array([sum(t[p, q] * e[i, q] * after[-1][q] for q in range(s)) for p in range(s)]))
+    out = np.array(ahead) * np.array(after[::-1])
+    return out / out.sum(1, keepdims=True)
+
+
+def plain_emissions(words, model):
+    """Sum of the weights of each word's features, looked up one by one."""
+    f = model.features(words)
+    ends = [*f.first[1:], len(f.letter)]
+    return np.array([sum(model.table[k] for k in row) + 2.0 * np.mean(model.table[f.letter[a:b]], axis=0) for row, a, b in zip(f.fixed, f.first, ends, strict=True)], float)
+
+
+def test_scores_match_a_plain_field():
+    rng = random.Random(14)
+    rows = corpus(rng, 150)
+    langs, model = language.fit([(x, t) for _, t, x in rows], sequences=200)
+    texts = [t for _, t, _ in rows[:25]] + ["kalo ösch que", "", "12"]
+    best, p = language.score(texts, langs, model)
+    for t, k, score in zip(texts, best, p, strict=True):
+        w = Words([t])
+        mean = plain_marginals(plain_emissions(w, model), model.trans, model.start).mean(0) if len(w) else None
+        assert (k, score) == (-1, 0.0) if mean is None else k == mean.argmax() and np.isclose(score, mean.max(), atol=1e-5)
+    sample = [(int(i % 3 == 0), t + (" grumblefool" if i % 3 == 0 else "") + " " + t[::-1]) for i, t, _ in rows]
+    fitted = toxicity.fit(sample, runs=(300, 600))
+    assert fitted is not None
+    model, weights = fitted
+    for t, score in zip(texts, toxicity.score(texts, fitted), strict=True):
+        w = Words([t])
+        hot = plain_marginals(plain_emissions(w, model), model.trans, model.start)[:, 1] if len(w) else np.zeros(0)
+        z = weights @ [1.0, np.log1p(hot.sum()), hot.max(initial=0.0), hot.mean() if len(hot) else 0.0]
+        assert np.isclose(score, 1 / (1 + np.exp(-z)), atol=1e-5)
+
+
+def test_toxicity_learns_from_short_texts():
+    sample = [(int(i % 4 == 0), f"{a} {b} {'grumble' if i % 4 == 0 else 'kind'} {c}") for i, (a, b, c) in enumerate(itertools.product("lo mi ka tu ve".split(), "ra se ti".split(), "mo nu pa qe ri su ta".split()))]
+    fitted = toxicity.fit(sample * 2)
+    assert fitted is not None and (toxicity.score(["lo grumble ra", "lo kind ra"], fitted) >= 0.5).tolist() == [True, False]
+
+
+def test_letters_of_the_third_plane():
+    assert [Words([chr(0x30123)]).text(0), len(Words([chr(0x1F389)]))] == [chr(0x30123), 0]
+
+
+class Walk(HTMLParser):
+    """All text of a page, by another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.raw, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.RAW:
+            self.raw.append(tag)
+
+    def handle_endtag(self, tag):
+        if self.raw and self.raw[-1] == tag:
+            self.raw.pop()
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.out.append(data)
+
+
+def test_pages_hold_all_text_that_a_plain_walk_finds():
+    for k in range(40):
+        source = html_pages.Writer(90_000 + k).page()
+        walk = Walk()
+        walk.feed(source)
+        walk.close()
+        assert "".join("".join(t for _, t in html_text.Page(source).texts).split()) == "".join("".join(walk.out).split())
+
+
+def test_extraction_matches_a_plain_walk_over_the_kept_elements():
+    trees = html_text.fit(60)
+    for k in range(20):
+        source = html_pages.Writer(91_000 + k).page()
+        page = html_text.Page(source)
+        z = trees.logits(html_text.features(page))
+
+        def best(i):  # log-likelihood of the subtree where i is kept and where it is dropped, and the kept elements
+            below = [best(j) for j in range(len(page.tag)) if page.parent[j] == i]  # noqa: B023
+            keep, drop, kept = -np.log1p(np.exp(-z[i])), -np.log1p(np.exp(z[i])), {i}  # noqa: B023
+            for a, b, own in below:
+                keep += max(a, b)
+                kept |= own if a >= b else set()
+                drop += b
+            return keep, drop, kept
+
+        kept = best(0)[2]
+        assert html_text.extract([source], trees) == ["\n".join(t for j, t in page.texts if j in kept)]
+
+
+def test_inner_text_of_formulas_and_objects_stays():
+    page = html_text.Page("<article><p>The formula <math><mi>x</mi></math> is shown, and <object>fallback words</object> follow <svg><text>drawn</text></svg>.</p><script>if (a<b) { '</p>' }</script><textarea>typed</textarea></article>")
+    assert [t for _, t in page.texts] == ["The formula x is shown, and fallback words follow drawn."]
+
+
+def test_markup_is_read_in_linear_time():
+    began = time.time()
+    for hostile in ('<a "', "<a '\"", '<a ">"', "<", "<!--", "<a>", "</a b='", "<p <p "):
+        html_text.Page(hostile * 60_000)
+    assert time.time() - began < 60
+    assert [t for _, t in html_text.Page('a <b c="x > y">d</b> 1 < 2 <a "e').texts] == ['a d 1 < 2 <a "e']
+
+
+def test_viterbi_matches_the_library(model):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    data = open(pieces.default_model(), "rb").read()
+    at, out = 0, b""
+    while at < len(data):  # the same file, with the kind of model set to unigram
+        (number, _), size = next(iter(pieces._fields(data[at:]))), message_size(data, at)
+        part = data[at : at + size]
+        out += part if number != 2 else b""
+        at += size
+    lib = sentencepiece.SentencePieceProcessor(model_proto=out + b"\x12\x05\x18\x01\x98\x02\x01")
+    mine = pieces.Model(data, viterbi=True)
+    rng = random.Random(16)
+    texts = ["the quick brown fox", "Hello world, this is text.", "naïve café", *[" ".join(rng.choice(["other", "words", "and", "thing", "overs", "unlike"]) for _ in range(9)) for _ in range(30)]]
+    score = lambda ids: sum(mine.score[i] for i in ids)
+    for t, a, b in zip(texts, mine.encode(texts), lib.encode(texts, num_threads=1), strict=True):
+        assert np.isclose(score(a), score(b), rtol=1e-5) and mine.decode(a) == lib.decode(b)
+
+
+def message_size(data, at):
+    """Bytes of one field of a protocol-buffer message."""
+    i = at
+    while data[i] & 128:
+        i += 1
+    i, size, shift = i + 1, 0, 0
+    while True:
+        size |= (data[i] & 127) << shift
+        shift, i = shift + 7, i + 1
+        if not data[i - 1] & 128:
+            return i + size - at
