@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Members of a group that are named.
+PREVIEW = 20
+
 
 def overlap_type(t_start: Column, cds_first: Column) -> Column:
     """F1 or F2 by the frame against the CDS; null in its frame."""
@@ -24,6 +28,33 @@ def rejection(least_peptide: int = 6, least_core: int = 3, mane_only: bool = Fal
     return out.when(F.col("mane") != 1, "not_mane") if mane_only else out
 
 
+def eligible(rows: DataFrame) -> DataFrame:
+    """rows(orf_biotype, is_annotated_cds, mane, sizes, starts1, same_gene, any_gene, confounded) that are MANE CDSs (`template`) or
+    alternative-frame ORFs, with blocks that fit each other. Flags of annotated stops must be 0 or 1, a stop of the gene
+    must be one of any gene, and confounded says the same as any gene: anything else stops the job."""
+    binary = lambda c: F.coalesce(F.col(c).cast("string").isin("0", "1"), F.lit(False))
+    flags = ("same_gene", "any_gene", "confounded")
+    wrong = F.when(~(binary(flags[0]) & binary(flags[1]) & binary(flags[2])), "a flag of annotated stops is neither 0 nor 1").when((F.col("same_gene") == 1) & (F.col("any_gene") != 1), "a stop of the gene is none of any gene").when(F.col("confounded") != F.col("any_gene"), "confounded differs from the stop of any gene")
+    kind = F.when((F.col("orf_biotype") == "CDS") & (F.col("is_annotated_cds") == 1) & (F.col("mane") == 1), "template").when(F.col("orf_biotype") == "intORF_altframe", "candidate")
+    sound = F.coalesce((F.size("sizes") > 0) & (F.size("sizes") == F.size("starts1")) & ~F.exists("sizes", lambda n: n <= 0), F.lit(False))
+    x = rows.withColumn("use", kind).filter(F.col("use").isNotNull() & sound)
+    sure = F.when((F.col("use") == "candidate") & wrong.isNotNull(), F.raise_error(wrong).cast("string")).otherwise(F.col("use"))
+    return x.withColumn("use", sure)
+
+
+#: What a result tells of its candidate before anything is fitted.
+BASE = (
+    "torf_id", "gene_id", "gene_name", "transcript_id", "chrom", "strand", "t_start", "t_end", "aa_len", "peptide_len", "orf_biotype", "intorf_shares_annotated_stop_same_gene", "intorf_shares_annotated_stop_any_gene",
+    "intorf_annotated_stop_confounded", "gorf_id", "n_member_torfs", "n_member_transcripts", "member_torf_ids_preview", "member_transcripts_preview",
+)
+
+
+def base_result(rows: DataFrame) -> DataFrame:
+    """The columns of `BASE` and candidate_order; columns that rows lack are null."""
+    names = set(rows.columns)
+    return rows.select(*[F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in BASE], F.col("candidate_order") if "candidate_order" in names else F.lit(None).cast("long").alias("candidate_order"))
+
+
 def grouped(rows: DataFrame, by: str = "gorf", keep_confounded: bool = False) -> DataFrame:
     """One row for each candidate: rows(torf, gorf, blocks, overlap_type, mane, peptide_len, confounded).
 
@@ -33,10 +64,11 @@ def grouped(rows: DataFrame, by: str = "gorf", keep_confounded: bool = False) ->
     if by not in keys:
         raise ValueError(f"unknown grouping: {by}")
     best = F.max(F.struct("mane", "peptide_len", "torf"))
-    # members: names for reading, the first twenty in order
-    x = rows.withColumn("candidate", F.concat_ws("|", keys[by], "overlap_type")).groupBy("candidate", "overlap_type").agg(
-        best.alias("best"), F.count(F.lit(1)).alias("n_members"), F.max("confounded").alias("confounded"), F.array_join(F.slice(F.array_sort(F.collect_set("torf")), 1, 20), ",").alias("members")
-    )
+    named = rows.withColumn("candidate", F.concat_ws("|", keys[by], "overlap_type"))
+    # names for reading, the first twenty in order: a group's other names are dropped before they are gathered
+    few = named.select("candidate", "torf").distinct().withColumn("k", F.row_number().over(W.partitionBy("candidate").orderBy("torf"))).filter(F.col("k") <= PREVIEW)
+    few = few.groupBy("candidate").agg(F.array_join(F.array_sort(F.collect_list("torf")), ",").alias("members"))
+    x = named.groupBy("candidate", "overlap_type").agg(best.alias("best"), F.count(F.lit(1)).alias("n_members"), F.max("confounded").alias("confounded")).join(few, "candidate")
     x = x if keep_confounded else x.filter("confounded = 0")
     return x.select("candidate", "overlap_type", F.col("best.torf").alias("representative"), F.col("best.mane").alias("mane"), F.col("best.peptide_len").alias("peptide_len"), "n_members", "confounded", "members")
 

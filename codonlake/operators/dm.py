@@ -10,10 +10,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from codonlake.functions.sqlx import pearson
 
@@ -41,7 +39,8 @@ def loglik(codons: DataFrame, pi: tuple[float, float, float], a0: float, key: st
 def excess_counts(codons: DataFrame, key: str = "orf") -> DataFrame:
     """key, terms: array of (f, k, n), n codons with more than k reads in phase f."""
     long = codons.select(key, F.inline(F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"c{f}").alias("c")) for f in range(3)]))).filter("c > 0")
-    counts = long.select(key, "f", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("k")).groupBy(key, "f", "k").agg(F.count(F.lit(1)).alias("n"))
+    deep = long.groupBy(key, "f", "c").agg(F.count(F.lit(1)).alias("m"))  # equal counts once
+    counts = deep.select(key, "f", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("k")).groupBy(key, "f", "k").agg(F.sum("m").alias("n"))
     # as many entries as the candidate's largest counts
     return counts.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("f", "k", "n"))).alias("terms"))
 
@@ -73,10 +72,18 @@ def _bisect(lo: Column, hi: Column, right: callable) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, lambda s: (s["lo"] + s["hi"]) / 2)
 
 
-@F.pandas_udf(DoubleType())
-def half_chi2_tail(x: pd.Series) -> pd.Series:
-    """Half of P(chi-square with one degree of freedom > x); 1 at 0."""
-    return x.map(lambda v: None if v is None or v != v else 1.0 if v <= 1e-14 else 0.5 * math.erfc(math.sqrt(v / 2)))
+def half_chi2_tail(x: Column) -> Column:
+    """Half of P(chi-square with one degree of freedom > x); 1 at 0.
+
+    That is half of the complementary error function of sqrt(x / 2): by its power series where the argument is small,
+    else by its continued fraction, both with so many terms that the relative error is under 1e-12."""
+    z = F.sqrt(x / 2)
+    start = F.struct(z.alias("term"), z.alias("sum"))
+    step = lambda s, k: F.struct((s["term"] * -(z * z) / k).alias("term"), (s["sum"] + s["term"] * -(z * z) / k / (2 * k + 1)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step, lambda s: F.lit(0.5) - s["sum"] / math.sqrt(math.pi))
+    fraction = F.aggregate(F.sequence(F.lit(90), F.lit(1), F.lit(-1)), z, lambda a, k: z + k / (F.lit(2.0) * a))
+    far = F.exp(-(z * z)) / (fraction * (2 * math.sqrt(math.pi)))
+    return F.when(x.isNull() | F.isnan(x), None).when(x <= 1e-14, 1.0).when(z < 2.0, series).otherwise(far)
 
 
 def fit_lambda(codons: DataFrame, host: tuple[float, float, float], trans: tuple[float, float, float], a0: float, key: str = "orf") -> DataFrame:
@@ -90,7 +97,7 @@ def fit_lambda(codons: DataFrame, host: tuple[float, float, float], trans: tuple
     floor = F.col("top") - CUTOFF
     low = F.when(_value(t, zero, host, trans, a0) >= floor, zero).otherwise(_bisect(zero, F.col("lambda_hat"), lambda m: _value(t, m, host, trans, a0) < floor))
     high = F.when(_value(t, one, host, trans, a0) >= floor, one).otherwise(_bisect(F.col("lambda_hat"), one, lambda m: _value(t, m, host, trans, a0) >= floor))
-    return x.select(key, "lambda_hat", "lrt", half_chi2_tail("lrt").alias("p_asym"), low.alias("ci_low"), high.alias("ci_high"))
+    return x.select(key, "lambda_hat", "lrt", half_chi2_tail(F.col("lrt")).alias("p_asym"), low.alias("ci_low"), high.alias("ci_high"))
 
 
 def contrast_variance(n: Column, target: float, unused: float, a0: float) -> Column:
@@ -99,8 +106,21 @@ def contrast_variance(n: Column, target: float, unused: float, a0: float) -> Col
     return n * (n + a0) / (1 + a0) * F.lit(spread)
 
 
+def _template(pi) -> list[float]:
+    """The shares, summing to 1; what can be no template is an error."""
+    pi = [float(p) for p in pi]
+    if len(pi) != 3 or not all(math.isfinite(p) and p >= 0 for p in pi) or sum(pi) <= 0:
+        raise ValueError("a template must have three finite phases from 0 on, not all 0")
+    return [p / sum(pi) for p in pi]
+
+
 def expected_reads(lam: Column, reads: Column, host, trans) -> list[Column]:
-    """Reads of each component, and its reads in each phase."""
+    """Reads of each component, and its reads in each phase. A share outside 0 to 1, or reads under 0 or no number, stop the job."""
+    host, trans = _template(host), _template(trans)
+    wrong = lambda x, top: x.isNull() | F.isnan(x) | (x < 0) | (x > top)
+    lam, reads = lam.cast("double"), reads.cast("double")
+    reads = F.when(wrong(reads, 1e300), F.raise_error(F.lit("reads must be finite and not negative")).cast("double")).otherwise(reads)
+    lam = F.when(wrong(lam, 1.0), F.raise_error(F.lit("the share must be in 0 to 1")).cast("double")).otherwise(lam)
     out = [((1 - lam) * reads).alias("expected_host"), (lam * reads).alias("expected_trans")]
     out += [((1 - lam) * reads * host[f]).alias(f"expected_host_p{f}") for f in range(3)]
     return out + [(lam * reads * trans[f]).alias(f"expected_trans_p{f}") for f in range(3)]
@@ -128,3 +148,18 @@ def lag1(values: DataFrame, key: str = "orf") -> DataFrame:
     x = values.withColumn("next", F.when(F.lead("codon").over(w) == F.col("codon") + 1, F.lead("value").over(w))).filter("next is not null")
     out = x.groupBy(key).agg(F.count(F.lit(1)).alias("n_pairs"), pearson(F.col("value"), F.col("next")).alias("r"), F.stddev_pop("value").alias("sa"), F.stddev_pop("next").alias("sb"))
     return out.select(key, "n_pairs", F.when((F.col("n_pairs") >= 3) & (F.col("sa") > 1e-12) & (F.col("sb") > 1e-12), F.col("r")).alias("lag1"))
+
+
+def separated(host, trans, dominant: int, least: float = 0.05) -> bool:
+    """Whether the templates differ enough, in phase 0 and in the host's dominant phase, for a share to mean anything."""
+    return abs(trans[0] - host[0]) >= least and abs(host[dominant] - trans[dominant]) >= least
+
+
+def projected_residuals(codons: DataFrame, lam: Column, host, trans) -> DataFrame:
+    """codons with `value`: what is left of a codon's shares after the fitted mixture, along the way from host to trans. Codons without reads are left out."""
+    step = [t - h for h, t in zip(host, trans, strict=True)]
+    norm = math.sqrt(sum(s * s for s in step))
+    n = F.col("c0") + F.col("c1") + F.col("c2")
+    fit = [(1 - lam) * h + lam * t for h, t in zip(host, trans, strict=True)]
+    along = sum(((F.col(f"c{f}") / n - fit[f]) * step[f] for f in range(1, 3)), (F.col("c0") / n - fit[0]) * step[0])
+    return codons.filter(n > 0).withColumn("value", along / norm if norm > 1e-12 else F.lit(0.0))

@@ -104,3 +104,161 @@ def fit_a0(codons: DataFrame, pi: tuple[float, float, float], least_reads: int =
     top = F.aggregate(F.sequence(F.lit(1), F.lit(50)), F.struct(lo.alias("lo"), hi.alias("hi")), halve, lambda s: F.exp((s["lo"] + s["hi"]) / 2))
     some = F.col("n_codons") > 0
     return one.select(F.when(some, top).otherwise(20.0).alias("a0"), (some & F.col("best").isin(0, points)).alias("at_edge"), "n_codons")
+
+
+def load_cds(rows: DataFrame, least_nt: int = 90) -> DataFrame:
+    """Every tORF row with `skip`: why it is no CDS record; null for those that are.
+
+    rows: line, torf_id, orf_biotype, is_annotated_cds, has_MANE_Select_tag, t_start, t_end, chromStart1, chromEnd1, strand, sizes,
+    starts1. Annotated MANE CDSs only; of rows of one id the first read stays; a blank id gets a name from its line."""
+    yes = lambda c: F.lower(F.trim(F.col(c).cast("string"))).isin("1", "true", "t", "yes", "y")
+    number = lambda c: F.col(c).try_cast("int")
+    sizes = F.col("sizes")
+    bad_blocks = F.coalesce((F.size(sizes) == 0) | (F.size(sizes) != F.size("starts1")) | F.exists(sizes, lambda n: n <= 0), F.lit(True))
+    why = (
+        F.when(~F.coalesce((F.col("orf_biotype") == "CDS") & yes("is_annotated_cds") & yes("has_MANE_Select_tag"), F.lit(False)), "not_mane_cds")
+        .when(number("t_start").isNull() | number("t_end").isNull() | number("chromStart1").isNull() | number("chromEnd1").isNull(), "skip_invalid_coordinates").when(number("t_end") - number("t_start") < least_nt, "skip_short_cds")
+        .when(bad_blocks, "skip_invalid_blocks").when(~F.coalesce(F.nullif(F.trim("strand"), F.lit("")), F.lit("+")).isin("+", "-"), "skip_invalid_strand")
+    )
+    name = F.coalesce(F.nullif(F.trim("torf_id"), F.lit("")), F.concat(F.lit("CDS_fallback_"), F.col("line").cast("string")))
+    x = rows.withColumn("torf_id", name).withColumn("skip", why)
+    first = x.filter("skip is null").groupBy("torf_id").agg(F.min("line").alias("_first"))
+    x = x.join(first, "torf_id", "left")
+    total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n)
+    return x.withColumn("skip", F.coalesce("skip", F.when(F.col("line") != F.col("_first"), "skip_duplicate_torf_id").when(total < 3, "skip_invalid_orf_length"))).drop("_first")
+
+
+def load_counts(loaded: DataFrame) -> DataFrame:
+    """metric, value: rows scanned, CDS rows, those left out by reason, and those loaded, in one pass."""
+    parts = F.array_compact(F.array(F.lit("torf_rows_scanned"), F.when(F.coalesce(F.col("skip") != "not_mane_cds", F.lit(True)), "mane_cds_rows"), F.when(F.col("skip") != "not_mane_cds", F.col("skip")), F.when(F.col("skip").isNull(), "mane_cds_loaded")))
+    return loaded.select(F.explode(parts).alias("metric")).groupBy("metric").agg(F.count(F.lit(1)).alias("value"))
+
+
+def dense_enough(hits: DataFrame, cds: DataFrame, least: float = 0.05) -> DataFrame:
+    """cds (orf, length) with total_reads and read_density, of at least the density. hits: orf, n."""
+    reads = hits.groupBy("orf").agg(F.sum("n").alias("total_reads"))
+    x = cds.join(reads, "orf", "left").withColumn("total_reads", F.coalesce("total_reads", F.lit(0).cast("long"))).withColumn("read_density", F.col("total_reads") / F.col("length"))
+    return x.filter(F.col("read_density") >= least)
+
+
+def spliced_windows(cds: DataFrame, window: int) -> DataFrame:
+    """orf, piece ranges as rows (orf, chrom, strand, start0, end0, offset) in one coordinate a transcript has: CDS bases from 0 on,
+    the 5' flank below 0, the 3' flank from the CDS's length on; only `window` bases of each flank.
+
+    cds: orf, chrom, strand, length, blocks, flank5, flank3: arrays of (s, e) in genome order."""
+    from codonlake.operators.transcripts import placed
+
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + x["e"] - x["s"])
+    moved = lambda c, base: F.transform(placed(F.col(c), F.col("strand")), lambda x: F.struct(x["s"].alias("start0"), x["e"].alias("end0"), (x["t"] + base).alias("offset")))
+    rows = [moved("flank5", -total(F.col("flank5"))), moved("blocks", F.lit(0).cast("long")), moved("flank3", F.col("length").cast("long"))]
+    x = cds.select("orf", "chrom", "strand", "length", F.inline(F.concat(*rows)))
+    return x.filter((F.col("offset") + F.col("end0") - F.col("start0") > -window) & (F.col("offset") < F.col("length") + window))
+
+
+def metagene(hits: DataFrame, window: int, which: str = "start") -> DataFrame:
+    """rel_nt, count from -window to window around the first base of the start or of the stop codon; hits: t as from
+    `spliced_windows`, length, n. The start's window leaves out the 3' flank, the stop's the 5' flank."""
+    inside = (F.col("t") < F.col("length")) if which == "start" else (F.col("t") >= 0)
+    anchor = F.lit(0) if which == "start" else F.col("length") - 3
+    return relative_histogram(hits.filter(inside), anchor, window)
+
+
+def full_metrics(hits: DataFrame, cds: DataFrame, threshold: float = 1 / 3) -> DataFrame:
+    """The metrics of each CDS (orf, length, ...): periodicity, uniformity, and what happens at start and stop.
+
+    hits: orf, t (flanks below 0 and from the length on), n. Counts at the codons that follow the start are
+    filled with zeros before their median is taken."""
+    w = 15
+    t, n, length = F.col("t"), F.col("n"), F.col("length")
+    own = hits.join(cds.select("orf", "length"), "orf")
+    inside = (t >= 0) & (t < length)
+    among = lambda ok: F.coalesce(F.sum(F.when(ok, n)), F.lit(0)).cast("long")
+    codon_count = F.expr("length div 3")
+    whole = inside & (t < codon_count * 3)
+    per_codon = own.filter(whole).groupBy("orf", F.expr("t div 3").alias("codon")).agg(F.sum("n").alias("h"), F.sum(F.when(t % 3 == 0, n).otherwise(0)).alias("f0"))
+    codons = per_codon.groupBy("orf").agg(F.count_if(F.col("h") > 0).alias("codons_with_reads"), F.count_if((F.col("h") > 0) & (F.col("f0") / F.col("h") > threshold)).alias("passing"))
+    one = own.groupBy("orf").agg(
+        among(inside).alias("total_reads"), among(inside & (t % 3 == 0)).alias("f0"), among((t < 0) & (t >= -w)).alias("start_before"), among(inside & (t < w)).alias("start_after"),
+        among(inside & (t >= length - 3 - w) & (t < length - 3)).alias("stop_before"), among((t >= length) & (t < length + w)).alias("stop_after"), among(t == 0).alias("tis"),
+        F.collect_list(F.when((t >= 3) & (t < F.least(length, F.lit(33))) & (t % 3 == 0), F.struct(t.cast("int").alias("t"), n.alias("n")))).alias("near"),
+    )
+    x = cds.join(one, "orf", "left").join(codons, "orf", "left")
+    zero = F.lit(0).cast("long")
+    x = x.withColumns({c: F.coalesce(c, zero) for c in ("total_reads", "f0", "start_before", "start_after", "stop_before", "stop_after", "tis", "codons_with_reads", "passing")})
+    # counts at 3, 6, ... below the lesser of the length and 33; sites of one position come once
+    places = F.when(F.least(length, F.lit(33)) > 3, F.sequence(F.lit(3), F.least(length, F.lit(33)).cast("int") - 1, F.lit(3))).otherwise(F.array().cast("array<int>"))
+    seen = F.array_sort(F.transform(places, lambda k: F.aggregate(F.coalesce("near", F.array().cast("array<struct<t:int,n:bigint>>")), zero, lambda a, s: a + F.when(s["t"] == k, s["n"]).otherwise(0))))
+    x = x.withColumn("_seen", seen).withColumn("_m", F.size("_seen"))
+    middle = F.when(F.col("_m") == 0, 0.0).otherwise((F.get("_seen", F.expr("(_m - 1) div 2").cast("int")) + F.get("_seen", F.expr("_m div 2").cast("int"))) / 2.0)
+    share = lambda a, b: F.coalesce(a / F.nullif(b, zero), F.lit(0.0))
+    mean0 = share(F.col("f0"), codon_count)
+    return x.select(
+        *cds.columns, "total_reads", (F.col("total_reads") / length).alias("read_density"), share(F.col("f0"), F.col("total_reads")).alias("PIF"), share(F.col("passing"), codon_count).alias("Uniformity"),
+        share(F.col("start_after"), F.col("start_before") + F.col("start_after")).alias("StartIncrease"), share(F.col("stop_before"), F.col("stop_before") + F.col("stop_after")).alias("DropOff"),
+        F.when(mean0 > 0, F.col("tis") / mean0).otherwise(0.0).alias("TIS_global_enrich"), ((F.col("tis") + 1.0) / (middle + 1.0)).alias("TIS_local_score"), codon_count.alias("codon_count"), "codons_with_reads", "start_before", "start_after", "stop_before", "stop_after",
+    )
+
+
+def frames(hits: DataFrame, least_reads: int = 50) -> DataFrame:
+    """frame, count, proportion, total over the CDSs with enough reads. hits: orf, t, n inside CDSs."""
+    n = hits.groupBy("orf", (F.col("t") % 3).alias("frame")).agg(F.sum("n").alias("n"))
+    enough = n.groupBy("orf").agg(F.sum("n").alias("all")).filter(F.col("all") >= least_reads).select("orf")
+    one = n.join(enough, "orf", "left_semi").agg(*[F.coalesce(F.sum(F.when(F.col("frame") == f, F.col("n"))), F.lit(0)).cast("long").alias(f"f{f}") for f in range(3)])
+    total = F.col("f0") + F.col("f1") + F.col("f2")
+    return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("frame"), F.col(f"f{f}").alias("count"), F.coalesce(F.col(f"f{f}") / F.nullif(total, F.lit(0)), F.lit(0.0)).alias("proportion"), total.alias("total")) for f in range(3)])))
+
+
+def profile(hits: DataFrame, bins: int = 100, least_reads: int = 50) -> DataFrame:
+    """bin, mean_count_per_cds, f0, f1, f2: reads by place in the CDS, over all CDSs with enough reads, divided by their number; empty bins stay.
+
+    hits: orf, t, n, length inside CDSs."""
+    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(F.col("t") * bins / F.col("length"))))
+    by = hits.groupBy("orf", at.cast("long").alias("bin"), (F.col("t") % 3).alias("frame")).agg(F.sum("n").alias("n"))
+    enough = by.groupBy("orf").agg(F.sum("n").alias("all")).filter(F.col("all") >= least_reads).select("orf")
+    number = enough.agg(F.count(F.lit(1)).alias("cds"))
+    sums = by.join(enough, "orf", "left_semi").groupBy("bin").agg(F.sum("n").alias("n"), *[F.sum(F.when(F.col("frame") == f, F.col("n")).otherwise(0)).alias(f"n{f}") for f in range(3)])
+    grid = hits.sparkSession.range(bins).select(F.col("id").alias("bin"))
+    mean = lambda c: F.coalesce(F.col(c) / F.nullif("cds", F.lit(0)), F.lit(0.0))
+    # one row of the number
+    return grid.join(sums, "bin", "left").join(F.broadcast(number)).select("bin", mean("n").alias("mean_count_per_cds"), *[mean(f"n{f}").alias(f"f{f}") for f in range(3)])
+
+
+def patterns(codons: DataFrame, trim_start: int = 45, trim_stop: int = 30, least_reads: int = 3) -> DataFrame:
+    """The codons (orf, codon, c0, c1, c2, length) that templates are made of: away from both ends, with enough reads."""
+    first, last = -(-trim_start // 3), F.floor((F.col("length") - trim_stop) / 3)
+    return codons.filter((F.col("codon") >= first) & (F.col("codon") < last) & (F.col("c0") + F.col("c1") + F.col("c2") >= least_reads))
+
+
+def background(template_row: DataFrame, a0: DataFrame, least_a0: float = 0.5) -> DataFrame:
+    """pi0, pi1, pi2, A, status: failed_low_a0 where the concentration is under its least value, failed without codons.
+
+    template_row: one row of pi0, pi1, pi2, n_codons; a0: one row of a0."""
+    if least_a0 <= 0:
+        raise ValueError("the least concentration must be positive")
+    status = F.when(F.coalesce(F.col("n_codons"), F.lit(0)) == 0, "failed").when(F.col("a0") < least_a0, "failed_low_a0").otherwise("success")
+    return template_row.join(F.broadcast(a0.select("a0"))).select("pi0", "pi1", "pi2", F.col("a0").alias("A"), status.alias("template_status"))
+
+
+def vertices(lattice_rows: DataFrame, resolution: int = 20) -> DataFrame:
+    """v0, v1, v2: percent of codons at the corners. lattice_rows as from `ternary`."""
+    corner = lambda f: F.coalesce(F.max(F.when(F.col(f"g{f}") == resolution, F.col("percent"))), F.lit(0.0)).alias(f"v{f}")
+    return lattice_rows.agg(*[corner(f) for f in range(3)])
+
+
+def mean_shares(codons: DataFrame) -> DataFrame:
+    """m0, m1, m2: codon-equal mean of the phases in percent; 0 without codons."""
+    n = F.col("c0") + F.col("c1") + F.col("c2")
+    return codons.filter(n > 0).agg(*[F.coalesce(F.lit(100.0) * F.avg(F.col(f"c{f}") / n), F.lit(0.0)).alias(f"m{f}") for f in range(3)])
+
+
+def ternary_xy(p0: Column, p2: Column) -> tuple[Column, Column]:
+    """Place of shares in a triangle with sides of 1."""
+    return 0.5 * p0 + p2, F.lit(math.sqrt(3) / 2) * p0
+
+
+def describe(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """metric, mean, median, n of the columns, numbers only; zeros where there is no row."""
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    one = rows.agg(*[x for c in columns for x in (F.avg(number(c)).alias(f"{c}_a"), F.median(number(c)).alias(f"{c}_m"))], F.count(F.lit(1)).alias("_n"))
+    some = lambda x: F.when(F.col("_n") == 0, 0.0).otherwise(F.col(x))
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), some(f"{c}_a").alias("mean"), some(f"{c}_m").alias("median"), F.col("_n").alias("n")) for c in columns])))

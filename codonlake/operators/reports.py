@@ -45,20 +45,6 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(at == 0, n.cast("long")).otherwise(at - 1)
 
 
-def context(candidates: DataFrame, cds: DataFrame, least_codons: int = 5) -> DataFrame:
-    """candidates and cds (id, gene, chrom, strand, path): the CDS of the same gene whose path a candidate repeats longest from its start, in frame.
-
-    Ties go to the least id; class none, short (under least_codons) or reuse."""
-    c = cds.select(F.col("id").alias("cds"), "gene", "chrom", "strand", F.col("path").alias("cds_path"))
-    both = candidates.join(c, ["gene", "chrom", "strand"])
-    at = F.array_position("cds_path", F.element_at("path", 1))
-    rest = F.expr("slice(cds_path, cast(at as int), size(cds_path))")
-    both = both.withColumn("at", at).filter("at > 0 and (at - 1) % 3 = 0").withColumn("nt", common_prefix(F.col("path"), rest))
-    best = both.groupBy("id").agg(F.max_by("cds", F.struct("nt", -F.col("cds"))).alias("cds"), F.max("nt").alias("nt"))
-    out = candidates.select("id").join(best, "id", "left").withColumn("codons", F.coalesce(F.expr("nt div 3"), F.lit(0).cast("long")))
-    return out.withColumn("class", F.when(F.col("cds").isNull(), "none").when(F.col("codons") < least_codons, "short").otherwise("reuse")).select("id", "cds", F.coalesce("nt", F.lit(0).cast("long")).alias("nt"), "codons", "class")
-
-
 def gcd(a: Column, b: Column, steps: int = 48) -> Column:
     """Greatest common divisor by Euclid's steps."""
     start = F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))

@@ -159,12 +159,15 @@ def importance_p(candidates: DataFrame, reps: Column | int = 9999, seed: int = 1
     drawn = F.when(F.col("lrt") <= 1e-14, 0).otherwise(reps if isinstance(reps, Column) else F.lit(reps))
     x = candidates.select("key", F.col("lrt").alias("_lrt")).join(tails(candidates, drawn, "importance", seed, etas), "key", "left")
     zero, n = F.col("_lrt") <= 1e-14, F.col("drawn")
+    asked = (reps if isinstance(reps, Column) else F.lit(reps)).cast("double")
+    x = x if not isinstance(reps, Column) else x.join(candidates.select("key", asked.alias("_asked")), "key")
+    asked = asked if not isinstance(reps, Column) else F.col("_asked")
     mean = F.col("t") / n
     error = F.sqrt(F.greatest(F.lit(0.0), F.col("t2") - n * mean * mean) / F.nullif(n - 1, F.lit(0)) / n)
     ess = F.coalesce(F.try_divide(F.col("t") * F.col("t"), F.col("t2")), F.lit(0.0))
     return x.select(
         "key", F.when(zero, 1.0).when(F.col("tail") > 0, F.least(F.lit(1.0), mean)).alias("p_importance"), F.when(zero, 0.0).otherwise(error).alias("se"), F.when(zero, 0.0).otherwise(F.try_divide(error, mean)).alias("relative_se"),
-        F.coalesce(n, F.lit(0)).alias("reps_used"), F.when(zero, 1e9).otherwise(ess).alias("tail_ess"), F.when(zero, 1.0).otherwise(F.col("w") / n).alias("weight_mean"), F.try_divide("top", "t").alias("max_tail_weight"),
+        F.coalesce(n, F.lit(0)).alias("reps_used"), F.when(zero, asked).otherwise(ess).alias("tail_ess"), F.when(zero, 1.0).otherwise(F.col("w") / n).alias("weight_mean"), F.when(zero, 1 / asked).otherwise(F.try_divide("top", "t")).alias("max_tail_weight"),
     )
 
 

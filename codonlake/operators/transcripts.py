@@ -18,6 +18,34 @@ def none() -> Column:
     return F.array().cast(INTERVALS)
 
 
+def genes(gtf: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+    """gene_id, gene_name, gene_biotype, chrom, strand of each gene's first feature, its own or a transcript's, on the contigs to keep."""
+    x = gtf if contigs is None else gtf.join(F.broadcast(contigs.select("chrom")), "chrom", "left_semi")
+    x = x.filter("gene_id is not null and (feature = 'gene' or transcript_id is not null)")
+    first = F.min_by(F.struct(F.coalesce("gene_name", F.lit("")).alias("gene_name"), F.coalesce("gene_biotype", F.lit("")).alias("gene_biotype"), "chrom", "strand"), "line")
+    return x.groupBy("gene_id").agg(first.alias("g")).select("gene_id", "g.*")
+
+
+def indexed(gtf: DataFrame, contigs: DataFrame | None = None) -> DataFrame:
+    """`models` on the contigs to keep, with gene names and kinds from the genes' own first feature.
+
+    A transcript without a feature of its own is made from its exons; one without gene is left out."""
+    x = gtf if contigs is None else gtf.join(F.broadcast(contigs.select("chrom")), "chrom", "left_semi")
+    made = models(x.filter("gene_id is not null and feature <> 'gene'")).drop("gene_name", "gene_biotype")
+    return made.join(genes(gtf, contigs).select("gene_id", "gene_name", "gene_biotype"), "gene_id")
+
+
+def annotated_stops(tx: DataFrame) -> DataFrame:
+    """gene_id, stop (its signature, null if it isn't three positions) of the transcripts with a CDS and an explicit stop codon, in genomic coordinates."""
+    x = tx.filter((F.size("cds") > 0) & (F.size("stop_codon") > 0))
+    return x.select("gene_id", stop_signature(F.col("chrom"), F.col("strand"), F.col("stop_codon")).alias("stop"))
+
+
+def invalid_stops(stops: DataFrame) -> DataFrame:
+    """One row: transcripts whose annotated stop isn't three positions on a strand."""
+    return stops.agg(F.count_if(F.col("stop").isNull()).alias("invalid_stop_transcripts"))
+
+
 def models(gtf: DataFrame) -> DataFrame:
     """One row for each transcript of the features that has exons: names of its first feature, distinct tags, intervals by kind.
 
@@ -119,10 +147,13 @@ def overlap(s: Column, e: Column, intervals: Column) -> Column:
     return F.aggregate(intervals, zero, lambda a, i: a + F.greatest(zero, F.least(e, i["e"]) - F.greatest(s, i["s"])))
 
 
-def forced(x: DataFrame) -> DataFrame:
-    """ORFs(t_start, t_end) with their transcript's model: one that ends at the annotated stop takes the annotated range; `is_cds` tells."""
+def forced(x: DataFrame, min_aa: int = 0) -> DataFrame:
+    """ORFs(t_start, t_end) with their transcript's model: one that ends at the annotated stop takes the annotated range; `is_cds` tells.
+
+    Those that are shorter than min_aa then are left out."""
     cds = (F.col("tx_complete_cds") == 1) & F.col("ann_end").isNotNull() & (F.col("t_end") == F.col("ann_end"))
-    return x.withColumn("is_cds", F.coalesce(cds, F.lit(False))).withColumn("t_start", F.when(F.col("is_cds"), F.col("ann_start")).otherwise(F.col("t_start")))
+    x = x.withColumn("is_cds", F.coalesce(cds, F.lit(False))).withColumn("t_start", F.when(F.col("is_cds"), F.col("ann_start")).otherwise(F.col("t_start")))
+    return x.filter(F.expr("(t_end - t_start) div 3 - 1") >= min_aa) if min_aa else x
 
 
 def kinds(x: DataFrame) -> DataFrame:

@@ -29,42 +29,10 @@ def orf_peptides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("start_revcomp", orfs.reverse_complement(F.substring("kozak_seq", 7, 3)))
 
 
-def gorf_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers' parts as transcript ORFs: equal blocks are one genomic ORF."""
-    p = table(spark, sf_dir, "part")
-    k = F.col("p_partkey")
-    x = p.select(
-        F.concat(F.lit("t"), k.cast("string")).alias("torf"), F.col("p_brand").alias("gene"), F.concat(F.lit("chr"), k % 3).alias("chrom"), F.when(k % 2 == 0, "+").otherwise("-").alias("strand"),
-        F.array(F.lit(30) + 3 * (k % 5)).alias("sizes"), F.array(F.lit(101) + k % 40).alias("starts1"), (k % 4).alias("rank"), (k * 7 % 11).alias("peptide_len"), (k * 5 % 13).alias("aa_len"),
-    )
-    return orfs.collapse(x)
-
-
 def ann_merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orfs.merge_ranges(domain.orf_blocks(spark, sf_dir).select(F.concat_ws("", "chrom", "strand").alias("chrom"), "start0", "end0"), "chrom")
 
 
-def ps_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Read lengths from events, with frames by position weighted towards one."""
-    e = domain.psites(spark, sf_dir).withColumn("f", F.when(F.col("pos") % 5 < 4, F.col("rl") % 3).otherwise(F.col("pos") % 3))
-    s = e.groupBy(F.col("rl").alias("length")).agg(F.count(F.lit(1)).alias("reads"), *[F.count_if(F.col("f") == k).alias(f"f{k}") for k in range(3)])
-    return psites.select_offsets(s.withColumn("offset", 12 + F.col("length") % 4))
-
-
-def ps_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alignments made from lineitem: a clip, an intron or deletion and an insertion in a read of 30 bases."""
-    x = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", F.col("l_linenumber").cast("long").alias("ln"), "l_suppkey").distinct()
-    clip, gap = F.col("l_partkey") % 3, F.col("l_suppkey") % 4
-    s = lambda c: c.cast("string")
-    cigar = F.concat(F.when(clip > 0, F.concat(s(clip), F.lit("S"))).otherwise(""), s(12 - clip), F.lit("M"), F.when(gap > 0, F.concat(s(gap * 50), F.lit("N"))).otherwise(""), F.lit("3M2I"), F.lit("13M"))
-    reads = x.select(
-        F.concat_ws("-", "l_orderkey", "l_partkey", "ln", "l_suppkey").alias("qname"), F.when(F.col("l_orderkey") % 2 == 0, 16).otherwise(0).alias("flag"), F.lit("chr1").alias("rname"), (F.col("l_partkey") * 10).alias("pos0"),
-        (F.col("l_suppkey") % 60).alias("mapq"), cigar.alias("cigar"), F.when(F.col("l_partkey") % 7 == 0, "0A27").otherwise("28").alias("md"), F.when(F.col("ln") == 7, 2).otherwise(1).alias("nh"),
-    )
-    out = psites.call(reads, spark.createDataFrame([(30, 12)], "length int, offset int"))
-    return out.select("qname", F.coalesce("reason", F.lit("called")).alias("reason"), "psite")
-
-
 def ps_bedgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return psites.bedgraph(iv_site_index(spark, sf_dir))
 
@@ -78,20 +46,6 @@ def ab_quantify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "status", *[rounded(F.col(c)).alias(c) for c in out.columns[2:]])
 
 
-def cx_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' ORF blocks against suppliers as CDS of the same nation."""
-    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
-    strand = F.when(F.col("nk") % 2 == 0, "+").otherwise("-")
-
-    def made(df, key, nation, start, size):
-        x = df.select(F.col(key).alias("id"), F.col(nation).alias("nk"), start.alias("s"), size.alias("n"))
-        blocks = F.array(F.struct(F.col("s").alias("start0"), (F.col("s") + 15).alias("end0")), F.struct((F.col("s") + 40).alias("start0"), (F.col("s") + 40 + F.col("n")).alias("end0")))
-        return x.select("id", F.col("nk").alias("gene"), F.lit("chr1").alias("chrom"), strand.alias("strand"), reports.path(blocks, strand, (15 + F.col("n")).cast("int")).alias("path"))
-
-    cand = made(c, "c_custkey", "c_nationkey", F.col("c_custkey") * 3 % 45, 12 + F.col("c_custkey") % 4 * 3)
-    return reports.context(cand, made(s, "s_suppkey", "s_nationkey", F.col("s_suppkey") * 6 % 45, 15 + F.col("s_suppkey") % 5 * 3))
-
-
 def ex_ternary_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codons by their phase ratio in lowest terms."""
     from codonlake.plans.inference import cand_codons
@@ -176,7 +130,7 @@ found AS (SELECT tx, frame, t_start, t_end, (t_end - 3 - t_start) // 3 AS aa_len
 CALL_SQL = """calls AS (SELECT user_id AS key, event_type AS replicate, (min(event_id) % 97) / 97.0::DOUBLE AS q, (min(event_id) % 101) / 100.0::DOUBLE AS lam, CASE WHEN count(*) % 3 = 0 THEN 1 ELSE 0 END AS prim
   FROM events GROUP BY event_type, user_id)"""
 
-QUERIES = {f.__name__: f for f in (orf_scan, orf_peptides, gorf_collapse, ann_merged_blocks, ps_offsets, ps_calls, ps_bedgraph, ab_quantify, cx_context, ex_ternary_ratios, in_replicates, rp_pairwise, rp_support, vz_waterfall, vz_length_bins, rp_lambda_matrix, rp_states, rp_correlations, vz_gate_combinations)}
+QUERIES = {f.__name__: f for f in (orf_scan, orf_peptides, ann_merged_blocks, ps_bedgraph, ab_quantify, ex_ternary_ratios, in_replicates, rp_pairwise, rp_support, vz_waterfall, vz_length_bins, rp_lambda_matrix, rp_states, rp_correlations, vz_gate_combinations)}
 ORACLES = {
     "orf_scan": f"{SCAN_SQL} SELECT tx, frame, t_start, t_end, aa_len FROM found",
     "orf_peptides": f"""{SCAN_SQL}, x AS (SELECT f.*, seq, substr('NNNNNN' || seq || 'NNNNNNNN', CAST(t_start AS INT) + 1, 14) AS kz FROM found f JOIN seqs USING (tx)),
@@ -186,28 +140,9 @@ aa AS (SELECT tx, t_start, i, CASE WHEN i = t_start THEN 'M' ELSE substr('FFLLSS
 pep AS (SELECT tx, t_start, string_agg(a, '' ORDER BY i) AS peptide FROM aa GROUP BY tx, t_start)
 SELECT tx, t_start, peptide, kz AS kozak_seq, CASE WHEN substr(kz, 4, 1) IN ('A', 'G') AND substr(kz, 10, 1) = 'G' THEN 'Strong' WHEN substr(kz, 4, 1) IN ('A', 'G') OR substr(kz, 10, 1) = 'G' THEN 'Moderate' ELSE 'Weak' END AS kozak_class,
   reverse(translate(substr(kz, 7, 3), 'ACGT', 'TGCA')) AS start_revcomp FROM x JOIN pep USING (tx, t_start)""",
-    "gorf_collapse": """WITH t AS (SELECT 't' || p_partkey AS torf, p_brand AS gene, 'chr' || (p_partkey % 3) AS chrom, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
-  30 + 3 * (p_partkey % 5) AS size, 101 + p_partkey % 40 AS s1, p_partkey % 4 AS rank, p_partkey * 7 % 11 AS pl, p_partkey * 5 % 13 AS al FROM part),
-k AS (SELECT *, 'g|' || chrom || '|' || strand || '|blocks|h' || substr(sha1('{"key":["blocks","' || chrom || '","' || strand || '",[' || size || '],[' || s1 || ']],"merge_by":"blocks"}'), 1, 16) AS gorf FROM t),
-r AS (SELECT *, row_number() OVER (PARTITION BY gorf ORDER BY rank, pl DESC, al DESC, torf) AS rn FROM k),
-g AS (SELECT gorf, gene, row_number() OVER (PARTITION BY gorf ORDER BY count(*) DESC, gene) AS rn FROM k GROUP BY gorf, gene)
-SELECT r.gorf, count(*) AS n_members, max(torf) FILTER (r.rn = 1) AS representative, CAST(1 AS BIGINT) AS n_signatures, any_value(g.gene) AS gene_id FROM r JOIN g ON r.gorf = g.gorf AND g.rn = 1 GROUP BY r.gorf""",
     "ann_merged_blocks": f"""WITH {domain.BLOCK_SQL}, x AS (SELECT chrom || strand AS chrom, start0, end0, max(end0) OVER (PARTITION BY chrom, strand ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM block),
 y AS (SELECT *, sum(CASE WHEN upto IS NULL OR start0 > upto THEN 1 ELSE 0 END) OVER (PARTITION BY chrom ORDER BY start0, end0 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM x)
 SELECT chrom, min(start0) AS start0, max(end0) AS end0 FROM y GROUP BY chrom, k""",
-    "ps_offsets": f"""WITH {domain.PSITE_SQL}, e AS (SELECT rl, CASE WHEN pos % 5 < 4 THEN rl % 3 ELSE pos % 3 END AS f FROM psite),
-s AS (SELECT rl AS length, count(*) AS reads, count(*) FILTER (f = 0) AS f0, count(*) FILTER (f = 1) AS f1, count(*) FILTER (f = 2) AS f2, 12 + rl % 4 AS o FROM e GROUP BY rl),
-r AS (SELECT length, reads, o, CASE (24 - o) % 3 WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END AS p0, CASE (25 - o) % 3 WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END AS p1, CASE (26 - o) % 3 WHEN 0 THEN f0 WHEN 1 THEN f1 ELSE f2 END AS p2 FROM s),
-ok AS (SELECT *, length - row_number() OVER (ORDER BY length) AS k FROM r WHERE 3 * p0 > 2 * (p0 + p1 + p2)),
-best AS (SELECT k FROM ok GROUP BY k ORDER BY sum(reads) DESC, count(*) DESC, min(length) LIMIT 1),
-t AS (SELECT r.*, CASE WHEN p0 + p1 + p2 = 0 THEN 'no_frame_counts' WHEN 3 * p0 <= 2 * (p0 + p1 + p2) THEN 'frame0_not_above_threshold' WHEN length NOT IN (SELECT length FROM ok WHERE k IN (SELECT k FROM best)) THEN 'outside_dominant_contiguous_block' ELSE 'selected' END AS reason FROM r)
-SELECT length, reads, o AS "offset", p0, p1, p2, reason, CASE WHEN reason = 'selected' THEN 1 ELSE 0 END AS selected FROM t""",
-    "ps_calls": """WITH x AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS p, l_linenumber AS ln, l_suppkey AS s, l_partkey % 3 AS clip, (l_suppkey % 4) * 50 AS gap, l_orderkey % 2 = 0 AS rev FROM lineitem),
-q AS (SELECT *, CASE WHEN rev THEN 29 - 12 ELSE clip + 12 END AS qi FROM x),
-r AS (SELECT *, CASE WHEN qi < 12 THEN p * 10 + qi - clip WHEN qi < 15 THEN p * 10 + qi - clip + gap WHEN qi < 17 THEN NULL ELSE p * 10 + qi - clip + gap - 2 END AS pos,
-  CASE WHEN s % 60 < 20 THEN 'skipped_mapq' WHEN ln = 7 THEN 'skipped_multimapper' WHEN NOT rev AND clip > 0 THEN 'skipped_5p_not_aligned' WHEN NOT rev AND p % 7 = 0 THEN 'skipped_5p_mismatch' END AS why FROM q),
-z AS (SELECT *, coalesce(why, CASE WHEN pos IS NULL THEN 'skipped_qmap' ELSE 'called' END) AS reason FROM r)
-SELECT concat_ws('-', o, p, ln, s) AS qname, reason, CASE WHEN reason = 'called' THEN pos END AS psite FROM z""",
     "ps_bedgraph": f"""WITH {domain.PSITE_SQL}, site AS (SELECT chrom, strand, pos, count(*) AS n FROM psite GROUP BY ALL),
 x AS (SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(n) OVER w = n THEN 0 ELSE 1 END AS new FROM site WINDOW w AS (PARTITION BY chrom, strand ORDER BY pos)),
 y AS (SELECT *, sum(new) OVER (PARTITION BY chrom, strand ORDER BY pos) AS run FROM x) SELECT chrom, strand, min(pos) AS start0, max(pos) + 1 AS end0, max(n) AS depth FROM y GROUP BY chrom, strand, run""",
@@ -230,16 +165,6 @@ SELECT 0 AS step, 'all' AS gate, count(*) AS n FROM g UNION ALL SELECT 1, 'bh',
 UNION ALL SELECT 4, 'breadth', count(*) FILTER (a AND b AND c AND d) FROM g UNION ALL SELECT 5, 'residual', count(*) FILTER (a AND b AND c AND d AND e) FROM g""",
     "vz_length_bins": """WITH b(bin, lo, hi) AS (VALUES ('6-9', -1, 9), ('10-14', 10, 14), ('15-29', 15, 29), ('30-59', 30, 59), ('>=60', 60, 1000000))
 SELECT bin, count(p_partkey) AS n, count(p_partkey) FILTER (p_partkey % 3 = 0) AS passing FROM b LEFT JOIN part ON p_size BETWEEN lo AND hi AND (p_size <= 29 OR p_size > 59) GROUP BY bin""",
-    "cx_context": """WITH c AS (SELECT c_custkey AS id, c_nationkey AS g, c_custkey * 3 % 45 AS s, 12 + c_custkey % 4 * 3 AS n FROM customer),
-d AS (SELECT s_suppkey AS id, s_nationkey AS g, s_suppkey * 6 % 45 AS s, 15 + s_suppkey % 5 * 3 AS n FROM supplier),
-u AS (SELECT 'c' AS kind, * FROM c UNION ALL SELECT 'd', * FROM d),
-p AS (SELECT *, unnest(range(0, 15 + n)) AS i FROM u),
-pos AS (SELECT kind, id, g, i, CASE WHEN g % 2 = 0 THEN CASE WHEN i < 15 THEN s + i ELSE s + 40 + i - 15 END ELSE CASE WHEN i < n THEN s + 40 + n - 1 - i ELSE s + 14 - (i - n) END END AS x FROM p),
-st AS (SELECT a.id, b.id AS cds, a.g, min(b.i) AS k FROM pos a JOIN pos b ON a.kind = 'c' AND a.i = 0 AND b.kind = 'd' AND a.g = b.g AND a.x = b.x GROUP BY a.id, b.id, a.g HAVING min(b.i) % 3 = 0),
-m AS (SELECT st.id, st.cds, a.i, b.x IS NOT NULL AND a.x = b.x AS same FROM st JOIN pos a ON a.kind = 'c' AND a.id = st.id LEFT JOIN pos b ON b.kind = 'd' AND b.id = st.cds AND b.i = st.k + a.i),
-l AS (SELECT id, cds, coalesce(min(i) FILTER (NOT same), count(*)) AS nt FROM m GROUP BY id, cds),
-b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY nt DESC, cds) AS rn FROM l)
-SELECT c.id, cds, CAST(coalesce(nt, 0) AS BIGINT) AS nt, CAST(coalesce(nt, 0) // 3 AS BIGINT) AS codons, CASE WHEN cds IS NULL THEN 'none' WHEN nt // 3 < 5 THEN 'short' ELSE 'reuse' END AS class FROM c LEFT JOIN b ON c.id = b.id AND rn = 1""",
     "rp_lambda_matrix": f"""WITH {CALL_SQL}, reps AS (SELECT replicate, row_number() OVER (ORDER BY replicate) - 1 AS k FROM (SELECT DISTINCT replicate FROM calls)),
 x AS (SELECT key, k, prim, CASE WHEN lam <= 0.9 THEN lam END AS v FROM calls JOIN reps USING (replicate))
 SELECT key, count(*) FILTER (prim = 1) AS support, round(median(v), 6) AS middle, max(v) FILTER (k = 0) AS r0, max(v) FILTER (k = 1) AS r1, max(v) FILTER (k = 2) AS r2, max(v) FILTER (k = 3) AS r3, max(v) FILTER (k = 4) AS r4 FROM x GROUP BY key HAVING count(*) FILTER (prim = 1) > 0 AND count(v) > 0""",

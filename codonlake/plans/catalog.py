@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codonlake.plans import annotation, counting, inference, models
+from codonlake.plans import annotation, counting, finish, genome, inference, models, quality
 
-MODULES = (annotation, counting, inference, models)
+MODULES = (annotation, counting, inference, models, genome, finish, quality)
 
 
 def queries() -> dict:
