@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codonlake.functions.sqlx import pearson
+from codonlake.functions.sqlx import finite, pearson
 
 
 def abundance(reads: Column, nt: Column, library: Column) -> Column:
@@ -56,7 +56,7 @@ def integrate(calls: DataFrame, replicates: list[str], least: int = 2, least_sha
     """calls(key, replicate, q, lambda, primary): a row for each key, with its support and label; wide presence columns."""
     n = len(replicates)
     agg = calls.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n_observed"), F.sum("primary").alias("n_primary"), F.count_if(F.col("q") <= fdr).alias("n_bh"), F.median("lambda").alias("median_lambda"), F.min("q").alias("min_q"),
+        F.count(F.lit(1)).alias("n_observed"), F.sum("primary").alias("n_primary"), F.count_if(F.col("q") <= fdr).alias("n_bh"), F.median(finite(F.col("lambda"))).alias("median_lambda"), F.min(finite(F.col("q"))).alias("min_q"),
         *[F.max(F.when(F.col("replicate") == r, F.col("primary"))).alias(f"primary_{r}") for r in replicates],
     )
     few = F.when(F.col("n_primary") > 0, "single_replicate_primary_credible").otherwise("not_primary_credible")

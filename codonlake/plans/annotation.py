@@ -83,8 +83,8 @@ def vz_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vz_length_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "part").filter("p_size <= 29 or p_size > 59")
-    return reports.length_bins(x, "p_size", F.col("p_partkey") % 3 == 0)
+    x = table(spark, sf_dir, "part").withColumn("size", F.when(F.col("p_size").between(30, 59), 12).otherwise(F.col("p_size")))  # an empty bin
+    return reports.length_bins(x, "size", F.col("p_partkey") % 3 == 0)
 
 
 def _names(spark: SparkSession, sf_dir: str) -> list[str]:
@@ -164,7 +164,7 @@ SELECT rep_a, rep_b, count(*) AS n, round(corr(a, b), 6) AS pearson, round(corr(
 SELECT 0 AS step, 'all' AS gate, count(*) AS n FROM g UNION ALL SELECT 1, 'bh', count(*) FILTER (a) FROM g UNION ALL SELECT 2, 'direction', count(*) FILTER (a AND b) FROM g UNION ALL SELECT 3, 'distance', count(*) FILTER (a AND b AND c) FROM g
 UNION ALL SELECT 4, 'breadth', count(*) FILTER (a AND b AND c AND d) FROM g UNION ALL SELECT 5, 'residual', count(*) FILTER (a AND b AND c AND d AND e) FROM g""",
     "vz_length_bins": """WITH b(bin, lo, hi) AS (VALUES ('6-9', -1, 9), ('10-14', 10, 14), ('15-29', 15, 29), ('30-59', 30, 59), ('>=60', 60, 1000000))
-SELECT bin, count(p_partkey) AS n, count(p_partkey) FILTER (p_partkey % 3 = 0) AS passing FROM b LEFT JOIN part ON p_size BETWEEN lo AND hi AND (p_size <= 29 OR p_size > 59) GROUP BY bin""",
+SELECT bin, count(p_partkey) AS n, count(p_partkey) FILTER (p_partkey % 3 = 0) AS passing FROM b LEFT JOIN part ON CASE WHEN p_size BETWEEN 30 AND 59 THEN 12 ELSE p_size END BETWEEN lo AND hi GROUP BY bin""",
     "rp_lambda_matrix": f"""WITH {CALL_SQL}, reps AS (SELECT replicate, row_number() OVER (ORDER BY replicate) - 1 AS k FROM (SELECT DISTINCT replicate FROM calls)),
 x AS (SELECT key, k, prim, CASE WHEN lam <= 0.9 THEN lam END AS v FROM calls JOIN reps USING (replicate))
 SELECT key, count(*) FILTER (prim = 1) AS support, round(median(v), 6) AS middle, max(v) FILTER (k = 0) AS r0, max(v) FILTER (k = 1) AS r1, max(v) FILTER (k = 2) AS r2, max(v) FILTER (k = 3) AS r3, max(v) FILTER (k = 4) AS r4 FROM x GROUP BY key HAVING count(*) FILTER (prim = 1) > 0 AND count(v) > 0""",

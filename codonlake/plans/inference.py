@@ -127,9 +127,17 @@ def qc_trimmed_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
 
 
+def dm_projected_lag1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of neighbouring codons' residuals along the way from host to trans, after a share by the ORF's number."""
+    lam = (F.col("orf") % 101) / F.lit(100.0)
+    out = dm.lag1(dm.projected_residuals(cand_codons(spark, sf_dir), lam, HOST, TRANS))
+    return out.select("orf", "n_pairs", rounded(F.col("lag1")).alias("lag1"))
+
+
 def qc_a0(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No SQL twin: a maximum found by bisection; a test holds it against a fine grid."""
-    return metagene.fit_a0(cand_codons(spark, sf_dir), HOST)
+    """The concentration to five digits of its logarithm."""
+    out = metagene.fit_a0(cand_codons(spark, sf_dir), HOST)
+    return out.select(F.round(F.log("a0"), 5).alias("log_a0"), F.col("at_edge").cast("int").alias("at_edge"), "n_codons")
 
 
 def dm_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,6 +150,50 @@ def dm_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.final_p(kept(rows), mode="fast")
 
 
+def _mix(lam: str) -> str:
+    """A0 times the mixture's share of phase t.f."""
+    pick = lambda v: f"(CASE t.f WHEN 0 THEN {v[0]}::DOUBLE WHEN 1 THEN {v[1]}::DOUBLE ELSE {v[2]}::DOUBLE END)"
+    return f"{A0}::DOUBLE * ((1 - {lam}) * {pick(HOST)} + {lam} * {pick(TRANS)})"
+
+
+def _ll(lam: str, terms: str = "terms") -> str:
+    return f"list_sum(list_transform({terms}, lambda t: t.n * ln({_mix(lam)} + t.k)))"
+
+
+def _slope(lam: str) -> str:
+    step = " ".join(f"WHEN {f} THEN {TRANS[f] - HOST[f]}::DOUBLE" for f in range(2))
+    return f"list_sum(list_transform(terms, lambda t: t.n * {A0}::DOUBLE * (CASE t.f {step} ELSE {TRANS[2] - HOST[2]}::DOUBLE END) / ({_mix(lam)} + t.k)))"
+
+
+_MID = "((lo + hi) / 2)"
+_FIT_SQL = f"""WITH RECURSIVE {CAND_SQL}, deep AS (SELECT orf, unnest([0, 1, 2]) AS f, unnest([c0, c1, c2]) AS c FROM cand), ks AS (SELECT orf, f, unnest(range(0, c)) AS k FROM deep WHERE c > 0),
+cnt AS (SELECT orf, f, k, count(*) AS n FROM ks GROUP BY ALL), terms AS (SELECT orf, list({{'f': f, 'k': k, 'n': n}}) AS terms FROM cnt GROUP BY orf),
+r1 AS (SELECT orf, terms, 0 AS i, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM terms UNION ALL SELECT orf, terms, i + 1, CASE WHEN {_slope(_MID)} > 0 THEN {_MID} ELSE lo END, CASE WHEN {_slope(_MID)} > 0 THEN hi ELSE {_MID} END FROM r1 WHERE i < 60),
+fit AS (SELECT orf, terms, CASE WHEN {_slope('0.0::DOUBLE')} <= 0 THEN 0.0::DOUBLE WHEN {_slope('1.0::DOUBLE')} >= 0 THEN 1.0::DOUBLE ELSE {_MID} END AS lam FROM r1 WHERE i = 60),
+top AS (SELECT *, {_ll('lam')} AS top, {_ll('0.0::DOUBLE')} AS at0, {_ll('1.0::DOUBLE')} AS at1, {_ll('lam')} - 3.841458820694124::DOUBLE / 2 AS low FROM fit),
+r2 AS (SELECT orf, terms, low, 0 AS i, 0.0::DOUBLE AS lo, lam AS hi FROM top UNION ALL SELECT orf, terms, low, i + 1, CASE WHEN {_ll(_MID)} < low THEN {_MID} ELSE lo END, CASE WHEN {_ll(_MID)} < low THEN hi ELSE {_MID} END FROM r2 WHERE i < 60),
+r3 AS (SELECT orf, terms, low, 0 AS i, lam AS lo, 1.0::DOUBLE AS hi FROM top UNION ALL SELECT orf, terms, low, i + 1, CASE WHEN {_ll(_MID)} >= low THEN {_MID} ELSE lo END, CASE WHEN {_ll(_MID)} >= low THEN hi ELSE {_MID} END FROM r3 WHERE i < 60),
+z AS (SELECT orf, lam, top, at0, at1, low, greatest(0.0::DOUBLE, 2 * (top - at0)) AS lrt, sqrt(greatest(0.0::DOUBLE, 2 * (top - at0)) / 2) AS z FROM top)
+SELECT z.orf, round(lam, 6) AS lambda_hat, round(lrt, 6) AS lrt, CASE WHEN lrt <= 1e-14 THEN 1.0::DOUBLE ELSE round(0.004::DOUBLE / 3 / sqrt(pi()) * list_sum(list_transform(range(0, 2001), lambda j: CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * exp(-power(z + j * 0.004::DOUBLE, 2)))), 6) END AS p_asym,
+  CASE WHEN at0 >= z.low THEN 0.0::DOUBLE ELSE round((r2.lo + r2.hi) / 2, 6) END AS ci_low, CASE WHEN at1 >= z.low THEN 1.0::DOUBLE ELSE round((r3.lo + r3.hi) / 2, 6) END AS ci_high
+FROM z JOIN r2 ON r2.orf = z.orf AND r2.i = 60 JOIN r3 ON r3.orf = z.orf AND r3.i = 60"""
+
+
+def _a0_sum(log_a: str, kind: str) -> str:
+    share = f"(CASE t.f WHEN 0 THEN {HOST[0]}::DOUBLE WHEN 1 THEN {HOST[1]}::DOUBLE WHEN 2 THEN {HOST[2]}::DOUBLE ELSE 1.0::DOUBLE END)"
+    inner = f"ln(exp({log_a}) * {share} + t.k)" if kind == "value" else f"{share} / (exp({log_a}) * {share} + t.k)"
+    return f"list_sum(list_transform(terms, lambda t: CASE WHEN t.f = 3 THEN -1 ELSE 1 END * t.m * {inner}))"
+
+
+_STEP = "(ln(1e5::DOUBLE) - ln(0.02::DOUBLE)) / 96"
+_A0_SQL = f"""WITH RECURSIVE {CAND_SQL}, deep AS (SELECT unnest([0, 1, 2, 3]) AS f, unnest([c0, c1, c2, c0 + c1 + c2]) AS c FROM cand WHERE c0 + c1 + c2 >= 3), ks AS (SELECT f, unnest(range(0, c)) AS k FROM deep WHERE c > 0),
+cnt AS (SELECT f, k, count(*) AS m FROM ks GROUP BY ALL), one AS (SELECT list({{'f': f, 'k': k, 'm': m}}) AS terms, sum(m) FILTER (f = 3 AND k = 0) AS n FROM cnt),
+grid AS (SELECT g, ln(0.02::DOUBLE) + g * {_STEP} AS x, terms FROM one, (SELECT unnest(range(0, 97)) AS g)), best AS (SELECT max_by(g, v) AS g FROM (SELECT g, {_a0_sum('x', 'value')} AS v FROM grid)),
+r AS (SELECT 0 AS i, terms, n, best.g, ln(0.02::DOUBLE) + greatest(0, g - 1) * {_STEP} AS lo, ln(0.02::DOUBLE) + least(96, g + 1) * {_STEP} AS hi FROM one, best
+  UNION ALL SELECT i + 1, terms, n, g, CASE WHEN {_a0_sum(_MID, 'slope')} > 0 THEN {_MID} ELSE lo END, CASE WHEN {_a0_sum(_MID, 'slope')} > 0 THEN hi ELSE {_MID} END FROM r WHERE i < 50)
+SELECT round((lo + hi) / 2, 5) AS log_a0, CAST(g IN (0, 96) AS INT) AS at_edge, CAST(n AS BIGINT) AS n_codons FROM r WHERE i = 50"""
+
+
 _SHARE_SQL = f"""WITH {CAND_SQL}, s AS (SELECT orf, CAST(sum(c0 + c1 + c2) AS DOUBLE) AS reads, sum(c0) / sum(c0 + c1 + c2) AS o0, sum(c1) / sum(c0 + c1 + c2) AS o1, sum(c2) / sum(c0 + c1 + c2) AS o2 FROM cand GROUP BY orf)"""
 _ADJUST_SQL = """ranked AS (
   SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS r, count(*) OVER (PARTITION BY family) AS m FROM tests),
@@ -150,8 +202,13 @@ low AS (
          sum(1.0 / r) OVER (PARTITION BY family) AS h FROM ranked)"""
 _TEST_SQL = "tests AS (SELECT o_orderkey AS id, o_orderpriority AS family, (o_orderkey * 7919 % 9973 + 1) / 9974.0 AS p FROM orders)"
 
-QUERIES = {f.__name__: f for f in (iv_core_summary, dm_loglik_host, dm_lambda_fit, dm_geometry, dm_expected_reads, dm_residual_breadth, dm_lag1, fdr_bh_by, fdr_classes, qc_template, qc_ternary, qc_start_histogram, qc_cds_metrics, qc_trimmed_template, qc_a0, dm_bootstrap)}
+QUERIES = {f.__name__: f for f in (iv_core_summary, dm_loglik_host, dm_lambda_fit, dm_geometry, dm_expected_reads, dm_residual_breadth, dm_lag1, dm_projected_lag1, fdr_bh_by, fdr_classes, qc_template, qc_ternary, qc_start_histogram, qc_cds_metrics, qc_trimmed_template, qc_a0, dm_bootstrap)}
 ORACLES = {
+    "dm_lambda_fit": _FIT_SQL,
+    "qc_a0": _A0_SQL,
+    "dm_projected_lag1": f"""WITH {CAND_SQL}, s AS (SELECT orf, codon, (orf % 101) / 100.0::DOUBLE AS l, c0 / (c0 + c1 + c2) AS a, c1 / (c0 + c1 + c2) AS b, c2 / (c0 + c1 + c2) AS c FROM cand),
+v AS (SELECT orf, codon, ((a - (1 - l) * 0.1 - l * 0.8) * 0.7 - (b - (1 - l) * 0.2 - l * 0.1) * 0.1 - (c - (1 - l) * 0.7 - l * 0.1) * 0.6) / sqrt(0.86::DOUBLE) AS v FROM s), p AS (SELECT a.orf, a.v AS x, b.v AS y FROM v a JOIN v b ON a.orf = b.orf AND b.codon = a.codon + 1)
+SELECT orf, count(*) AS n_pairs, CASE WHEN count(*) >= 3 AND stddev_pop(x) > 1e-12 AND stddev_pop(y) > 1e-12 THEN round(corr(x, y), 6) END AS lag1 FROM p GROUP BY orf""",
     "iv_core_summary": f"""{counting.CODON_SQL},
 size AS (SELECT orf, max(len) // 3 AS n_codons FROM block GROUP BY orf),
 x AS (SELECT c.*, n_codons, c0 + c1 + c2 AS n, codon BETWEEN 1 AND n_codons - 2 AS core FROM codon c JOIN size USING (orf)),
@@ -179,7 +236,7 @@ SELECT orf, count(*) AS n_pairs, CASE WHEN count(*) >= 3 AND stddev_pop(x) > 1e-
     "fdr_classes": f"""WITH {_TEST_SQL.replace('AS p FROM', 'AS p0, power(p0, 4) AS p FROM')}, {_ADJUST_SQL}, c AS (
   SELECT id, least(1.0, low) AS q, CASE WHEN id % 40 < 10 THEN 'ultra_short_exploratory' ELSE 'primary' END AS tier FROM low)
 SELECT tier, CASE WHEN q >= 0.05 THEN 'host_only_supported' WHEN id % 3 = 0 THEN 'atypical_pattern' WHEN id % 5 = 0 THEN 'localized_core_signal' WHEN id % 7 = 0 THEN 'low_target_frame_residual_breadth'
-  WHEN tier = 'ultra_short_exploratory' THEN 'exploratory_supported' ELSE 'credible' END AS classification, count(*) AS n FROM c GROUP BY ALL""",
+  WHEN tier = 'ultra_short_exploratory' THEN 'ultra_short_exploratory' ELSE 'credible_extra_ORF_like_signal' END AS classification, count(*) AS n FROM c GROUP BY ALL""",
     "qc_template": f"""WITH {CAND_SQL}, x AS (SELECT *, c0 + c1 + c2 AS n FROM cand WHERE c0 + c1 + c2 >= 3)
 SELECT 'read_weighted' AS method, count(*) AS n_codons, round(sum(c0) / sum(n), 6) AS pi0, round(sum(c1) / sum(n), 6) AS pi1, round(sum(c2) / sum(n), 6) AS pi2 FROM x
 UNION ALL SELECT 'codon_equal', count(*), round(avg(c0 / n), 6), round(avg(c1 / n), 6), round(avg(c2 / n), 6) FROM x""",

@@ -18,7 +18,7 @@ def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = F.expr("n div 10"), F.expr("n div 10 + (n div 9) * 3")
     one = lambda s, e: F.array(F.struct(s.alias("s"), e.alias("e")))
     none = transcripts.none()
-    return x.filter("n >= 60").select(
+    return x.select(
         "tx", "seq", F.when(F.col("tx") % 5 != 4, one(lo, hi)).otherwise(none).alias("cds"), F.when(F.col("tx") % 3 != 2, one(lo, lo + 3)).otherwise(none).alias("start_codon"),
         F.when(F.col("tx") % 4 == 1, one(hi, hi + 3)).otherwise(none).alias("stop_codon"),
     )
@@ -91,7 +91,7 @@ def fdr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.summary(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("classification"), F.col("o_orderpriority").alias("family")))
 
 
-_MODEL_SQL = """base AS (SELECT tx, seq, length(seq) AS n, length(seq) // 10 AS lo, length(seq) // 10 + (length(seq) // 9) * 3 AS hi FROM seqs WHERE length(seq) >= 60),
+_MODEL_SQL = """base AS (SELECT tx, seq, length(seq) AS n, length(seq) // 10 AS lo, length(seq) // 10 + (length(seq) // 9) * 3 AS hi FROM seqs),
 flags AS (SELECT *, tx % 5 <> 4 AS has_cds, tx % 3 <> 2 AS has_start, tx % 4 = 1 AS has_stop, substr(seq, hi + 1, 3) IN ('TAA', 'TAG', 'TGA') AS next_stop,
   list_min(list_filter(range(lo, n - 2, 3), lambda i: substr(seq, i + 1, 3) IN ('TAA', 'TAG', 'TGA'))) + 3 AS made_end FROM base),
 m AS (SELECT *, has_cds AND NOT has_stop AND next_stop AS found, NOT has_cds AND has_start AS made FROM flags),
