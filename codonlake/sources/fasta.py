@@ -41,7 +41,7 @@ def read_fasta(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
     totals = text.groupBy("block").agg(F.sum(size).alias("bytes_of"))
     starts = totals.withColumn("from", F.coalesce(F.sum("bytes_of").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # one row for each block
     lines = placed.join(F.broadcast(starts.select("block", "from")), "block").select((F.col("from") + F.col("before")).alias("place"), "value").filter("value not like '>%' and value <> ''")
-    ends = index.withColumn("end", F.expr("at + ((length - 1) div bases) * bytes + bases"))
+    ends = index.withColumn("end", F.expr("at + ((length - 1) div bases) * bytes + (length - 1) % bases + 1"))
     span = 1 << 22
     binned = ends.withColumn("bin", F.explode(F.expr(f"sequence(at div {span}, (end - 1) div {span})")))  # a row for each contig and 4 MB
     own = lines.withColumn("bin", F.expr(f"place div {span}")).join(F.broadcast(binned), "bin").filter("place >= at and place < end")

@@ -14,15 +14,15 @@ def attribute(attributes: Column, key: str) -> Column:
 
 
 def read_gtf(spark: SparkSession, path: str) -> DataFrame:
-    """Features with 0-based half-open coordinates; blank lines, comments and short lines are left out."""
-    x = spark.read.text(path).filter("trim(value) <> '' and value not like '#%'").select(F.split("value", "\t").alias("c")).filter("size(c) >= 9")
-    x = x.select(F.assert_true(F.size("c") == 9, "a GTF line has more than 9 fields").alias("_ok"), "c")
+    """Features with 0-based half-open coordinates and `line`, their order; blank lines, comments and short lines are left out."""
+    x = spark.read.text(path).withColumn("line", F.monotonically_increasing_id()).filter("trim(value) <> '' and value not like '#%'").select(F.split("value", "\t").alias("c"), "line").filter("size(c) >= 9")
+    x = x.select(F.assert_true(F.size("c") == 9, "a GTF line has more than 9 fields").alias("_ok"), "c", "line")
     a = F.col("c")[8]
     names = [attribute(a, k).alias(k) for k in ("gene_id", "transcript_id", "gene_name", "transcript_name")]
     kinds = [F.coalesce(attribute(a, f"{k}_biotype"), attribute(a, f"{k}_type")).alias(f"{k}_biotype") for k in ("gene", "transcript")]
     tags = F.regexp_extract_all(a, F.lit('(?:^|[;\\s])tag "([^"]*)"'), F.lit(1)).alias("tags")
     c = F.col("c")
-    return x.filter("_ok is null").select(c[0].alias("chrom"), c[2].alias("feature"), (c[3].cast("int") - 1).alias("start0"), c[4].cast("int").alias("end0"), c[6].alias("strand"), *names, *kinds, tags)
+    return x.filter("_ok is null").select(c[0].alias("chrom"), c[2].alias("feature"), (c[3].cast("int") - 1).alias("start0"), c[4].cast("int").alias("end0"), c[6].alias("strand"), *names, *kinds, tags, "line")
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
