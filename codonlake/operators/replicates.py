@@ -37,7 +37,7 @@ def load(results: DataFrame, replicate: str) -> DataFrame:
     x = x.select(*[keys.get(c, text(c)).alias(c) for c in (*IDENTITY, *EVIDENCE)])
     seen = F.count(F.lit(1)).over(W.partitionBy("gorf_id", "overlap_type"))
     wrong = F.when((F.col("gorf_id") == "") | (F.col("overlap_type") == ""), "a candidate without its names").when(seen > 1, F.concat(F.lit("a candidate comes twice: "), "gorf_id", F.lit("/"), "overlap_type"))
-    key = F.when(F.col("_wrong").isNotNull(), F.raise_error("_wrong").cast("string")).otherwise(F.concat("gorf_id", F.lit("|"), "overlap_type"))
+    key = F.when(F.col("_wrong").isNotNull(), F.raise_error(F.col("_wrong")).cast("string")).otherwise(F.concat("gorf_id", F.lit("|"), "overlap_type"))
     return x.withColumn("_wrong", wrong).select(key.alias("candidate_key"), F.lit(replicate).alias("replicate_id"), *IDENTITY, *EVIDENCE)
 
 
@@ -169,7 +169,7 @@ def load_abundance(rows: DataFrame, replicate: str) -> DataFrame:
     x = rows.select(F.concat(g, F.lit("|"), o).alias("_key"), ((g == "") | (o == "")).alias("_blank"), value.alias("_x"), status.alias("status"))
     wrong = F.when(F.col("_blank"), "a candidate without its names").when(seen > 1, "a candidate comes twice").when(F.col("_x") < 0, "a negative quantity").when((F.col("status") == "quantified") & F.col("_x").isNull(), "a quantity is no number")
     x = x.withColumn("_wrong", wrong)
-    key = F.when(F.col("_wrong").isNotNull(), F.raise_error("_wrong").cast("string")).otherwise(F.col("_key"))
+    key = F.when(F.col("_wrong").isNotNull(), F.raise_error(F.col("_wrong")).cast("string")).otherwise(F.col("_key"))
     return x.select(key.alias("candidate_key"), F.lit(replicate).alias("replicate_id"), "status", F.when(F.col("status") == "quantified", F.col("_x")).alias("x"))
 
 
@@ -183,7 +183,7 @@ def metadata(rows: DataFrame) -> DataFrame:
     wrong = F.when(name == "", "a replicate without name").when(F.count(F.lit(1)).over(W.partitionBy(name)) > 1, "a replicate comes twice")
     lengths = F.col("selected_length_offsets") if "selected_length_offsets" in rows.columns else F.lit("")
     x = rows.select(name.alias("_name"), wrong.alias("_wrong"), "psite_alignments", pick("frame0_prop"), pick("A0"), lengths.alias("selected_length_offsets"))
-    return x.select(F.when(F.col("_wrong").isNotNull(), F.raise_error("_wrong").cast("string")).otherwise(F.col("_name")).alias("replicate_id"), "psite_alignments", "frame0_prop", "A0", "selected_length_offsets")
+    return x.select(F.when(F.col("_wrong").isNotNull(), F.raise_error(F.col("_wrong")).cast("string")).otherwise(F.col("_name")).alias("replicate_id"), "psite_alignments", "frame0_prop", "A0", "selected_length_offsets")
 
 
 def compact(n: Column) -> Column:

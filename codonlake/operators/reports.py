@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codonlake.functions.sqlx import finite, pearson
@@ -67,13 +66,17 @@ def integrate(calls: DataFrame, replicates: list[str], least: int = 2, least_sha
 def pairwise(values: DataFrame) -> DataFrame:
     """values(key, replicate, x): for each pair of replicates, shared keys, Pearson and Spearman correlation, median absolute difference.
 
-    There are a few replicates, and a key has one value in each, so the join on the key is no group of pairs."""
+    There are a few replicates, and a key has one value in each, so the join on the key is no group of pairs. Ranks
+    are taken over distinct values with their counts, as running totals, so no task ranks all keys of a pair."""
+    from codonlake.functions import skew
+
     a, b = (values.select("key", F.col("replicate").alias(f"rep_{s}"), F.col("x").alias(s)) for s in "ab")
     both = a.join(b, "key").filter("rep_a < rep_b")
-    w = lambda s: W.partitionBy("rep_a", "rep_b").orderBy(s)
-    mean_rank = lambda s: F.avg(f"n{s}").over(W.partitionBy("rep_a", "rep_b", s))
-    both = both.withColumn("na", F.row_number().over(w("a"))).withColumn("nb", F.row_number().over(w("b")))
-    both = both.withColumn("ra", mean_rank("a")).withColumn("rb", mean_rank("b"))
+    both = both.withColumn("pair", F.concat_ws("|", "rep_a", "rep_b"))
+    for s in "ab":
+        values = both.groupBy("pair", s).agg(F.count(F.lit(1)).alias("k"))
+        ranked = skew.running(skew.ranges(values, "pair", s), "pair", s, F.col("k"), "upto")
+        both = both.join(ranked.select("pair", s, (F.col("upto") - (F.col("k") - 1) / 2).alias(f"r{s}")), ["pair", s])
     enough = F.count(F.lit(1)) >= 2
     return both.groupBy("rep_a", "rep_b").agg(
         F.count(F.lit(1)).alias("n"), F.when(enough, pearson(F.col("a"), F.col("b"))).alias("pearson"), F.when(enough, pearson(F.col("ra"), F.col("rb"))).alias("spearman"), F.median(F.abs(F.col("a") - F.col("b"))).alias("median_diff")

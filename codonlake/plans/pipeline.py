@@ -38,6 +38,9 @@ class Config:
     starts: tuple[str, ...] = ("ATG",)
     min_aa: int = 6
     primary_only: bool = False
+    chroms: tuple[str, ...] = ()
+    max_transcripts: int | None = None
+    collapse: bool = True
     merge_by: str = "blocks"
     min_mapq: int = 20
     rl: int | None = None
@@ -66,6 +69,8 @@ class Config:
             raise ValueError(f"unknown stages: {', '.join(bad)}")
         if ORDER.index(self.from_stage) > ORDER.index(self.to_stage):
             raise ValueError("the first stage comes after the last")
+        if not self.collapse and ORDER.index(self.to_stage) >= ORDER.index("dm"):
+            raise ValueError("results need genomic ORFs")
         if self.min_aa < 1 or self.least_a0 <= 0 or not set("".join(self.starts)) <= set("ACGT"):
             raise ValueError("a parameter is out of bounds")
         return self
@@ -78,7 +83,13 @@ def replicates_name(name: str) -> bool:
 def _torf(spark: SparkSession, _: Mapping[str, DataFrame], p: Mapping) -> DataFrame:
     gtf = formats.read_gtf(spark, p["gtf"])
     contigs = fasta.whitelist(fasta.read_fai(spark, p["fasta"]), p["primary_only"])
-    tx = fasta.splice(fasta.read_fasta(spark, p["fasta"]), transcripts.indexed(gtf, contigs))
+    if p["chroms"]:
+        contigs = contigs.filter(F.col("chrom").isin(*p["chroms"]))
+    tx = transcripts.indexed(gtf, contigs)
+    if p["max_transcripts"] is not None:  # the first of the file
+        first = gtf.filter("feature <> 'gene'").groupBy("transcript_id").agg(F.min("line").alias("line")).join(tx.select("transcript_id"), "transcript_id").orderBy("line").limit(p["max_transcripts"])
+        tx = tx.join(first.select("transcript_id"), "transcript_id", "left_semi")
+    tx = fasta.splice(fasta.read_fasta(spark, p["fasta"]), tx)
     return orfscan.torfs(tx, tuple(p["starts"]), p["min_aa"])
 
 
@@ -217,7 +228,7 @@ def stages(c: Config) -> list[tuple[str, str, Stage]]:
     pick = lambda *names: {n: p[n] for n in names}
     qc = pick("min_cds_nt", "min_density", "template_codon_reads", "least_a0", "pi_method")
     out = [
-        ("orfscan", "", Stage("torf", _torf, (), pick("gtf", "fasta", "starts", "min_aa", "primary_only"), orfscan.COLUMNS)),
+        ("orfscan", "", Stage("torf", _torf, (), pick("gtf", "fasta", "starts", "min_aa", "primary_only", "chroms", "max_transcripts"), orfscan.COLUMNS)),
         ("orfscan", "", Stage("gorf", _gorf, ("torf",), pick("merge_by"), ("gorf_id", "gorf_signature"))),
         ("orfscan", "", Stage("gorf_members", _members, ("torf",), pick("merge_by"), ("gorf_id", "torf"))),
         ("psite", "", Stage("offsets", _offsets, (), pick("length_offsets", "offset_file", "quality_file"), psites.AUDIT)),
@@ -245,7 +256,7 @@ def stages(c: Config) -> list[tuple[str, str, Stage]]:
             *[("visualize", mode, own(mode, n, f, ("context",), {})) for n, f in (("plot_data", _plot), ("length_table", _lengths), ("gate_waterfall", _waterfall))],
         ]
     lo, hi = ORDER.index(c.from_stage), ORDER.index(c.to_stage)
-    kept = [s for s in out if s[0] not in OPTIONAL or c.with_codon]
+    kept = [s for s in out if (s[0] not in OPTIONAL or c.with_codon) and (c.collapse or s[2].name not in ("gorf", "gorf_members"))]
     wanted = {s[2].name for s in kept if lo <= ORDER.index(s[0]) <= hi}
     if not wanted:
         raise ValueError("no stage is left to run")

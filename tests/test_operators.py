@@ -74,8 +74,8 @@ def test_read_walk(spark):
 
 def test_offset_selection(spark):
     rows = [(25, 100, 80, 10, 10, 9), (26, 90, 15, 15, 60, 10), (27, 200, 10, 75, 15, 11), (28, 300, 75, 15, 10, 12)]
-    got = {r.length: (r.p0, r.reason) for r in psites.select_offsets(spark.createDataFrame(rows, "length int, reads long, f0 long, f1 long, f2 long, offset int")).collect()}
-    assert got == {25: (80, "outside_dominant_contiguous_block"), 26: (60, "frame0_not_above_threshold"), 27: (75, "selected"), 28: (75, "selected")}
+    got = {r.length: (r.corrected_frame0, r.reason) for r in psites.select_offsets(spark.createDataFrame(rows, "length int, reads long, f0 long, f1 long, f2 long, offset int")).collect()}
+    assert got == {25: (80, "outside_dominant_contiguous_block"), 26: (60, "frame0_not_above_threshold"), 27: (75, "selected_quality"), 28: (75, "selected_quality")}
 
 
 def test_lattice_and_template(spark):
