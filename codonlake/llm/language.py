@@ -27,12 +27,12 @@ RUNS_EACH = 100
 
 def _sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, docs: int) -> list[tuple[str, str]]:
     """(lang, text) of at most `docs` documents of each language, by a hash of the id."""
-    known = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    known = labelled.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     w = W.partitionBy("lang").orderBy("h", "id")
-    ids = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.lit(5)).alias("h"))
+    ids = known.select("lang", "id", F.xxhash64("id", F.lit(5)).alias("h"))
     ids = ids.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= docs).select(F.col("id").alias("_id"))
     # at most `docs` ids for each language
-    rows = known.join(F.broadcast(ids.distinct()), F.col(id_col) == F.col("_id")).select(lang_col, text_col, "_id").collect()
+    rows = known.join(F.broadcast(ids.distinct()), F.col("id") == F.col("_id")).select("lang", "text", "_id").collect()
     rows = sorted((r[2], r[0], r[1]) for r in rows if r[0] is not None)
     kept: dict[str, int] = {}
     out = []
