@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--to-stage", choices=ORDER, default=ORDER[-1])
     p.add_argument("--with-codon", action="store_true")
     p.add_argument("--set", default="", help="other parameters of a run: name=value name=value")
+    p.add_argument("--pure-only", action="store_true", help="integrate: only candidates that repeat no annotated CDS")
     p.add_argument("--force", action="store_true")
     p.add_argument("--dry-run", action="store_true")
     return p
@@ -68,6 +69,7 @@ def config(args: argparse.Namespace) -> Config:
 def main(argv: Sequence[str] | None = None, spark=None) -> int:
     from codonlake.plans import pipeline
     from codonlake.sources import inputs
+    from codonlake.sources.outputs import write_tsv
     from codonlake.sources.formats import read_tsv
 
     args = parser().parse_args(argv)
@@ -88,8 +90,8 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:
             print("\n".join(json.dumps(r, sort_keys=True) for r in found))
             return 0 if all(r["status"] == "complete" for r in found) else 1
         for mode in MODES[base.mode]:
-            _, consensus = pipeline.integrate(spark, configs, mode)
-            consensus.select(*[c for c in consensus.columns if not c.startswith("replicate::")]).write.mode("overwrite").parquet(f"{base.folder}/consensus_{mode}")
+            for name, found in pipeline.integration(spark, configs, mode, args.pure_only).items():
+                write_tsv(found, f"{base.folder}/integration_{mode}/{name}.tsv")
         return 0
     except ValueError as error:
         print(f"ERROR: {error}", file=sys.stderr)

@@ -228,11 +228,11 @@ def stages(c: Config) -> list[tuple[str, str, Stage]]:
     pick = lambda *names: {n: p[n] for n in names}
     qc = pick("min_cds_nt", "min_density", "template_codon_reads", "least_a0", "pi_method")
     out = [
-        ("orfscan", "", Stage("torf", _torf, (), pick("gtf", "fasta", "starts", "min_aa", "primary_only", "chroms", "max_transcripts"), orfscan.COLUMNS)),
+        ("orfscan", "", Stage("torf", _torf, (), pick("gtf", "fasta", "starts", "min_aa", "primary_only", "chroms", "max_transcripts"), orfscan.COLUMNS, True)),
         ("orfscan", "", Stage("gorf", _gorf, ("torf",), pick("merge_by"), ("gorf_id", "gorf_signature"))),
         ("orfscan", "", Stage("gorf_members", _members, ("torf",), pick("merge_by"), ("gorf_id", "torf"))),
-        ("psite", "", Stage("offsets", _offsets, (), pick("length_offsets", "offset_file", "quality_file"), psites.AUDIT)),
-        ("psite", "", Stage("psite", _psite, ("offsets",), pick("alignments", "min_mapq", "rl"), ("rname", "pos0", "RL"))),
+        ("psite", "", Stage("offsets", _offsets, (), pick("length_offsets", "offset_file", "quality_file"), psites.AUDIT, True)),
+        ("psite", "", Stage("psite", _psite, ("offsets",), pick("alignments", "min_mapq", "rl"), ("rname", "pos0", "RL"), True)),
         ("qc", "", Stage("cds_metrics", _metrics, ("torf", "psite"), qc, ("orf", "PIF"))),
         ("qc", "", Stage("background", _background, ("torf", "psite"), qc, ("pi0", "pi1", "pi2", "A"))),
     ]
@@ -327,6 +327,46 @@ def integrate(spark: SparkSession, configs: Sequence[Config], mode: str = "accur
     return rows, replicates.integrate(rows, [c.sample for c in configs], available, least, least_share, fdr)
 
 
+def integration(spark: SparkSession, configs: Sequence[Config], mode: str = "accurate", pure_only: bool = False, least: int = 2, least_share: float = 0.5, fdr: float = 0.05, most: int = 100) -> dict[str, DataFrame]:
+    """The tables of an integration by name: rows, consensus with its context, counts, states, quantities and their correlations.
+
+    A quantity of a candidate that the consensus doesn't have stops it. pure_only: only candidates that repeat no annotated CDS."""
+    from pyspark.errors import AnalysisException
+
+    names = [c.sample for c in configs]
+    rows, consensus = integrate(spark, configs, mode, least, least_share, fdr)
+    known, amounts, sizes = None, None, []
+    for c in configs:
+        base = f"{c.folder}/{c.sample}"
+        try:
+            seen = spark.read.parquet(f"{base}/{mode}_context/data").select(F.concat_ws("|", "gorf_id", "overlap_type").alias("candidate_key"), "gene_level_orf_class", "gene_level_pure_intorf_eligible")
+            one = spark.read.parquet(f"{base}/{mode}_abundance/data").select(F.col("id").alias("candidate_key"), F.lit(c.sample).alias("replicate_id"), "status", F.col("pfpkm").alias("x"))
+        except AnalysisException:
+            continue
+        known = seen if known is None else known.unionByName(seen)
+        amounts = one if amounts is None else amounts.unionByName(one)
+        sizes.append(summary_row(spark, c, mode, "complete"))
+    out = {"long": rows}
+    if known is not None:
+        consensus = consensus.join(known.groupBy("candidate_key").agg(F.min("gene_level_orf_class").alias("gene_level_orf_class"), F.min("gene_level_pure_intorf_eligible").alias("gene_level_pure_intorf_eligible")), "candidate_key", "left")
+        if pure_only:
+            consensus, out["long"], out["excluded"] = replicates.pure_only(consensus, rows)
+    out |= {
+        "consensus": consensus, "labels": replicates.label_counts(consensus), "call_counts": replicates.call_counts(out["long"], names, fdr), "states": replicates.state_matrix(consensus, names, most), "states_by_pattern": replicates.state_matrix(consensus, names, most, True),
+        "support": reports.support_combinations(out["long"].select(F.col("candidate_key").alias("key"), F.col("replicate_id").alias("replicate"), replicates.number(F.col("primary_credible_call")).alias("primary"))),
+        "lambda_pairs": reports.pairwise(out["long"].select(F.col("candidate_key").alias("key"), F.col("replicate_id").alias("replicate"), F.col("lambda_hat").try_cast("double").alias("x")).filter("x is not null and not isnan(x)")),
+    }
+    if amounts is not None:
+        if not pure_only and (lost := replicates.unexpected(amounts, consensus).limit(1).collect()):
+            raise ValueError(f"a quantity of a candidate that the consensus lacks: {lost[0].candidate_key}")
+        out["abundance"] = replicates.abundance_matrix(consensus, amounts, names)
+        if len(names) > 1:
+            out["abundance_correlations"] = replicates.matrix_correlations(out["abundance"], names)
+        meta = spark.createDataFrame([(r["replicate_id"], r["psite_alignments"], r["qc_frame0_prop"], r["qc_A0"], r["selected_length_offsets"]) for r in sizes], "replicate_id string, psite_alignments string, qc_frame0_prop string, qc_A0 string, selected_length_offsets string")
+        out["quality_labels"] = replicates.quality_labels(spark.createDataFrame([(n,) for n in names], "replicate_id string"), replicates.metadata(meta))
+    return out
+
+
 def replace_settings(c: Config, **changes) -> Config:
     """The run with other parameters, those of `calling.Settings` included."""
     inner = {k: v for k, v in changes.items() if k in calling.Settings.__dataclass_fields__}

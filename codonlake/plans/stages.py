@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass(frozen=True)
 class Stage:
-    """make(spark, inputs by name, parameters) gives the stage's table; `columns` must be among its columns."""
+    """make(spark, inputs by name, parameters) gives the stage's table; `columns` must be among its columns,
+    and a `filled` one must have a row."""
 
     name: str
     make: Callable[[SparkSession, Mapping[str, DataFrame], Mapping], DataFrame]
     inputs: Sequence[str] = ()
     parameters: Mapping = field(default_factory=dict)
     columns: Sequence[str] = ()
+    filled: bool = False
 
 
 def fingerprint(stage: Stage, before: Mapping[str, str]) -> str:
@@ -81,6 +83,8 @@ def run(spark: SparkSession, folder: str, stages: Sequence[Stage], first: str |
         # an interrupted write leaves no record that fits
         spark.createDataFrame([("{\"fingerprint\": null}",)], "value string").coalesce(1).write.mode("overwrite").text(record)
         out.write.mode("overwrite").parquet(data)
+        if s.filled and spark.read.parquet(data).isEmpty():
+            raise ValueError(f"stage {s.name} made no rows")
         line = json.dumps({"stage": s.name, "fingerprint": made[s.name], "parameters": dict(s.parameters), "inputs": list(s.inputs), "columns": out.columns}, sort_keys=True, default=str)
         spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(record)
         done.append((s.name, "run"))

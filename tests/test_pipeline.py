@@ -104,8 +104,11 @@ def test_run_from_annotation_to_reports(spark, genome, tmp_path):
     assert again["torf"] == again["background"] == "kept" and again["accurate_results"] == "would run"
     row = pipeline.summary_row(spark, c, "accurate", "complete")
     assert row["selected_length_offsets"] == "28:12" and int(row["psite_alignments"]) > 9000
-    _, consensus = pipeline.integrate(spark, [c, pipeline.replace_settings(c, sample="gone")])
-    assert consensus.count() == found.count()
+    tables = pipeline.integration(spark, [c, pipeline.replace_settings(c, sample="gone")])
+    assert tables["consensus"].count() == tables["long"].count() == found.count()
+    assert {r.label.split("\n")[0] for r in tables["quality_labels"].collect()} == {"s1", "gone"}
+    assert {(r.replicate_id, r.total) for r in tables["call_counts"].collect()} == {("s1", found.count()), ("gone", 0)}
+    assert tables["abundance"].count() == tables["consensus"].filter("n_primary_credible > 0").count()
 
 
 def test_configurations_that_cannot_run():
