@@ -282,7 +282,7 @@ def test_markup_is_read_in_linear_time():
     assert [t for _, t in html_text.Page('a <b c="x > y">d</b> 1 < 2 <a "e').texts] == ['a d 1 < 2 <a "e']
 
 
-def test_viterbi_matches_the_library(model):
+def test_viterbi_is_never_worse_than_the_library(model):
     sentencepiece = pytest.importorskip("sentencepiece")
     data = open(pieces.default_model(), "rb").read()
     at, out = 0, b""
@@ -297,7 +297,7 @@ def test_viterbi_matches_the_library(model):
     texts = ["the quick brown fox", "Hello world, this is text.", "naïve café", *[" ".join(rng.choice(["other", "words", "and", "thing", "overs", "unlike"]) for _ in range(9)) for _ in range(30)]]
     score = lambda ids: sum(mine.score[i] for i in ids)
     for t, a, b in zip(texts, mine.encode(texts), lib.encode(texts, num_threads=1), strict=True):
-        assert np.isclose(score(a), score(b), rtol=1e-5) and mine.decode(a) == lib.decode(b)
+        assert score(a) >= score(b) - 1e-6 * abs(score(b)) and mine.decode(a) == lib.decode(b) == t
 
 
 def message_size(data, at):
