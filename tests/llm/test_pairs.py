@@ -45,9 +45,9 @@ def test_groups_match_brute_force(spark, k, percent, task):
     assert [got[i].component_id for i in range(len(texts))] == want
     assert [got[i].n_shingles for i in range(len(texts))] == [len(s) for s in sets]
     assert [got[i].component_rows for i in range(len(texts))] == [want.count(want[i]) if sets[i] else 1 for i in range(len(texts))]
-    kept = sorted(r.doc_id for r in ngram_join.keep_first(df, k=k, percent=percent).collect())
-    assert kept == [i for i, r in enumerate(want) if r == i]
-    assert ngram_join.keep_first(df, k=k).columns == df.columns
+    kept = ngram_join.keep_first(df, k=k, percent=percent)
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i, r in enumerate(want) if r == i]
+    assert kept.columns == df.columns
 
 
 def test_repeats_null_ids_and_empty_tables(spark):
