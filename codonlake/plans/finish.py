@@ -9,28 +9,25 @@ from codonlake.functions.sqlx import rounded
 from codonlake.operators import candidates, fdr, results
 from codonlake.sources.tables import table
 
-K = F.col("k")
-
-
 def _share(n: int, of: float) -> Column:
-    return (K % n) / F.lit(float(of))
+    return (F.col("k") % n) / F.lit(float(of))
 
 
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each order, as a run's results before multiple testing; order lines that repeat stay."""
     x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
-    pre = F.when(K % 17 == 0, "insufficient_data").when(K % 19 == 0, "too_short").when(K % 23 == 0, "host_only_supported").otherwise("tested")
-    p = (K * 7919 % 9973 + 1) / F.lit(9974.0)
-    o0, o1 = (K % 7 + 1) / F.lit(20.0), (K % 5 + 1) / F.lit(20.0)
-    flag = lambda n: F.when(K % n == 0, 0).otherwise(1)
+    pre = F.when(F.col("k") % 17 == 0, "insufficient_data").when(F.col("k") % 19 == 0, "too_short").when(F.col("k") % 23 == 0, "host_only_supported").otherwise("tested")
+    p = (F.col("k") * 7919 % 9973 + 1) / F.lit(9974.0)
+    o0, o1 = (F.col("k") % 7 + 1) / F.lit(20.0), (F.col("k") % 5 + 1) / F.lit(20.0)
+    flag = lambda n: F.when(F.col("k") % n == 0, 0).otherwise(1)
     return x.withColumn("classification_pre_fdr", pre).select(
-        "k", K.alias("candidate_order"), F.concat(F.lit("t"), K.cast("string")).alias("torf_id"), F.concat(F.lit("g"), F.expr("k div 2").cast("string")).alias("gorf_id"), F.concat(F.lit("G"), (K % 211).cast("string")).alias("gene_name"),
-        F.concat(F.lit("E"), (K % 211).cast("string")).alias("gene_id"), F.when(K % 5 == 0, "").when(K % 2 == 1, "F1").otherwise("F2").alias("overlap_type"), (K % 70 + 6).alias("peptide_len"), (K % 70 + 6).alias("aa_len"), "classification_pre_fdr",
-        F.when(F.col("classification_pre_fdr") == "tested", p * p * p * p).otherwise(1.0).alias("p_final"), F.when(K % 13 == 0, None).otherwise(_share(100, 100)).alias("lambda_hat"), ((K % 7 - 2) / F.lit(10.0)).alias("alt_frame_gain"),
-        ((2 - K % 6) / F.lit(10.0)).alias("host_frame_drop"), flag(4).alias("mixture_geometry_consistent"), _share(31, 200).alias("distance_to_mixture_segment"), flag(9).alias("credible_active_core_breadth_ok"), flag(8).alias("credible_target_residual_breadth_ok"),
-        flag(29).alias("template_separation_ok"), F.when(K % 37 == 0, "failed_low_tail_ess").otherwise("pass").alias("importance_status"), F.when(K % 17 == 0, "core_reads").otherwise("").alias("prefilter_reason"), (K % 3 * 999).alias("importance_reps"),
-        o0.alias("pi_obs_0"), o1.alias("pi_obs_1"), F.when(K % 41 == 0, F.lit(float("nan"))).otherwise(1 - o0 - o1).alias("pi_obs_2"), F.lit(0.8).alias("pi_trans_0"), F.lit(0.15).alias("pi_trans_1"), F.lit(0.05).alias("pi_trans_2"),
-        (K % 300).alias("core_reads"), (K % 12).alias("n_active_core_codons"), _share(40, 40).alias("active_core_codon_frac"), _share(30, 30).alias("target_vs_unused_z05_frac_active"), _share(90, 90).alias("lambda_gain_raw"), _share(80, 90).alias("lambda_drop_raw"),
+        "k", F.col("k").alias("candidate_order"), F.concat(F.lit("t"), F.col("k").cast("string")).alias("torf_id"), F.concat(F.lit("g"), F.expr("k div 2").cast("string")).alias("gorf_id"), F.concat(F.lit("G"), (F.col("k") % 211).cast("string")).alias("gene_name"),
+        F.concat(F.lit("E"), (F.col("k") % 211).cast("string")).alias("gene_id"), F.when(F.col("k") % 5 == 0, "").when(F.col("k") % 2 == 1, "F1").otherwise("F2").alias("overlap_type"), (F.col("k") % 70 + 6).alias("peptide_len"), (F.col("k") % 70 + 6).alias("aa_len"), "classification_pre_fdr",
+        F.when(F.col("classification_pre_fdr") == "tested", p * p * p * p).otherwise(1.0).alias("p_final"), F.when(F.col("k") % 13 == 0, None).otherwise(_share(100, 100)).alias("lambda_hat"), ((F.col("k") % 7 - 2) / F.lit(10.0)).alias("alt_frame_gain"),
+        ((2 - F.col("k") % 6) / F.lit(10.0)).alias("host_frame_drop"), flag(4).alias("mixture_geometry_consistent"), _share(31, 200).alias("distance_to_mixture_segment"), flag(9).alias("credible_active_core_breadth_ok"), flag(8).alias("credible_target_residual_breadth_ok"),
+        flag(29).alias("template_separation_ok"), F.when(F.col("k") % 37 == 0, "failed_low_tail_ess").otherwise("pass").alias("importance_status"), F.when(F.col("k") % 17 == 0, "core_reads").otherwise("").alias("prefilter_reason"), (F.col("k") % 3 * 999).alias("importance_reps"),
+        o0.alias("pi_obs_0"), o1.alias("pi_obs_1"), F.when(F.col("k") % 41 == 0, F.lit(float("nan"))).otherwise(1 - o0 - o1).alias("pi_obs_2"), F.lit(0.8).alias("pi_trans_0"), F.lit(0.15).alias("pi_trans_1"), F.lit(0.05).alias("pi_trans_2"),
+        (F.col("k") % 300).alias("core_reads"), (F.col("k") % 12).alias("n_active_core_codons"), _share(40, 40).alias("active_core_codon_frac"), _share(30, 30).alias("target_vs_unused_z05_frac_active"), _share(90, 90).alias("lambda_gain_raw"), _share(80, 90).alias("lambda_drop_raw"),
         _share(25, 100).alias("lambda_abs_diff"), _share(50, 100).alias("lambda_rel_diff"), _share(90, 90).alias("lambda_proj_raw"),
     )
 
@@ -52,8 +49,8 @@ def fdr_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = run_results(spark, sf_dir).withColumn("q_BH", (K * 613 % 997) / F.lit(4000.0)).withColumn("classification", F.when(K % 3 == 0, fdr.CREDIBLE).when(K % 11 == 0, fdr.EXPLORATORY).otherwise("atypical_pattern"))
-    return results.points(x.withColumn("fdr_family", F.lit("primary")).withColumn("gene_level_pure_intorf_eligible", F.when(K % 7 == 0, 0).otherwise(1)).withColumn("gene_level_orf_class", F.lit("x")), True)
+    x = run_results(spark, sf_dir).withColumn("q_BH", (F.col("k") * 613 % 997) / F.lit(4000.0)).withColumn("classification", F.when(F.col("k") % 3 == 0, fdr.CREDIBLE).when(F.col("k") % 11 == 0, fdr.EXPLORATORY).otherwise("atypical_pattern"))
+    return results.points(x.withColumn("fdr_family", F.lit("primary")).withColumn("gene_level_pure_intorf_eligible", F.when(F.col("k") % 7 == 0, 0).otherwise(1)).withColumn("gene_level_orf_class", F.lit("x")), True)
 
 
 def vz_plot_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +88,7 @@ def vz_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ab_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = F.when(K % 17 == 0, "invalid_core_length").when(K % 11 == 0, "not_model_quantifiable").otherwise("quantified")
+    status = F.when(F.col("k") % 17 == 0, "invalid_core_length").when(F.col("k") % 11 == 0, "not_model_quantifiable").otherwise("quantified")
     x = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")).select(status.alias("status"), _share(977, 8).alias("pfpkm"))
     out = results.abundance_summary(x, 1_000_000)
     return out.select("metric", rounded(F.col("value")).alias("value"))

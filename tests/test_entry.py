@@ -27,3 +27,12 @@ def test_queries_match_their_sql(spark):
         b = sorted((tuple(text(r[k]) for k in order) for r in want.fetchall()), key=str)
         assert a == b, name
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_entry_is_imported_without_a_session():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); import codonlake.__main__"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
