@@ -35,29 +35,42 @@ def _parts(texts: list[str]) -> list[Words]:
     out = []
     for a, b in chunks(texts):
         w = Words(texts[a:b])
-        w.doc = w.doc + a
+        if len(w.low) < 1 << 31:  # half the memory
+            w.start, w.end = w.start.astype(np.int32), w.end.astype(np.int32)
+        w.doc = (w.doc + a).astype(np.int32)
         out.append(w)
     return out
 
 
 def token_labels(parts: list[Words], toxic: np.ndarray) -> list[np.ndarray]:
-    """For each word, whether it counts as toxic; toxic: the documents' labels."""
-    n_docs, n1, n0 = len(toxic), max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
+    """For each word, whether it counts as toxic; toxic: the documents' labels.
+
+    A beginning counts once a document; documents don't span parts, so each part gives its own distinct pairs."""
+    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     out = [np.zeros(len(w), bool) for w in parts]
+
+    def units(w: Words, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+        u = np.flatnonzero(w.end - w.start >= (k or 1))
+        return u, Hasher(w.low).of(w.start[u], w.end[u] if k is None else w.start[u] + k)
+
     for k in (*STEMS, None):
-        usable = [np.flatnonzero(w.end - w.start >= (k or 1)) for w in parts]
-        unit = [Hasher(w.low).of(w.start[u], w.end[u] if k is None else w.start[u] + k) for w, u in zip(parts, usable, strict=True)]
-        units, code = np.unique(np.concatenate(unit), return_inverse=True)
-        del unit
-        docs = np.concatenate([w.doc[u] for w, u in zip(parts, usable, strict=True)])
-        pairs = np.unique(code.astype(np.int64) * n_docs + docs)
-        c, d = pairs // n_docs, pairs % n_docs
-        ones, zeros = np.bincount(c, toxic[d], len(units)), np.bincount(c, ~toxic[d], len(units))
-        marked = (ones >= min(LEAST_DOCS, max(4, n1 // 10))) & (ones / n1 >= LEAST_RATIO * (zeros + 0.5) / n0)
-        at = 0
-        for x, u in zip(out, usable, strict=True):
-            x[u[marked[code[at : at + len(u)]]]] = True
-            at += len(u)
+        hashes, docs = [], []
+        for w in parts:
+            u, unit = units(w, k)
+            own, code = np.unique(unit, return_inverse=True)
+            n = int(w.doc[-1]) + 1 if len(w) else 1
+            pairs = np.unique(code.astype(np.int64) * n + w.doc[u])
+            hashes.append(own[pairs // n])
+            docs.append((pairs % n).astype(np.int32))
+        found, code = np.unique(np.concatenate(hashes), return_inverse=True)
+        del hashes
+        d = toxic[np.concatenate(docs)]
+        ones, zeros = np.bincount(code[d], minlength=len(found)), np.bincount(code[~d], minlength=len(found))
+        del code, d
+        marked = found[(ones >= min(LEAST_DOCS, max(4, n1 // 10))) & (ones / n1 >= LEAST_RATIO * (zeros + 0.5) / n0)]
+        for x, w in zip(out, parts, strict=True):
+            u, unit = units(w, k)
+            x[u[np.isin(unit, marked)]] = True
     return [x & toxic[w.doc] for x, w in zip(out, parts, strict=True)]
 
 
