@@ -59,10 +59,28 @@ def config(args: argparse.Namespace) -> Config:
             known[name] = _value(value)
         else:
             raise ValueError(f"unknown parameter: {name}")
+    if isinstance(known.get("chroms"), str):
+        known["chroms"] = tuple(known["chroms"].split(","))
     c = Config(
-        args.sample, args.folder, args.gtf, args.fasta, args.alignments, length_offsets(args.length_offsets), args.offset_file, args.quality_file, args.mode, tuple(args.starts.split(",")), args.min_aa, args.primary_only, args.merge_by,
-        export=args.export, from_stage=args.from_stage, to_stage=args.to_stage, with_codon=args.with_codon, settings=Settings(**settings),
-    )
+        sample=args.sample,
+        folder=args.folder,
+        gtf=args.gtf,
+        fasta=args.fasta,
+        alignments=args.alignments,
+        length_offsets=length_offsets(args.length_offsets),
+        offset_file=args.offset_file,
+        quality_file=args.quality_file,
+        mode=args.mode,
+        starts=tuple(args.starts.split(",")),
+        min_aa=args.min_aa,
+        primary_only=args.primary_only,
+        merge_by=args.merge_by,
+        export=args.export,
+        from_stage=args.from_stage,
+        to_stage=args.to_stage,
+        with_codon=args.with_codon,
+        settings=Settings(**settings),
+    )
     return replace(c, **known)
 
 

@@ -22,7 +22,7 @@ OPTIONAL = ("codon",)
 MODES = {"accurate": ("accurate",), "fast": ("fast",), "both": ("accurate", "fast")}
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, kw_only=True)
 class Config:
     """A sample's inputs and parameters."""
 
@@ -71,6 +71,10 @@ class Config:
             raise ValueError("the first stage comes after the last")
         if not self.collapse and ORDER.index(self.to_stage) >= ORDER.index("dm"):
             raise ValueError("results need genomic ORFs")
+        if isinstance(self.chroms, str) or isinstance(self.starts, str):
+            raise ValueError("contigs and start codons are lists of names")
+        if self.merge_by not in ("blocks", "stop"):
+            raise ValueError(f"unknown way to merge: {self.merge_by}")
         if self.min_aa < 1 or self.least_a0 <= 0 or not set("".join(self.starts)) <= set("ACGT"):
             raise ValueError("a parameter is out of bounds")
         return self

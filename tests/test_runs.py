@@ -79,7 +79,7 @@ def test_sequences_come_back(spark, genome):
 
 def test_run_from_annotation_to_reports(spark, genome, tmp_path):
     folder, _ = genome
-    c = pipeline.Config("s1", str(tmp_path), f"{folder}/g.gtf", f"{folder}/g.fa", f"{folder}/r.sam", {28: 12}, min_density=0.01, min_aa=8, with_codon=True, export="all")
+    c = pipeline.Config(sample="s1", folder=str(tmp_path), gtf=f"{folder}/g.gtf", fasta=f"{folder}/g.fa", alignments=f"{folder}/r.sam", length_offsets={28: 12}, min_density=0.01, min_aa=8, with_codon=True, export="all")
     done = pipeline.run(spark, c)
     assert all(state == "run" for _, state in done) and len(done) == 16
     read = lambda name: spark.read.parquet(f"{tmp_path}/s1/{name}/data")
@@ -112,9 +112,9 @@ def test_run_from_annotation_to_reports(spark, genome, tmp_path):
 
 
 def test_configurations_that_cannot_run():
-    good = pipeline.Config("s", "f", length_offsets={28: 12})
+    good = pipeline.Config(sample="s", folder="f", length_offsets={28: 12})
     assert good.checked() is good
-    for bad in ({"sample": "a b"}, {"mode": "x"}, {"length_offsets": {}}, {"offset_file": "o"}, {"from_stage": "dm", "to_stage": "qc"}, {"from_stage": "x"}, {"min_aa": 0}, {"starts": ("AUG",)}):
+    for bad in ({"sample": "a b"}, {"mode": "x"}, {"length_offsets": {}}, {"offset_file": "o"}, {"from_stage": "dm", "to_stage": "qc"}, {"from_stage": "x"}, {"min_aa": 0}, {"starts": ("AUG",)}, {"chroms": "chr1"}, {"merge_by": "x"}):
         with pytest.raises(ValueError, match=r"\w"):
             pipeline.replace_settings(good, **bad).checked()
     names = [s.name for _, _, s in pipeline.stages(pipeline.replace_settings(good, mode="both"))]
@@ -127,7 +127,8 @@ def test_command_line(spark, genome, tmp_path, capsys):
     assert main(args, spark) == 0 and capsys.readouterr().out.splitlines()[-1] == "psite\trun"
     assert main([*args, "--dry-run"], spark) == 0 and "would run" not in capsys.readouterr().out
     assert main([*args, "--set", "nonsense=1"], spark) == 2
-    batch = pipeline.run_batch(spark, [pipeline.Config("good", str(tmp_path), f"{folder}/g.gtf", f"{folder}/g.fa", f"{folder}/r.sam", {28: 12}, to_stage="psite"), pipeline.Config("bad", str(tmp_path), f"{folder}/none.gtf", f"{folder}/g.fa", f"{folder}/r.sam", {28: 12})])
+    good = pipeline.Config(sample="good", folder=str(tmp_path), gtf=f"{folder}/g.gtf", fasta=f"{folder}/g.fa", alignments=f"{folder}/r.sam", length_offsets={28: 12}, to_stage="psite")
+    batch = pipeline.run_batch(spark, [good, pipeline.replace_settings(good, sample="bad", gtf=f"{folder}/none.gtf")])
     assert [r["status"].split(":")[0] for r in batch] == ["complete", "failed"] and batch[1]["psite_alignments"] == ""
 
 
