@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codonlake.llm import html_text, language, pieces, toxicity
+from codonlake.llm import html_text, language, pieces, quality, toxicity
 from codonlake.llm.shared import table
 
 
@@ -24,10 +24,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.report(table(spark, sf_dir, "documents"))
 
 
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same texts by the dealt method: the path of the best sum of the pieces' own scores."""
     return pieces.report(table(spark, sf_dir, "documents"), viterbi=True)
 
 
-QUERIES = {"op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op7_html_text": op7_html_text, "op8_sentencepiece": op8_sentencepiece, "sentencepiece_viterbi": sentencepiece_viterbi}
+QUERIES = {"op4_toxicity": op4_toxicity, "op5_language_id": op5_language_id, "op7_html_text": op7_html_text, "op8_sentencepiece": op8_sentencepiece, "sentencepiece_viterbi": sentencepiece_viterbi, "op12_quality": op12_quality}
 ORACLES: dict[str, str] = {}
