@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codonlake.llm import queries_basic, queries_pairs, queries_text
+from codonlake.llm import queries_basic, queries_conversations, queries_pairs, queries_text
 
-MODULES = [queries_basic, queries_pairs, queries_text]
+MODULES = [queries_basic, queries_conversations, queries_pairs, queries_text]
 
 
 def queries() -> dict:

@@ -16,7 +16,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from codonlake.functions.skew import join_unique
 
-__all__ = ["Scratch", "cut", "folder", "free_names", "join_unique", "packed", "partitions", "sieve", "table", "unpacked", "with_texts", "written"]
+__all__ = ["Scratch", "cut", "folder", "free_names", "join_unique", "names_in", "packed", "partitions", "sieve", "table", "unpacked", "with_texts", "written"]
 
 
 def folder(spark: SparkSession) -> str:
@@ -53,6 +53,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """The names of the tables in a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where))
+
+
 class Scratch:
     """Tables of one run of an operator, as Parquet in the shared folder. Each is dropped when no later step reads it."""
 
