@@ -10,6 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codonlake.sources import bam
 from codonlake.sources.formats import read_tsv
 from codonlake.sources.offsets import read_text
 
@@ -171,14 +172,26 @@ def lookup(torfs: DataFrame, wanted: DataFrame) -> DataFrame:
     return x
 
 
-def library_size(psites: DataFrame) -> int:
-    """Mapped P-sites; none is an error."""
-    n = psites.filter(F.expr("flag & 4 = 0")).count() if "flag" in psites.columns else psites.count()
+def library_size(psites: DataFrame | None, alignments: str = "") -> int:
+    """Mapped P-sites, from the index of their BAM file where there is one, else by a scan; none is an error."""
+    counts = bam.indexed_counts(alignments) if alignments else None
+    if counts is not None:
+        n = sum(mapped for _, mapped, _ in counts)
+    else:
+        n = psites.filter(F.expr("flag & 4 = 0")).count() if "flag" in psites.columns else psites.count()
     if n <= 0:
         raise ValueError("there are no P-sites")
     return n
 
 
+def alignment_summary(spark: SparkSession, alignments: str) -> DataFrame:
+    """contig, mapped and unmapped records of a BAM file, from its index alone; one without index is an error."""
+    counts = bam.indexed_counts(alignments)
+    if counts is None:
+        raise ValueError(f"no index of {alignments}")
+    return spark.createDataFrame(counts, "contig string, mapped long, unmapped long")
+
+
 def metric(found: Mapping[str, str], *names: str) -> str:
     """The first of the names that a report has; empty if none."""
     return next((found[n] for n in names if found.get(n)), "")
