@@ -9,7 +9,7 @@ add up by candidate.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -139,25 +139,26 @@ def tails(candidates: DataFrame, reps: Column | int, method: str, seed: int = 1,
     x = x.withColumn("batch", F.explode(F.sequence(F.lit(0), F.expr("(_reps - 1) div _most"))))
     x = x.withColumn("size", F.least(F.col("_most"), F.col("_reps") - F.col("batch") * F.col("_most")))
     x = x.select("key", "codons", "host", "trans", "a0", "lambda_hat", "lrt", "batch", "size")
-    x = x.repartition("key", "batch")
+    # as many parts as asked for: few bytes are much work here, so small parts must not be put together
+    x = x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "batch")
     parts = x.mapInPandas(partial(_batches, method=method, etas=tuple(etas), width=width, seed=seed), SUMS)
     return parts.groupBy("key").agg(*[F.sum(c).alias(c) for c in ("drawn", "tail", "w", "w2", "t", "t2")], F.max("top").alias("top"), F.bool_and("usable").alias("usable"))
 
 
-def iid_p(candidates: DataFrame, reps: int = 999, seed: int = 1) -> DataFrame:
-    """key, p_iid, exceedances: (1 + replicates that reach the statistic) / (replicates + 1)."""
-    return tails(candidates, reps, "iid", seed).select("key", ((1 + F.col("tail")) / (F.col("drawn") + 1)).alias("p_iid"), F.col("tail").alias("exceedances"))
+def iid_p(candidates: DataFrame, reps: int = 999, seed: int = 1, sampler: Callable = tails) -> DataFrame:
+    """key, p_iid, exceedances: (1 + replicates that reach the statistic) / (replicates + 1). sampler: `tails`, or `draws.tails`."""
+    return sampler(candidates, reps, "iid", seed).select("key", ((1 + F.col("tail")) / (F.col("drawn") + 1)).alias("p_iid"), F.col("tail").alias("exceedances"))
 
 
-def block_p(candidates: DataFrame, width: int, reps: int = 999, seed: int = 1) -> DataFrame:
+def block_p(candidates: DataFrame, width: int, reps: int = 999, seed: int = 1, sampler: Callable = tails) -> DataFrame:
     """key, p_block: as `iid_p` with runs of `width` residuals; null where there are fewer than two runs."""
-    return tails(candidates, reps, "block", seed + width, width=width).select("key", F.when(F.col("usable"), (1 + F.col("tail")) / (F.col("drawn") + 1)).alias("p_block"))
+    return sampler(candidates, reps, "block", seed + width, width=width).select("key", F.when(F.col("usable"), (1 + F.col("tail")) / (F.col("drawn") + 1)).alias("p_block"))
 
 
-def importance_p(candidates: DataFrame, reps: Column | int = 9999, seed: int = 1, etas: Sequence[float] = ETAS) -> DataFrame:
+def importance_p(candidates: DataFrame, reps: Column | int = 9999, seed: int = 1, etas: Sequence[float] = ETAS, sampler: Callable = tails) -> DataFrame:
     """key, p_importance and its diagnostics. A statistic of 0 has the probability 1 without a draw."""
     drawn = F.when(F.col("lrt") <= 1e-14, 0).otherwise(reps if isinstance(reps, Column) else F.lit(reps))
-    x = candidates.select("key", F.col("lrt").alias("_lrt")).join(tails(candidates, drawn, "importance", seed, etas), "key", "left")
+    x = candidates.select("key", F.col("lrt").alias("_lrt")).join(sampler(candidates, drawn, "importance", seed, etas), "key", "left")
     zero, n = F.col("_lrt") <= 1e-14, F.col("drawn")
     asked = (reps if isinstance(reps, Column) else F.lit(reps)).cast("double")
     x = x if not isinstance(reps, Column) else x.join(candidates.select("key", asked.alias("_asked")), "key")
@@ -204,21 +205,21 @@ def policy(engine: str, mode: str = "accurate") -> tuple[str, str, bool]:
 
 def final_p(
     candidates: DataFrame, engine: str = "adaptive_importance", mode: str = "accurate", reps: int = 999, importance_reps: int = 9999, pilot_reps: int = 999, gate: float = 0.20, few: int = 10, blocks: Sequence[int] = (),
-    lag: float = 0.30, least_active: int = 15, seed: int = 1,
+    lag: float = 0.30, least_active: int = 15, seed: int = 1, sampler: Callable = tails,
 ) -> DataFrame:
     """candidates as in `tails`, with p_asym, and lag1 where blocks are asked for: key, p_iid, exceedances, importance
     columns, p_block<width>, p_final and the class before multiple testing. Candidates at or over the gate keep p_final 1."""
     when, how, may_set = policy(engine, mode)
     tested = candidates.filter(F.col("p_asym") < gate)
-    first = kept(iid_p(tested, reps, seed))
+    first = kept(iid_p(tested, reps, seed, sampler))
     out = candidates.select("key", "p_asym", *(["lag1"] if blocks else [])).join(first, "key", "left")
     if when != "none":
         some = tested if when == "always" else tested.join(first.filter(F.col("exceedances") < few), "key", "left_semi")
         size: Column | int = importance_reps
         if how == "fast":
-            plan = kept(planned(importance_p(some, pilot_reps, seed + 1), pilot_reps, importance_reps))
+            plan = kept(planned(importance_p(some, pilot_reps, seed + 1, sampler=sampler), pilot_reps, importance_reps))
             some, size = some.join(plan, "key"), F.col("planned")
-        found = importance_p(some, size, seed + 2).withColumn("importance_status", status())
+        found = importance_p(some, size, seed + 2, sampler=sampler).withColumn("importance_status", status())
         out = out.join(found, "key", "left")
         use = (F.col("importance_status") == "pass") & F.lit(may_set)
         out = out.withColumn("importance_status", F.coalesce("importance_status", F.when(F.col("p_iid").isNotNull(), "not_needed_iid_tail_resolved").otherwise("not_run")))
@@ -228,7 +229,7 @@ def final_p(
     ps = [main]
     for width in blocks:
         lagged = tested.filter((F.col("lag1") > lag) & (F.size("codons") >= least_active))
-        out = out.join(block_p(lagged, width, reps, seed).withColumnRenamed("p_block", f"p_block{width}"), "key", "left")
+        out = out.join(block_p(lagged, width, reps, seed, sampler).withColumnRenamed("p_block", f"p_block{width}"), "key", "left")
         ps.append(F.col(f"p_block{width}"))
     robust = F.greatest(*ps) if len(ps) > 1 else main
     label = F.when(F.col("p_iid").isNull(), "host_only_supported").otherwise("tested")

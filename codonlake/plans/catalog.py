@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codonlake.plans import annotation, counting, finish, genome, inference, models, quality
+from codonlake.plans import annotation, counting, finish, genome, inference, models, quality, resampling
 
-MODULES = (annotation, counting, inference, models, genome, finish, quality)
+MODULES = (annotation, counting, inference, models, genome, finish, quality, resampling)
 
 
 def queries() -> dict:

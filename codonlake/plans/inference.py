@@ -140,14 +140,18 @@ def qc_a0(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.round(F.log("a0"), 5).alias("log_a0"), F.col("at_edge").cast("int").alias("at_edge"), "n_codons")
 
 
-def dm_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Final p of all candidates under the formal engine; drawn numbers have no SQL twin, a test holds them against a plain bootstrap."""
+def candidate_rows(spark: SparkSession, sf_dir: str, host: tuple[float, float, float] = HOST, trans: tuple[float, float, float] = TRANS) -> DataFrame:
+    """Candidates with their codons, templates and fit, as resampling takes them."""
     x = cand_codons(spark, sf_dir)
     held = x.groupBy("orf").agg(F.sort_array(F.collect_list(F.struct("codon", "c0", "c1", "c2"))).alias("codons"))
     fixed = lambda v: F.array(*[F.lit(p) for p in v])
-    fit = dm.fit_lambda(x, HOST, TRANS, A0).join(held, "orf")
-    rows = fit.select(F.col("orf").cast("string").alias("key"), "codons", fixed(HOST).alias("host"), fixed(TRANS).alias("trans"), F.lit(A0).alias("a0"), "lambda_hat", "lrt", "p_asym")
-    return resample.final_p(kept(rows), mode="fast")
+    fit = dm.fit_lambda(x, host, trans, A0).join(held, "orf")
+    return fit.select(F.col("orf").cast("string").alias("key"), "codons", fixed(host).alias("host"), fixed(trans).alias("trans"), F.lit(A0).alias("a0"), "lambda_hat", "lrt", "p_asym")
+
+
+def dm_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final p of all candidates under the formal engine; drawn numbers have no SQL twin, a test holds them against a plain bootstrap."""
+    return resample.final_p(kept(candidate_rows(spark, sf_dir)), mode="fast")
 
 
 def _mix(lam: str) -> str:

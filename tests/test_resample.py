@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 import pytest
-from codonlake.operators import dm, metagene, resample
+from codonlake.operators import dm, draws, metagene, resample
 from pyspark.sql import functions as F
 
 HOST, TRANS, A0 = (0.1, 0.2, 0.7), (0.8, 0.1, 0.1), 20.0
@@ -105,3 +105,43 @@ def test_concentration_and_trimming(spark):
     want = np.array([np.sort(shares[:, f])[k : 300 - k].mean() for f in range(3)])
     r = metagene.trimmed_template(df, 0.1).first()
     assert np.allclose([r.pi0, r.pi1, r.pi2], want / want.sum())
+
+
+def test_draws_by_counters_agree_with_the_generator(spark):
+    """Uniform numbers are uniform, urns have the right means and spread, and tails agree with those of the other sampler."""
+    us = spark.range(400).select(F.explode(F.expr(draws.uniform("(id * 7919)", "50L"))).alias("u"))
+    row = us.agg(F.avg("u").alias("m"), F.var_pop("u").alias("v"), F.min("u").alias("lo"), F.max("u").alias("hi"), F.count_distinct("u").alias("n")).first()
+    assert abs(row.m - 0.5) < 0.008 and abs(row.v - 1 / 12) < 0.003 and 0 < row.lo and row.hi < 1 and row.n > 19_900
+    one = spark.range(6000).select(F.lit(8.0).alias("a0"), F.array(F.lit(0.2), F.lit(0.3), F.lit(0.5)).alias("host"), F.expr(draws.uniform("(id * 104729)", "10L")).alias("us"))
+    counts = one.select(F.expr(draws.urn("us", "a0", "host")).alias("c")).select("c.*")
+    for f, p in enumerate((0.2, 0.3, 0.5)):
+        got = counts.agg(F.avg(f"c{f}").alias("m"), F.var_pop(f"c{f}").alias("v")).first()
+        want = 10 * p * (1 - p) * (10 + 8) / (1 + 8)
+        assert abs(got.m - 10 * p) < 0.1 and abs(got.v - want) < 0.1 * want
+    rng = np.random.default_rng(3)
+    host, trans = [0.3, 0.32, 0.38], [0.42, 0.29, 0.29]
+    rows = []
+    for k in range(6):
+        codons = [(i + i // 9, *rng.multinomial(int(rng.integers(1, 6)), [1 / 3] * 3).tolist()) for i in range(25)]
+        rows.append((f"k{k}", codons, host, trans, 12.0, 0.1 + 0.1 * k, 0.05 * 4**k))
+    rows.append(("short", [(0, 1, 0, 0), (5, 0, 1, 0)], host, trans, 12.0, 0.2, 0.1))
+    x = spark.createDataFrame(rows, "key string, codons array<struct<codon:int,c0:int,c1:int,c2:int>>, host array<double>, trans array<double>, a0 double, lambda_hat double, lrt double").cache()
+    for method in ("iid", "block", "importance"):
+        a, b = ({r.key: r for r in sampler(x, 1500, method).collect()} for sampler in (draws.tails, resample.tails))
+        assert a.keys() == b.keys() and len(a) == 7
+        for key, r in a.items():
+            o = b[key]
+            if method == "block" and key == "short":
+                assert not r.usable and not o.usable
+                continue
+            assert r.drawn == o.drawn == 1500 and r.usable
+            p, q = r.t / 1500, o.t / 1500
+            error = (max(r.t2, o.t2) / 1500 - min(p, q) ** 2) ** 0.5 / 1500**0.5
+            assert abs(p - q) < 5 * error + 0.004 and abs(r.w - o.w) / 1500 < 0.15
+    again = draws.tails(x.repartition(3), 300, "importance")
+    same = draws.tails(x.coalesce(1), 300, "importance")
+    assert sorted((r.key, r.tail) for r in again.collect()) == sorted((r.key, r.tail) for r in same.collect())
+    assert draws.tails(x.limit(0), 10, "iid").count() == 0
+    assert "ArrowEvalPython" not in same._jdf.queryExecution().toString() and "MapInPandas" not in same._jdf.queryExecution().toString()
+    final = resample.final_p(x.withColumn("p_asym", F.lit(0.1)), reps=60, importance_reps=80, sampler=draws.tails)
+    assert final.filter("p_final is null or p_final <= 0").count() == 0
