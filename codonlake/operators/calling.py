@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codonlake.functions.lineage import kept
-from codonlake.operators import candidates, dm, export, fdr, intervals, resample
+from codonlake.operators import candidates, dm, draws, export, fdr, intervals, resample
 from codonlake.sources.inputs import blocks
 
 
+#: Ways to draw: numpy generators in Arrow batches, or counters in column expressions.
+SAMPLERS = {"generator": resample.tails, "counters": draws.tails}
+
+
 @dataclass(frozen=True)
 class Settings:
     """Parameters of a run."""
@@ -40,12 +44,13 @@ class Settings:
     mane_only: bool = False
     seed: int = 1
     blocks: tuple[int, ...] = field(default=())
+    sampler: str = "generator"
 
 
 def load(torfs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """(candidates, reasons): one representative for each candidate, with its members, and rows by the filter they failed.
 
-    torfs: the table of ORFs with gorf_id."""
+    torfs: the table of ORFs with gorf_id and line. A candidate's order is that of the first of its ORFs."""
     number = lambda c: F.col(c).try_cast("long")
     x = torfs.withColumns(
         {
@@ -58,9 +63,9 @@ def load(torfs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFra
     length = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, n: a + n)
     x = x.withColumn("length", length).withColumn("n_core_codons", F.expr("length div 3") - s.first_codons - s.last_codons).withColumn("reason", candidates.rejection(s.least_aa, s.least_core, s.mane_only))
     reasons = x.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    groups = candidates.grouped(x.filter("reason is null"), s.by, s.keep_confounded).select("candidate", F.col("representative").alias("torf_id"), F.col("n_members").alias("n_member_torfs"), F.col("members").alias("member_torf_ids_preview"))
-    rows = x.filter("reason is null").drop("reason", "use").join(groups, "torf_id").dropDuplicates(["candidate"])
-    return rows.withColumn("candidate_order", F.xxhash64("candidate")), reasons
+    groups = candidates.grouped(x.filter("reason is null"), s.by, s.keep_confounded, True).select("candidate", F.col("line").alias("candidate_order"), F.col("representative").alias("torf_id"), F.col("n_members").alias("n_member_torfs"), F.col("members").alias("member_torf_ids_preview"))
+    rows = x.filter("reason is null").drop("reason", "use", "line").join(groups, "torf_id").dropDuplicates(["candidate"])
+    return rows, reasons
 
 
 def counted(rows: DataFrame, sites: DataFrame) -> DataFrame:
@@ -117,7 +122,7 @@ def call(rows: DataFrame, codons: DataFrame, pi: tuple[float, float, float], a0:
     held = eligible.filter("c0 + c1 + c2 > 0").groupBy("candidate").agg(F.sort_array(F.collect_list(F.struct("codon", "c0", "c1", "c2"))).alias("codons"))
     three = lambda p: F.array(*[F.col(f"{p}_{f}") for f in range(3)])
     drawn = fits.join(held, "candidate").select(F.col("candidate").alias("key"), "codons", three("pi_host").alias("host"), three("pi_trans").alias("trans"), F.lit(a0).alias("a0"), "lambda_hat", F.col("lrt_stat").alias("lrt"), "p_asym", F.col("lag1_residual_autocorrelation").alias("lag1"))
-    final = resample.final_p(kept(drawn), s.engine, s.mode, s.reps, s.importance_reps, gate=s.gate, blocks=s.blocks, seed=s.seed)
+    final = resample.final_p(kept(drawn), s.engine, s.mode, s.reps, s.importance_reps, gate=s.gate, blocks=s.blocks, seed=s.seed, sampler=SAMPLERS[s.sampler])
     final = final.withColumnsRenamed({"key": "candidate", "p_final": "p_tested", "classification_pre_fdr": "class_tested"}).drop("p_asym", "lag1")
     x = x.join(fits.drop("overlap_type"), "candidate", "left").join(final, "candidate", "left")
     same = F.element_at(F.create_map(*[F.lit(v) for k, ok in apart.items() for v in (k, ok)]), F.col("overlap_type"))

@@ -55,11 +55,12 @@ def base_result(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(c) if c in names else F.lit(None).cast("string").alias(c) for c in BASE], F.col("candidate_order") if "candidate_order" in names else F.lit(None).cast("long").alias("candidate_order"))
 
 
-def grouped(rows: DataFrame, by: str = "gorf", keep_confounded: bool = False) -> DataFrame:
+def grouped(rows: DataFrame, by: str = "gorf", keep_confounded: bool = False, ordered: bool = False) -> DataFrame:
     """One row for each candidate: rows(torf, gorf, blocks, overlap_type, mane, peptide_len, confounded).
 
     by: gorf (blocks where it is blank), blocks or none. The representative is a MANE member if there is one, then the longest
-    peptide, then the greatest name. One confounded member drops its group unless asked otherwise."""
+    peptide, then the greatest name. One confounded member drops its group unless asked otherwise.
+    ordered: rows have a line; a candidate has the first of its members'."""
     keys = {"gorf": F.coalesce(F.nullif("gorf", F.lit("")), F.col("blocks")), "blocks": F.col("blocks"), "none": F.col("torf")}
     if by not in keys:
         raise ValueError(f"unknown grouping: {by}")
@@ -68,9 +69,9 @@ def grouped(rows: DataFrame, by: str = "gorf", keep_confounded: bool = False) ->
     # names for reading, the first twenty in order: a group's other names are dropped before they are gathered
     few = named.select("candidate", "torf").distinct().withColumn("k", F.row_number().over(W.partitionBy("candidate").orderBy("torf"))).filter(F.col("k") <= PREVIEW)
     few = few.groupBy("candidate").agg(F.array_join(F.array_sort(F.collect_list("torf")), ",").alias("members"))
-    x = named.groupBy("candidate", "overlap_type").agg(best.alias("best"), F.count(F.lit(1)).alias("n_members"), F.max("confounded").alias("confounded")).join(few, "candidate")
+    x = named.groupBy("candidate", "overlap_type").agg(best.alias("best"), F.count(F.lit(1)).alias("n_members"), F.max("confounded").alias("confounded"), *([F.min("line").alias("line")] if ordered else [])).join(few, "candidate")
     x = x if keep_confounded else x.filter("confounded = 0")
-    return x.select("candidate", "overlap_type", F.col("best.torf").alias("representative"), F.col("best.mane").alias("mane"), F.col("best.peptide_len").alias("peptide_len"), "n_members", "confounded", "members")
+    return x.select("candidate", "overlap_type", F.col("best.torf").alias("representative"), F.col("best.mane").alias("mane"), F.col("best.peptide_len").alias("peptide_len"), "n_members", "confounded", "members", *(["line"] if ordered else []))
 
 
 def coverage(rows: DataFrame, least_core: int = 3, least_active: int = 3, least_reads: int = 15) -> DataFrame:

@@ -74,6 +74,30 @@ def trimmed_template(codons: DataFrame, share: float, least_reads: int = 3) -> D
     return one.select(*[(F.col(f"m{f}") / (F.col("m0") + F.col("m1") + F.col("m2"))).alias(f"pi{f}") for f in range(3)])
 
 
+def reservoir(codons: DataFrame, size: int, least_reads: int = 3, seed: int = 1) -> DataFrame:
+    """A sample of at most `size` codons with enough reads: those with the least hashes of ORF and codon.
+
+    The same codons come out whatever the order and parts, and the reservoir of two tables is that of their reservoirs
+    (`merged_reservoirs`). A task keeps `size` rows at most, whatever the depth."""
+    enough = codons.filter(F.col("c0") + F.col("c1") + F.col("c2") >= least_reads)
+    named = enough.select("orf", "codon", "c0", "c1", "c2", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("orf").cast("string"), F.col("codon").cast("string")).cast("binary")).alias("hash"))
+    return _least(named, size)
+
+
+def merged_reservoirs(a: DataFrame, b: DataFrame, size: int) -> DataFrame:
+    """The reservoir of two tables from those of each, made with one seed."""
+    return _least(a.unionByName(b).distinct(), size)
+
+
+def _least(named: DataFrame, size: int) -> DataFrame:
+    return named.orderBy("hash", "orf", "codon").limit(size)
+
+
+def reservoir_template(codons: DataFrame, size: int = 200_000, share: float = 0.1, least_reads: int = 3, seed: int = 1) -> DataFrame:
+    """`trimmed_template` of a reservoir: exact trimming of a bounded sample, for codons of any number and depth."""
+    return trimmed_template(reservoir(codons, size, least_reads, seed), share, least_reads)
+
+
 def fit_a0(codons: DataFrame, pi: tuple[float, float, float], least_reads: int = 3, low: float = 0.02, high: float = 1e5, points: int = 96) -> DataFrame:
     """a0, at_edge, n_codons: the concentration of largest likelihood between low and high; 20 without codons.
 
@@ -122,10 +146,10 @@ def load_cds(rows: DataFrame, least_nt: int = 90) -> DataFrame:
     )
     name = F.coalesce(F.nullif(F.trim("torf_id"), F.lit("")), F.concat(F.lit("CDS_fallback_"), F.col("line").cast("string")))
     x = rows.withColumn("torf_id", name).withColumn("skip", why)
-    first = x.filter("skip is null").groupBy("torf_id").agg(F.min("line").alias("_first"))
-    x = x.join(first, "torf_id", "left")
+    # of rows of one id the first read stays, also where lines are alike
+    x = x.withColumn("_first", F.when(F.col("skip").isNull(), F.row_number().over(W.partitionBy("torf_id", F.col("skip").isNull()).orderBy("line"))))
     total = F.aggregate(sizes, F.lit(0).cast("long"), lambda a, n: a + n)
-    return x.withColumn("skip", F.coalesce("skip", F.when(F.col("line") != F.col("_first"), "skip_duplicate_torf_id").when(total < 3, "skip_invalid_orf_length"))).drop("_first")
+    return x.withColumn("skip", F.coalesce("skip", F.when(F.col("_first") > 1, "skip_duplicate_torf_id").when(total < 3, "skip_invalid_orf_length"))).drop("_first")
 
 
 def load_counts(loaded: DataFrame) -> DataFrame:

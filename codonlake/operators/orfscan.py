@@ -59,11 +59,19 @@ def torfs(tx: DataFrame, starts: tuple[str, ...] = ("ATG",), min_aa: int = 6, fl
     return x.select(*[(made[c] if c in made else F.col(c)).alias(c) for c in COLUMNS])
 
 
+def in_order(rows: DataFrame, gtf: DataFrame) -> DataFrame:
+    """Adds `line`, the place of each ORF: transcripts in the order of the annotation's lines, then frames and starts."""
+    first = gtf.filter("transcript_id is not null").groupBy("transcript_id").agg(F.min("line").alias("_first"))
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    place = big("_first") * F.lit(10**13).cast("decimal(14,0)") + big("frame") * F.lit(10**12).cast("decimal(13,0)") + big("t_start")
+    return rows.join(first, "transcript_id").withColumn("line", place.cast("decimal(38,0)")).drop("_first")
+
+
 def for_collapse(rows: DataFrame) -> DataFrame:
-    """The table's rows as `orfs.collapse` takes them; lines are numbered in order of names."""
+    """The table's rows as `orfs.collapse` takes them. Rows need their `line`, the order of reading."""
     numbers = lambda c: F.transform(F.split(c, ","), lambda v: v.cast("long"))
     return rows.select(
-        F.xxhash64("torf_id").alias("line"), F.col("torf_id").alias("torf"), F.col("transcript_id").alias("tx"), F.col("gene_id").alias("gene"), "gene_name", F.col("orf_biotype").alias("biotype"), "chrom", "strand",
+        "line", F.col("torf_id").alias("torf"), F.col("transcript_id").alias("tx"), F.col("gene_id").alias("gene"), "gene_name", F.col("orf_biotype").alias("biotype"), "chrom", "strand",
         F.col("chromStart1").alias("start1"), F.col("chromEnd1").alias("end1"), numbers("blockSizes").alias("sizes"), numbers("genomic_block_starts1").alias("starts1"), "peptide_len", "peptide", "aa_len",
         F.col("intorf_shares_annotated_stop_same_gene").alias("same_gene"), F.col("intorf_shares_annotated_stop_any_gene").alias("any_gene"), F.col("intorf_annotated_stop_confounded").alias("confounded"),
     )

@@ -127,6 +127,12 @@ def qc_trimmed_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
 
 
+def qc_reservoir_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trimmed template of the 2,000 codons with the least hashes, however the table is cut in parts."""
+    out = metagene.reservoir_template(cand_codons(spark, sf_dir), 2000, 0.1)
+    return out.select(*[rounded(F.col(c)).alias(c) for c in out.columns])
+
+
 def dm_projected_lag1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of neighbouring codons' residuals along the way from host to trans, after a share by the ORF's number."""
     lam = (F.col("orf") % 101) / F.lit(100.0)
@@ -206,7 +212,7 @@ low AS (
          sum(1.0 / r) OVER (PARTITION BY family) AS h FROM ranked)"""
 _TEST_SQL = "tests AS (SELECT o_orderkey AS id, o_orderpriority AS family, (o_orderkey * 7919 % 9973 + 1) / 9974.0 AS p FROM orders)"
 
-QUERIES = {f.__name__: f for f in (iv_core_summary, dm_loglik_host, dm_lambda_fit, dm_geometry, dm_expected_reads, dm_residual_breadth, dm_lag1, dm_projected_lag1, fdr_bh_by, fdr_classes, qc_template, qc_ternary, qc_start_histogram, qc_cds_metrics, qc_trimmed_template, qc_a0, dm_bootstrap)}
+QUERIES = {f.__name__: f for f in (iv_core_summary, dm_loglik_host, dm_lambda_fit, dm_geometry, dm_expected_reads, dm_residual_breadth, dm_lag1, dm_projected_lag1, fdr_bh_by, fdr_classes, qc_template, qc_ternary, qc_start_histogram, qc_cds_metrics, qc_trimmed_template, qc_reservoir_template, qc_a0, dm_bootstrap)}
 ORACLES = {
     "dm_lambda_fit": _FIT_SQL,
     "qc_a0": _A0_SQL,
@@ -253,6 +259,12 @@ SELECT rel_nt, CAST(coalesce(sum(n), 0) AS BIGINT) AS count FROM grid LEFT JOIN
     "qc_cds_metrics": f"""{counting.CODON_SQL}, size AS (SELECT orf, max(len) // 3 AS n_codons FROM block GROUP BY orf)
 SELECT orf, CAST(sum(c0 + c1 + c2) AS BIGINT) AS reads, round(sum(c0) / sum(c0 + c1 + c2), 6) AS pif, round(count(*) FILTER (c0 * 3 > c0 + c1 + c2) / any_value(n_codons), 6) AS uniformity
 FROM codon JOIN size USING (orf) GROUP BY orf""",
+    "qc_reservoir_template": f"""WITH {CAND_SQL}, kept AS (SELECT * FROM cand WHERE c0 + c1 + c2 >= 3 ORDER BY md5('1|' || orf || '|' || codon), orf, codon LIMIT 2000), v AS (
+  SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) AS r, count(*) OVER (PARTITION BY f) AS n FROM (
+    SELECT unnest([0, 1, 2]) AS f, unnest([c0 / (c0 + c1 + c2), c1 / (c0 + c1 + c2), c2 / (c0 + c1 + c2)]) AS x FROM kept)),
+m AS (SELECT f, avg(x) AS m FROM v WHERE r > floor(n * 0.1::DOUBLE) AND r <= n - floor(n * 0.1::DOUBLE) GROUP BY f),
+p AS (SELECT f, m / sum(m) OVER () AS p FROM m)
+SELECT round(max(p) FILTER (f = 0), 6) AS pi0, round(max(p) FILTER (f = 1), 6) AS pi1, round(max(p) FILTER (f = 2), 6) AS pi2 FROM p""",
     "qc_trimmed_template": f"""WITH {CAND_SQL}, v AS (
   SELECT f, x, row_number() OVER (PARTITION BY f ORDER BY x) AS r, count(*) OVER (PARTITION BY f) AS n FROM (
     SELECT unnest([0, 1, 2]) AS f, unnest([c0 / (c0 + c1 + c2), c1 / (c0 + c1 + c2), c2 / (c0 + c1 + c2)]) AS x FROM cand WHERE c0 + c1 + c2 >= 3)),

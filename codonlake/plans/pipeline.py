@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from codonlake.operators import calling, context, export, intervals, metagene, orfs, orfscan, psites, replicates, reports, results, transcripts
 from codonlake.plans.stages import Stage
+from codonlake.plans.stages import record as stage_record
 from codonlake.plans.stages import run as run_stages
 from codonlake.sources import bam, fasta, formats, inputs, offsets
 
@@ -49,6 +50,8 @@ class Config:
     template_codon_reads: int = 3
     least_a0: float = 0.5
     pi_method: str = "codon_equal"
+    trim_fraction: float = 0.1
+    trim_reservoir: int = 0
     settings: calling.Settings = calling.Settings()
     export: str = "credible"
     from_stage: str = ORDER[0]
@@ -73,6 +76,8 @@ class Config:
             raise ValueError("results need genomic ORFs")
         if isinstance(self.chroms, str) or isinstance(self.starts, str):
             raise ValueError("contigs and start codons are lists of names")
+        if self.pi_method not in ("codon_equal", "read_weighted", "trimmed") or not 0 <= self.trim_fraction < 0.5 or self.trim_reservoir < 0:
+            raise ValueError("a parameter of the template is out of bounds")
         if self.merge_by not in ("blocks", "stop"):
             raise ValueError(f"unknown way to merge: {self.merge_by}")
         if self.min_aa < 1 or self.least_a0 <= 0 or not set("".join(self.starts)) <= set("ACGT"):
@@ -94,7 +99,7 @@ def _torf(spark: SparkSession, _: Mapping[str, DataFrame], p: Mapping) -> DataFr
         first = gtf.filter("feature <> 'gene'").groupBy("transcript_id").agg(F.min("line").alias("line")).join(tx.select("transcript_id"), "transcript_id").orderBy("line").limit(p["max_transcripts"])
         tx = tx.join(first.select("transcript_id"), "transcript_id", "left_semi")
     tx = fasta.splice(fasta.read_fasta(spark, p["fasta"]), tx)
-    return orfscan.torfs(tx, tuple(p["starts"]), p["min_aa"])
+    return orfscan.in_order(orfscan.torfs(tx, tuple(p["starts"]), p["min_aa"]), gtf)
 
 
 def _gorf(spark: SparkSession, tables: Mapping[str, DataFrame], p: Mapping) -> DataFrame:
@@ -105,6 +110,14 @@ def _members(spark: SparkSession, tables: Mapping[str, DataFrame], p: Mapping) -
     return orfs.members(orfscan.for_collapse(tables["torf"]), p["merge_by"])
 
 
+def _audit(spark: SparkSession, tables: Mapping[str, DataFrame], p: Mapping) -> DataFrame:
+    """How far ORFs, members and genomic ORFs cover each other; anything left over stops the run."""
+    found = orfs.audit(orfscan.for_collapse(tables["torf"]), tables["gorf_members"], tables["gorf"])
+    if not orfs.passed(found):
+        raise ValueError("genomic ORFs and their members don't cover the ORFs")
+    return found
+
+
 def _offsets(spark: SparkSession, _: Mapping[str, DataFrame], p: Mapping) -> DataFrame:
     if p["length_offsets"]:
         return psites.explicit_offsets(spark, {int(k): int(v) for k, v in p["length_offsets"].items()})
@@ -117,10 +130,10 @@ def _offsets(spark: SparkSession, _: Mapping[str, DataFrame], p: Mapping) -> Dat
 
 def _psite(spark: SparkSession, tables: Mapping[str, DataFrame], p: Mapping) -> DataFrame:
     if p["alignments"].endswith(".bam"):
-        bam.register(spark)
-        reads = spark.read.format("bam").load(p["alignments"])
+        reads = bam.read(spark, p["alignments"], p["chroms"])
     else:
         reads = formats.read_sam(spark, p["alignments"])
+        reads = reads.filter(F.col("rname").isin(*p["chroms"])) if p["chroms"] else reads
     chosen = tables["offsets"].filter("selected = 1").select(F.col("length").cast("int").alias("length"), F.col("offset").cast("int").alias("offset"))
     if chosen.isEmpty():
         raise ValueError("no read length passed")
@@ -134,7 +147,7 @@ def _sites(psite: DataFrame) -> DataFrame:
 
 
 def _cds(torf: DataFrame, p: Mapping) -> DataFrame:
-    x = torf.withColumn("line", F.xxhash64("torf_id")).withColumn("blocks", inputs.blocks(F.col("blockSizes"), F.col("genomic_block_starts1")))
+    x = torf.withColumn("blocks", inputs.blocks(F.col("blockSizes"), F.col("genomic_block_starts1")))
     x = x.withColumn("sizes", F.transform("blocks", lambda b: b["e"] - b["s"])).withColumn("starts1", F.transform("blocks", lambda b: b["s"] + 1))
     x = metagene.load_cds(x, p["min_cds_nt"]).filter("skip is null")
     flank = lambda f: inputs.ranges(F.col(f"{f}_genomic_starts1"), F.col(f"{f}_genomic_ends1")).alias(f)
@@ -158,7 +171,12 @@ def _background(spark: SparkSession, tables: Mapping[str, DataFrame], p: Mapping
     cds, _hits, inside = _cds_hits(tables, p)
     codons = intervals.codon_counts(inside.withColumn("n_codons", F.expr("length div 3"))).join(cds.select("orf", "length"), "orf")
     used = metagene.patterns(codons, least_reads=p["template_codon_reads"])
-    rows = metagene.template(used, p["template_codon_reads"]).filter(F.col("method") == p["pi_method"]).collect()  # one row
+    if p["pi_method"] == "trimmed":
+        n = used.filter(F.expr(f"c0 + c1 + c2 >= {int(p['template_codon_reads'])}")).agg(F.count(F.lit(1)).alias("n_codons"))
+        found = metagene.trimmed_template(used, p["trim_fraction"], p["template_codon_reads"]) if not p["trim_reservoir"] else metagene.reservoir_template(used, p["trim_reservoir"], p["trim_fraction"], p["template_codon_reads"])
+        rows = found.crossJoin(F.broadcast(n)).collect()  # one row each
+    else:
+        rows = metagene.template(used, p["template_codon_reads"]).filter(F.col("method") == p["pi_method"]).collect()  # one row
     pi = tuple(float(rows[0][f"pi{f}"] or 0.0) for f in range(3)) if rows else (0.0, 0.0, 0.0)
     if not sum(pi):
         raise ValueError("no codon of a template is left")
@@ -230,13 +248,14 @@ def stages(c: Config) -> list[tuple[str, str, Stage]]:
     c = c.checked()
     p = asdict(c)
     pick = lambda *names: {n: p[n] for n in names}
-    qc = pick("min_cds_nt", "min_density", "template_codon_reads", "least_a0", "pi_method")
+    qc = pick("min_cds_nt", "min_density", "template_codon_reads", "least_a0", "pi_method", "trim_fraction", "trim_reservoir")
     out = [
-        ("orfscan", "", Stage("torf", _torf, (), pick("gtf", "fasta", "starts", "min_aa", "primary_only", "chroms", "max_transcripts"), orfscan.COLUMNS, True)),
-        ("orfscan", "", Stage("gorf", _gorf, ("torf",), pick("merge_by"), ("gorf_id", "gorf_signature"))),
-        ("orfscan", "", Stage("gorf_members", _members, ("torf",), pick("merge_by"), ("gorf_id", "torf"))),
-        ("psite", "", Stage("offsets", _offsets, (), pick("length_offsets", "offset_file", "quality_file"), psites.AUDIT, True)),
-        ("psite", "", Stage("psite", _psite, ("offsets",), pick("alignments", "min_mapq", "rl"), ("rname", "pos0", "RL"), True)),
+        ("orfscan", "", Stage("torf", _torf, (), pick("gtf", "fasta", "starts", "min_aa", "primary_only", "chroms", "max_transcripts"), (*orfscan.COLUMNS, "line"), True, ("gtf", "fasta"), shared=True, unique=("torf_id",))),
+        ("orfscan", "", Stage("gorf", _gorf, ("torf",), pick("merge_by"), ("gorf_id", "gorf_signature"), shared=True, unique=("gorf_id",))),
+        ("orfscan", "", Stage("gorf_members", _members, ("torf",), pick("merge_by"), ("gorf_id", "torf"), shared=True, unique=("torf",))),
+        ("orfscan", "", Stage("gorf_audit", _audit, ("torf", "gorf_members", "gorf"), {}, ("metric", "value"), shared=True)),
+        ("psite", "", Stage("offsets", _offsets, (), pick("length_offsets", "offset_file", "quality_file"), psites.AUDIT, True, ("offset_file", "quality_file"), ("length_offsets", "offset_file", "quality_file"))),
+        ("psite", "", Stage("psite", _psite, ("offsets",), pick("alignments", "min_mapq", "rl", "chroms"), ("rname", "pos0", "RL"), True, ("alignments",), ("alignments",))),
         ("qc", "", Stage("cds_metrics", _metrics, ("torf", "psite"), qc, ("orf", "PIF"))),
         ("qc", "", Stage("background", _background, ("torf", "psite"), qc, ("pi0", "pi1", "pi2", "A"))),
     ]
@@ -260,18 +279,18 @@ def stages(c: Config) -> list[tuple[str, str, Stage]]:
             *[("visualize", mode, own(mode, n, f, ("context",), {})) for n, f in (("plot_data", _plot), ("length_table", _lengths), ("gate_waterfall", _waterfall))],
         ]
     lo, hi = ORDER.index(c.from_stage), ORDER.index(c.to_stage)
-    kept = [s for s in out if (s[0] not in OPTIONAL or c.with_codon) and (c.collapse or s[2].name not in ("gorf", "gorf_members"))]
+    kept = [s for s in out if (s[0] not in OPTIONAL or c.with_codon) and (c.collapse or s[2].name not in ("gorf", "gorf_members", "gorf_audit"))]
     wanted = {s[2].name for s in kept if lo <= ORDER.index(s[0]) <= hi}
     if not wanted:
         raise ValueError("no stage is left to run")
     return [s for s in kept if ORDER.index(s[0]) <= hi]
 
 
-def run(spark: SparkSession, c: Config, force: bool = False, dry: bool = False) -> list[tuple[str, str]]:
-    """(table, what was done with it) of a sample's run. Stages before the first asked for must be there."""
+def run(spark: SparkSession, c: Config, force: bool = False, dry: bool = False, shared: str | None = None) -> list[tuple[str, str]]:
+    """(table, what was done with it) of a sample's run. Stages before the first asked for must be there. shared as in `stages.run`."""
     made = stages(c)
     first = next(s.name for stage, _, s in made if ORDER.index(stage) >= ORDER.index(c.from_stage))
-    return run_stages(spark, f"{c.folder}/{c.sample}", [s for _, _, s in made], first=first, force=force, dry=dry)
+    return run_stages(spark, f"{c.folder}/{c.sample}", [s for _, _, s in made], first=first, force=force, dry=dry, shared=shared)
 
 
 def summary_row(spark: SparkSession, c: Config, mode: str, status: str) -> dict[str, str]:
@@ -298,14 +317,14 @@ def summary_row(spark: SparkSession, c: Config, mode: str, status: str) -> dict[
 def run_batch(spark: SparkSession, configs: Sequence[Config], force: bool = False) -> list[dict[str, str]]:
     """Several samples: one that fails doesn't stop the others. A row for each sample and mode, errors in its status.
 
-    The ORF tables of the first sample serve the others where they are made from the same files."""
+    ORF tables are kept by what made them, so samples of the same annotation, sequences and parameters share one."""
     names = [c.sample.casefold() for c in configs]
     if len(set(names)) < len(names):
         raise ValueError("two samples have one name")
     out = []
     for c in configs:
         try:
-            run(spark, c, force)
+            run(spark, c, force, shared=f"{c.folder}/annotation")
             status = "complete"
         except Exception as error:  # noqa: BLE001  any failure belongs to its sample alone
             status = f"failed: {type(error).__name__}: {error}".splitlines()[0]
@@ -313,17 +332,25 @@ def run_batch(spark: SparkSession, configs: Sequence[Config], force: bool = Fals
     return out
 
 
+def fitting(spark: SparkSession, configs: Sequence[Config], mode: str = "accurate") -> list[Config]:
+    """The samples whose results are whole. Results that other code, parameters or ORFs made than the first sample's are an error."""
+    found = [(c, stage_record(spark, f"{c.folder}/{c.sample}", f"{mode}_results")) for c in configs]
+    found = [(c, r) for c, r in found if r is not None]
+    for c, r in found[1:]:
+        first, other = found[0]
+        if r["signature"] != other["signature"]:
+            why = [k for k in ("code", "parameters") if r[k] != other[k]] or ["ORFs or earlier stages"]
+            raise ValueError(f"{c.sample} doesn't fit {first.sample}: {', '.join(why)}")
+        if r["columns"] != spark.read.parquet(f"{c.folder}/{c.sample}/{mode}_results/data").columns:
+            raise ValueError(f"the results of {c.sample} aren't those of their record")
+    return [c for c, _ in found]
+
+
 def integrate(spark: SparkSession, configs: Sequence[Config], mode: str = "accurate", least: int = 2, least_share: float = 0.5, fdr: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """(rows, consensus) over the samples whose results are there, also those whose later stages failed."""
-    from pyspark.errors import AnalysisException
-
     rows, available = None, []
-    for c in configs:
-        try:
-            found = spark.read.parquet(f"{c.folder}/{c.sample}/{mode}_results/data")
-        except AnalysisException:
-            continue
-        one = replicates.load(found, c.sample)
+    for c in fitting(spark, configs, mode):
+        one = replicates.load(spark.read.parquet(f"{c.folder}/{c.sample}/{mode}_results/data"), c.sample)
         rows = one if rows is None else rows.unionByName(one)
         available.append(c.sample)
     if rows is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Mapping, Sequence
@@ -41,14 +42,20 @@ def write_one(df: DataFrame, path: str, order: Sequence[Column | str] = (), digi
 
 
 def _moved(spark: SparkSession, path: str, write) -> None:
+    """Writes beside the path, puts an old result aside and the new one in its place; a failure leaves the old one there."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    aside, to = hadoop.Path(f"{path}.tmp-{uuid.uuid4().hex}"), hadoop.Path(path)
+    aside, old, to = hadoop.Path(f"{path}.tmp-{uuid.uuid4().hex}"), hadoop.Path(f"{path}.old-{uuid.uuid4().hex}"), hadoop.Path(path)
     system = to.getFileSystem(spark._jsc.hadoopConfiguration())
     try:
         write(aside.toString())
-        system.delete(to, True)
+        there = system.exists(to)
+        if there and not system.rename(to, old):
+            raise OSError(f"can't put the old result aside: {path}")
         if not system.rename(aside, to):
+            if there:
+                system.rename(old, to)
             raise OSError(f"can't move the result to {path}")
+        system.delete(old, True)
     finally:
         system.delete(aside, True)
 
@@ -138,8 +145,44 @@ def manifest(program: str, version: str, parameters: Mapping, inputs: Mapping, r
     return {"program": program, "version": version, "parameters": dict(parameters), "inputs": dict(inputs), "output_schema": result.columns, "result_rows": result.count(), "outputs": [dict(o) for o in outputs]}
 
 
-def identity(spark: SparkSession, path: str) -> dict:
-    """Path, size and SHA-256 of a file, read in the cluster; a folder's files count in order of name."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha")).orderBy("path").collect()  # names and hashes
-    joined = spark.range(1).select(F.sha2(F.lit("".join(f.sha for f in files)), 256)).first()[0] if len(files) != 1 else files[0].sha
-    return {"path": path, "exists": bool(files), "size_bytes": sum(f.length for f in files), "sha256": joined}
+#: Bytes of a file that one task hashes.
+PIECE = 64 << 20
+
+
+def identity(spark: SparkSession, path: str, known: Mapping | None = None) -> dict:
+    """Path, size, time of change and SHA-256 of a file, or of a folder's files in order of name.
+
+    Files are hashed in pieces, each by a task of its own; a file of one piece has its plain SHA-256, any other the SHA-256
+    of its pieces' hashes one after another. known: an earlier identity, which holds where size and time are the same."""
+    from pyarrow import fs
+
+    from codonlake.sources.bam import place
+
+    system, inner = place(path)
+    info = system.get_file_info(inner)
+    if info.type == fs.FileType.NotFound:
+        return {"path": path, "exists": False, "size_bytes": 0, "mtime": None, "sha256": ""}
+    found = [info] if info.type == fs.FileType.File else sorted((f for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.type == fs.FileType.File), key=lambda f: f.path)
+    size, mtime = sum(f.size for f in found), max((f.mtime_ns or 0 for f in found), default=0)
+    if known and known.get("exists") and (known.get("size_bytes"), known.get("mtime")) == (size, mtime):
+        return dict(known)
+    pieces = [(k, f.path, at, min(PIECE, f.size - at)) for k, f in enumerate(found) for at in range(0, max(f.size, 1), PIECE)]
+
+    def hashed(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            digests = []
+            for name, at, n in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                with place(path)[0].open_input_file(name) as file:
+                    file.seek(at)
+                    digests.append(hashlib.sha256(file.read(n)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests)], names=["file", "at", "sha"])
+
+    rows = spark.createDataFrame(pieces, "file int, path string, at long, n long") if pieces else spark.createDataFrame([], "file int, path string, at long, n long")
+    rows = rows.repartition(max(1, min(len(pieces), 1000)), "file", "at") if len(pieces) > 1 else rows
+    digests = [r.sha for r in sorted(rows.mapInArrow(hashed, "file int, at long, sha string").collect(), key=lambda r: (r.file, r.at))]  # one for 64 MB
+    whole = digests[0] if len(digests) == 1 else hashlib.sha256("".join(digests).encode()).hexdigest()
+    return {"path": path, "exists": True, "size_bytes": size, "mtime": mtime, "sha256": whole}

@@ -81,10 +81,11 @@ def test_run_from_annotation_to_reports(spark, genome, tmp_path):
     folder, _ = genome
     c = pipeline.Config(sample="s1", folder=str(tmp_path), gtf=f"{folder}/g.gtf", fasta=f"{folder}/g.fa", alignments=f"{folder}/r.sam", length_offsets={28: 12}, min_density=0.01, min_aa=8, with_codon=True, export="all")
     done = pipeline.run(spark, c)
-    assert all(state == "run" for _, state in done) and len(done) == 16
+    assert all(state == "run" for _, state in done) and len(done) == 17
     read = lambda name: spark.read.parquet(f"{tmp_path}/s1/{name}/data")
     torf = read("torf")
-    assert set(torf.columns) == set(orfscan.COLUMNS)
+    assert set(torf.columns) == {*orfscan.COLUMNS, "line"} and torf.select("line").distinct().count() == torf.count()
+    assert [r.transcript_id for r in torf.groupBy("transcript_id").agg(F.min("line").alias("line")).orderBy("line").collect()] == [f"T{g}" for g in range(12)]
     own = torf.filter("is_annotated_cds = 1").collect()
     assert {r.transcript_id for r in own} == {f"T{g}" for g in range(12)}
     assert all(r.orf_biotype == "CDS" and r.peptide_len == 201 and r.peptide[0] == "M" and r.aa_len == 201 and r.blockCount == 2 and r.has_MANE_Select_tag == 1 for r in own)
@@ -104,6 +105,13 @@ def test_run_from_annotation_to_reports(spark, genome, tmp_path):
     assert again["torf"] == again["background"] == "kept" and again["accurate_results"] == "would run"
     row = pipeline.summary_row(spark, c, "accurate", "complete")
     assert row["selected_length_offsets"] == "28:12" and int(row["psite_alignments"]) > 9000
+    assert [r.candidate_order for r in found.orderBy("candidate_order").collect()] == sorted(r.candidate_order for r in found.collect())
+    trimmed = pipeline.replace_settings(c, sample="s2", pi_method="trimmed", to_stage="qc", gtf=c.gtf)
+    assert dict(pipeline.run(spark, trimmed))["background"] == "run"
+    small = pipeline.replace_settings(trimmed, sample="s3", trim_reservoir=50)
+    assert dict(pipeline.run(spark, small, shared=f"{tmp_path}/annotation"))["background"] == "run"
+    means = [spark.read.parquet(f"{tmp_path}/{n}/background/data").first() for n in ("s1", "s2", "s3")]
+    assert all(abs(m.pi0 - 0.8) < 0.12 for m in means) and len({m.pi0 for m in means}) == 3
     tables = pipeline.integration(spark, [c, pipeline.replace_settings(c, sample="gone")])
     assert tables["consensus"].count() == tables["long"].count() == found.count()
     assert {r.label.split("\n")[0] for r in tables["quality_labels"].collect()} == {"s1", "gone"}
@@ -129,6 +137,7 @@ def test_command_line(spark, genome, tmp_path, capsys):
     assert main([*args, "--set", "nonsense=1"], spark) == 2
     good = pipeline.Config(sample="good", folder=str(tmp_path), gtf=f"{folder}/g.gtf", fasta=f"{folder}/g.fa", alignments=f"{folder}/r.sam", length_offsets={28: 12}, to_stage="psite")
     batch = pipeline.run_batch(spark, [good, pipeline.replace_settings(good, sample="bad", gtf=f"{folder}/none.gtf")])
+    assert sorted(p.name.split("-")[0] for p in (tmp_path / "annotation").iterdir()) == ["gorf", "gorf_audit", "gorf_members", "torf"]
     assert [r["status"].split(":")[0] for r in batch] == ["complete", "failed"] and batch[1]["psite_alignments"] == ""
 
 
