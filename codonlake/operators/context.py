@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codonlake.operators.reports import common_prefix
-
 #: Classes, contexts and reasons.
 PURE = "pure_intorf_no_annotated_cds_nterm_reuse"
 CLASSES = {
@@ -41,38 +39,54 @@ def priority(tags: Column) -> Column:
     return F.when(has("mane_select"), 0).when(has("ccds"), 1).when(has("ensembl_canonical") | has("gencode_primary"), 2).when(has("appris"), 3).otherwise(4)
 
 
-def _letters(s: Column) -> Column:
-    return F.filter(F.split(s, ""), lambda x: x != "")
+def _runs(path: Column, strand: Column) -> Column:
+    """The path's stretches without a gap: array of (at, pos, n): index and position of the first base, and bases."""
+    step = F.when(strand == "-", -1).otherwise(1)
+    jumps = F.filter(F.sequence(F.lit(0), F.size(path) - 1), lambda i: (i == 0) | (F.get(path, i) - F.get(path, F.greatest(i - 1, F.lit(0))) != step))
+    ends = F.concat(F.slice(jumps, F.lit(2), F.size(jumps)), F.array(F.size(path)))
+    return F.when(F.size(path) > 0, F.zip_with(jumps, ends, lambda i, e: F.struct(i.alias("at"), F.get(path, i).alias("pos"), (e - i).alias("n"))))
+
+
+#: SQL: the stretches of a CDS from its codon `start` on.
+_REST = """transform(filter(cds_runs, r -> r.at + r.n > start), r -> named_struct(
+  'pos', r.pos + if(strand = '-', -1, 1) * greatest(start - r.at, 0), 'n', r.n - greatest(start - r.at, 0)))"""
+#: SQL: common bases of two paths: whole stretches that are alike, and the shorter of the first two that aren't but begin alike.
+_COMMON = """aggregate(sequence(0, least(size(runs), size(rest)) - 1), named_struct('go', true, 'n', 0L), (s, k) -> if(s.go and runs[k].pos = rest[k].pos,
+  named_struct('go', runs[k].n = rest[k].n, 'n', s.n + cast(least(runs[k].n, rest[k].n) as bigint)), named_struct('go', false, 'n', s.n)), s -> s.n)"""
+#: SQL: common letters of two peptides, by halving; the second begins at the codon `start`.
+_ALIKE = """aggregate(transform(sequence(20, 0, -1), k -> shiftleft(1, k)), 0, (n, w) -> if(
+  n + w <= least(length(peptide), length(cds_peptide) - start div 3) and substring(peptide, 1, n + w) = substring(cds_peptide, start div 3 + 1, n + w), n + w, n))"""
 
 
 def context(candidates: DataFrame, torfs: DataFrame, least_codons: int = 5) -> DataFrame:
     """candidates(gorf_id, gene_id, ...) with their sixteen columns of context.
 
     torfs: torf_id, gorf_id, gene_id, transcript_id, transcript_name, tx_tags, chrom, strand, is_annotated_cds, path,
-    peptide. A candidate's tORFs meet the CDSs of its gene by gene, chromosome and strand; a pair counts where the
-    candidate's first position stands at a codon of the CDS. The best pair has the longest common path, then the
-    longest common peptide, the best tags, and the least transcript and tORF. A (gorf, gene) key without tORFs is
-    an error where the key's gorf is known; CDSs of a gene are few, so pairs are bounded by the gene."""
+    peptide. The codons of all CDSs are an index by gene, chromosome, strand and position, where a candidate's tORFs look up
+    their first position; only such pairs are compared, by the stretches of their paths. The best pair has the longest
+    common path, then the longest common peptide, the best tags, and the least transcript and tORF. A (gorf, gene)
+    key without tORFs is an error where the key's gorf is known."""
     if least_codons < 1:
         raise ValueError("the least number of codons must be positive")
     keys = candidates.select("gorf_id", "gene_id").distinct()
+    place = ["gene_id", "chrom", "strand"]
     own = torfs.filter("not is_annotated_cds").join(keys, ["gorf_id", "gene_id"], "left_semi")
     cds = torfs.filter("is_annotated_cds").join(keys.select("gene_id").distinct(), "gene_id", "left_semi")
-    right = cds.select("gene_id", "chrom", "strand", "transcript_id", "transcript_name", F.col("tx_tags").alias("tags"), F.col("path").alias("cds_path"), F.col("peptide").alias("cds_peptide"))
-    both = own.select("gorf_id", "gene_id", "chrom", "strand", "torf_id", "path", "peptide").join(right, ["gene_id", "chrom", "strand"])
-    both = both.withColumn("at", F.array_position("cds_path", F.try_element_at("path", F.lit(1)))).filter("at > 0 and (at - 1) % 3 = 0")
-    rest = F.expr("slice(cds_path, greatest(cast(at as int), 1), size(cds_path))")
-    both = both.withColumn("nt", common_prefix(F.col("path"), rest)).withColumn("aa", common_prefix(_letters(F.col("peptide")), _letters(F.expr("substring(cds_peptide, greatest(cast((at - 1) div 3 + 1 as int), 1), length(cds_peptide))"))))
-    left = F.expr("size(cds_path) - at + 1")
-    both = both.withColumn("why", F.when(F.col("nt") >= F.size("path"), WHOLE).when(F.col("nt") >= left, ENDED).otherwise(DIVERGED))
-    kept = F.struct("torf_id", "transcript_id", "transcript_name", "tags", "nt", "aa", F.size("path").alias("path_nt"), F.length("peptide").alias("peptide_aa"), "why")
-    by = F.struct(-F.col("nt"), -F.col("aa"), priority(F.col("tags")), "transcript_id", "torf_id")
-    best = both.groupBy("gorf_id", "gene_id").agg(F.min_by(kept, by).alias("b"), F.max(F.struct("nt", "aa")).alias("top"))
-    ties = both.join(best.select("gorf_id", "gene_id", "top"), ["gorf_id", "gene_id"]).filter("nt = top.nt and aa = top.aa")
-    ties = ties.groupBy("gorf_id", "gene_id").agg(F.array_join(F.array_sort(F.collect_set("transcript_id")), ",").alias("tied"))
+    starts = F.filter("path", lambda _, i: i % 3 == 0)
+    index = cds.select(*place, "transcript_id", F.col("torf_id").alias("cds_torf"), F.posexplode(starts).alias("codon", "pos")).withColumn("start", F.col("codon") * 3).drop("codon")
+    asked = own.filter("size(path) > 0").select("gorf_id", *place, "torf_id", "peptide", F.size("path").alias("path_nt"), F.get("path", F.lit(0)).alias("pos"), _runs(F.col("path"), F.col("strand")).alias("runs"))
+    pairs = asked.join(index, [*place, "pos"])
+    right = cds.select(*place, "transcript_id", F.col("torf_id").alias("cds_torf"), "transcript_name", F.col("tx_tags").alias("tags"), F.size("path").alias("cds_nt"), _runs(F.col("path"), F.col("strand")).alias("cds_runs"), F.col("peptide").alias("cds_peptide"))
+    both = pairs.join(right, [*place, "transcript_id", "cds_torf"]).withColumn("rest", F.expr(_REST))
+    both = both.withColumn("nt", F.expr(_COMMON)).withColumn("aa", F.expr(_ALIKE).cast("long"))
+    both = both.withColumn("why", F.when(F.col("nt") >= F.col("path_nt"), WHOLE).when(F.col("nt") >= F.col("cds_nt") - F.col("start"), ENDED).otherwise(DIVERGED))
+    kept = F.struct("torf_id", "transcript_id", "transcript_name", "tags", "nt", "aa", "path_nt", F.length("peptide").alias("peptide_aa"), "why")
+    alike = both.groupBy("gorf_id", "gene_id", "nt", "aa").agg(F.min_by(kept, F.struct(priority(F.col("tags")), "transcript_id", "torf_id")).alias("b"), F.collect_set("transcript_id").alias("ids"))
+    best = alike.groupBy("gorf_id", "gene_id").agg(F.max_by(F.struct("b", "ids"), F.struct("nt", "aa")).alias("best"))
+    best = best.select("gorf_id", "gene_id", "best.b", F.array_join(F.array_sort("best.ids"), ",").alias("tied"))
     first = own.groupBy("gorf_id", "gene_id").agg(F.min("torf_id").alias("first_torf"))
     genes = cds.select("gene_id").distinct().withColumn("has_cds", F.lit(True))
-    x = keys.join(best.drop("top"), ["gorf_id", "gene_id"], "left").join(ties, ["gorf_id", "gene_id"], "left").join(first, ["gorf_id", "gene_id"], "left").join(genes, "gene_id", "left")
+    x = keys.join(best, ["gorf_id", "gene_id"], "left").join(first, ["gorf_id", "gene_id"], "left").join(genes, "gene_id", "left")
     b = lambda c: F.col(f"b.{c}")
     met = F.col("b").isNotNull()
     enough = met & (F.expr("b.nt div 3") >= least_codons)
