@@ -190,23 +190,25 @@ def metagene(hits: DataFrame, window: int, which: str = "start") -> DataFrame:
 def full_metrics(hits: DataFrame, cds: DataFrame, threshold: float = 1 / 3) -> DataFrame:
     """The metrics of each CDS (orf, length, ...): periodicity, uniformity, and what happens at start and stop.
 
-    hits: orf, t (flanks below 0 and from the length on), n. Counts at the codons that follow the start are
-    filled with zeros before their median is taken."""
+    hits: orf, t (flanks below 0 and from the length on), n and length. They are counted by codon once, and the codons by
+    CDS. Counts at the codons that follow the start are filled with zeros before their median is taken."""
     w = 15
     t, n, length = F.col("t"), F.col("n"), F.col("length")
-    own = hits.join(cds.select("orf", "length"), "orf")
     inside = (t >= 0) & (t < length)
-    among = lambda ok: F.coalesce(F.sum(F.when(ok, n)), F.lit(0)).cast("long")
     codon_count = F.expr("length div 3")
     whole = inside & (t < codon_count * 3)
-    per_codon = own.filter(whole).groupBy("orf", F.expr("t div 3").alias("codon")).agg(F.sum("n").alias("h"), F.sum(F.when(t % 3 == 0, n).otherwise(0)).alias("f0"))
-    codons = per_codon.groupBy("orf").agg(F.count_if(F.col("h") > 0).alias("codons_with_reads"), F.count_if((F.col("h") > 0) & (F.col("f0") / F.col("h") > threshold)).alias("passing"))
-    one = own.groupBy("orf").agg(
-        among(inside).alias("total_reads"), among(inside & (t % 3 == 0)).alias("f0"), among((t < 0) & (t >= -w)).alias("start_before"), among(inside & (t < w)).alias("start_after"),
-        among(inside & (t >= length - 3 - w) & (t < length - 3)).alias("stop_before"), among((t >= length) & (t < length + w)).alias("stop_after"), among(t == 0).alias("tis"),
-        F.collect_list(F.when((t >= 3) & (t < F.least(length, F.lit(33))) & (t % 3 == 0), F.struct(t.cast("int").alias("t"), n.alias("n")))).alias("near"),
+    among = lambda ok: F.coalesce(F.sum(F.when(ok, n)), F.lit(0)).cast("long")
+    counted = {
+        "total_reads": inside, "f0": inside & (t % 3 == 0), "start_before": (t < 0) & (t >= -w), "start_after": inside & (t < w), "stop_before": inside & (t >= length - 3 - w) & (t < length - 3),
+        "stop_after": (t >= length) & (t < length + w), "tis": t == 0, "_h": whole, "_h0": whole & (t % 3 == 0),
+    }
+    near = (t >= 3) & (t < F.least(length, F.lit(33))) & (t % 3 == 0)  # one base of a codon
+    codons = hits.groupBy("orf", F.floor(t / 3).alias("codon")).agg(*[among(ok).alias(c) for c, ok in counted.items()], F.sum(F.when(near, n)).alias("_near"))
+    one = codons.groupBy("orf").agg(
+        *[F.sum(c).alias(c) for c in counted if not c.startswith("_")], F.count_if(F.col("_h") > 0).alias("codons_with_reads"), F.count_if((F.col("_h") > 0) & (F.col("_h0") / F.col("_h") > threshold)).alias("passing"),
+        F.collect_list(F.when(F.col("_near").isNotNull(), F.struct((F.col("codon") * 3).cast("int").alias("t"), F.col("_near").alias("n")))).alias("near"),
     )
-    x = cds.join(one, "orf", "left").join(codons, "orf", "left")
+    x = cds.join(one, "orf", "left")
     zero = F.lit(0).cast("long")
     x = x.withColumns({c: F.coalesce(c, zero) for c in ("total_reads", "f0", "start_before", "start_after", "stop_before", "stop_after", "tis", "codons_with_reads", "passing")})
     # counts at 3, 6, ... below the lesser of the length and 33; sites of one position come once

@@ -25,8 +25,9 @@ def number(c: Column) -> Column:
     return F.coalesce(F.trim(c.cast("string")).try_cast("double").try_cast("long"), F.lit(0).cast("long"))
 
 
-def load(results: DataFrame, replicate: str) -> DataFrame:
-    """One replicate's rows as text with candidate_key and replicate_id; a missing column is an error, and a blank or repeated key stops the job."""
+def load(results: DataFrame, replicate: str | Column) -> DataFrame:
+    """The rows of one replicate, or of all that a column names, as text with candidate_key and replicate_id; a missing column is an
+    error, and a blank key, or one that comes twice in a replicate, stops the job."""
     if missing := sorted(set(REQUIRED) - set(results.columns)):
         raise ValueError(f"missing columns: {', '.join(missing)}")
     x = results
@@ -34,11 +35,11 @@ def load(results: DataFrame, replicate: str) -> DataFrame:
         x = x.withColumn("primary_credible_call", (F.col("classification") == CREDIBLE).cast("int"))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in x.columns else F.lit("")
     keys = {c: F.trim(text(c)) for c in ("gorf_id", "overlap_type")}
-    x = x.select(*[keys.get(c, text(c)).alias(c) for c in (*IDENTITY, *EVIDENCE)])
-    seen = F.count(F.lit(1)).over(W.partitionBy("gorf_id", "overlap_type"))
+    x = x.select(*[keys.get(c, text(c)).alias(c) for c in (*IDENTITY, *EVIDENCE)], (F.lit(replicate) if isinstance(replicate, str) else replicate).alias("replicate_id"))
+    seen = F.count(F.lit(1)).over(W.partitionBy("gorf_id", "overlap_type", "replicate_id"))
     wrong = F.when((F.col("gorf_id") == "") | (F.col("overlap_type") == ""), "a candidate without its names").when(seen > 1, F.concat(F.lit("a candidate comes twice: "), "gorf_id", F.lit("/"), "overlap_type"))
     key = F.when(F.col("_wrong").isNotNull(), F.raise_error(F.col("_wrong")).cast("string")).otherwise(F.concat("gorf_id", F.lit("|"), "overlap_type"))
-    return x.withColumn("_wrong", wrong).select(key.alias("candidate_key"), F.lit(replicate).alias("replicate_id"), *IDENTITY, *EVIDENCE)
+    return x.withColumn("_wrong", wrong).select(key.alias("candidate_key"), "replicate_id", *IDENTITY, *EVIDENCE)
 
 
 def label(primary: Column, available: int, least: int, least_share: float) -> Column:
@@ -61,12 +62,12 @@ def integrate(rows: DataFrame, expected: Sequence[str], available: Sequence[str]
     cell = lambda r, c: F.max(F.when(F.col("replicate_id") == r, F.col(c)))
     x = rows.withColumn("_at", place)
     x = x.groupBy("candidate_key").agg(
-        F.min_by(F.struct(*IDENTITY), "_at").alias("first"), *[F.count_distinct(c).alias(f"_n_{c}") for c in IDENTITY], F.count(F.lit(1)).alias("n_replicates_observed"), F.count_if(called).alias("n_primary_credible"),
+        F.min_by(F.struct(*IDENTITY), "_at").alias("first"), *[(F.min(c) != F.max(c)).alias(f"_n_{c}") for c in IDENTITY], F.count(F.lit(1)).alias("n_replicates_observed"), F.count_if(called).alias("n_primary_credible"),
         F.count_if(value("q_BH") <= fdr).alias("n_bh_significant"), F.min(value("q_BH")).alias("min_q_BH"), F.median(value("q_BH")).alias("median_q_BH"), F.median(value("lambda_hat")).alias("median_lambda_hat"), F.max(number(F.col("core_reads"))).alias("max_core_reads"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.when(called, F.struct("_at", "replicate_id")))), lambda s: s["replicate_id"]), ",").alias("primary_credible_replicates"),
         *[(F.count_if(F.col("replicate_id") == r) if c == "present" else F.coalesce(cell(r, c), F.lit(""))).alias(f"replicate::{r}::{c}") for r in expected for c in WIDE],
     )
-    conflicts = F.concat_ws(",", *[F.when(F.col(f"_n_{c}") > 1, c) for c in IDENTITY])
+    conflicts = F.concat_ws(",", *[F.when(F.col(f"_n_{c}"), c) for c in IDENTITY])
     n = F.col("n_primary_credible")
     return x.select(
         "candidate_key", "first.*", conflicts.alias("metadata_conflict_columns"), F.lit(len(expected)).alias("n_replicates_expected"), F.lit(len(available)).alias("n_replicates_available"), "n_replicates_observed", "n_primary_credible",

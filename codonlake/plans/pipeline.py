@@ -164,7 +164,7 @@ def _cds_hits(tables: Mapping[str, DataFrame], p: Mapping, window: int = 50) ->
 
 def _metrics(spark: SparkSession, tables: Mapping[str, DataFrame], p: Mapping) -> DataFrame:
     cds, hits, _inside = _cds_hits(tables, p)
-    return metagene.full_metrics(hits.drop("length"), cds.drop("blocks", "flank5", "flank3"))
+    return metagene.full_metrics(hits, cds.drop("blocks", "flank5", "flank3"))
 
 
 def _background(spark: SparkSession, tables: Mapping[str, DataFrame], p: Mapping) -> DataFrame:

@@ -39,7 +39,7 @@ def _plain(out: DataFrame) -> DataFrame:
 
 
 def qc_full_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metagene.full_metrics(_hits(spark, sf_dir).drop("length"), _cds(spark, sf_dir).select("orf", "length"))
+    out = metagene.full_metrics(_hits(spark, sf_dir), _cds(spark, sf_dir).select("orf", "length"))
     return _plain(out)
 
 
@@ -85,7 +85,7 @@ def qc_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def qc_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metagene.full_metrics(_hits(spark, sf_dir).drop("length"), _cds(spark, sf_dir).select("orf", "length"))
+    out = metagene.full_metrics(_hits(spark, sf_dir), _cds(spark, sf_dir).select("orf", "length"))
     return _plain(metagene.describe(out, ["PIF", "Uniformity", "DropOff"]))
 
 
@@ -121,12 +121,7 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    x = _results(spark, sf_dir)
-    for r in NAMES[:4]:
-        one = replicates.load(x.filter(F.col("rep") == r), r)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return replicates.load(_results(spark, sf_dir), F.col("rep"))
 
 
 def _consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
