@@ -4,9 +4,9 @@ Documents overlap where they share hashes of lines or of runs of lines; the firs
 document with the least id that has it. Each document is aligned with the first holders of its shared lines
 and runs, by patience diff over line hashes: lines that are unique in both documents are matched in the
 longest order-keeping way, and equal neighbours join them. Blocks of matched lines are deleted from the later
-document. A line is evidence for a pair if it has at least `EVIDENCE_WORDS` words, and a block is deleted if
-it has at least `BLOCK_WORDS`, so that short lines that documents share by chance lead to nothing and are not
-deleted alone.
+document. A line is evidence for a pair if it has at least `EVIDENCE_WORDS` words, and is deleted then wherever it is
+matched; a block of shorter ones is deleted if it has at least `BLOCK_WORDS`, so that short lines that documents
+share by chance lead to nothing and are not deleted alone.
 
 Runs are the shortest ones of adjacent lines, blank ones left out, that reach `BLOCK_WORDS`: one from each
 line on, and one up to each line. Every line of a block that is long enough to be deleted is in such a run
@@ -16,7 +16,8 @@ Text in scripts without spaces between words counts as a word for every two char
 A document has at most three partners a line, since each line and run names one holder; groups of copies are
 aligned with their first document only, so no pairs inside a group are made and no frequent line is left
 out. What is shuffled for finding and aligning pairs is hashes of lines; the pair table is joined with
-line hashes by id, and texts are read once more to be rebuilt.
+line hashes by id, and texts are read once more to be rebuilt. A line that a large part of all documents has is one
+key of the join with holders, and its first holder one key of the next: such keys' rows are dealt to parts.
 """
 
 from __future__ import annotations
@@ -80,15 +81,14 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_lines(a: list[int], b: list[int], words: list[int], least: int = BLOCK_WORDS) -> list[int]:
-    """Positions in b of the lines in matched blocks of at least so many words."""
+def common_lines(a: list[int], b: list[int], words: list[int], least: int = BLOCK_WORDS, line: int = EVIDENCE_WORDS) -> list[int]:
+    """Positions in b of the lines in matched blocks of at least `least` words, and of other matched lines of at least `line` words."""
     out: list[int] = []
     block: list[int] = []
     for k, (i, j) in enumerate(m := patience(a, b)):
         block.append(j)
         if k + 1 == len(m) or m[k + 1] != (i + 1, j + 1):
-            if sum(words[x] for x in block) >= least:
-                out += block
+            out += block if sum(words[x] for x in block) >= least else [x for x in block if words[x] >= line]
             block = []
     return out
 
@@ -127,12 +127,12 @@ def _evidence(least: int, line: int):
     return run
 
 
-def _align(least: int):
+def _align(least: int, line: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({
                 "key": batch.key, "tag": batch.tag,
-                "gone": [np.array(common_lines(a.tolist(), b.tolist(), w.tolist(), least), np.int32) for a, b, w in zip(batch.held, batch.hashes, batch.words, strict=True)],
+                "gone": [np.array(common_lines(a.tolist(), b.tolist(), w.tolist(), least, line), np.int32) for a, b, w in zip(batch.held, batch.hashes, batch.words, strict=True)],
             })
 
     return run
@@ -141,7 +141,7 @@ def _align(least: int):
 def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, line_words: int = EVIDENCE_WORDS) -> DataFrame:
     """key (id), tag (hash of the text), gone (sorted array of line numbers from 0) for the documents that lose lines.
 
-    block_words: words of the least block that is deleted; line_words: of the least line that is evidence alone."""
+    block_words: words of the least block that is deleted; line_words: of the least line that is evidence, and deleted, alone."""
     text = F.col(text_col)
     some = docs.filter(F.col(id_col).isNotNull() & text.isNotNull())
     trimmed = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
@@ -154,12 +154,13 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     evidence = shared.cut(lined.select("key", "hashes", "words").mapInPandas(_evidence(block_words, line_words), "key long, h long"))
     holders = evidence.groupBy("h").agg(F.min("key").alias("holder"), F.max("key").alias("last")).filter("holder < last").select("h", "holder")
     holders = shared.cut(holders)
-    pairs = shared.sieve(evidence, holders, "h").join(holders, "h").filter("key > holder").select("key", "holder").distinct()
+    lines = shared.cut(shared.sieve(evidence, holders, "h"))
+    pairs = shared.join_unique(lines, holders, "h", "key", "inner", broadcast=False).filter("key > holder").select("key", "holder").distinct()
     pairs = shared.cut(pairs)
     held = shared.sieve(lined, pairs.select(F.col("holder").alias("key")), "key").select(F.col("key").alias("holder"), F.col("hashes").alias("held"))
     own = shared.sieve(lined, pairs, "key")
-    both = pairs.join(held, "holder").join(own, "key").select("key", "tag", "hashes", "words", "held")
-    found = both.mapInPandas(_align(block_words), "key long, tag long, gone array<int>").filter(F.size("gone") > 0)
+    both = shared.join_unique(pairs, held, "holder", "key", "inner", broadcast=False).join(own, "key").select("key", "tag", "hashes", "words", "held")
+    found = both.mapInPandas(_align(block_words, line_words), "key long, tag long, gone array<int>").filter(F.size("gone") > 0)
     # a document has one row for each of its partners, of which it has at most three a line
     return found.groupBy("key", "tag").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 

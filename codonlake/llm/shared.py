@@ -16,7 +16,7 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from codonlake.functions.skew import join_unique
 
-__all__ = ["Scratch", "cut", "folder", "free_names", "join_unique", "names_in", "packed", "partitions", "sieve", "table", "unpacked", "with_texts", "written"]
+__all__ = ["Scratch", "cut", "folder", "free_names", "join_unique", "made", "made_since", "names_in", "packed", "partitions", "sieve", "table", "unpacked", "with_texts", "written"]
 
 
 def folder(spark: SparkSession) -> str:
@@ -46,13 +46,39 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written as Parquet to the shared folder and read again."""
+#: Folders of tables that operators and stages made in this process and haven't dropped.
+_MADE: list[str] = []
+
+
+def written(df: DataFrame, replaces: list[str] | None = None) -> DataFrame:
+    """The rows, written as Parquet to the shared folder and read again.
+
+    replaces: folders (as from `made_since`) that only df's plan still reads; they are deleted once it is written."""
     path = f"{folder(df.sparkSession)}/stage-{df.sparkSession.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for old in replaces or []:
+        _delete(df.sparkSession, old)
+    _MADE.append(path)
     return df.sparkSession.read.parquet(path)
 
 
+def made_since(n: int) -> list[str]:
+    """The folders of tables made since there were n of them."""
+    return _MADE[n:]
+
+
+def made() -> int:
+    """How many folders of tables there are."""
+    return len(_MADE)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    if path in _MADE:
+        _MADE.remove(path)
+
+
 def names_in(spark: SparkSession, path: str) -> list[str]:
     """The names of the tables in a folder."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -65,6 +91,7 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.path = f"{folder(spark)}/run-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+        _MADE.append(self.path)
 
     def keep(self, name: str, df: DataFrame) -> DataFrame:
         df.write.parquet(f"{self.path}/{name}")
