@@ -69,10 +69,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn on the documents of the folder; between stages the rows are kept as Parquet in the shared folder."""
+    """All stages in turn on the documents of the folder; between stages the rows are kept as Parquet in the shared folder.
+
+    What a stage made and read is deleted there once its result is written; the last stage's input stays, since its
+    result is read lazily."""
+    begin = shared.made()
     docs = shared.table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = shared.written(docs)
+            docs = shared.written(docs, shared.made_since(begin))
     return docs
