@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--with-codon", action="store_true")
     p.add_argument("--set", default="", help="other parameters of a run: name=value name=value")
     p.add_argument("--pure-only", action="store_true", help="integrate: only candidates that repeat no annotated CDS")
+    p.add_argument("--no-files", action="store_true", help="run and batch: tables of the stages only, no files for other programs")
     p.add_argument("--force", action="store_true")
     p.add_argument("--dry-run", action="store_true")
     return p
@@ -85,7 +86,7 @@ def config(args: argparse.Namespace) -> Config:
 
 
 def main(argv: Sequence[str] | None = None, spark=None) -> int:
-    from codonlake.plans import pipeline
+    from codonlake.plans import files, pipeline
     from codonlake.sources import inputs
     from codonlake.sources.outputs import write_tsv
     from codonlake.sources.formats import read_tsv
@@ -100,11 +101,18 @@ def main(argv: Sequence[str] | None = None, spark=None) -> int:
         if args.what == "run":
             for name, done in pipeline.run(spark, base, args.force, args.dry_run):
                 print(f"{name}\t{done}")
+            if not args.no_files and not args.dry_run:
+                files.write_files(spark, base)
             return 0
         rows = inputs.replicates(read_tsv(spark, args.samples, {"replicate_id"}))
         configs = [replace(base, sample=r["replicate_id"], alignments=r["bam"], length_offsets=length_offsets(r["length_offsets"]), offset_file=r["ribotish_para"], quality_file=r["ribotish_quality"]) for r in rows]
         if args.what == "batch":
             found = pipeline.run_batch(spark, configs, args.force)
+            if not args.no_files:
+                whole = {r["replicate_id"] for r in found if r["status"] == "complete"}
+                for c in configs:
+                    if c.sample in whole:
+                        files.write_files(spark, c)
             print("\n".join(json.dumps(r, sort_keys=True) for r in found))
             return 0 if all(r["status"] == "complete" for r in found) else 1
         for mode in MODES[base.mode]:

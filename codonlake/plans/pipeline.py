@@ -141,7 +141,7 @@ def _psite(spark: SparkSession, tables: Mapping[str, DataFrame], p: Mapping) ->
     return out if p["rl"] is None else out.filter(F.col("RL") == p["rl"])
 
 
-def _sites(psite: DataFrame) -> DataFrame:
+def site_counts(psite: DataFrame) -> DataFrame:
     x = psite.select(F.col("rname").alias("chrom"), F.when(F.col("flag") == 16, "-").otherwise("+").alias("strand"), F.col("pos0").alias("pos"))
     return intervals.site_index(x)
 
@@ -156,7 +156,7 @@ def _cds(torf: DataFrame, p: Mapping) -> DataFrame:
 
 def _cds_hits(tables: Mapping[str, DataFrame], p: Mapping, window: int = 50) -> tuple[DataFrame, DataFrame, DataFrame]:
     cds = _cds(tables["torf"], p)
-    hits = intervals.range_join(_sites(tables["psite"]), metagene.spliced_windows(cds, window)).select("orf", "t", "n", "length")
+    hits = intervals.range_join(site_counts(tables["psite"]), metagene.spliced_windows(cds, window)).select("orf", "t", "n", "length")
     inside = hits.filter("t >= 0 and t < length")
     dense = metagene.dense_enough(inside, cds.select("orf", "length"), p["min_density"]).select("orf")
     return cds.join(dense, "orf"), hits.join(dense, "orf"), inside.join(dense, "orf")
@@ -190,7 +190,7 @@ def _results(spark: SparkSession, tables: Mapping[str, DataFrame], p: Mapping) -
     s = calling.Settings(**{**p["settings"], "blocks": tuple(p["settings"]["blocks"]), "mode": p["mode"]})
     torf = tables["torf"].join(tables["gorf_members"].withColumnRenamed("torf", "torf_id"), "torf_id")
     rows, _reasons = calling.load(torf, s)
-    return calling.call(rows, calling.counted(rows, _sites(tables["psite"])), pi, a0, s)
+    return calling.call(rows, calling.counted(rows, site_counts(tables["psite"])), pi, a0, s)
 
 
 def _abundance(spark: SparkSession, tables: Mapping[str, DataFrame], p: Mapping) -> DataFrame:
@@ -211,7 +211,7 @@ def _selected(tables: Mapping[str, DataFrame], p: Mapping) -> tuple[DataFrame, D
     rows = export.selected(tables["results"], selection=p["export"])
     each = tables["torf"].join(rows.select("torf_id", "candidate_key"), "torf_id").withColumn("blocks", F.transform(inputs.blocks(F.col("blockSizes"), F.col("genomic_block_starts1")), lambda b: F.struct(b["s"].alias("start0"), b["e"].alias("end0"))))
     flat = each.select(F.col("candidate_key").alias("orf"), "chrom", "strand", F.expr("aggregate(blocks, 0L, (a, b) -> a + b.end0 - b.start0) div 3").alias("n_codons"), F.posexplode("blocks").alias("block", "b")).select("orf", "chrom", "strand", "n_codons", "block", "b.start0", "b.end0")
-    codons = intervals.codon_counts(intervals.range_join(_sites(tables["psite"]), intervals.with_offsets(flat)))
+    codons = intervals.codon_counts(intervals.range_join(site_counts(tables["psite"]), intervals.with_offsets(flat)))
     codons = codons.join(flat.select("orf", "n_codons").distinct(), "orf").withColumnRenamed("orf", "candidate_key")
     core = export.core(codons, p["settings"]["first_codons"], p["settings"]["last_codons"])
     export.checked(export.reconciled(rows, core))

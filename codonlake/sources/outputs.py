@@ -68,6 +68,11 @@ def clear(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def write_lines(lines: DataFrame, path: str) -> None:
+    """One column of text, in the order it has."""
+    _moved(lines.sparkSession, path, lines.write.text)
+
+
 def write_faa(rows: DataFrame, path: str, name: str = "torf_id", peptide: str = "peptide") -> None:
     """Peptides as FASTA, two lines each; rows without peptide are left out."""
     lines = rows.filter(F.coalesce(F.col(peptide), F.lit("")) != "").select(F.concat(F.lit(">"), name, F.lit("\n"), peptide).alias("value"))

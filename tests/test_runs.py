@@ -1,12 +1,13 @@
 """A whole run on a made genome: annotation, sequences and alignments in, results and reports out."""
 
 import random
+import shutil
 
 import pytest
 from codonlake.__main__ import main
 from codonlake.operators import orfs, orfscan
-from codonlake.plans import pipeline
-from codonlake.sources import fasta, outputs
+from codonlake.plans import files, pipeline
+from codonlake.sources import bam, fasta, inputs, outputs
 from pyspark.sql import functions as F
 
 CODONS = [a + b + c for a in "ACGT" for b in "ACGT" for c in "ACGT" if a + b + c not in orfs.STOPS]
@@ -112,6 +113,32 @@ def test_run_from_annotation_to_reports(spark, genome, tmp_path):
     assert dict(pipeline.run(spark, small, shared=f"{tmp_path}/annotation"))["background"] == "run"
     means = [spark.read.parquet(f"{tmp_path}/{n}/background/data").first() for n in ("s1", "s2", "s3")]
     assert all(abs(m.pi0 - 0.8) < 0.12 for m in means) and len({m.pi0 for m in means}) == 3
+    made = files.write_files(spark, c)
+    assert {n.split(".", 1)[0] for n in made} >= {"torf", "gorf", "psite", "dm_background", "intorf_dm_results", "run_manifest", "orf_psite_codons", "gate_waterfall"}
+    text = lambda n: spark.read.option("sep", "\t").option("header", True).csv(made[n])
+    assert text("torf.tsv").count() == torf.count() and text("gorf_members.tsv").count() == torf.count() and text("intorf_dm_results.tsv").count() == found.count()
+    assert [r.torf_id for r in text("torf.tsv").select("torf_id", F.input_file_name().alias("f")).collect()] == [r.torf_id for r in torf.orderBy("line").collect()]
+    back = bam.read(spark, made["psite.bam"])
+    assert sorted((r.qname, r.pos0, r.flag) for r in back.collect()) == sorted((r.qname, r.pos0, r.flag) for r in read("psite").collect())
+    assert inputs.library_size(None, made["psite.bam"]) == read("psite").count() == spark.read.text(made["psite.bed"]).count()
+    depth = [r.value.split("\t") for n in ("plus", "minus") for r in spark.read.text(made[f"psite.{n}.bedGraph"]).collect()]
+    assert sum((int(e) - int(s)) * abs(int(d)) for _, s, e, d in depth) == read("psite").count()
+    said = spark.read.option("multiLine", True).json(made["run_manifest.json"]).first()
+    assert said.result_rows == found.count() and said.inputs.alignments.sha256 == outputs.identity(spark, f"{folder}/r.sam")["sha256"]
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "s1" / "files" / "s1.torf.by_chrom").rglob("*.parquet")}
+    files.add_by_chrom(torf.withColumn("chrom", F.lit("chr9")).withColumn("torf_id", F.concat(F.lit("x"), "torf_id")), made["torf.by_chrom"], "torf_id")
+    assert all(p.stat().st_mtime_ns == t for p, t in before.items()) and spark.read.parquet(made["torf.by_chrom"]).count() == 2 * torf.count()
+    with pytest.raises(ValueError, match="another chromosome"):
+        files.add_by_chrom(torf.limit(1).withColumn("chrom", F.lit("chr8")), made["torf.by_chrom"], "torf_id")
+    other = pipeline.replace_settings(c, sample="other", fdr=0.01)
+    (tmp_path / "other").mkdir()
+    for name in ("torf", "accurate_results"):
+        shutil.copytree(tmp_path / "s1" / name, tmp_path / "other" / name)
+    record = next((tmp_path / "other" / "accurate_results" / "record").glob("part-*"))
+    record.write_text(record.read_text().replace('"signature": "', '"signature": "0'))
+    (record.parent / f".{record.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError, match="doesn't fit"):
+        pipeline.integration(spark, [c, other])
     tables = pipeline.integration(spark, [c, pipeline.replace_settings(c, sample="gone")])
     assert tables["consensus"].count() == tables["long"].count() == found.count()
     assert {r.label.split("\n")[0] for r in tables["quality_labels"].collect()} == {"s1", "gone"}
