@@ -98,7 +98,8 @@ def _torf(spark: SparkSession, _: Mapping[str, DataFrame], p: Mapping) -> DataFr
     if p["max_transcripts"] is not None:  # the first of the file
         first = gtf.filter("feature <> 'gene'").groupBy("transcript_id").agg(F.min("line").alias("line")).join(tx.select("transcript_id"), "transcript_id").orderBy("line").limit(p["max_transcripts"])
         tx = tx.join(first.select("transcript_id"), "transcript_id", "left_semi")
-    tx = fasta.splice(fasta.read_fasta(spark, p["fasta"]), tx)
+    pieces = fasta.read_contigs(spark, p["fasta"], p["chroms"]) if p["chroms"] else fasta.read_fasta(spark, p["fasta"])
+    tx = fasta.splice(pieces, tx)
     return orfscan.in_order(orfscan.torfs(tx, tuple(p["starts"]), p["min_aa"]), gtf)
 
 

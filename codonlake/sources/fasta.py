@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: Bases of a piece of a sequence.
 PIECE = 1 << 14
@@ -49,6 +53,46 @@ def read_fasta(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
     return to_pieces(bases, piece)
 
 
+def byte_ranges(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """wanted (chrom, start, end: bases from 0, half-open) with `first` and `n`: the bytes of the file that hold them.
+
+    Bases outside a contig are left out, as are contigs that the index lacks."""
+    index = spark.read.option("sep", "\t").schema("chrom string, length long, at long, bases int, bytes int").csv(f"{path}.fai").filter("length > 0")
+    byte = lambda x: f"at + ({x} div bases) * bytes + {x} % bases"
+    x = wanted.join(index, "chrom").withColumn("start", F.greatest("start", F.lit(0))).withColumn("end", F.least("end", "length")).filter("start < end")
+    return x.withColumn("first", F.expr(byte("start"))).withColumn("n", F.expr(f"{byte('(end - 1)')} + 1 - first")).drop("length", "at", "bases", "bytes")
+
+
+def read_ranges(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """wanted (chrom, start, end and other columns) with seq, upper-case: only the bytes of the wanted bases are read, each range by itself."""
+    from codonlake.sources.bam import place
+
+    ranges = byte_ranges(spark, path, wanted)
+    ranges = ranges.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "first").sortWithinPartitions("first")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = place(path)
+        with system.open_input_file(inner) as file:
+            for batch in batches:
+                out = []
+                for at, n in zip(batch.column("first").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                    file.seek(at)
+                    out.append(file.read(n).translate(None, b"\r\n\t ").decode().upper())
+                kept = [i for i, name in enumerate(batch.schema.names) if name not in ("first", "n")]
+                yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(out, pa.string())], names=[*[batch.schema.names[i] for i in kept], "seq"])
+
+    kept = [f for f in ranges.schema.fields if f.name not in ("first", "n")]
+    return ranges.mapInArrow(read, StructType([*kept, StructField("seq", StringType())]))
+
+
+def read_contigs(spark: SparkSession, path: str, contigs: Sequence[str], piece: int = PIECE) -> DataFrame:
+    """chrom, piece, seq as `read_fasta`, of some contigs, by the index's byte ranges: nothing else of the file is read."""
+    chosen = read_fai(spark, path).filter(F.col("chrom").isin(*contigs) & (F.col("length") > 0))
+    wanted = chosen.select("chrom", F.explode(F.expr(f"sequence(0L, (length - 1) div {piece})")).alias("piece"))
+    wanted = wanted.select("chrom", "piece", (F.col("piece") * piece).alias("start"), ((F.col("piece") + 1) * piece).alias("end"))
+    return read_ranges(spark, path, wanted).select("chrom", "piece", "seq")
+
+
 def to_pieces(parts: DataFrame, piece: int = PIECE) -> DataFrame:
     """chrom, piece, seq from parts (chrom, start, seq) that cover a contig without gaps."""
     n = F.length("seq")

@@ -1,7 +1,10 @@
 """A whole run on a made genome: annotation, sequences and alignments in, results and reports out."""
 
+import os
 import random
 import shutil
+import subprocess
+import sys
 
 import pytest
 from codonlake.__main__ import main
@@ -162,6 +165,10 @@ def test_command_line(spark, genome, tmp_path, capsys):
     assert main(args, spark) == 0 and capsys.readouterr().out.splitlines()[-1] == "psite\trun"
     assert main([*args, "--dry-run"], spark) == 0 and "would run" not in capsys.readouterr().out
     assert main([*args, "--set", "nonsense=1"], spark) == 2
+    assert main(["run", "--folder", str(tmp_path), "--sample", "stops", *args[3:9], "--length-offsets", "28:12", "--to-stage", "orfscan", "--merge-by", "stop", "--no-files"], spark) == 0
+    assert {r.merge_by for r in spark.read.parquet(f"{tmp_path}/stops/gorf/data").select("merge_by").distinct().collect()} == {"stop"}
+    plain = subprocess.run([sys.executable, "-m", "codonlake", *args[:9], "--length-offsets", "28:12", "--dry-run"], capture_output=True, text=True, timeout=300, env={**os.environ, "SPARK_LOCAL_IP": "127.0.0.1"})
+    assert plain.returncode == 0 and plain.stdout.splitlines()[-1] == "accurate_gate_waterfall\twould run" and plain.stdout.splitlines()[0] == "torf\tkept"
     good = pipeline.Config(sample="good", folder=str(tmp_path), gtf=f"{folder}/g.gtf", fasta=f"{folder}/g.fa", alignments=f"{folder}/r.sam", length_offsets={28: 12}, to_stage="psite")
     batch = pipeline.run_batch(spark, [good, pipeline.replace_settings(good, sample="bad", gtf=f"{folder}/none.gtf")])
     assert sorted(p.name.split("-")[0] for p in (tmp_path / "annotation").iterdir()) == ["gorf", "gorf_audit", "gorf_members", "torf"]
@@ -198,3 +205,37 @@ def test_sinks(spark, tmp_path):
     outputs.write_gorfs(gorfs.limit(1), members, f"{tmp_path}/x")
     outputs.clear(spark, f"{tmp_path}/t.tsv")
     assert not (tmp_path / "t.tsv").exists() and F.lit(1) is not None
+
+
+def test_sequences_in_many_blocks(spark, tmp_path):
+    """Lines across the edges of file blocks, of any length, with either kind of line end."""
+    rng = random.Random(2)
+    for name, end in (("lf", "\n"), ("crlf", "\r\n")):
+        seqs = {f"c{k}": "".join(rng.choice("acgtN") for _ in range(rng.randint(1, 4000))) for k in range(6)}
+        with open(tmp_path / f"{name}.fa", "w", newline="") as file:
+            index, at = [], 0
+            for chrom, seq in seqs.items():
+                text = f">{chrom} text{end}" + "".join(seq[i : i + 61] + end for i in range(0, len(seq), 61))
+                index.append(f"{chrom}\t{len(seq)}\t{at + len(chrom) + 6 + len(end)}\t61\t{61 + len(end)}\n")
+                file.write(text)
+                at += len(text)
+        (tmp_path / f"{name}.fa.fai").write_text("".join(index))
+        path, whole = str(tmp_path / f"{name}.fa"), {c: s.upper() for c, s in seqs.items()}
+        # by byte ranges: the same bases, and little more than their bytes
+        found = {}
+        for r in sorted(fasta.read_contigs(spark, path, ["c1", "c4", "none"], 100).collect(), key=lambda r: r.piece):
+            found[r.chrom] = found.get(r.chrom, "") + r.seq
+        assert found == {c: whole[c] for c in ("c1", "c4")}
+        wanted = spark.createDataFrame([("c2", -5, 30, 1), ("c2", 60, 62, 2), ("c3", 0, 1 << 40, 3), ("c0", 1 << 40, 1 << 41, 4)], "chrom string, start long, end long, id int")
+        assert {r.id: r.seq for r in fasta.read_ranges(spark, path, wanted).collect()} == {k: v for k, v in {1: whole["c2"][:30], 2: whole["c2"][60:62], 3: whole["c3"]}.items() if v}
+        assert fasta.byte_ranges(spark, path, wanted.filter("id < 3")).agg(F.sum("n")).first()[0] <= 32 + 2 * len(end)
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        try:
+            for size in ("97", "1000", old):
+                spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+                found = {}
+                for r in sorted(fasta.read_fasta(spark, str(tmp_path / f"{name}.fa"), 100).collect(), key=lambda r: r.piece):
+                    found[r.chrom] = found.get(r.chrom, "") + r.seq
+                assert found == {c: s.upper() for c, s in seqs.items()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
