@@ -5,7 +5,9 @@ import random
 import __spark_entry__
 import corpus_pipeline
 import pytest
-from codonlake.llm import mixing, registry
+from codonlake.llm import line_dedup, mixing, pieces, registry
+from test_basic import brute_schedule
+from test_pairs import brute_groups
 
 
 @pytest.fixture(scope="module")
@@ -58,6 +60,34 @@ def test_run_keeps_the_order_of_the_mix(spark, folder, tmp_path):
     assert [r.doc_id for r in sorted(rows, key=lambda r: r.position)] == [r.doc_id for r in mix]
 
 
+def test_run_matches_brute_force(spark, folder):
+    """Everything after the trained stage again, plainly: alignment with every earlier document, all pairs of shingle sets, the schedule of blocks."""
+    clean = sorted(((r.doc_id, r.text, r.source) for r in corpus_pipeline.drop_toxic(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder).collect()), key=lambda r: r[0])
+    texts, lines = {}, {i: None if t is None else t.split("\n") for i, t, _ in clean}
+    for i, text, _ in clean:
+        if text is None:
+            texts[i] = None
+            continue
+        words = [len(x.split()) for x in lines[i]]
+        gone = {k for e in lines if e < i and lines[e] for k in line_dedup.common_lines([hash(x.strip()) for x in lines[e]], [hash(x.strip()) for x in lines[i]], words)}
+        texts[i] = "\n".join(x for k, x in enumerate(lines[i]) if k not in gone)
+    ids = list(texts)
+    groups, _ = brute_groups([texts[i] for i in ids], 5, 80)
+    left = [i for k, i in enumerate(ids) if groups[k] == k]
+    source = {i: s for i, _, s in clean}
+    out = corpus_pipeline.run(spark, folder)
+    rows = pieces.detokenised(out, "token_ids", name="back").collect()
+    assert {r.doc_id: r.back for r in rows} == {i: texts[i] or "" for i in left} and len(rows) == len(left)
+    counts = {s: sum(source[i] == s for i in left) for s in {source[i] for i in left}}
+    names = sorted(counts, key=lambda s: "null" if s is None else f"s:{s}")
+    schedule = brute_schedule([-(-counts[s] // mixing.BLOCK_DOCS) for s in names], [counts[s] ** 0.5 for s in names])
+    order = [names[k] for k, *_ in schedule]
+    got = {}
+    for r in rows:
+        got.setdefault(r.position // mixing.BLOCK_DOCS, set()).add(r.source)
+    assert [got[k] for k in sorted(got)] == [{s} for s in order]
+
+
 def test_registry():
     names = registry.queries()
-    assert "pipeline" in __spark_entry__.queries() and set(names) < set(__spark_entry__.queries()) and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in __spark_entry__.queries() and set(names) < set(__spark_entry__.queries()) and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
