@@ -94,12 +94,6 @@ def cigar_ops(cigar: Column) -> Column:
     return F.transform(F.regexp_extract_all(cigar, F.lit("([0-9]+[MIDNSHPX=])"), F.lit(1)), lambda x: F.struct(F.regexp_extract(x, "^[0-9]+", 0).cast("int").alias("n"), F.substring(x, -1, 1).alias("op")))
 
 
-def five_prime_aligned(ops: Column, reverse: Column) -> Column:
-    """Whether the first operation at the 5' end, apart from H, D and N, aligns a base."""
-    seen = F.filter(ops, lambda o: ~o["op"].isin("H", "D", "N"))
-    return F.coalesce(F.when(reverse, F.try_element_at(seen, F.lit(-1))).otherwise(F.try_element_at(seen, F.lit(1)))["op"].isin("M", "=", "X"), F.lit(False))
-
-
 def five_prime_query(ops: Column, reverse: Column) -> Column:
     """Query index of the 5' aligned base: after the first soft clip forward, before the last one on reverse."""
     clip = lambda o: F.when(o["op"] == "S", o["n"]).otherwise(0)
@@ -135,26 +129,35 @@ def call(reads: DataFrame, offsets: DataFrame, min_mapq: int = 20) -> DataFrame:
 
     reads may have seq; then `base` is the base at the P-site, N outside. Unmapped, secondary and supplementary reads are dropped; the other filters are in order, and the first
     that fails is the reason. offsets(length, offset) has a row for each read length used."""
-    x = reads.filter(F.expr("flag & (4 | 256 | 2048) = 0")).withColumn("ops", cigar_ops(F.col("cigar")))
-    x = x.withColumn("reverse", F.expr("flag & 16 != 0"))
-    length = F.aggregate("ops", F.lit(0), lambda s, o: s + F.when(o["op"].isin("M", "I", "S", "=", "X"), o["n"]).otherwise(0))
-    x = x.withColumn("length", length).join(F.broadcast(offsets), "length", "left")
-    q5 = five_prime_query(F.col("ops"), F.col("reverse"))
-    x = x.withColumn("psite", reference_position(F.col("ops"), F.col("pos0"), F.when(F.col("reverse"), q5 - F.col("offset")).otherwise(q5 + F.col("offset"))))
-    ends = F.filter("ops", lambda o: ~o["op"].isin("H", "D", "N"))
-    end = F.when(F.col("reverse"), F.try_element_at(ends, F.lit(-1))).otherwise(F.try_element_at(ends, F.lit(1)))["op"]
+    x = reads.filter(F.expr("flag & (4 | 256 | 2048) = 0")).withColumn("reverse", F.expr("flag & 16 != 0"))
+    reverse = F.col("reverse")
+
+    def once(value: Column, use) -> Column:
+        """use(value), where the value is worked out once a row."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def ends(ops: Column) -> Column:
+        seen = F.filter(ops, lambda o: ~o["op"].isin("H", "D", "N"))
+        return F.when(reverse, F.try_element_at(seen, F.lit(-1))).otherwise(F.try_element_at(seen, F.lit(1)))["op"]
+
+    length = lambda ops: F.aggregate(ops, F.lit(0), lambda s, o: s + F.when(o["op"].isin("M", "I", "S", "=", "X"), o["n"]).otherwise(0))
+    walk = once(cigar_ops(F.col("cigar")), lambda ops: F.struct(ops.alias("ops"), length(ops).alias("length"), five_prime_query(ops, reverse).alias("q5"), ends(ops).alias("end")))
+    x = x.withColumn("walk", walk).withColumn("length", F.col("walk.length")).join(F.broadcast(offsets), "length", "left")
+    at = F.when(reverse, F.col("walk.q5") - F.col("offset")).otherwise(F.col("walk.q5") + F.col("offset"))
+    x = x.withColumn("site", once(at, lambda q: F.struct(q.alias("at"), reference_position(F.col("walk.ops"), F.col("pos0"), q).alias("place"))))
+    end = F.col("walk.end")
     # = and X tell by themselves; only M needs the MD tag
-    checked = F.when(end == "=", True).when(end == "X", False).when(F.col("md").isNull(), F.raise_error(F.lit("an alignment has no MD tag"))).otherwise(five_prime_match(F.col("md"), F.col("reverse")))
+    checked = F.when(end == "=", True).when(end == "X", False).when(F.col("md").isNull(), F.raise_error(F.lit("an alignment has no MD tag"))).otherwise(five_prime_match(F.col("md"), reverse))
     reason = (
         F.when(F.col("mapq") < min_mapq, "skipped_mapq").when(F.col("nh") != 1, "skipped_multimapper").when(F.col("offset").isNull(), "skipped_length")
-        .when(~five_prime_aligned(F.col("ops"), F.col("reverse")), "skipped_5p_not_aligned").when(~F.coalesce(checked, F.lit(False)), "skipped_5p_mismatch").when(F.col("psite").isNull(), "skipped_qmap")
+        .when(~F.coalesce(end.isin("M", "=", "X"), F.lit(False)), "skipped_5p_not_aligned").when(~F.coalesce(checked, F.lit(False)), "skipped_5p_mismatch").when(F.col("site.place").isNull(), "skipped_qmap")
     )
-    x = x.withColumn("reason", reason).withColumn("psite", F.when(F.col("reason").isNull(), F.col("psite")))
+    x = x.withColumn("reason", reason).withColumn("psite", F.when(F.col("reason").isNull(), F.col("site.place")))
     if "seq" in reads.columns:
-        at = F.when(F.col("reverse"), q5 - F.col("offset")).otherwise(q5 + F.col("offset"))
-        base = F.when((at >= 0) & (at < F.length("seq")), F.upper(F.substring("seq", at + 1, F.lit(1))))
+        place = F.col("site.at")
+        base = F.when((place >= 0) & (place < F.length("seq")), F.upper(F.substring("seq", place + 1, F.lit(1))))
         x = x.withColumn("base", F.when(F.col("reason").isNull(), F.coalesce(F.nullif(base, F.lit("")), F.lit("N"))))
-    return x.drop("ops")
+    return x.drop("walk", "site")
 
 
 def rejections(called: DataFrame) -> DataFrame:
