@@ -121,3 +121,24 @@ def test_formats(spark, tmp_path):
     for bad in ("28:28", "28:12 28:13", "0:0"):
         with pytest.raises(ValueError):
             formats.length_offsets(bad)
+
+
+def test_context_looks_up_positions(spark):
+    """No tORF meets a CDS by its gene alone, and pairs are compared in one place of the plan."""
+    from codonlake.plans import genome
+
+    plan = genome.cx_context(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    inner = [line for line in plan.splitlines() if "Join Inner" in line and "gene_id" in line]
+    assert inner and all("pos#" in line or "cds_torf#" in line for line in inner)
+    assert plan.count("named_struct(pos") <= 2  # stretches from a codon on
+
+
+def test_one_cds_of_an_id_stays(spark):
+    from codonlake.operators import metagene
+
+    row = ("t1", "CDS", "1", "1", "0", "90", "1", "90", "+", [90], [1])
+    names = "torf_id orf_biotype is_annotated_cds has_MANE_Select_tag t_start t_end chromStart1 chromEnd1 strand".split()
+    schema = ", ".join(["line long", *[f"{n} string" for n in names], "sizes array<int>", "starts1 array<int>"])
+    df = spark.createDataFrame([(5, *row), (5, *row), (4, *row), (9, "t2", *row[1:])], schema)
+    got = sorted((r.torf_id, r.line, r.skip or "") for r in metagene.load_cds(df).collect())
+    assert got == [("t1", 4, ""), ("t1", 5, "skip_duplicate_torf_id"), ("t1", 5, "skip_duplicate_torf_id"), ("t2", 9, "")]
