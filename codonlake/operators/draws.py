@@ -111,6 +111,12 @@ def _blocks(x: DataFrame, width: int) -> DataFrame:
     return x.withColumn("first", F.expr(f"if(size(codons) >= {width}, {first}, array())")).drop("rest", "mean")
 
 
+def places(etas: Sequence[float]) -> Column:
+    """The proposals' places between host and trans, in order."""
+    listed = ", ".join(f"{float(e)!r}D" for e in (*etas, 0.0))
+    return F.expr(f"array_sort(array_distinct(transform(array({listed}, lambda_hat / 2, lambda_hat), e -> round(least(1D, greatest(0D, e)), 12))))")
+
+
 def tails(candidates: DataFrame, reps: Column | int, method: str, seed_number: int = 1, etas: Sequence[float] = ETAS, width: int = 2) -> DataFrame:
     """key and the sums of its replicates, as `resample.tails`."""
     reps = reps if isinstance(reps, Column) else F.lit(reps)
@@ -123,8 +129,7 @@ def tails(candidates: DataFrame, reps: Column | int, method: str, seed_number: i
         unusable = x.filter("size(first) < 2").select("key", *[F.lit(0).cast("long").alias(c) for c in ("drawn", "tail")], *[F.lit(0.0).alias(c) for c in ("w", "w2", "t", "t2", "top")], F.lit(False).alias("usable"))
         x = x.filter("size(first) >= 2")
     if method == "importance":
-        listed = ", ".join(f"{float(e)!r}D" for e in (*etas, 0.0))
-        x = x.withColumn("places", F.expr(f"array_sort(array_distinct(transform(array({listed}, lambda_hat / 2, lambda_hat), e -> round(least(1D, greatest(0D, e)), 12))))"))
+        x = x.withColumn("places", places(etas))
     # as many parts as asked for: few bytes are much work here, so small parts must not be put together
     parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     x = x.drop("codons", "lambda_hat").withColumn("batch", F.explode(F.expr(f"sequence(0L, (reps - 1) div {BATCH})"))).repartition(parts, "key", "batch")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codonlake.functions.lineage import kept
 from codonlake.functions.sqlx import rounded
-from codonlake.operators import draws, resample
+from codonlake.operators import counters, draws, resample
 from codonlake.plans.inference import A0, CAND_SQL, candidate_rows
 
 #: Templates near what the adapter's candidates hold, so that tails are neither empty nor whole.
@@ -25,7 +25,7 @@ def dm_iid_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dm_block_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resample.block_p(_rows(spark, sf_dir), WIDTH, REPS, sampler=draws.tails)
+    out = resample.block_p(_rows(spark, sf_dir), WIDTH, REPS, sampler=counters.tails)
     return out.select(F.col("key").cast("long").alias("orf"), rounded(F.col("p_block")).alias("p_block"))
 
 
