@@ -20,7 +20,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dm_iid_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resample.iid_p(_rows(spark, sf_dir), REPS, sampler=draws.tails)
+    out = resample.iid_p(_rows(spark, sf_dir), REPS, sampler=counters.tails)
     return out.select(F.col("key").cast("long").alias("orf"), rounded(F.col("p_iid")).alias("p_iid"), "exceedances")
 
 
