@@ -35,7 +35,7 @@ def _told(found: DataFrame) -> DataFrame:
 
 
 def dm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _told(resample.importance_p(_rows(spark, sf_dir), IMPORTANCE, sampler=draws.tails))
+    return _told(resample.importance_p(_rows(spark, sf_dir), IMPORTANCE, sampler=counters.tails))
 
 
 def dm_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
