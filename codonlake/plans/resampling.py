@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codonlake.functions.lineage import kept
 from codonlake.functions.sqlx import rounded
-from codonlake.operators import counters, draws, resample
+from codonlake.operators import counters, resample
 from codonlake.plans.inference import A0, CAND_SQL, candidate_rows
 
 #: Templates near what the adapter's candidates hold, so that tails are neither empty nor whole.
@@ -41,8 +41,8 @@ def dm_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dm_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pilot tells the size of a sample of its own, which alone gives the estimate."""
     rows = _rows(spark, sf_dir)
-    plan = kept(resample.planned(resample.importance_p(rows, PILOT, 2, sampler=draws.tails), PILOT, MOST, LEAST))
-    return _told(resample.importance_p(rows.join(plan, "key"), F.col("planned"), 3, sampler=draws.tails))
+    plan = kept(resample.planned(resample.importance_p(rows, PILOT, 2, sampler=counters.tails), PILOT, MOST, LEAST))
+    return _told(resample.importance_p(rows.join(plan, "key"), F.col("planned"), 3, sampler=counters.tails))
 
 
 QUERIES = {f.__name__: f for f in (dm_iid_draws, dm_block_draws, dm_importance, dm_two_stage)}
