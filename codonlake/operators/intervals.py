@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BIN = 4096
+#: About a block's length, so that a block is compared with few sites outside it, however many blocks there are.
+BIN = 128
 
 
 def site_index(psites: DataFrame) -> DataFrame:

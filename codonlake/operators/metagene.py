@@ -9,11 +9,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def template(codons: DataFrame, least_reads: int = 3) -> DataFrame:
-    """method, pi0, pi1, pi2, n_codons: phase templates, read-weighted and codon-equal, in one pass."""
+def _times(times: Column | None) -> Column:
+    return (F.lit(1) if times is None else times).cast("long")
+
+
+def template(codons: DataFrame, least_reads: int = 3, times: Column | None = None) -> DataFrame:
+    """method, pi0, pi1, pi2, n_codons: phase templates, read-weighted and codon-equal, in one pass. times: the codons a row stands for, else one."""
+    times = _times(times)
     x = codons.withColumn("n", F.col("c0") + F.col("c1") + F.col("c2")).filter(F.col("n") >= least_reads)
     one = x.agg(
-        F.count(F.lit(1)).alias("n_codons"), *[(F.sum(f"c{f}") / F.sum("n")).alias(f"r{f}") for f in range(3)], *[F.avg(F.col(f"c{f}") / F.col("n")).alias(f"e{f}") for f in range(3)]
+        F.coalesce(F.sum(times), F.lit(0)).cast("long").alias("n_codons"), *[(F.sum(F.col(f"c{f}") * times) / F.sum(F.col("n") * times)).alias(f"r{f}") for f in range(3)], *[(F.sum(F.col(f"c{f}") / F.col("n") * times) / F.sum(times)).alias(f"e{f}") for f in range(3)]
     )
     rows = [F.struct(F.lit(m).alias("method"), *[F.col(f"{k}{f}").alias(f"pi{f}") for f in range(3)]) for m, k in (("read_weighted", "r"), ("codon_equal", "e"))]
     return one.select("n_codons", F.inline(F.array(*rows)))
@@ -32,9 +37,9 @@ def lattice(c: list[Column], resolution: int = 20) -> list[Column]:
     return out
 
 
-def ternary(codons: DataFrame, resolution: int = 20) -> DataFrame:
+def ternary(codons: DataFrame, resolution: int = 20, times: Column | None = None) -> DataFrame:
     """g0, g1, g2, n, percent: codons by lattice point."""
-    x = codons.filter("c0 + c1 + c2 > 0").select(*lattice([F.col(f"c{f}") for f in range(3)], resolution)).groupBy("g0", "g1", "g2").agg(F.count(F.lit(1)).alias("n"))
+    x = codons.filter("c0 + c1 + c2 > 0").select(*lattice([F.col(f"c{f}") for f in range(3)], resolution), _times(times).alias("_times")).groupBy("g0", "g1", "g2").agg(F.sum("_times").alias("n"))
     total = x.agg(F.sum("n").alias("total"))
     # one row
     return x.join(F.broadcast(total)).select("g0", "g1", "g2", "n", (100.0 * F.col("n") / F.col("total")).alias("percent"))
@@ -98,7 +103,7 @@ def reservoir_template(codons: DataFrame, size: int = 200_000, share: float = 0.
     return trimmed_template(reservoir(codons, size, least_reads, seed), share, least_reads)
 
 
-def fit_a0(codons: DataFrame, pi: tuple[float, float, float], least_reads: int = 3, low: float = 0.02, high: float = 1e5, points: int = 96) -> DataFrame:
+def fit_a0(codons: DataFrame, pi: tuple[float, float, float], least_reads: int = 3, low: float = 0.02, high: float = 1e5, points: int = 96, times: Column | None = None) -> DataFrame:
     """a0, at_edge, n_codons: the concentration of largest likelihood between low and high; 20 without codons.
 
     The likelihood needs the numbers of codons with more than k reads, by phase and in all: as many as the
@@ -107,7 +112,7 @@ def fit_a0(codons: DataFrame, pi: tuple[float, float, float], least_reads: int =
     n = F.col("c0") + F.col("c1") + F.col("c2")
     x = codons.filter(n >= least_reads)
     parts = F.array(*[F.struct(F.lit(f).alias("f"), F.col(f"c{f}").cast("long").alias("c")) for f in range(3)], F.struct(F.lit(3).alias("f"), n.cast("long").alias("c")))
-    long = x.select(F.inline(parts)).filter("c > 0").groupBy("f", "c").agg(F.count(F.lit(1)).alias("m"))
+    long = x.select(_times(times).alias("_times"), F.inline(parts)).filter("c > 0").groupBy("f", "c").agg(F.sum("_times").alias("m"))
     more = long.select("f", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)).alias("k")).groupBy("f", "k").agg(F.sum("m").alias("m"))
     one = more.agg(F.sort_array(F.collect_list(F.struct("f", "k", "m"))).alias("terms"), F.coalesce(F.sum(F.when((F.col("f") == 3) & (F.col("k") == 0), F.col("m"))), F.lit(0).cast("long")).alias("n_codons"))
     weight = lambda f: F.when(f == 0, pi[0]).when(f == 1, pi[1]).when(f == 2, pi[2]).otherwise(1.0)
@@ -179,6 +184,12 @@ def spliced_windows(cds: DataFrame, window: int) -> DataFrame:
     return x.filter((F.col("offset") + F.col("end0") - F.col("start0") > -window) & (F.col("offset") < F.col("length") + window))
 
 
+def alike(cds: DataFrame) -> DataFrame:
+    """CDSs of one path as one row: the least orf, its columns as for `spliced_windows`, and `copies`."""
+    path = ["chrom", "strand", "length", "blocks", "flank5", "flank3"]
+    return cds.groupBy(*path).agg(F.min("orf").alias("orf"), F.count(F.lit(1)).alias("copies")).select("orf", *path, "copies")
+
+
 def metagene(hits: DataFrame, window: int, which: str = "start") -> DataFrame:
     """rel_nt, count from -window to window around the first base of the start or of the stop codon; hits: t as from
     `spliced_windows`, length, n. The start's window leaves out the 3' flank, the stop's the 5' flank."""
@@ -271,10 +282,10 @@ def vertices(lattice_rows: DataFrame, resolution: int = 20) -> DataFrame:
     return lattice_rows.agg(*[corner(f) for f in range(3)])
 
 
-def mean_shares(codons: DataFrame) -> DataFrame:
+def mean_shares(codons: DataFrame, times: Column | None = None) -> DataFrame:
     """m0, m1, m2: codon-equal mean of the phases in percent; 0 without codons."""
-    n = F.col("c0") + F.col("c1") + F.col("c2")
-    return codons.filter(n > 0).agg(*[F.coalesce(F.lit(100.0) * F.avg(F.col(f"c{f}") / n), F.lit(0.0)).alias(f"m{f}") for f in range(3)])
+    n, times = F.col("c0") + F.col("c1") + F.col("c2"), _times(times)
+    return codons.filter(n > 0).agg(*[F.coalesce(F.lit(100.0) * F.sum(F.col(f"c{f}") / n * times) / F.sum(times), F.lit(0.0)).alias(f"m{f}") for f in range(3)])
 
 
 def ternary_xy(p0: Column, p2: Column) -> tuple[Column, Column]:

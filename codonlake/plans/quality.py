@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codonlake.functions.lineage import kept
 from codonlake.functions.sqlx import rounded
 from codonlake.operators import intervals, metagene, replicates
 from codonlake.plans.counting import iv_site_index
@@ -70,18 +71,21 @@ def qc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = intervals.codon_counts(_inside(spark, sf_dir).withColumn("n_codons", F.expr("length div 3")))
-    return metagene.patterns(x.join(_cds(spark, sf_dir).select("orf", "length"), "orf"), 45, 30, 2)
+    """c0, c1, c2, n: codons by pattern. CDSs of one path are counted once, and their codons as often as there are copies."""
+    cds = kept(metagene.alike(_cds(spark, sf_dir)))
+    inside = intervals.range_join(iv_site_index(spark, sf_dir), metagene.spliced_windows(cds, 20)).filter("t >= 0 and t < length")
+    x = intervals.codon_counts(inside.withColumn("n_codons", F.expr("length div 3")))
+    return metagene.patterns(x.join(cds.select("orf", "length", "copies"), "orf"), 45, 30, 2).groupBy("c0", "c1", "c2").agg(F.sum("copies").alias("n"))
 
 
 def qc_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _patterns(spark, sf_dir).groupBy("c0", "c1", "c2").agg(F.count(F.lit(1)).alias("n"))
+    return _patterns(spark, sf_dir)
 
 
 def qc_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners of the lattice, and means, of the codons that templates are made of."""
-    x = _patterns(spark, sf_dir)
-    return _plain(metagene.vertices(metagene.ternary(x)).join(F.broadcast(metagene.mean_shares(x))))
+    x, n = kept(_patterns(spark, sf_dir)), F.col("n")
+    return _plain(metagene.vertices(metagene.ternary(x, times=n)).join(F.broadcast(metagene.mean_shares(x, n))))
 
 
 def qc_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,9 +95,9 @@ def qc_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def qc_background(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The background of the codon-equal template; its concentration from the grid and bisection of `fit_a0`."""
-    x = _patterns(spark, sf_dir)
-    row = metagene.template(x, 2).filter("method = 'codon_equal'")
-    out = metagene.background(row, metagene.fit_a0(x, (1 / 3, 1 / 3, 1 / 3), 2), 0.5)
+    x = kept(_patterns(spark, sf_dir)).withColumnRenamed("n", "times")
+    row = metagene.template(x, 2, F.col("times")).filter("method = 'codon_equal'")
+    out = metagene.background(row, metagene.fit_a0(x, (1 / 3, 1 / 3, 1 / 3), 2, times=F.col("times")), 0.5)
     return _plain(out.select("pi0", "pi1", "pi2", "template_status"))
 
 
