@@ -44,3 +44,11 @@ def test_a_template_is_that_of_all_copies(spark, many):
             assert all(p == (pytest.approx(q, rel=1e-9) if isinstance(q, float) else q) for p, q in zip(a, b, strict=True))
     assert metagene.template(x.limit(0), 3, F.col("times")).first().n_codons == 0
     same_as_sql(spark, many, "qc_background")
+
+
+def test_corners_and_means_are_those_of_all_copies(spark, many):
+    x = spark.createDataFrame([(4, 0, 0, 3), (1, 1, 1, 1), (0, 2, 1, 4)], "c0 long, c1 long, c2 long, times long")
+    every = x.withColumn("k", F.explode(F.expr("array_repeat(1, cast(times as int))"))).drop("k", "times")
+    assert sorted(metagene.ternary(x, times=F.col("times")).collect()) == sorted(metagene.ternary(every).collect())
+    assert tuple(metagene.mean_shares(x, F.col("times")).first()) == pytest.approx(tuple(metagene.mean_shares(every).first()))
+    same_as_sql(spark, many, "qc_vertices")
