@@ -52,3 +52,13 @@ def test_corners_and_means_are_those_of_all_copies(spark, many):
     assert sorted(metagene.ternary(x, times=F.col("times")).collect()) == sorted(metagene.ternary(every).collect())
     assert tuple(metagene.mean_shares(x, F.col("times")).first()) == pytest.approx(tuple(metagene.mean_shares(every).first()))
     same_as_sql(spark, many, "qc_vertices")
+
+
+def test_cdss_of_one_path_are_counted_once(spark, many):
+    from codonlake.plans import quality
+
+    cds = quality._cds(spark, many)
+    one = metagene.alike(cds)
+    n = one.agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies")).first()
+    assert n.copies == cds.count() and n.rows * 40 == n.copies
+    same_as_sql(spark, many, "qc_patterns")
