@@ -1,7 +1,8 @@
 """Tail probabilities of the likelihood ratio under the host template: parametric, importance and block resampling.
 
 A candidate's replicates are split into batches of bounded size, every batch a row of its own, so one long
-or deep candidate spreads over many tasks. A batch is seeded by the candidate's name, the method and its own
+or deep candidate spreads over many tasks. Parametric and importance draws need no more of the codons than how many have
+each depth: those of one depth are alike, so the numbers of them with each count are drawn at once. A batch is seeded by the candidate's name, the method and its own
 number, never by its partition: repeated or moved tasks draw the same replicates. Batches return sums, which
 add up by candidate.
 """
@@ -41,6 +42,35 @@ def draw(rng: np.random.Generator, depth: np.ndarray, pi: np.ndarray, a0: float)
     return rng.multinomial(depth[None, :], share)
 
 
+def rising(a: float, d: int) -> np.ndarray:
+    """ln G(a + c) - ln G(a) for c from 0 to d."""
+    return np.concatenate([[0.0], np.cumsum(np.log(a + np.arange(d)))])
+
+
+def drawn_classes(rng: np.random.Generator, depths: list, mixes: np.ndarray, picked: np.ndarray, a0: float) -> np.ndarray:
+    """`exceeding` of Dirichlet-multinomial replicates; depths: (depth, codons), mixes[picked]: the replicates' shares.
+
+    Where a depth has fewer triples of counts than codons, a multinomial draw tells how many codons have each triple."""
+    top = max(d for d, _ in depths)
+    out = np.zeros((len(picked), 3, top), dtype=np.int64)
+    for d, m in depths:
+        if (d + 1) * (d + 2) // 2 > m:
+            n = exceeding(draw(rng, np.full(m, d), mixes[picked], a0))
+            out[:, :, : n.shape[2]] += n
+            continue
+        first, second = (v.ravel() for v in np.meshgrid(np.arange(d + 1), np.arange(d + 1), indexing="ij"))
+        c = np.stack([first, second, d - first - second])[:, first + second <= d]
+        more = (c[:, :, None] > np.arange(d)).astype(np.float64)  # exact: sums stay far under 2^53
+        ways = sum(rising(1.0, d)[x] for x in c)
+        for k in np.unique(picked):
+            logs = sum(rising(a0 * mixes[k, f], d)[c[f]] for f in range(3)) - ways
+            p = np.exp(logs - logs.max())
+            rows = np.flatnonzero(picked == k)
+            seen = rng.multinomial(m, p / p.sum(), size=len(rows)).astype(np.float64)
+            out[rows, :, :d] += np.stack([seen @ more[f] for f in range(3)], axis=1).astype(np.int64)
+    return out
+
+
 def exceeding(counts: np.ndarray) -> np.ndarray:
     """(replicates, 3, k): codons with more than k reads in a phase."""
     reps, _, phases = counts.shape
@@ -100,19 +130,20 @@ def block_counts(rng: np.random.Generator, place: np.ndarray, counts: np.ndarray
 def _batch(row, method: str, etas: Sequence[float], width: int, seed: int) -> tuple:
     host, trans = (np.maximum(np.asarray(v, dtype=float), 1e-12) for v in (row.host, row.trans))
     host, trans = host / host.sum(), trans / trans.sum()
-    counts = np.array([[c["c0"], c["c1"], c["c2"]] for c in row.codons], dtype=np.int64)
     rng, reps, weight = seeded(seed, row.key, method, row.batch), int(row.size), None
+    depths = [] if method == "block" else [(int(x["d"]), int(x["m"])) for x in row.depths]
     if method == "block":
+        counts = np.array([[c["c0"], c["c1"], c["c2"]] for c in row.codons], dtype=np.int64)
         sim = block_counts(rng, np.array([c["codon"] for c in row.codons]), counts, host, width, reps)
         if sim is None:
             return row.key, 0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, False
         n = exceeding(sim)
     elif method == "iid":
-        n = exceeding(draw(rng, counts.sum(axis=1), np.tile(host, (reps, 1)), row.a0))
+        n = drawn_classes(rng, depths, host[None, :], np.zeros(reps, dtype=np.int64), row.a0)
     else:
         places = sorted({round(min(1.0, max(0.0, e)), 12) for e in (*etas, 0.0, row.lambda_hat / 2, row.lambda_hat)})
         mixes = np.array([host + e * (trans - host) for e in places])
-        n = exceeding(draw(rng, counts.sum(axis=1), mixes[rng.integers(0, len(mixes), reps)], row.a0))
+        n = drawn_classes(rng, depths, mixes, rng.integers(0, len(mixes), reps), row.a0)
         logs = np.array([level(n, mix, row.a0) for mix in mixes])
         peak = logs.max(axis=0)
         weight = np.exp(np.clip(level(n, host, row.a0) - peak - np.log(np.exp(logs - peak).mean(axis=0)), -745, 709))
@@ -133,12 +164,18 @@ def tails(candidates: DataFrame, reps: Column | int, method: str, seed: int = 1,
     """key and the sums of its replicates. candidates(key string, codons: array of (codon, c0, c1, c2) with reads, in order,
     host, trans: array of 3, a0, lambda_hat, lrt); reps may differ by candidate; method: iid, importance or block."""
     reps = reps if isinstance(reps, Column) else F.lit(reps)
-    depth = F.array_max(F.transform("codons", lambda c: c["c0"] + c["c1"] + c["c2"]))
-    most = F.greatest(F.lit(1), F.expr(f"{CELLS} div 3") / F.greatest(F.size("codons"), depth)).cast("int")
-    x = candidates.withColumn("_reps", reps.cast("int")).withColumn("_most", most).filter("_reps > 0 and size(codons) > 0")
+    x = candidates.withColumn("_reps", reps.cast("int")).filter("_reps > 0 and size(codons) > 0").select("key", "codons", "host", "trans", "a0", "lambda_hat", "lrt", "_reps")
+    held = "codons"
+    work = F.greatest(F.size("codons"), F.array_max(F.transform("codons", lambda c: c["c0"] + c["c1"] + c["c2"])))
+    if method != "block":
+        held = "depths"
+        seen = x.select("key", F.explode(F.transform("codons", lambda c: (c["c0"] + c["c1"] + c["c2"]).cast("long"))).alias("d")).groupBy("key", "d").agg(F.count(F.lit(1)).alias("m"))
+        x = x.drop("codons").join(seen.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("d", "m"))).alias("depths")), "key")
+        work = F.expr("greatest(array_max(depths).d, aggregate(depths, 0L, (s, x) -> s + least(x.m, (x.d + 1) * (x.d + 2) div 2)))")
+    x = x.withColumn("_most", F.greatest(F.lit(1), F.expr(f"{CELLS} div 3") / work).cast("int"))
     x = x.withColumn("batch", F.explode(F.sequence(F.lit(0), F.expr("(_reps - 1) div _most"))))
     x = x.withColumn("size", F.least(F.col("_most"), F.col("_reps") - F.col("batch") * F.col("_most")))
-    x = x.select("key", "codons", "host", "trans", "a0", "lambda_hat", "lrt", "batch", "size")
+    x = x.select("key", held, "host", "trans", "a0", "lambda_hat", "lrt", "batch", "size")
     # as many parts as asked for: few bytes are much work here, so small parts must not be put together
     x = x.repartition(int(x.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "batch")
     parts = x.mapInPandas(partial(_batches, method=method, etas=tuple(etas), width=width, seed=seed), SUMS)
