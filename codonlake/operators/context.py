@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codonlake.functions.lineage import kept
+
 #: Classes, contexts and reasons.
 PURE = "pure_intorf_no_annotated_cds_nterm_reuse"
 CLASSES = {
@@ -62,30 +64,43 @@ def context(candidates: DataFrame, torfs: DataFrame, least_codons: int = 5) -> D
     """candidates(gorf_id, gene_id, ...) with their sixteen columns of context.
 
     torfs: torf_id, gorf_id, gene_id, transcript_id, transcript_name, tx_tags, chrom, strand, is_annotated_cds, path,
-    peptide. The codons of all CDSs are an index by gene, chromosome, strand and position, where a candidate's tORFs look up
-    their first position; only such pairs are compared, by the stretches of their paths. The best pair has the longest
+    peptide. tORFs of one gene, place, path and peptide are one shape, and shapes are compared. The codons of all CDSs are an
+    index by gene, chromosome, strand and position, where a candidate's shapes look up their first position; only such pairs
+    are compared, by the stretches of their paths. The best pair has the longest
     common path, then the longest common peptide, the best tags, and the least transcript and tORF. A (gorf, gene)
     key without tORFs is an error where the key's gorf is known."""
     if least_codons < 1:
         raise ValueError("the least number of codons must be positive")
     keys = candidates.select("gorf_id", "gene_id").distinct()
     place = ["gene_id", "chrom", "strand"]
-    own = torfs.filter("not is_annotated_cds").join(keys, ["gorf_id", "gene_id"], "left_semi")
-    cds = torfs.filter("is_annotated_cds").join(keys.select("gene_id").distinct(), "gene_id", "left_semi")
+    named = torfs.withColumn("shape", F.md5(F.to_json(F.struct(*place, "path", "peptide"))))
+    first_of = lambda *more: [F.first(c).alias(c) for c in (*place, "path", "peptide", *more)]
+    own = named.filter("not is_annotated_cds").join(keys, ["gorf_id", "gene_id"], "left_semi")
+    cds = named.filter("is_annotated_cds").join(keys.select("gene_id").distinct(), "gene_id", "left_semi").withColumn("rank", F.struct(priority(F.col("tx_tags")).alias("tags"), "transcript_id"))
+    members = kept(own.groupBy("gorf_id", "gene_id", "shape").agg(F.min("torf_id").alias("torf_id"), F.min(F.when(F.size("path") > 0, F.col("torf_id"))).alias("with_path")))
+    asked = own.filter("size(path) > 0").groupBy("shape").agg(*first_of()).select("shape", *place, "peptide", F.size("path").alias("path_nt"), F.get("path", F.lit(0)).alias("pos"), _runs(F.col("path"), F.col("strand")).alias("runs"))
+    transcripts = kept(cds.groupBy("shape").agg(*first_of(), F.min("rank").alias("rank"), F.min_by(F.struct("transcript_id", "transcript_name", F.col("tx_tags").alias("tags")), "rank").alias("t"), F.collect_set("transcript_id").alias("ids")))
+    one = transcripts.select(*place, F.col("shape").alias("cds_torf"), "rank", "t", F.size("path").alias("cds_nt"), _runs(F.col("path"), F.col("strand")).alias("cds_runs"), F.col("peptide").alias("cds_peptide"))
     starts = F.filter("path", lambda _, i: i % 3 == 0)
-    index = cds.select(*place, "transcript_id", F.col("torf_id").alias("cds_torf"), F.posexplode(starts).alias("codon", "pos")).withColumn("start", F.col("codon") * 3).drop("codon")
-    asked = own.filter("size(path) > 0").select("gorf_id", *place, "torf_id", "peptide", F.size("path").alias("path_nt"), F.get("path", F.lit(0)).alias("pos"), _runs(F.col("path"), F.col("strand")).alias("runs"))
-    pairs = asked.join(index, [*place, "pos"])
-    right = cds.select(*place, "transcript_id", F.col("torf_id").alias("cds_torf"), "transcript_name", F.col("tx_tags").alias("tags"), F.size("path").alias("cds_nt"), _runs(F.col("path"), F.col("strand")).alias("cds_runs"), F.col("peptide").alias("cds_peptide"))
-    both = pairs.join(right, [*place, "transcript_id", "cds_torf"]).withColumn("rest", F.expr(_REST))
+    index = transcripts.select(*place, F.col("shape").alias("cds_torf"), F.posexplode(starts).alias("codon", "pos")).withColumn("start", F.col("codon") * 3).drop("codon")
+    both = asked.join(index, [*place, "pos"]).join(one, [*place, "cds_torf"]).withColumn("rest", F.expr(_REST))
     both = both.withColumn("nt", F.expr(_COMMON)).withColumn("aa", F.expr(_ALIKE).cast("long"))
     both = both.withColumn("why", F.when(F.col("nt") >= F.col("path_nt"), WHOLE).when(F.col("nt") >= F.col("cds_nt") - F.col("start"), ENDED).otherwise(DIVERGED))
-    kept = F.struct("torf_id", "transcript_id", "transcript_name", "tags", "nt", "aa", "path_nt", F.length("peptide").alias("peptide_aa"), "why")
-    alike = both.groupBy("gorf_id", "gene_id", "nt", "aa").agg(F.min_by(kept, F.struct(priority(F.col("tags")), "transcript_id", "torf_id")).alias("b"), F.collect_set("transcript_id").alias("ids"))
-    best = alike.groupBy("gorf_id", "gene_id").agg(F.max_by(F.struct("b", "ids"), F.struct("nt", "aa")).alias("best"))
-    best = best.select("gorf_id", "gene_id", "best.b", F.array_join(F.array_sort("best.ids"), ",").alias("tied"))
-    first = own.groupBy("gorf_id", "gene_id").agg(F.min("torf_id").alias("first_torf"))
-    genes = cds.select("gene_id").distinct().withColumn("has_cds", F.lit(True))
+    told = F.struct("t.*", "nt", "aa", "path_nt", F.length("peptide").alias("peptide_aa"), "why")
+    alike = both.groupBy("shape", "nt", "aa").agg(F.min_by(told, F.struct("rank", "cds_torf")).alias("b"), F.min("rank").alias("rank"), F.collect_set("cds_torf").alias("tied"))
+    best = alike.groupBy("shape").agg(F.max_by(F.struct("b", "rank", "tied"), F.struct("nt", "aa")).alias("best")).select("shape", "best.*")
+    # the best of a candidate's own shapes, and the shapes of CDSs that tie
+    mine = members.filter("with_path is not null").join(best, "shape").groupBy("gorf_id", "gene_id", "b.nt", "b.aa").agg(
+        F.min_by(F.struct(F.col("with_path").alias("torf_id"), "b.*"), F.struct("rank", "with_path")).alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tied")))).alias("tied")
+    )
+    mine = mine.groupBy("gorf_id", "gene_id").agg(F.max_by(F.struct("b", "tied"), F.struct("nt", "aa")).alias("best")).select("gorf_id", "gene_id", "best.b", F.col("best.tied").alias("cds_shapes"))
+    mine = mine.withColumn("set", F.md5(F.array_join("cds_shapes", ",")))
+    # transcripts of a set of shapes are put together once
+    sets = mine.groupBy("set").agg(F.first("cds_shapes").alias("cds_shapes")).select("set", F.explode("cds_shapes").alias("shape"))
+    names = sets.join(transcripts.select("shape", "ids"), "shape").groupBy("set").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), ",").alias("tied"))
+    best = mine.drop("cds_shapes").join(names, "set").drop("set")
+    first = members.groupBy("gorf_id", "gene_id").agg(F.min("torf_id").alias("first_torf"))
+    genes = transcripts.select("gene_id").distinct().withColumn("has_cds", F.lit(True))
     x = keys.join(best, ["gorf_id", "gene_id"], "left").join(first, ["gorf_id", "gene_id"], "left").join(genes, "gene_id", "left")
     b = lambda c: F.col(f"b.{c}")
     met = F.col("b").isNotNull()
