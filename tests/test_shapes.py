@@ -21,3 +21,13 @@ def test_paths_that_are_alike_are_compared_once(spark):
     for r in rows:
         assert (r.gene_cds_nterm_best_transcript_id, r.gene_cds_nterm_best_transcript_tags, r.gene_cds_nterm_tied_transcript_ids) == ("T700", "MANE_Select", tied)
         assert (r.gene_cds_nterm_coordinate_prefix_nt, r.gene_cds_nterm_candidate_torf_id) == (30, "t" + r.gorf_id[1:])
+
+
+def test_transcripts_of_all_shapes_of_a_candidate_tie(spark):
+    """Two tORFs of a candidate that meet CDSs of unlike paths equally well: both transcripts are named."""
+    path = lambda a: list(range(a, a + 30))
+    row = lambda t, g, tx, cds, a: (t, g, "G", tx, "n", "CCDS", "chr1", "+", cds, path(a), "MAAAAAAAAA")
+    rows = [row("t1", "g", "X1", False, 1), row("t2", "g", "X2", False, 101), row("c1", "", "T2", True, 1), row("c2", "", "T1", True, 101), row("c3", "", "T3", True, 101)]
+    x = spark.createDataFrame(rows, "torf_id string, gorf_id string, gene_id string, transcript_id string, transcript_name string, tx_tags string, chrom string, strand string, is_annotated_cds boolean, path array<long>, peptide string")
+    r = context.context(spark.createDataFrame([("g", "G")], "gorf_id string, gene_id string"), x).first()
+    assert (r.gene_cds_nterm_tied_transcript_ids, r.gene_cds_nterm_best_transcript_id, r.gene_cds_nterm_candidate_torf_id) == ("T1,T2,T3", "T1", "t2")
