@@ -25,7 +25,7 @@ def translation_path(starts1: Column, ends1: Column, strand: Column, peptide_len
 
     Unlike numbers of starts and ends, a start after its end, another strand than + and -, and a path shorter than the
     peptide needs are errors."""
-    blocks = F.array_sort(F.zip_with(starts1, ends1, lambda s, e: F.struct(s.alias("s"), e.alias("e"))))
+    blocks = F.sort_array(F.zip_with(starts1, ends1, lambda s, e: F.struct(s.alias("s"), e.alias("e"))))
     flat = F.flatten(F.transform(blocks, lambda b: F.sequence(b["s"], b["e"])))
     path = F.when(strand == "-", F.reverse(flat)).otherwise(flat)
     wrong = (
@@ -66,7 +66,8 @@ def context(candidates: DataFrame, torfs: DataFrame, least_codons: int = 5) -> D
     torfs: torf_id, gorf_id, gene_id, transcript_id, transcript_name, tx_tags, chrom, strand, is_annotated_cds, path,
     peptide. tORFs of one gene, place, path and peptide are one shape, and shapes are compared. The codons of all CDSs are an
     index by gene, chromosome, strand and position, where a candidate's shapes look up their first position; only such pairs
-    are compared, by the stretches of their paths. The best pair has the longest
+    are compared, by the stretches of their paths. Candidates of the same shapes have one profile, whose best pair and tied
+    transcripts are found once; a candidate takes its own least tORF. The best pair has the longest
     common path, then the longest common peptide, the best tags, and the least transcript and tORF. A (gorf, gene)
     key without tORFs is an error where the key's gorf is known."""
     if least_codons < 1:
@@ -74,49 +75,65 @@ def context(candidates: DataFrame, torfs: DataFrame, least_codons: int = 5) -> D
     keys = candidates.select("gorf_id", "gene_id").distinct()
     place = ["gene_id", "chrom", "strand"]
     named = torfs.withColumn("shape", F.md5(F.to_json(F.struct(*place, "path", "peptide"))))
-    first_of = lambda *more: [F.first(c).alias(c) for c in (*place, "path", "peptide", *more)]
-    own = named.filter("not is_annotated_cds").join(keys, ["gorf_id", "gene_id"], "left_semi")
-    cds = named.filter("is_annotated_cds").join(keys.select("gene_id").distinct(), "gene_id", "left_semi").withColumn("rank", F.struct(priority(F.col("tx_tags")).alias("tags"), "transcript_id"))
-    members = kept(own.groupBy("gorf_id", "gene_id", "shape").agg(F.min("torf_id").alias("torf_id"), F.min(F.when(F.size("path") > 0, F.col("torf_id"))).alias("with_path")))
-    asked = own.filter("size(path) > 0").groupBy("shape").agg(*first_of()).select("shape", *place, "peptide", F.size("path").alias("path_nt"), F.get("path", F.lit(0)).alias("pos"), _runs(F.col("path"), F.col("strand")).alias("runs"))
-    transcripts = kept(cds.groupBy("shape").agg(*first_of(), F.min("rank").alias("rank"), F.min_by(F.struct("transcript_id", "transcript_name", F.col("tx_tags").alias("tags")), "rank").alias("t"), F.collect_set("transcript_id").alias("ids")))
-    one = transcripts.select(*place, F.col("shape").alias("cds_torf"), "rank", "t", F.size("path").alias("cds_nt"), _runs(F.col("path"), F.col("strand")).alias("cds_runs"), F.col("peptide").alias("cds_peptide"))
+    # rows go on by the name of their shape; paths and peptides stay in one table of shapes
+    shapes = kept(named.select("is_annotated_cds", "shape", *place, "path", "peptide").distinct())
+    own = named.filter("not is_annotated_cds").select("gorf_id", "gene_id", "shape", "torf_id").join(keys, ["gorf_id", "gene_id"], "left_semi")
+    # a candidate's shapes, each with its least tORF; candidates of the same shapes have one profile
+    members = own.groupBy("gorf_id", "gene_id", "shape").agg(F.min("torf_id").alias("torf_id")).groupBy("gorf_id", "gene_id").agg(F.sort_array(F.collect_list(F.struct("shape", "torf_id"))).alias("own"))
+    members = kept(members.withColumn("profile", F.md5(F.array_join("own.shape", ","))))
+    cds = named.filter("is_annotated_cds").select("gene_id", "shape", "transcript_id", "transcript_name", "tx_tags").join(members.select("gene_id").distinct(), "gene_id", "left_semi").withColumn("rank", F.struct(priority(F.col("tx_tags")).alias("tags"), "transcript_id"))
+    profiles = members.select("profile", F.col("own.shape").alias("own")).distinct().select("profile", F.explode("own").alias("shape"))
+    asked = shapes.filter("not is_annotated_cds and size(path) > 0").join(profiles.select("shape").distinct(), "shape", "left_semi").select("shape", *place, "peptide", F.size("path").alias("path_nt"), F.get("path", F.lit(0)).alias("pos"), _runs(F.col("path"), F.col("strand")).alias("runs"))
+    transcripts = kept(cds.groupBy("shape").agg(F.first("gene_id").alias("gene_id"), F.min("rank").alias("rank"), F.min_by(F.struct("transcript_id", "transcript_name", F.col("tx_tags").alias("tags")), "rank").alias("t"), F.collect_set("transcript_id").alias("ids")))
+    known = shapes.filter("is_annotated_cds").withColumnRenamed("shape", "cds_torf")
+    one = known.join(transcripts.select(F.col("shape").alias("cds_torf"), "rank", "t"), "cds_torf").select(*place, "cds_torf", "rank", "t", F.size("path").alias("cds_nt"), _runs(F.col("path"), F.col("strand")).alias("cds_runs"), F.col("peptide").alias("cds_peptide"))
     starts = F.filter("path", lambda _, i: i % 3 == 0)
-    index = transcripts.select(*place, F.col("shape").alias("cds_torf"), F.posexplode(starts).alias("codon", "pos")).withColumn("start", F.col("codon") * 3).drop("codon")
+    index = known.select(*place, "cds_torf", F.posexplode(starts).alias("codon", "pos")).withColumn("start", F.col("codon") * 3).drop("codon")
     both = asked.join(index, [*place, "pos"]).join(one, [*place, "cds_torf"]).withColumn("rest", F.expr(_REST))
     both = both.withColumn("nt", F.expr(_COMMON)).withColumn("aa", F.expr(_ALIKE).cast("long"))
     both = both.withColumn("why", F.when(F.col("nt") >= F.col("path_nt"), WHOLE).when(F.col("nt") >= F.col("cds_nt") - F.col("start"), ENDED).otherwise(DIVERGED))
     told = F.struct("t.*", "nt", "aa", "path_nt", F.length("peptide").alias("peptide_aa"), "why")
     alike = both.groupBy("shape", "nt", "aa").agg(F.min_by(told, F.struct("rank", "cds_torf")).alias("b"), F.min("rank").alias("rank"), F.collect_set("cds_torf").alias("tied"))
     best = alike.groupBy("shape").agg(F.max_by(F.struct("b", "rank", "tied"), F.struct("nt", "aa")).alias("best")).select("shape", "best.*")
-    # the best of a candidate's own shapes, and the shapes of CDSs that tie
-    mine = members.filter("with_path is not null").join(best, "shape").groupBy("gorf_id", "gene_id", "b.nt", "b.aa").agg(
-        F.min_by(F.struct(F.col("with_path").alias("torf_id"), "b.*"), F.struct("rank", "with_path")).alias("b"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tied")))).alias("tied")
-    )
-    mine = mine.groupBy("gorf_id", "gene_id").agg(F.max_by(F.struct("b", "tied"), F.struct("nt", "aa")).alias("best")).select("gorf_id", "gene_id", "best.b", F.col("best.tied").alias("cds_shapes"))
-    mine = mine.withColumn("set", F.md5(F.array_join("cds_shapes", ",")))
-    # transcripts of a set of shapes are put together once
-    sets = mine.groupBy("set").agg(F.first("cds_shapes").alias("cds_shapes")).select("set", F.explode("cds_shapes").alias("shape"))
-    names = sets.join(transcripts.select("shape", "ids"), "shape").groupBy("set").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), ",").alias("tied"))
-    best = mine.drop("cds_shapes").join(names, "set").drop("set")
-    first = members.groupBy("gorf_id", "gene_id").agg(F.min("torf_id").alias("first_torf"))
-    genes = transcripts.select("gene_id").distinct().withColumn("has_cds", F.lit(True))
-    x = keys.join(best, ["gorf_id", "gene_id"], "left").join(first, ["gorf_id", "gene_id"], "left").join(genes, "gene_id", "left")
-    b = lambda c: F.col(f"b.{c}")
-    met = F.col("b").isNotNull()
-    enough = met & (F.expr("b.nt div 3") >= least_codons)
-    x = x.withColumn("kind", F.when(~met, "none").when(~enough, "below_minimum_prefix").when(b("nt") >= b("path_nt"), "full_coordinate_path").when(b("aa") >= b("peptide_aa"), "full_peptide_alternative_path").otherwise("partial_nterm_reuse"))
+    # of a profile's shapes those that are best, of these those of the best CDS, and the transcripts of all CDSs that tie
+    top = profiles.join(best, "shape").groupBy("profile", "b.nt", "b.aa", "rank").agg(F.collect_list(F.struct("shape", "b")).alias("won"), F.flatten(F.collect_list("tied")).alias("tied"))
+    top = top.groupBy("profile", "nt", "aa").agg(F.min_by("won", "rank").alias("won"), F.array_distinct(F.flatten(F.collect_list("tied"))).alias("tied"))
+    top = top.groupBy("profile").agg(F.max_by(F.struct("won", "tied"), F.struct("nt", "aa")).alias("best")).select("profile", "best.won", F.explode("best.tied").alias("shape"))
+    top = top.join(transcripts.select("shape", "ids"), "shape").groupBy("profile").agg(F.first("won").alias("_won"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), ",").alias("_tied"))
+    genes = transcripts.select("gene_id").distinct().withColumn("_has_cds", F.lit(True))
+    # the long names come last, and so are in no shuffle of candidates
+    mine = members.select("gorf_id", "gene_id", F.col("own").alias("_own"), F.col("profile").alias("_profile"))
+    x = candidates.join(mine, ["gorf_id", "gene_id"], "left").join(genes, "gene_id", "left").join(top.withColumnRenamed("profile", "_profile"), "_profile", "left")
+    least = lambda rows: F.array_min(F.transform(rows, lambda m: F.struct(m["torf_id"], m["shape"])))
+    x = x.withColumn("_first", least(F.col("_own"))).withColumn("_mine", least(F.filter("_own", lambda m: F.array_contains("_won.shape", m["shape"]))))
+    x = x.withColumn("_b", F.get(F.filter("_won", lambda w: w["shape"] == F.col("_mine.shape")), F.lit(0))["b"])
+    b = lambda c: F.col(f"_b.{c}")
+    met = F.col("_b").isNotNull()
+    enough = met & (F.expr("_b.nt div 3") >= least_codons)
+    x = x.withColumn("_kind", F.when(~met, "none").when(~enough, "below_minimum_prefix").when(b("nt") >= b("path_nt"), "full_coordinate_path").when(b("aa") >= b("peptide_aa"), "full_peptide_alternative_path").otherwise("partial_nterm_reuse"))
     zero = F.lit(0).cast("long")
     text = lambda c: F.coalesce(b(c), F.lit(""))
-    none = F.when(F.col("first_torf").isNull(), ABSENT).when(F.col("has_cds").isNull(), NO_CDS).otherwise(NO_PREFIX)
-    found = x.select(
-        "gorf_id", "gene_id", F.element_at(F.create_map(*[F.lit(v) for kv in CLASSES.items() for v in kv]), F.col("kind")).alias("gene_level_orf_class"), (~F.coalesce(enough, F.lit(False))).cast("int").alias("gene_level_pure_intorf_eligible"),
-        F.coalesce(enough, F.lit(False)).cast("int").alias("gene_cds_nterm_match"), F.col("kind").alias("gene_cds_nterm_context"), F.coalesce(b("torf_id"), "first_torf", F.lit("")).alias("gene_cds_nterm_candidate_torf_id"),
-        text("transcript_id").alias("gene_cds_nterm_best_transcript_id"), text("transcript_name").alias("gene_cds_nterm_best_transcript_name"), text("tags").alias("gene_cds_nterm_best_transcript_tags"), F.coalesce("tied", F.lit("")).alias("gene_cds_nterm_tied_transcript_ids"),
-        F.coalesce(b("nt"), zero).alias("gene_cds_nterm_coordinate_prefix_nt"), F.coalesce(F.expr("b.nt div 3"), zero).alias("gene_cds_nterm_coordinate_prefix_complete_codons"), F.coalesce(b("nt") / b("path_nt"), F.lit(0.0)).alias("gene_cds_nterm_coordinate_prefix_fraction"),
-        F.coalesce(b("aa"), zero).alias("gene_cds_nterm_peptide_prefix_aa"), F.coalesce(b("aa") / b("peptide_aa"), F.lit(0.0)).alias("gene_cds_nterm_peptide_prefix_fraction"), F.coalesce(b("why"), none).alias("gene_cds_nterm_break_reason"), F.lit(least_codons).alias("gene_cds_nterm_min_prefix_codons"),
-    )
-    return candidates.join(found, ["gorf_id", "gene_id"], "left")
+    none = F.when(F.col("_first").isNull(), ABSENT).when(F.col("_has_cds").isNull(), NO_CDS).otherwise(NO_PREFIX)
+    found = {
+        "gene_level_orf_class": F.element_at(F.create_map(*[F.lit(v) for kv in CLASSES.items() for v in kv]), F.col("_kind")),
+        "gene_level_pure_intorf_eligible": (~F.coalesce(enough, F.lit(False))).cast("int"),
+        "gene_cds_nterm_match": F.coalesce(enough, F.lit(False)).cast("int"),
+        "gene_cds_nterm_context": F.col("_kind"),
+        "gene_cds_nterm_candidate_torf_id": F.coalesce("_mine.torf_id", "_first.torf_id", F.lit("")),
+        "gene_cds_nterm_best_transcript_id": text("transcript_id"),
+        "gene_cds_nterm_best_transcript_name": text("transcript_name"),
+        "gene_cds_nterm_best_transcript_tags": text("tags"),
+        "gene_cds_nterm_tied_transcript_ids": F.coalesce("_tied", F.lit("")),
+        "gene_cds_nterm_coordinate_prefix_nt": F.coalesce(b("nt"), zero),
+        "gene_cds_nterm_coordinate_prefix_complete_codons": F.coalesce(F.expr("_b.nt div 3"), zero),
+        "gene_cds_nterm_coordinate_prefix_fraction": F.coalesce(b("nt") / b("path_nt"), F.lit(0.0)),
+        "gene_cds_nterm_peptide_prefix_aa": F.coalesce(b("aa"), zero),
+        "gene_cds_nterm_peptide_prefix_fraction": F.coalesce(b("aa") / b("peptide_aa"), F.lit(0.0)),
+        "gene_cds_nterm_break_reason": F.coalesce(b("why"), none),
+        "gene_cds_nterm_min_prefix_codons": F.lit(least_codons),
+    }
+    keyed = F.col("gorf_id").isNotNull() & F.col("gene_id").isNotNull()
+    return x.select("gorf_id", "gene_id", *[c for c in candidates.columns if c not in ("gorf_id", "gene_id")], *[F.when(keyed, c).alias(n) for n, c in found.items()])
 
 
 def uncovered(candidates: DataFrame, torfs: DataFrame) -> DataFrame:

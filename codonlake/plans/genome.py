@@ -132,8 +132,8 @@ def _context_torfs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.expr("(c_custkey div 2) % 25").alias("gene_id"), (F.col("c_custkey") * 3 % 45).alias("s"), (12 + F.col("c_custkey") % 4 * 3).alias("n"))
     d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 23).alias("gene_id"), (F.col("s_suppkey") * 6 % 45).alias("s"), (15 + F.col("s_suppkey") % 5 * 3).alias("n"))
-    # few bytes are much work here, so small files must not be one task
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes are much work here, so small files must not be one task, nor many tasks that cost more than their rows
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
     return made(c.repartition(parts, "k"), False).unionByName(made(d.repartition(parts, "k"), True))
 
 

@@ -31,3 +31,20 @@ def test_transcripts_of_all_shapes_of_a_candidate_tie(spark):
     x = spark.createDataFrame(rows, "torf_id string, gorf_id string, gene_id string, transcript_id string, transcript_name string, tx_tags string, chrom string, strand string, is_annotated_cds boolean, path array<long>, peptide string")
     r = context.context(spark.createDataFrame([("g", "G")], "gorf_id string, gene_id string"), x).first()
     assert (r.gene_cds_nterm_tied_transcript_ids, r.gene_cds_nterm_best_transcript_id, r.gene_cds_nterm_candidate_torf_id) == ("T1,T2,T3", "T1", "t2")
+
+
+def test_names_of_transcripts_are_in_no_shuffle_of_candidates(spark):
+    """The join that brings the tied transcripts comes last, and columns of any names go through it."""
+    path = lambda a: list(range(a, a + 30))
+    row = lambda t, g, tx, cds, a: (t, g, "G", tx, "n", "CCDS", "chr1", "+", cds, path(a) if a else [], "MAAAAAAAAA")
+    rows = [row("t1", "g", "X1", False, 1), row("t2", "g", "X2", False, 1), row("t3", "h", "X3", False, 500), row("t0", "h", "X4", False, 0), row("c1", "", "T2", True, 1), row("c2", "", "T1", True, 1)]
+    x = spark.createDataFrame(rows, "torf_id string, gorf_id string, gene_id string, transcript_id string, transcript_name string, tx_tags string, chrom string, strand string, is_annotated_cds boolean, path array<long>, peptide string")
+    asked = spark.createDataFrame([("g", "G", 1, "a"), ("g", "G", 2, "b"), ("h", "G", 3, "c"), ("i", "G", 4, "d"), ("g", None, 5, "e")], "gorf_id string, gene_id string, shape int, torf_id string")
+    out = context.context(asked, x)
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in line]
+    assert "_profile" in joins[0] and "gorf_id" not in joins[0]
+    got = {r.shape: r for r in out.collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[2].torf_id == "b" and out.columns[:4] == asked.columns
+    told = lambda r: (r.gene_cds_nterm_candidate_torf_id, r.gene_cds_nterm_tied_transcript_ids, r.gene_cds_nterm_coordinate_prefix_nt, r.gene_cds_nterm_break_reason)
+    assert told(got[1]) == told(got[2]) == ("t1", "T1,T2", 30, context.WHOLE)
+    assert told(got[3]) == ("t0", "", 0, context.NO_PREFIX) and told(got[4]) == ("", "", 0, context.ABSENT) and told(got[5]) == (None,) * 4
