@@ -72,10 +72,11 @@ def qc_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """c0, c1, c2, n: codons by pattern. CDSs of one path are counted once, and their codons as often as there are copies."""
-    cds = kept(metagene.alike(_cds(spark, sf_dir)))
+    # the length and the number of copies go along in the name, so that neither a copy nor a second join is needed
+    cds = metagene.alike(_cds(spark, sf_dir)).withColumn("orf", F.struct("orf", "length", "copies"))
     inside = intervals.range_join(iv_site_index(spark, sf_dir), metagene.spliced_windows(cds, 20)).filter("t >= 0 and t < length")
-    x = intervals.codon_counts(inside.withColumn("n_codons", F.expr("length div 3")))
-    return metagene.patterns(x.join(cds.select("orf", "length", "copies"), "orf"), 45, 30, 2).groupBy("c0", "c1", "c2").agg(F.sum("copies").alias("n"))
+    x = intervals.codon_counts(inside.withColumn("n_codons", F.expr("length div 3"))).select("orf.*", "codon", "c0", "c1", "c2")
+    return metagene.patterns(x, 45, 30, 2).groupBy("c0", "c1", "c2").agg(F.sum("copies").alias("n"))
 
 
 def qc_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:

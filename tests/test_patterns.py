@@ -62,3 +62,15 @@ def test_cdss_of_one_path_are_counted_once(spark, many):
     n = one.agg(F.count(F.lit(1)).alias("rows"), F.sum("copies").alias("copies")).first()
     assert n.copies == cds.count() and n.rows * 40 == n.copies
     same_as_sql(spark, many, "qc_patterns")
+
+
+def scans(df, column):
+    """The scans of tables with the column in a query's plan, and those of tables that were made before it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    return sum("Relation [" in line and f"{column}#" in line for line in plan), sum("LogicalRDD" in line for line in plan)
+
+
+def test_patterns_are_counted_in_one_job(spark, many):
+    from codonlake.plans import quality
+
+    assert scans(quality.qc_patterns(spark, many), "c_custkey") == (1, 0)
