@@ -288,6 +288,16 @@ def mean_shares(codons: DataFrame, times: Column | None = None) -> DataFrame:
     return codons.filter(n > 0).agg(*[F.coalesce(F.lit(100.0) * F.sum(F.col(f"c{f}") / n * times) / F.sum(times), F.lit(0.0)).alias(f"m{f}") for f in range(3)])
 
 
+def corners_and_means(codons: DataFrame, resolution: int = 20, times: Column | None = None) -> DataFrame:
+    """v0, v1, v2, m0, m1, m2: `vertices` of `ternary`, and `mean_shares`, in one pass; zeros without codons."""
+    n = F.col("c0") + F.col("c1") + F.col("c2")
+    phases = [F.col(f"c{f}") for f in range(3)]
+    x = codons.filter(n > 0).select(*phases, n.alias("n"), _times(times).alias("_times"), *lattice(phases, resolution))
+    times, total = F.col("_times"), F.sum("_times")
+    share = lambda part, name: F.coalesce(F.lit(100.0) * F.sum(part) / total, F.lit(0.0)).alias(name)
+    return x.agg(*[share(F.when(F.col(f"g{f}") == resolution, times).otherwise(0), f"v{f}") for f in range(3)], *[share(F.col(f"c{f}") / F.col("n") * times, f"m{f}") for f in range(3)])
+
+
 def ternary_xy(p0: Column, p2: Column) -> tuple[Column, Column]:
     """Place of shares in a triangle with sides of 1."""
     return 0.5 * p0 + p2, F.lit(math.sqrt(3) / 2) * p0

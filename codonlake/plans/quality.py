@@ -85,8 +85,8 @@ def qc_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def qc_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corners of the lattice, and means, of the codons that templates are made of."""
-    x, n = kept(_patterns(spark, sf_dir)), F.col("n")
-    return _plain(metagene.vertices(metagene.ternary(x, times=n)).join(F.broadcast(metagene.mean_shares(x, n))))
+    x = _patterns(spark, sf_dir).withColumnRenamed("n", "times")
+    return _plain(metagene.corners_and_means(x, times=F.col("times")))
 
 
 def qc_describe(spark: SparkSession, sf_dir: str) -> DataFrame:

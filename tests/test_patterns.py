@@ -74,3 +74,15 @@ def test_patterns_are_counted_in_one_job(spark, many):
     from codonlake.plans import quality
 
     assert scans(quality.qc_patterns(spark, many), "c_custkey") == (1, 0)
+
+
+def test_corners_and_means_are_found_in_one_pass(spark, many):
+    from codonlake.plans import quality
+
+    x = spark.createDataFrame([(4, 0, 0, 3), (1, 1, 1, 1), (0, 2, 1, 4), (0, 0, 9, 2), (0, 0, 0, 5)], "c0 long, c1 long, c2 long, times long")
+    times = F.col("times")
+    both = metagene.vertices(metagene.ternary(x, times=times)).join(metagene.mean_shares(x, times))
+    got = metagene.corners_and_means(x, times=times)
+    assert got.columns == both.columns and tuple(got.first()) == pytest.approx(tuple(both.first()))
+    assert tuple(metagene.corners_and_means(x.limit(0)).first()) == (0.0,) * 6
+    assert scans(quality.qc_vertices(spark, many), "c_custkey") == (1, 0)
